@@ -14,16 +14,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textstrata.operators.labels import label2id, map_labels
+from textstrata.functions.arrays import argmax, slice0, softmax
+from textstrata.functions.text import normalise
+from textstrata.operators import clean, pick, sample, stats
 from textstrata.operators.clean import prepare
+from textstrata.operators.labels import (LITHOLOGY_LABELS, id_to_label, label2id,
+                                         labels_by_first_seen, map_labels)
+from textstrata.operators.order import expand_idem
 from textstrata.operators.sample import stratified_split
 from textstrata.operators.stats import balanced_class_weights
+from textstrata.plans.oracle import oracle_sql
 
 SEED = 2023
 TEST_SIZE = 0.15
-# The test tables' label tables: the quality/toxic flags named by their digits.
+# The test tables' label tables: the quality/toxic flags named by their digits;
+# the embeddings' labels 0-9 use the ten-class table (nine classes + none).
 QUALITY = label2id(["0", "1"])
 TOXIC = label2id(["0", "1"], with_none=True)
+TEN_CLASSES = label2id(LITHOLOGY_LABELS, with_none=True)
+TARGETS = ("HL", "NL1", "NL2")
+CUTOFF = 0.1
+SCALE = 20.0
+CUTOFFS = pick.numpy_cutoffs()
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,43 +56,273 @@ def q_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_class_weights(rows, "label_id", QUALITY)
 
 
-# ---------------------------------------------------------------- oracle SQL
-
-def _split_ctes(table_sql: str, key: str, stratum: str, test_size: float = TEST_SIZE,
-                seed: int = SEED) -> str:
-    """CTEs ``src``, ``quota`` and ``split_rows`` (all columns of src + split)
-    for the stratified split, by plain ``row_number`` within each stratum."""
-    return f"""
-src AS ({table_sql}),
-cls AS (SELECT {stratum} AS s, count(*) AS n_c FROM src GROUP BY 1),
-tot AS (SELECT sum(n_c) AS n, CAST(ceil(CAST({test_size!r} AS DOUBLE) * sum(n_c)) AS BIGINT) AS n_test FROM cls),
-q AS (SELECT c.s, c.n_c, (c.n_c * (t.n - t.n_test)) // t.n AS base,
-             (c.n_c * (t.n - t.n_test)) % t.n AS rem, t.n - t.n_test AS n_train
-      FROM cls c CROSS JOIN tot t),
-q2 AS (SELECT *, row_number() OVER (ORDER BY rem DESC, s NULLS FIRST) AS rk,
-              n_train - sum(base) OVER () AS short FROM q),
-quota AS (SELECT s, base + CASE WHEN rk <= short THEN 1 ELSE 0 END AS quota FROM q2),
-ranked AS (SELECT src.*, row_number() OVER (PARTITION BY {stratum}
-             ORDER BY md5('{seed}:' || CAST({key} AS VARCHAR)), {key}) AS rn_ FROM src),
-split_rows AS (SELECT ranked.* EXCLUDE (rn_),
-             CASE WHEN rn_ <= quota.quota THEN 'train' ELSE 'test' END AS split
-             FROM ranked JOIN quota ON ranked.{stratum} IS NOT DISTINCT FROM quota.s)"""
-
-
-_LABELLED_DOCS = ("SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), 'none') AS quality "
-                  "FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
-
-ORACLE_SQL: dict[str, str] = {
-    "class_weights": f"""
-WITH {_split_ctes(_LABELLED_DOCS, 'doc_id', 'quality')},
-counts AS (SELECT CASE quality WHEN '0' THEN 0 WHEN '1' THEN 1 END AS label_id, count(*) AS n_c
-           FROM split_rows WHERE split = 'train' GROUP BY 1),
-classes AS (SELECT * FROM (VALUES (0, '0'), (1, '1')) v(label_id, label))
-SELECT c.label_id, c.label, CAST(coalesce(k.n_c, 0) AS BIGINT) AS n,
-       CAST(sum(k.n_c) OVER () AS DOUBLE) / CAST(count(k.n_c) OVER () * k.n_c AS DOUBLE) AS weight
-FROM classes c LEFT JOIN counts k ON c.label_id = k.label_id""",
-}
+
+def q_fill_and_map_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Left join fills missing targets with ``none``; ``quality``
+    uses the plain table (``none`` unmapped -> null), ``toxic`` the one with ``none``."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = docs.join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    rows = prepare(rows, ["doc_id", "text"], ["quality", "toxic"])
+    return map_labels(map_labels(rows, "quality", QUALITY, "quality_id"), "toxic", TOXIC, "toxic_id")
+
+
+def q_labels_by_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P10 on ``documents.lang`` in ``doc_id`` order."""
+    return labels_by_first_seen(read(spark, sf_dir, "documents"), "lang", "doc_id")
+
+
+def q_export_label_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label ids of ``embeddings`` back to names (ten-class table)."""
+    emb = read(spark, sf_dir, "embeddings")
+    return emb.select("vec_id", "label", id_to_label("label", TEN_CLASSES).alias("label_name"))
+
+
+def q_normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P3 on every document; the md5 of the normalised text stands for it."""
+    docs = read(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.md5(normalise("text")).alias("text_md5"),
+                       F.length(normalise("text")).cast("long").alias("n_chars_norm"))
+
+
+def interval_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``part`` names made into descriptions; some sizes give interval forms."""
+    p = read(spark, sf_dir, "part")
+    s = F.col("p_size").cast("string")
+    s1 = (F.col("p_size") + 1).cast("string")
+    s10 = (F.col("p_size") + 10).cast("string")
+    s20 = (F.col("p_size") + 20).cast("string")
+    n = F.col("p_name")
+    text = (F.when(F.col("p_size") <= 8, F.concat(F.lit("van "), s, F.lit(" tot "), s10, F.lit(" m "), n,
+                                                   F.lit(" van "), s10, F.lit(" tot "), s20, F.lit(" m klei")))
+            .when(F.col("p_size") <= 16, F.concat(F.lit("0,"), s, F.lit(" - 1,"), s, F.lit(" m "), n))
+            .when(F.col("p_size") <= 24, F.concat(F.lit("Kern "), s, F.lit(".0-"), s1, F.lit(".0 m "), n))
+            .when(F.col("p_size") <= 32, F.concat(n, F.lit(" 0,"), s, F.lit(" - 1,"), s, F.lit(" m")))
+            .when(F.col("p_size") <= 40, F.concat(F.lit("KERNSTROOK "), s, F.lit(" 3.0 m - 4,5m "), n))
+            .when(F.col("p_size") <= 44, F.concat(F.lit("VAN "), s, F.lit(" TOT "), s10, F.lit(" a van b tot c")))
+            .otherwise(n))
+    return p.select("p_partkey", text.alias("text"))
+
+
+def q_drop_multi_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4 on the interval texts made from ``part``."""
+    return clean.drop_multi_interval(interval_texts(spark, sf_dir), "text")
+
+
+def q_drop_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5(a): drop French documents by the language column."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang")
+    return clean.drop_language(docs, "fr", lang_col="lang")
+
+
+def q_drop_language_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5(b): drop documents whose words score French, on the whole text."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    kept = clean.drop_language(docs, "fr", text_col="text")
+    return kept.select("doc_id", "lang", clean.detect_language("text").alias("detected"))
+
+
+def idem_rows(spark: SparkSession, sf_dir: str, with_intervals: bool = False) -> DataFrame:
+    """``conversations`` with idem markers (and interval texts) made by projection:
+    assistant turns say ``idem``, later user turns ``Idem,``, texts starting
+    with L ``IDEM met idem`` (a first turn then has no base)."""
+    c = read(spark, sf_dir, "conversations")
+    t, turn = F.col("text"), F.col("turn")
+    text = (F.when(F.col("role") == "assistant", F.concat(F.lit("idem "), t))
+            .when(turn >= 5, F.concat(F.lit("Idem, "), t))
+            .when(F.startswith(t, F.lit("L")), F.concat(F.lit("IDEM met idem "), t)))
+    if with_intervals:
+        text = F.when(turn == 2, F.concat(F.lit("van "), turn.cast("string"), F.lit(" tot "),
+                                          (turn + 1).cast("string"), F.lit(" m zand van 3 tot 4 m "), t)) \
+            .otherwise(text)
+    return c.select("conv_id", "turn", F.coalesce(text, t).alias("text"))
+
+
+def q_idem_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1, W2 on conversations: site ``conv_id``, order ``turn``."""
+    return expand_idem(idem_rows(spark, sf_dir), ["conv_id"], "turn", "text")
+
+
+def q_clean_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Idem, then French by word scores, then multi-interval rows dropped."""
+    return clean.clean_chain(idem_rows(spark, sf_dir, with_intervals=True), ["conv_id"], "turn", "text")
+
+
+def q_stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` by ``o_orderpriority``, key ``o_orderkey``."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return stratified_split(o, "o_orderkey", "o_orderpriority", TEST_SIZE, SEED)
+
+
+def q_unstratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: ``documents`` with one stratum."""
+    d = read(spark, sf_dir, "documents").select("doc_id")
+    return sample.unstratified_split(d, "doc_id", TEST_SIZE, SEED)
+
+
+def q_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per split of the ``orders`` split."""
+    return stats.split_counts(q_stratified_split(spark, sf_dir))
+
+
+def q_exact_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """500 orders (top-n path)."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return sample.exact_sample(o, 500, "o_orderkey", SEED)
+
+
+def q_exact_sample_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 with a sample above the top-n limit (bucketed threshold path)."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return sample.exact_sample(o, 12_000, "o_orderkey", SEED)
+
+
+def q_seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position of every order in the seeded permutation."""
+    o = read(spark, sf_dir, "orders").select("o_orderkey")
+    return sample.seeded_shuffle(o, "o_orderkey", SEED)
+
+
+def q_minority_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 (+A2-A4, S5-S7): ``part``, targets brand and type, text name, N=300, ratio 0.3."""
+    p = read(spark, sf_dir, "part")
+    return sample.minority_select(p, ["p_brand", "p_type"], "p_name", "p_partkey",
+                                  num_samples=300, minor_ratio=0.3, seed=SEED)
+
+
+def q_replicate_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each (brand, type) group of ``part`` as many times as its size."""
+    groups = sample.group_sizes(read(spark, sf_dir, "part"), ["p_brand", "p_type"], "n")
+    return sample.replicate_by_count(groups, "n", "copy")
+
+
+def q_crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: ``part`` type x brand."""
+    return stats.crosstab(read(spark, sf_dir, "part"), "p_type", "p_brand")
+
+
+def _round_assoc(df: DataFrame) -> DataFrame:
+    return (df.withColumn("chi2", F.round("chi2", 6))
+            .withColumn("cramers_v", F.round("cramers_v", 9)))
+
+
+def q_association(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cramér's V of ``part`` type and brand."""
+    return _round_assoc(stats.association(read(spark, sf_dir, "part"), "p_type", "p_brand"))
+
+
+ASSOCIATION_PAIRS = (("l_returnflag", "l_linestatus"), ("l_returnflag", "l_linenumber"),
+                     ("l_linestatus", "l_linenumber"))
+
+
+def q_association_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three column pairs of ``lineitem`` in one aggregation."""
+    return _round_assoc(stats.association_pairs(read(spark, sf_dir, "lineitem"), ASSOCIATION_PAIRS))
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` with the argmax of elements 0-9 as a prediction."""
+    emb = read(spark, sf_dir, "embeddings")
+    return emb.select("vec_id", "label", argmax(slice0("embedding", 0, 10)).alias("pred"))
+
+
+def q_confusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 counts: truth ``label`` against the argmax."""
+    return stats.confusion_counts(predictions(spark, sf_dir), "label", "pred")
+
+
+def q_confusion_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 normalised by the true-label total."""
+    m = stats.confusion_counts(predictions(spark, sf_dir), "label", "pred", normalize="true")
+    return m.withColumn("value", F.round("value", 12))
+
+
+def q_argmax_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10 on elements 0-9 of the embeddings as logits."""
+    emb = read(spark, sf_dir, "embeddings")
+    return stats.argmax_accuracy(emb, slice0("embedding", 0, 10), "label")
+
+
+def q_weighted_ce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11 with balanced weights of the labels (A1 over all rows)."""
+    emb = read(spark, sf_dir, "embeddings")
+    weights = balanced_class_weights(emb, "label", TEN_CLASSES, split_col=None)
+    loss = stats.weighted_cross_entropy(emb, slice0("embedding", 0, 10), "label", weights)
+    return loss.withColumn("loss", F.round("loss", 9))
+
+
+def q_metric_trio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy, balanced accuracy and MCC of the argmax."""
+    m = stats.classification_metrics(predictions(spark, sf_dir), "label", "pred")
+    return m.select(*[F.round(c, 12).alias(c) for c in m.columns])
+
+
+def target_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three targets' scores: softmax of 20x elements 0-9, 10-19 and 20-29."""
+    emb = read(spark, sf_dir, "embeddings")
+    return emb.select("vec_id", "label", *[
+        softmax(slice0("embedding", 10 * i, 10), SCALE).alias(f"s_{t}") for i, t in enumerate(TARGETS)])
+
+
+def q_pick_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct labels over HL, NL1, NL2 at cut-off 0.1."""
+    sc = target_scores(spark, sf_dir)
+    out = pick.pick_labels(sc, {t: f"s_{t}" for t in TARGETS}, TEN_CLASSES, CUTOFF, score_digits=9)
+    return out.select("vec_id", *[c for t in TARGETS for c in (f"{t}_label", f"{t}_score")])
+
+
+def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sc = target_scores(spark, sf_dir)
+    return pick.cutoff_sweep(sc, {t: f"s_{t}" for t in TARGETS}, {t: "label" for t in TARGETS},
+                             TEN_CLASSES, CUTOFFS)
+
+
+def q_cutoff_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy per cut-off and target (12 numpy cut-offs)."""
+    return _sweep(spark, sf_dir).withColumn("accuracy", F.round("accuracy", 12))
+
+
+def q_cutoff_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep with one column per target."""
+    wide = pick.cutoff_wide(_sweep(spark, sf_dir), TARGETS)
+    return wide.select("cutoff", *[F.round(t, 12).alias(t) for t in TARGETS])
+
+
+def q_best_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best cut-off by mean accuracy over targets."""
+    return pick.best_cutoff(_sweep(spark, sf_dir))
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "class_weights": q_class_weights,
+    "fill_and_map_labels": q_fill_and_map_labels,
+    "labels_by_first_seen": q_labels_by_first_seen,
+    "export_label_names": q_export_label_names,
+    "normalise_text": q_normalise_text,
+    "drop_multi_interval": q_drop_multi_interval,
+    "drop_language": q_drop_language,
+    "drop_language_words": q_drop_language_words,
+    "idem_expand": q_idem_expand,
+    "clean_chain": q_clean_chain,
+    "stratified_split": q_stratified_split,
+    "unstratified_split": q_unstratified_split,
+    "split_counts": q_split_counts,
+    "exact_sample": q_exact_sample,
+    "exact_sample_large": q_exact_sample_large,
+    "seeded_shuffle": q_seeded_shuffle,
+    "minority_select": q_minority_select,
+    "replicate_by_count": q_replicate_by_count,
+    "crosstab": q_crosstab,
+    "association": q_association,
+    "association_pairs": q_association_pairs,
+    "confusion_counts": q_confusion_counts,
+    "confusion_normalised": q_confusion_normalised,
+    "argmax_accuracy": q_argmax_accuracy,
+    "weighted_ce": q_weighted_ce,
+    "metric_trio": q_metric_trio,
+    "pick_labels": q_pick_labels,
+    "cutoff_sweep": q_cutoff_sweep,
+    "cutoff_wide": q_cutoff_wide,
+    "best_cutoff": q_best_cutoff,
 }
+
+ORACLE_SQL: dict[str, str] = oracle_sql(CUTOFFS)
