@@ -16,14 +16,19 @@ from pyspark.sql import functions as F
 
 from textstrata.functions.arrays import argmax, slice0, softmax
 from textstrata.functions.text import normalise
-from textstrata.operators import clean, pick, sample, stats
+from textstrata.operators import clean, encode, pick, sample, stats
+from textstrata.operators import train as train_ops
 from textstrata.operators.clean import prepare
 from textstrata.operators.labels import (LITHOLOGY_LABELS, id_to_label, label2id,
                                          labels_by_first_seen, map_labels)
 from textstrata.operators.order import expand_idem
 from textstrata.operators.sample import stratified_split
 from textstrata.operators.stats import balanced_class_weights
+from textstrata.plans import jobs
 from textstrata.plans.oracle import oracle_sql
+from textstrata.session import shared_path
+from textstrata.sources import io
+from textstrata.streaming.predict import start_stream_predict
 
 SEED = 2023
 TEST_SIZE = 0.15
@@ -292,6 +297,124 @@ def q_best_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pick.best_cutoff(_sweep(spark, sf_dir))
 
 
+
+# ------------------------------------------------ sources and sinks (IO1-IO7)
+
+DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def q_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO2 then IO1: documents written as ``;``-delimited part files (quoted line
+    breaks included) and read back with a schema; rows equal the source."""
+    path = shared_path(spark, "csv_round_trip")
+    io.write_delimited(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"),
+                       path)
+    return io.read_delimited(spark, path, DOC_SCHEMA)
+
+
+def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prepare(labelled_documents(spark, sf_dir), ["doc_id", "text"], ["quality"])
+    rows = map_labels(rows, "quality", QUALITY, "label_id")
+    return stratified_split(rows, "doc_id", "quality", test_size=TEST_SIZE, seed=SEED)
+
+
+def q_split_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO4 then IO5: split sets written partitioned by split; the test split read back."""
+    path = shared_path(spark, "split_sets")
+    io.write_split_sets(split_rows(spark, sf_dir), path, "text", "label_id")
+    return io.load_split_sets(spark, path, "test").select("text", "label")
+
+
+def q_weights_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO3: the class weights' one-line ``%10.5f`` text form, written and read back."""
+    path = shared_path(spark, "weights")
+    io.write_class_weights(q_class_weights(spark, sf_dir), path)
+    return spark.read.text(f"{path}/text")
+
+
+def q_export_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO6: splits exported with label names, one delimited directory per split."""
+    path = shared_path(spark, "export")
+    rows = split_rows(spark, sf_dir).withColumnRenamed("doc_id", "row_id")
+    io.export_split_names(rows, path, QUALITY, label_col="label_id")
+    return spark.read.options(header="true", quote='"', escape='"', multiLine="true") \
+        .schema("row_id long, text string, label string, split string").csv(path)
+
+
+# ------------------------------------------------ encoding
+
+def q_encode_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document encoded, truncated and padded to 512."""
+    return encode.encode_padded(read(spark, sf_dir, "documents"), "text", ["doc_id"])
+
+
+def q_encode_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded to at most 512 ids with the special-token mask."""
+    return encode.encode_variable(read(spark, sf_dir, "documents"), "text", ["doc_id"])
+
+
+def q_mask_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """15 % masking of E2's ids (mask id 49408 = first free id)."""
+    enc = encode.encode_variable(read(spark, sf_dir, "documents"), "text", ["doc_id"])
+    return encode.mask_tokens(enc, "doc_id", mask_id=49408, vocab_size=49408, seed=SEED)
+
+
+# ------------------------------------------------ train, score, predict
+
+MODEL_TARGETS = ("quality", "toxic")
+
+
+def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = prepare(labelled_documents(spark, sf_dir), ["doc_id", "text"], list(MODEL_TARGETS))
+    for t in MODEL_TARGETS:
+        rows = map_labels(rows, t, QUALITY, f"{t}_id")
+    return stratified_split(rows, "doc_id", "quality", test_size=TEST_SIZE, seed=SEED)
+
+
+def _bundle(spark: SparkSession, sf_dir: str) -> tuple[str, dict]:
+    path = shared_path(spark, "bundle")
+    models = jobs.train_job(_model_rows(spark, sf_dir), "text", {t: f"{t}_id" for t in MODEL_TARGETS},
+                            QUALITY, path)
+    return path, models
+
+
+def q_train_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 + C1: weighted classifiers per target, every document scored (ranked lists)."""
+    _, models = _bundle(spark, sf_dir)
+    scored = train_ops.score(read(spark, sf_dir, "documents").select("doc_id", "text"), models,
+                             MODEL_TARGETS, len(TOXIC))
+    id2name = {v: k for k, v in TOXIC.items()}
+    return train_ops.ranked_scores(scored, MODEL_TARGETS, id2name).select(
+        "doc_id", *[f"{t}_ranked" for t in MODEL_TARGETS])
+
+
+def q_best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two regularisation settings per target, best by test accuracy."""
+    rows = _model_rows(spark, sf_dir)
+    table, _ = train_ops.best_run(rows.where("split = 'train'"), rows.where("split = 'test'"), "text",
+                                  {t: f"{t}_id" for t in MODEL_TARGETS},
+                                  [{"reg_param": 0.0}, {"reg_param": 0.1}])
+    return table
+
+
+def q_batch_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C6 (+IO7): bundle saved and loaded, every document labelled at cut-off 0.1."""
+    path, _ = _bundle(spark, sf_dir)
+    texts = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = jobs.batch_predict_job(spark, texts, path, MODEL_TARGETS, TOXIC, shared_path(spark, "predictions"))
+    return out.drop("text")
+
+
+def q_stream_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents table read as a file stream, labelled, appended to Parquet."""
+    _, models = _bundle(spark, sf_dir)
+    out, ckpt = shared_path(spark, "stream_out"), shared_path(spark, "stream_ckpt")
+    q = start_stream_predict(spark, sf_dir, read(spark, sf_dir, "documents").schema, models, MODEL_TARGETS,
+                             TOXIC, out, ckpt, cutoff=0.1, path_glob="documents.parquet",
+                             keep=["doc_id", "text"])
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("text")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "class_weights": q_class_weights,
     "fill_and_map_labels": q_fill_and_map_labels,
@@ -323,6 +446,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cutoff_sweep": q_cutoff_sweep,
     "cutoff_wide": q_cutoff_wide,
     "best_cutoff": q_best_cutoff,
+    "csv_round_trip": q_csv_round_trip,
+    "split_sets": q_split_sets,
+    "weights_text": q_weights_text,
+    "export_splits": q_export_splits,
+    "encode_padded": q_encode_padded,
+    "encode_variable": q_encode_variable,
+    "mask_tokens": q_mask_tokens,
+    "train_and_score": q_train_and_score,
+    "best_run": q_best_run,
+    "batch_predict": q_batch_predict,
+    "stream_predict": q_stream_predict,
 }
 
 ORACLE_SQL: dict[str, str] = oracle_sql(CUTOFFS)

@@ -58,6 +58,9 @@ split_rows AS (SELECT ranked.* EXCLUDE (rn_),
 
 _LABELLED_DOCS = ("SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), 'none') AS quality "
                   "FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+_LABELLED_DOCS_TEXT = ("SELECT d.doc_id, coalesce(d.text, 'none') AS text, "
+                       "coalesce(CAST(l.quality AS VARCHAR), 'none') AS quality "
+                       "FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
 
 
 def _dense_association(table: str, a: str, b: str, pair: str | None = None) -> str:
@@ -345,6 +348,24 @@ SELECT cutoff, """ + ", ".join(
             f"round(max(CASE WHEN target = {_q(t)} THEN accuracy END), 12) AS {t}" for t in TARGETS) +
         " FROM sweep GROUP BY cutoff",
 
+        "csv_round_trip": "SELECT doc_id, text, lang, source, n_chars FROM documents",
+
+        "split_sets": f"""
+WITH {split_ctes(_LABELLED_DOCS_TEXT, 'doc_id', 'quality')}
+SELECT text, CASE quality WHEN '0' THEN 0 WHEN '1' THEN 1 END AS label FROM split_rows WHERE split = 'test'""",
+
+        "weights_text": f"""
+WITH {split_ctes(_LABELLED_DOCS, 'doc_id', 'quality')},
+counts AS (SELECT CASE quality WHEN '0' THEN 0 WHEN '1' THEN 1 END AS label_id, count(*) AS n_c
+           FROM split_rows WHERE split = 'train' GROUP BY 1),
+w AS (SELECT label_id, CAST(sum(n_c) OVER () AS DOUBLE) / CAST(count(n_c) OVER () * n_c AS DOUBLE) AS weight
+      FROM counts)
+SELECT string_agg(printf('%10.5f', weight), ' ' ORDER BY label_id) AS value FROM w""",
+
+        "export_splits": f"""
+WITH {split_ctes(_LABELLED_DOCS_TEXT, 'doc_id', 'quality')}
+SELECT doc_id AS row_id, text, quality AS label, split FROM split_rows""",
+
         "best_cutoff": f"""{_sweep_sql(cutoffs)}
 SELECT cutoff, round(avg(accuracy), 12) AS mean_accuracy FROM sweep GROUP BY cutoff
 ORDER BY mean_accuracy DESC, cutoff LIMIT 1""",
