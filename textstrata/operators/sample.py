@@ -40,27 +40,16 @@ def _as_list(cols: str | Sequence[str] | None) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
-def _join_small(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left",
-                max_rows: int = MAX_STRATA) -> DataFrame:
-    """Join ``big`` with a table expected to be small.
-
-    The small side is materialised and broadcast when it has at most
-    ``max_rows`` rows; otherwise a shuffle join is planned.  Keys are compared
-    null-safely, so a missing stratum is a stratum of its own.
-    """
-    local = collect_bounded(small, max_rows)
-    side = F.broadcast(local) if local is not None else small
-    renamed = side.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
-                          *[c for c in side.columns if c not in keys])
-    if keys:
-        cond = None
-        for k in keys:
-            c = big[k].eqNullSafe(renamed[f"_r_{k}"])
-            cond = c if cond is None else cond & c
-        out = big.join(renamed, cond, how)
-    else:
-        out = big.join(renamed, F.lit(True), how)
-    return out.drop(*[f"_r_{k}" for k in keys])
+def _null_safe_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join on ``keys`` compared null-safely (a missing stratum is a stratum of
+    its own); the key columns of ``big`` are kept."""
+    renamed = small.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
+                           *[c for c in small.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = big[k].eqNullSafe(renamed[f"_r_{k}"])
+        cond = c if cond is None else cond & c
+    return big.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
 def mark_first_k(df: DataFrame, strata: Sequence[str], key_cols: Sequence[str],
@@ -77,17 +66,15 @@ def mark_first_k(df: DataFrame, strata: Sequence[str], key_cols: Sequence[str],
     keyed = df.select(*strata, h.alias(_H), hash_bucket(F.col(_H), digits).alias(_B),
                       F.struct(*key_cols).alias(_K))
 
+    # Job 1: counts per (stratum, bucket) -> per-stratum quotas -> the bucket in
+    # which each stratum's quota-th row falls.  The bucket counts are one
+    # exchange, reused by both branches of the plan.
     bucket_counts = keyed.groupBy(*strata, _B).agg(F.count(F.lit(1)).alias(_CNT))
     class_counts = bucket_counts.groupBy(*strata).agg(F.sum(_CNT).alias("n_c"))
     quota_table = quotas(class_counts).select(*strata, "n_c", F.col("quota").cast("long"))
-    quota_local = collect_bounded(quota_table, max_strata)
-    if quota_local is not None:
-        quota_table = quota_local
-
-    # The bucket of each stratum in which its quota-th row falls.
     w = Window.partitionBy(*strata).orderBy(_B)
     boundary = (
-        _join_small(bucket_counts, quota_table, strata, "inner", max_strata)
+        _null_safe_join(bucket_counts, quota_table.select(*strata, "quota", "n_c"), strata, "inner")
         .withColumn("_before", F.coalesce(F.sum(_CNT).over(
             w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .where((F.col("quota") > F.col("_before"))
@@ -95,18 +82,28 @@ def mark_first_k(df: DataFrame, strata: Sequence[str], key_cols: Sequence[str],
                & (F.col("quota") < F.col("n_c")))
         .select(*strata, _B, (F.col("quota") - F.col("_before")).alias("_need"))
     )
-    # Rank only that bucket's rows; the need-th one is the stratum's threshold.
+    per_stratum = _null_safe_join(quota_table, boundary, strata, "left")
+    decide = collect_bounded(per_stratum, max_strata)
+    lazy = decide is None
+    if lazy:
+        decide = per_stratum
+
+    # Job 2: rank only the boundary bucket's rows; the need-th is the threshold.
     wr = Window.partitionBy(*strata).orderBy(_H, _K)
+    bounds = decide.where(F.col(_B).isNotNull()).select(*strata, _B, "_need")
     threshold = (
-        _join_small(keyed, boundary, [*strata, _B], "inner", max_strata)
+        _null_safe_join(keyed, bounds if lazy else F.broadcast(bounds), [*strata, _B], "inner")
         .withColumn("_rn", F.row_number().over(wr))
         .where(F.col("_rn") == F.col("_need"))
         .select(*strata, F.col(_H).alias("_th"), F.col(_K).alias("_tk"))
     )
-    decide = _join_small(quota_table, threshold, strata, "left", max_strata)
+    local_threshold = None if lazy else collect_bounded(threshold, max_strata)
+    decide = _null_safe_join(decide.select(*strata, "n_c", "quota"),
+                             threshold if local_threshold is None else F.broadcast(local_threshold),
+                             strata, "left")
 
-    flagged = _join_small(df.withColumn(_H, h).withColumn(_K, F.struct(*key_cols)),
-                          decide, strata, "left", max_strata)
+    rows = df.withColumn(_H, h).withColumn(_K, F.struct(*key_cols))
+    flagged = _null_safe_join(rows, decide if lazy else F.broadcast(decide), strata, "left")
     take = (F.col("quota") >= F.col("n_c")) | (
         (F.col("quota") > 0) & (F.struct(F.col(_H), F.col(_K)) <= F.struct(F.col("_th"), F.col("_tk"))))
     return (flagged.withColumn(out_col, F.coalesce(take, F.lit(False)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from textstrata.functions.arrays import argmax, nll
 from textstrata.session import collect_bounded
 
-MAX_LABELS = 10_000
+MAX_LABELS = 1_000
 
 
 def _classes_frame(df: DataFrame, mapping: Mapping[str, int]) -> DataFrame:
@@ -119,25 +119,24 @@ def confusion_counts(df: DataFrame, true_col: str, pred_col: str,
 
     Labels are the union of both columns.  ``normalize``: ``None`` counts,
     ``"true"`` by row total, ``"pred"`` by column total, ``"all"`` by the grand
-    total; an empty row or column normalises to 0.  The label set is
-    size-checked; the grid is built from it as a literal (at most
-    ``max_labels**2`` cells), the counts come from one partial aggregation.
+    total; an empty row or column normalises to 0.  The counts are one partial
+    aggregation; the label set is size-checked and the zero cells are added
+    as a literal grid by a union and a second aggregation (no join).
     """
-    cells = df.groupBy(F.col(true_col).alias("y_true"), F.col(pred_col).alias("y_pred")) \
+    rows = df.where(F.col(true_col).isNotNull() & F.col(pred_col).isNotNull())
+    cells = rows.groupBy(F.col(true_col).alias("y_true"), F.col(pred_col).alias("y_pred")) \
         .agg(F.count(F.lit(1)).alias("n"))
     labels = (cells.select(F.col("y_true").alias("l"))
               .union(cells.select(F.col("y_pred").alias("l"))).distinct())
     local = collect_bounded(labels, max_labels)
     if local is None:
         raise ValueError(f"more than {max_labels} labels: not a confusion matrix")
-    values = sorted(r["l"] for r in local.collect() if r["l"] is not None)
-    spark = df.sparkSession
+    values = sorted(r["l"] for r in local.collect())
     ltype = cells.schema["y_true"].dataType.simpleString()
     arr = F.array(*[F.lit(v).cast(ltype) for v in values]) if values else F.array().cast(f"array<{ltype}>")
-    grid = (spark.range(1).select(F.explode(arr).alias("y_true"))
-            .select("y_true", F.explode(arr).alias("y_pred")))
-    dense = grid.join(F.broadcast(cells), ["y_true", "y_pred"], "left") \
-        .withColumn("n", F.coalesce(F.col("n"), F.lit(0)).cast("long"))
+    grid = (df.sparkSession.range(1).select(F.explode(arr).alias("y_true"))
+            .select("y_true", F.explode(arr).alias("y_pred"), F.lit(0).cast("long").alias("n")))
+    dense = grid.unionByName(cells).groupBy("y_true", "y_pred").agg(F.sum("n").cast("long").alias("n"))
     if normalize is None:
         return dense
     if normalize == "true":

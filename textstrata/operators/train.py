@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
@@ -24,18 +25,36 @@ from textstrata.operators.pick import rank_scores
 from textstrata.session import collect_bounded
 
 FEATURES = "features"
-NUM_FEATURES = 1 << 18
+NUM_FEATURES = 1 << 16
 EPOCHS = 10
 
 
+def _featuriser(text_col: str, num_features: int) -> tuple[RegexTokenizer, HashingTF]:
+    return (RegexTokenizer(inputCol=text_col, outputCol="_ts_tokens", pattern=r"[^\p{L}\p{N}]+",
+                           toLowercase=True),
+            HashingTF(inputCol="_ts_tokens", outputCol="_ts_tf", numFeatures=num_features))
+
+
 def fit_features(train: DataFrame, text_col: str, num_features: int = NUM_FEATURES) -> PipelineModel:
     """Shared featuriser: lower-cased word tokens, hashed counts, IDF (one pass to fit)."""
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_ts_tokens", pattern=r"[^\p{L}\p{N}]+",
-                       toLowercase=True),
-        HashingTF(inputCol="_ts_tokens", outputCol="_ts_tf", numFeatures=num_features),
-        IDF(inputCol="_ts_tf", outputCol=FEATURES),
-    ]).fit(train)
+    tok, tf = _featuriser(text_col, num_features)
+    return Pipeline(stages=[tok, tf, IDF(inputCol="_ts_tf", outputCol=FEATURES)]).fit(train)
+
+
+def featurise_for_training(train: DataFrame, text_col: str, keep: Sequence[str],
+                           num_features: int = NUM_FEATURES) -> tuple[PipelineModel, DataFrame]:
+    """Fit the featuriser and return it with the persisted training features.
+
+    Texts are tokenised and hashed once: the term counts are persisted, IDF is
+    fitted on them and the features are derived from them.  The caller
+    unpersists the returned frame; persisted blocks lost with an executor are
+    recomputed from the lineage.
+    """
+    tok, tf = _featuriser(text_col, num_features)
+    counts = tf.transform(tok.transform(train)).select("_ts_tf", *keep) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    idf = IDF(inputCol="_ts_tf", outputCol=FEATURES).fit(counts)
+    return PipelineModel(stages=[tok, tf, idf]), idf.transform(counts)
 
 
 def _with_weights(df: DataFrame, label_col: str, weights: DataFrame | None) -> DataFrame:
@@ -63,13 +82,15 @@ def train_models(train: DataFrame, text_col: str, label_cols: Mapping[str, str],
                  weights: Mapping[str, DataFrame] | None = None, max_iter: int = EPOCHS,
                  reg_param: float = 0.0, num_features: int = NUM_FEATURES) -> dict[str, PipelineModel]:
     """The shared featuriser and one classifier per target."""
-    features = fit_features(train, text_col, num_features)
-    featured = features.transform(train)
-    models: dict[str, PipelineModel] = {"features": features}
-    for target, label_col in label_cols.items():
-        w = (weights or {}).get(target)
-        models[target] = fit_target(featured, label_col, w, max_iter, reg_param, target)
-    return models
+    features, featured = featurise_for_training(train, text_col, list(label_cols.values()), num_features)
+    try:
+        models: dict[str, PipelineModel] = {"features": features}
+        for target, label_col in label_cols.items():
+            w = (weights or {}).get(target)
+            models[target] = fit_target(featured, label_col, w, max_iter, reg_param, target)
+        return models
+    finally:
+        featured.unpersist()
 
 
 def accuracy(model: PipelineModel, featured: DataFrame, label_col: str, target: str) -> DataFrame:
@@ -90,8 +111,8 @@ def best_run(train: DataFrame, test: DataFrame, text_col: str, label_cols: Mappi
     number per run reaches the driver.
     """
     spark = train.sparkSession
-    features = fit_features(train, text_col, num_features)
-    f_train, f_test = features.transform(train), features.transform(test)
+    features, f_train = featurise_for_training(train, text_col, list(label_cols.values()), num_features)
+    f_test = features.transform(test)
     rows, chosen = [], {"features": features}
     for target, label_col in label_cols.items():
         best_acc, best_model = None, None
@@ -104,6 +125,7 @@ def best_run(train: DataFrame, test: DataFrame, text_col: str, label_cols: Mappi
             if best_acc is None or (acc is not None and acc > best_acc):
                 best_acc, best_model = acc, m
         chosen[target] = best_model
+    f_train.unpersist()
     table = spark.createDataFrame(rows, "target string, run int, max_iter int, reg_param double, accuracy double")
     first_best = F.min_by("run", F.struct(-F.col("accuracy"), F.col("run"))).over(
         Window.partitionBy("target"))

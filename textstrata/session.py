@@ -65,7 +65,8 @@ def collect_bounded(df: DataFrame, max_rows: int) -> DataFrame | None:
 
     Returns ``None`` when it is larger, so that the caller takes its shuffle
     path instead of broadcasting.  The result has no lineage: it cannot be lost
-    with an executor and is broadcast at its true, checked size.
+    with an executor.  It carries no size statistics, so callers join it with
+    an explicit ``broadcast`` hint - its size is what this function checked.
     """
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
