@@ -1,0 +1,125 @@
+"""The pick fold against a brute-force walk of the rule."""
+import random
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from textstrata.operators import pick
+from textstrata.operators.labels import LITHOLOGY_LABELS, label2id
+
+TABLE = label2id(LITHOLOGY_LABELS, with_none=True)   # 10 labels, none = 9
+NAMES = {v: k for k, v in TABLE.items()}
+TARGETS = ("HL", "NL1", "NL2")
+
+
+def brute(per_target, cutoff):
+    taken, out = [], []
+    for scores in per_target:
+        order = sorted(range(len(scores)), key=lambda i: (-scores[i], i))
+        cand = [i for i in order if scores[i] >= cutoff and NAMES[i] not in taken]
+        if cand:
+            out.append((NAMES[cand[0]], scores[cand[0]]))
+            taken.append(NAMES[cand[0]])
+        else:
+            out.append(("none", -1.0))
+    return out
+
+
+def one_hot(i, v=0.9, rest=0.0):
+    return [v if k == i else rest for k in range(10)]
+
+
+CASES = [
+    # score equal to the cut-off is kept
+    [one_hot(2, 0.1, 0.05), one_hot(1, 0.5), one_hot(4, 0.5)],
+    # all below the cut-off: three fallbacks
+    [[0.05] * 10, [0.05] * 10, [0.05] * 10],
+    # same best label for two targets: the second takes its next best
+    [one_hot(2, 0.9, 0.01), [0.01] * 2 + [0.8] + [0.01] * 6 + [0.19], one_hot(3)],
+    # predicted none on NL1 blocks none on NL2
+    [one_hot(0), one_hot(9), [0.0] * 8 + [0.2, 0.8]],
+    # a fallback does not block: none can still be picked later
+    [[0.05] * 10, one_hot(9), one_hot(9)],
+    # tied scores: the smaller id wins
+    [[0.3, 0.3, 0.4] + [0.0] * 7, [0.4, 0.0, 0.0, 0.4] + [0.0] * 6, [0.1] * 10],
+]
+
+
+def run(spark, rows, cutoff):
+    data = [(i, *[[float(x) for x in t] for t in r]) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(data, "id int, a array<double>, b array<double>, c array<double>")
+    out = pick.pick_labels(df, {"HL": "a", "NL1": "b", "NL2": "c"}, TABLE, cutoff).orderBy("id").collect()
+    return [[(r[f"{t}_label"], r[f"{t}_score"]) for t in TARGETS] for r in out]
+
+
+def test_fixed_cases(spark):
+    got = run(spark, CASES, 0.1)
+    for case, g in zip(CASES, got):
+        assert g == brute(case, 0.1), case
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.integers(0, 10_000), st.sampled_from([0.0, 0.1, 0.25, 0.5]))
+def test_random_softmax_rows(spark, seed, cutoff):
+    rnd = np.random.default_rng(seed)
+    rows = []
+    for _ in range(60):
+        r = []
+        for _ in range(3):
+            x = rnd.normal(size=10) * 3
+            e = np.exp(x - x.max())
+            r.append((e / e.sum()).round(2).tolist())   # rounding makes ties common
+        rows.append(r)
+    got = run(spark, rows, cutoff)
+    for case, g in zip(rows, got):
+        assert g == brute(case, cutoff)
+
+
+def test_picks_are_distinct_except_none(spark):
+    rnd = random.Random(3)
+    rows = [[[rnd.random() for _ in range(10)] for _ in range(3)] for _ in range(50)]
+    for r in run(spark, rows, 0.0):
+        labels = [lab for lab, _ in r if lab != "none"]
+        assert len(labels) == len(set(labels))
+
+
+def test_rank_and_top1(spark):
+    df = spark.createDataFrame([([0.2, 0.5, 0.5, 0.1],)], "s array<double>")
+    names = {0: "a", 1: "b", 2: "c", 3: "d"}
+    r = df.select(pick.rank_scores("s", names).alias("r")).first()["r"]
+    assert [x["label"] for x in r] == ["b", "c", "a", "d"]
+    t = df.select(pick.top1(pick.filter_scores(pick.rank_scores("s", names), 0.3)).alias("t")).first()["t"]
+    assert t["label"] == "b"
+
+
+def test_numpy_cutoffs():
+    assert pick.numpy_cutoffs() == [float(x) for x in np.arange(0.1, 0.7, 0.05)]
+    assert len(pick.numpy_cutoffs()) == 12
+
+
+def test_sweep_matches_brute(spark):
+    rnd = np.random.default_rng(1)
+    rows = []
+    for i in range(80):
+        sc = []
+        for _ in range(3):
+            x = rnd.normal(size=10) * 2
+            e = np.exp(x - x.max())
+            sc.append((e / e.sum()).tolist())
+        rows.append((i, *sc, int(rnd.integers(0, 10))))
+    df = spark.createDataFrame(rows, "id int, a array<double>, b array<double>, c array<double>, y int")
+    cut = pick.numpy_cutoffs()
+    sweep = pick.cutoff_sweep(df, {"HL": "a", "NL1": "b", "NL2": "c"}, {t: "y" for t in TARGETS}, TABLE, cut)
+    got = {(r["cutoff"], r["target"]): r["accuracy"] for r in sweep.collect()}
+    for c in cut:
+        picks = [brute(r[1:4], c) for r in rows]
+        for k, t in enumerate(TARGETS):
+            acc = np.mean([TABLE[p[k][0]] == r[4] for p, r in zip(picks, rows)])
+            assert abs(got[(c, t)] - acc) < 1e-12
+    best = pick.best_cutoff(sweep).first()
+    means = {c: np.mean([got[(c, t)] for t in TARGETS]) for c in cut}
+    top = max(means.values())
+    assert best["cutoff"] == min(c for c in cut if abs(means[c] - top) < 1e-12)
+    wide = pick.cutoff_wide(sweep, TARGETS).collect()
+    assert len(wide) == 12 and set(wide[0].asDict()) == {"cutoff", *TARGETS}

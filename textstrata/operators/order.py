@@ -52,10 +52,11 @@ def expand_idem(df: DataFrame, site_cols: Sequence[str], order_col: str, text_co
          .rowsBetween(Window.unboundedPreceding, -1))
     local = keyed.withColumn("_ts_base", F.last(base_value, ignorenulls=True).over(w))
 
-    # Level 2: last non-idem text of every earlier chunk of the same site.
-    summary = (keyed.where(~F.col("_ts_idem") & text.isNotNull())
-               .groupBy(*site, "_ts_chunk")
-               .agg(F.max_by(text, F.col(order_col)).alias("_ts_last")))
+    # Level 2: per (site, chunk) its last non-idem text (null when it has none),
+    # then per chunk the last such text of the earlier chunks of its site.
+    valid = ~F.col("_ts_idem") & text.isNotNull()
+    summary = (keyed.groupBy(*site, "_ts_chunk")
+               .agg(F.max_by(F.when(valid, text), F.when(valid, F.col(order_col))).alias("_ts_last")))
     wc = (Window.partitionBy(*site).orderBy("_ts_chunk")
           .rowsBetween(Window.unboundedPreceding, -1))
     carry = (summary.withColumn("_ts_carry", F.last("_ts_last", ignorenulls=True).over(wc))
