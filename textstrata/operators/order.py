@@ -45,15 +45,18 @@ def expand_idem(df: DataFrame, site_cols: Sequence[str], order_col: str, text_co
     idem = starts_with_idem(text, marker)
     chunk = F.floor(F.col(order_col) / F.lit(chunk_width)).cast("long")
     keyed = df.withColumn("_ts_idem", idem).withColumn("_ts_chunk", chunk)
-    base_value = F.when(~F.col("_ts_idem"), text)
+    base_value = F.when(~F.col("_ts_idem"), text)  # null text is never a base
 
-    # Level 1: nearest earlier non-idem text inside the row's chunk.
+    # Level 1: last non-idem text up to each row inside its chunk; for an idem
+    # row (which adds nothing itself) that is its nearest earlier base.
     w = (Window.partitionBy(*site, "_ts_chunk").orderBy(order_col)
-         .rowsBetween(Window.unboundedPreceding, -1))
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = keyed.withColumn("_ts_base", F.last(base_value, ignorenulls=True).over(w))
 
     # Level 2: per (site, chunk) its last non-idem text (null when it has none),
-    # then per chunk the last such text of the earlier chunks of its site.
+    # then per chunk the last such text of the earlier chunks of its site.  The
+    # summary is combined map-side in every scan task, so only about one row
+    # per (site, chunk) and task is shuffled - not the rows themselves.
     valid = ~F.col("_ts_idem") & text.isNotNull()
     summary = (keyed.groupBy(*site, "_ts_chunk")
                .agg(F.max_by(F.when(valid, text), F.when(valid, F.col(order_col))).alias("_ts_last")))
