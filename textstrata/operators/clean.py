@@ -80,9 +80,10 @@ def detect_language(text: str | Column,
                     word_table: Mapping[str, Sequence[str]] = DEFAULT_LANGUAGE_WORDS) -> Column:
     """P5(b): the language whose word list has the most words of the text.
 
-    Row-local: one fold over the text's words with a per-language counter, so
-    no explode and no shuffle.  Null when no word is known or the best count
-    is shared (such rows are kept by ``drop_language``).
+    Row-local, so no explode and no shuffle: the text's words are looked up
+    in a literal word -> language map, the hits kept, and counted per
+    language.  Null when no word is known or the best count is shared (such
+    rows are kept by ``drop_language``).
     """
     langs = sorted(word_table)
     pairs = []
@@ -91,27 +92,34 @@ def detect_language(text: str | Column,
             pairs += [F.lit(w), F.lit(lang)]
     lookup = F.create_map(*pairs)
     names = F.array(*[F.lit(x) for x in langs])
-    zero = F.array(*[F.lit(0) for _ in langs])
-    counts = F.aggregate(
-        words(text), zero,
-        lambda acc, w: let(F.try_element_at(lookup, w), lambda hit: F.transform(
-            acc, lambda c, i: c + F.when(hit == names[i], 1).otherwise(0))))
-    return let(counts, lambda cs: let(F.array_max(cs), lambda best: F.when(
-        (best > 0) & (F.size(F.filter(cs, lambda c: c == best)) == 1),
-        names[F.array_position(cs, best) - 1])))
+    hits = F.filter(F.transform(words(text), lambda w: F.try_element_at(lookup, w)),
+                    lambda h: h.isNotNull())
+    return let(hits, lambda hs: let(
+        F.transform(names, lambda lang: F.size(F.filter(hs, lambda h: h == lang))), lambda counts: let(
+            F.array_max(counts), lambda best: F.when(
+                (best > 0) & (F.size(F.filter(counts, lambda c: c == best)) == 1),
+                names[F.array_position(counts, best) - 1]))))
 
 
 def drop_language(df: DataFrame, lang: str = "fr", lang_col: str | None = None,
                   text_col: str | None = None,
-                  word_table: Mapping[str, Sequence[str]] = DEFAULT_LANGUAGE_WORDS) -> DataFrame:
-    """P5: drop rows in ``lang``, by a language column (a) or by word scores (b)."""
+                  word_table: Mapping[str, Sequence[str]] = DEFAULT_LANGUAGE_WORDS,
+                  detected_col: str | None = None) -> DataFrame:
+    """P5: drop rows in ``lang``, by a language column (a) or by word scores (b).
+
+    ``detected_col`` keeps variant (b)'s detected language as a column; it is
+    produced by a one-element generator so that the filter above it cannot be
+    pushed down with a second copy of the detection.
+    """
     if lang_col is not None:
-        detected = F.col(lang_col)
-    elif text_col is not None:
-        detected = detect_language(text_col, word_table)
-    else:
+        return df.where(~F.coalesce(F.col(lang_col) == F.lit(lang), F.lit(False)))
+    if text_col is None:
         raise ValueError("give lang_col or text_col")
-    return df.where(~F.coalesce(detected == F.lit(lang), F.lit(False)))
+    detected = detect_language(text_col, word_table)
+    if detected_col is None:
+        return df.where(~F.coalesce(detected == F.lit(lang), F.lit(False)))
+    tagged = df.select("*", F.explode(F.array(detected)).alias(detected_col))
+    return tagged.where(~F.coalesce(F.col(detected_col) == F.lit(lang), F.lit(False)))
 
 
 def clean_chain(df: DataFrame, site_cols: Sequence[str], order_col: str, text_col: str,

@@ -122,8 +122,8 @@ def q_drop_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_drop_language_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P5(b): drop documents whose words score French, on the whole text."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    kept = clean.drop_language(docs, "fr", text_col="text")
-    return kept.select("doc_id", "lang", clean.detect_language("text").alias("detected"))
+    kept = clean.drop_language(docs, "fr", text_col="text", detected_col="detected")
+    return kept.select("doc_id", "lang", "detected")
 
 
 def idem_rows(spark: SparkSession, sf_dir: str, with_intervals: bool = False) -> DataFrame:
