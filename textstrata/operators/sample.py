@@ -62,6 +62,10 @@ def mark_first_k(df: DataFrame, strata: Sequence[str], key_cols: Sequence[str],
     them with a ``quota`` column.  Ties in the hash are broken by the key.
     """
     strata, key_cols = list(strata), list(key_cols)
+    single = not strata
+    if single:  # one stratum: a constant key for the small tables, literals at the end
+        df = df.withColumn("_ts_all", F.lit(0))
+        strata = ["_ts_all"]
     h = hash_order(seed, *key_cols)
     keyed = df.select(*strata, h.alias(_H), hash_bucket(F.col(_H), digits).alias(_B),
                       F.struct(*key_cols).alias(_K))
@@ -103,6 +107,8 @@ def mark_first_k(df: DataFrame, strata: Sequence[str], key_cols: Sequence[str],
                              strata, "left")
 
     rows = df.withColumn(_H, h).withColumn(_K, F.struct(*key_cols))
+    if single:
+        return _flag_with_literals(rows, decide, out_col).drop("_ts_all")
     flagged = _null_safe_join(rows, decide if lazy else F.broadcast(decide), strata, "left")
     take = (F.col("quota") >= F.col("n_c")) | (
         (F.col("quota") > 0) & (F.struct(F.col(_H), F.col(_K)) <= F.struct(F.col("_th"), F.col("_tk"))))
@@ -110,6 +116,23 @@ def mark_first_k(df: DataFrame, strata: Sequence[str], key_cols: Sequence[str],
             .drop(_H, _K, "n_c", "quota", "_th", "_tk"))
 
 
+def _flag_with_literals(rows: DataFrame, decide: DataFrame, out_col: str) -> DataFrame:
+    """One stratum: its (at most one) decision row becomes literals, no join."""
+    found = decide.collect()
+    if not found:  # no rows at all
+        return rows.withColumn(out_col, F.lit(False)).drop(_H, _K)
+    d = found[0]
+    if d["quota"] >= d["n_c"]:
+        take = F.lit(True)
+    elif d["quota"] <= 0 or d["_th"] is None:
+        take = F.lit(False)
+    else:
+        ktype = rows.schema[_K].dataType
+        tk = F.struct(*[F.lit(d["_tk"][f.name]).cast(f.dataType).alias(f.name) for f in ktype.fields])
+        take = F.struct(F.col(_H), F.col(_K)) <= F.struct(F.lit(d["_th"]), tk)
+    return rows.withColumn(out_col, take).drop(_H, _K)
+
+
 def split_quotas(test_size: float, strict: bool = False) -> Callable[[DataFrame], DataFrame]:
     """Train quota per stratum, as a stratified shuffle split sizes it.
 
@@ -159,15 +182,9 @@ def stratified_split(df: DataFrame, key_cols: str | Sequence[str], strata: str |
     Adds ``split`` = ``train``/``test``.  Sizes equal a stratified shuffle
     split's; membership is the seeded hash order within each stratum.
     """
-    strata_l = _as_list(strata)
-    src = df
-    if not strata_l:
-        src = df.withColumn("_ts_all", F.lit(0))
-        strata_l = ["_ts_all"]
-    out = mark_first_k(src, strata_l, _as_list(key_cols), split_quotas(test_size, strict),
+    out = mark_first_k(df, _as_list(strata), _as_list(key_cols), split_quotas(test_size, strict),
                        "_ts_train", seed=seed, digits=digits)
-    out = out.withColumn(split_col, F.when(F.col("_ts_train"), "train").otherwise("test")).drop("_ts_train")
-    return out.drop("_ts_all") if strata is None or not _as_list(strata) else out
+    return out.withColumn(split_col, F.when(F.col("_ts_train"), "train").otherwise("test")).drop("_ts_train")
 
 
 def unstratified_split(df: DataFrame, key_cols: str | Sequence[str], test_size: float = 0.15,
@@ -198,9 +215,8 @@ def exact_sample(df: DataFrame, n: int, key_cols: str | Sequence[str], seed: int
     def quotas(counts: DataFrame) -> DataFrame:
         return counts.withColumn("quota", F.least(F.col("n_c"), F.lit(int(n))))
 
-    marked = mark_first_k(df.withColumn("_ts_all", F.lit(0)), ["_ts_all"], keys, quotas,
-                          "_ts_take", seed=seed)
-    return marked.where("_ts_take").drop("_ts_take", "_ts_all")
+    marked = mark_first_k(df, [], keys, quotas, "_ts_take", seed=seed)
+    return marked.where("_ts_take").drop("_ts_take")
 
 
 def seeded_shuffle(df: DataFrame, key_cols: str | Sequence[str], seed: int = DEFAULT_SEED,

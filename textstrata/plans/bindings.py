@@ -298,6 +298,41 @@ def q_best_cutoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+
+def q_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 + A3: (brand, type) group sizes of ``part`` and their running total."""
+    groups = sample.group_sizes(read(spark, sf_dir, "part"), ["p_brand", "p_type"])
+    return sample.running_total(groups, ["p_brand", "p_type"])
+
+
+def q_dedup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: first ``part`` row (by key) of each (brand, type, name) duplicate group."""
+    return sample.drop_duplicates_first(read(spark, sf_dir, "part"), ["p_brand", "p_type", "p_name"],
+                                        "p_partkey")
+
+
+def q_semi_join_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``lineitem`` rows whose part is in the key set of the SMALL parts."""
+    keys = read(spark, sf_dir, "part").where(F.col("p_type") == "SMALL") \
+        .select(F.col("p_partkey").alias("l_partkey"))
+    li = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity")
+    return sample.semi_join(li, keys, ["l_partkey"])
+
+
+def q_top_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target the best and second label, and how many labels
+    reach the cut-off."""
+    sc = target_scores(spark, sf_dir)
+    names = {v: k for k, v in TEN_CLASSES.items()}
+    cols = []
+    for t in TARGETS:
+        ranked = pick.rank_scores(f"s_{t}", names)
+        top = pick.top1(ranked)
+        cols += [top["label"].alias(f"{t}_top"), F.round(top["score"], 9).alias(f"{t}_top_score"),
+                 F.element_at(ranked, 2)["label"].alias(f"{t}_second"),
+                 F.size(pick.filter_scores(ranked, CUTOFF)).alias(f"{t}_n_above")]
+    return sc.select("vec_id", *cols)
+
 # ------------------------------------------------ sources and sinks (IO1-IO7)
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -446,6 +481,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cutoff_sweep": q_cutoff_sweep,
     "cutoff_wide": q_cutoff_wide,
     "best_cutoff": q_best_cutoff,
+    "group_sizes": q_group_sizes,
+    "dedup_first": q_dedup_first,
+    "semi_join_keys": q_semi_join_keys,
+    "top_labels": q_top_labels,
     "csv_round_trip": q_csv_round_trip,
     "split_sets": q_split_sets,
     "weights_text": q_weights_text,

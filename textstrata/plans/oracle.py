@@ -369,4 +369,29 @@ SELECT doc_id AS row_id, text, quality AS label, split FROM split_rows""",
         "best_cutoff": f"""{_sweep_sql(cutoffs)}
 SELECT cutoff, round(avg(accuracy), 12) AS mean_accuracy FROM sweep GROUP BY cutoff
 ORDER BY mean_accuracy DESC, cutoff LIMIT 1""",
+
+        "group_sizes": """
+SELECT p_brand, p_type, count(*) AS count,
+       sum(count(*)) OVER (ORDER BY count(*), p_brand, p_type ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+FROM part WHERE p_brand IS NOT NULL AND p_type IS NOT NULL GROUP BY p_brand, p_type""",
+
+        "dedup_first": """
+SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (
+    PARTITION BY p_brand, p_type, p_name ORDER BY p_partkey) AS rn FROM part) WHERE rn = 1""",
+
+        "semi_join_keys": """
+SELECT l_orderkey, l_partkey, l_linenumber, l_quantity FROM lineitem
+WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_type = 'SMALL')""",
+
+        "top_labels": f"""
+WITH {_target_scores().lstrip()},
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id, tgt ORDER BY score DESC, label_id) AS rk FROM sc),
+n AS (SELECT * FROM {_names_values()})
+SELECT e.vec_id, """ + ", ".join(
+            f"max(CASE WHEN r.tgt = {_q(t)} AND r.rk = 1 THEN n.label END) AS {t}_top, "
+            f"max(CASE WHEN r.tgt = {_q(t)} AND r.rk = 1 THEN round(r.score, 9) END) AS {t}_top_score, "
+            f"max(CASE WHEN r.tgt = {_q(t)} AND r.rk = 2 THEN n.label END) AS {t}_second, "
+            f"CAST(count(CASE WHEN r.tgt = {_q(t)} AND r.score >= {_dbl(CUTOFF)} THEN 1 END) AS INTEGER) AS {t}_n_above"
+            for t in TARGETS) + """
+FROM embeddings e JOIN r ON r.vec_id = e.vec_id JOIN n ON n.label_id = r.label_id GROUP BY e.vec_id""",
     }
