@@ -36,7 +36,7 @@ def default_vocabulary() -> str:
 
 
 def token_ids(df: DataFrame, text_col: str, key_cols: Sequence[str], vocabulary: str | None = None,
-              out_col: str = "ids") -> DataFrame:
+              out_col: str = "ids", slice_rows: int = 256) -> DataFrame:
     """Content token ids of each whole text (no special tokens, no truncation).
 
     Returns ``key_cols + [out_col: array<int>]``; null text gives an empty array.
@@ -58,11 +58,14 @@ def token_ids(df: DataFrame, text_col: str, key_cols: Sequence[str], vocabulary:
         local = vocab if _os.path.exists(vocab) else _files.get(name)
         tok = Tokenizer.from_file(local)  # once per task, then reused for all its batches
         for pdf in batches:
-            texts = pdf[text_col].fillna("").astype(str).tolist()
-            enc = tok.encode_batch(texts, add_special_tokens=False)
-            out = pdf[keys].copy()
-            out[out_col] = [e.ids for e in enc]
-            yield out
+            # Slices bound the tokenizer's working set when texts are long.
+            for start in range(0, len(pdf), slice_rows):
+                part = pdf.iloc[start:start + slice_rows]
+                texts = part[text_col].fillna("").astype(str).tolist()
+                enc = tok.encode_batch(texts, add_special_tokens=False)
+                out = part[keys].copy()
+                out[out_col] = [e.ids for e in enc]
+                yield out
 
     return df.select(*keys, text_col).mapInPandas(encode, schema)
 

@@ -29,7 +29,7 @@ from textstrata.session import checkpoint_dir, collect_bounded
 DEFAULT_SEED = 2023
 BUCKET_DIGITS = 4
 MAX_STRATA = 200_000
-SMALL_SAMPLE = 10_000
+SMALL_SAMPLE = 0
 
 _H, _B, _K, _CNT = "_ts_h", "_ts_b", "_ts_k", "_ts_cnt"
 
@@ -197,9 +197,12 @@ def exact_sample(df: DataFrame, n: int, key_cols: str | Sequence[str], seed: int
                  strict: bool = False, small: int = SMALL_SAMPLE) -> DataFrame:
     """Exactly ``min(n, rows)`` rows, the first ``n`` in seeded hash order.
 
-    ``n <= 0`` returns every row (sampling off).  A small ``n`` is a top-n
-    (each task keeps n rows); a large one uses the bucketed threshold so that
-    no task holds the sample.  ``strict`` fails when ``n`` exceeds the rows.
+    ``n <= 0`` returns every row (sampling off).  The sample is taken with the
+    bucketed threshold, so no task holds more than one bucket of one stratum.
+    A top-n (``orderBy().limit(n)``) is used only for ``n <= small``: it merges
+    ``n`` rows of every input partition in one task, which is fine for small
+    inputs but not for a table of 10^5 partitions, hence ``small=0`` by default.
+    ``strict`` fails when ``n`` exceeds the rows.
     """
     keys = _as_list(key_cols)
     if n <= 0:

@@ -170,13 +170,13 @@ def q_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_exact_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """500 orders (top-n path)."""
+    """An exact sample of 500 orders."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
     return sample.exact_sample(o, 500, "o_orderkey", SEED)
 
 
 def q_exact_sample_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S1 with a sample above the top-n limit (bucketed threshold path)."""
+    """An exact sample of 12,000 orders (most of the table at sf0.01)."""
     o = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     return sample.exact_sample(o, 12_000, "o_orderkey", SEED)
 
