@@ -17,7 +17,6 @@ no more than others: its work is spread over all scan tasks and only a
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -331,19 +330,22 @@ def minority_select(df: DataFrame, targets: Sequence[str], text_col: str, row_co
     checkpoint_dir(df.sparkSession)
     deduped = drop_duplicates_first(df, [*targets, text_col], row_col).checkpoint(eager=True)
 
+    # The group table has one row per label combination; it is size-checked
+    # and the two key sets are broadcast (a shuffle join above the bound).
     groups = running_total(group_sizes(deduped, targets), targets)
     groups_local = collect_bounded(groups, MAX_STRATA)
-    groups = F.broadcast(groups_local) if groups_local is not None else groups
     bound = n_minor if disjoint else n_minor - n_random
-    minor_keys = groups.where(F.col("cum") <= n_minor).select(*targets)
-    pool_keys = groups.where(F.col("cum") > bound).select(*targets)
+
+    def keys(cond):
+        if groups_local is None:
+            return groups.where(cond).select(*targets)
+        return F.broadcast(groups_local.where(cond).select(*targets))
+
+    minor_keys = keys(F.col("cum") <= n_minor)
+    pool_keys = keys(F.col("cum") > bound)
 
     minor = deduped.join(minor_keys, targets, "left_semi").withColumn(pool_col, F.lit("minor"))
     pool = deduped.join(pool_keys, targets, "left_semi")
     rand = exact_sample(pool, n_random, [row_col], seed=seed) if n_random > 0 else pool.limit(0)
     return concat_rows(minor, rand.withColumn(pool_col, F.lit("random")))
 
-
-def n_test_rows(n: int, test_size: float) -> int:
-    """Size of the test side for ``n`` rows (as the split computes it)."""
-    return int(math.ceil(test_size * n))
