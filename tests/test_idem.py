@@ -77,3 +77,12 @@ def test_random_with_hot_site_and_small_chunks(spark):
     expected = brute(rows)
     assert run(spark, rows, chunk_width=97) == expected
     assert run(spark, rows) == expected
+
+
+def test_partition_invariance(spark):
+    rnd = random.Random(5)
+    rows = [(rnd.randint(0, 20), i, rnd.choice(["idem", "zand", "Idem, x", "klei"])) for i in range(800)]
+    df = spark.createDataFrame(rows, "site int, ord long, text string")
+    one = expand_idem(df.repartition(1), ["site"], "ord", "text", chunk_width=50).collect()
+    many = expand_idem(df.repartition(64), ["site"], "ord", "text", chunk_width=50).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, many))

@@ -123,3 +123,27 @@ def test_sweep_matches_brute(spark):
     assert best["cutoff"] == min(c for c in cut if abs(means[c] - top) < 1e-12)
     wide = pick.cutoff_wide(sweep, TARGETS).collect()
     assert len(wide) == 12 and set(wide[0].asDict()) == {"cutoff", *TARGETS}
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.integers(0, 10_000))
+def test_raising_cutoff_never_revives_first_target(spark, seed):
+    """A first-target fallback at cut-off c stays a fallback at every c' > c."""
+    rnd = np.random.default_rng(seed)
+    rows = []
+    for _ in range(40):
+        r = []
+        for _ in range(3):
+            x = rnd.normal(size=10)
+            e = np.exp(x - x.max())
+            r.append((e / e.sum()).tolist())
+        rows.append(r)
+    cut = pick.numpy_cutoffs()
+    results = [run(spark, rows, c) for c in cut]
+    for i in range(len(rows)):
+        fell_back = False
+        for res in results:
+            if res[i][0][0] == "none":
+                fell_back = True
+            elif fell_back:
+                raise AssertionError("a higher cut-off turned a fallback back into a label")
