@@ -372,7 +372,8 @@ ORDER BY mean_accuracy DESC, cutoff LIMIT 1""",
 
         "group_sizes": """
 SELECT p_brand, p_type, count(*) AS count,
-       sum(count(*)) OVER (ORDER BY count(*), p_brand, p_type ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+       CAST(sum(count(*)) OVER (ORDER BY count(*), p_brand, p_type
+                                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum
 FROM part WHERE p_brand IS NOT NULL AND p_type IS NOT NULL GROUP BY p_brand, p_type""",
 
         "dedup_first": """
