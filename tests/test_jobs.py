@@ -86,3 +86,19 @@ def test_sweep_job(spark):
     out = jobs.sweep_job(df, {"A": "a", "B": "b"}, {"A": "y", "B": "y"}, {"x": 0, "y": 1, "none": 2}, d)
     assert out["sweep"].count() == 24 and out["wide"].count() == 12
     assert out["best"].first()["cutoff"] == pytest.approx(0.1)
+
+
+def test_pretrain_dataset_job(spark):
+    from textstrata.plans.jobs import pretrain_dataset_job
+    d = tempfile.mkdtemp(prefix="textstrata-pretrain-")
+    sets = spark.createDataFrame([(i, f"grijs zand met klei nummer {i} " * (i % 7 + 1), i % 3,
+                                   "train" if i % 5 else "test") for i in range(60)],
+                                 "row_id long, text string, label int, split string")
+    paths = pretrain_dataset_job(sets, d, epochs=2, max_length=32)
+    e0 = spark.read.parquet(paths["epoch0"])
+    e1 = spark.read.parquet(paths["epoch1"])
+    assert set(e0.columns) == {"row_id", "input_ids", "attention_mask", "special_tokens_mask", "labels", "split"}
+    assert e0.count() == 60 and e0.where("split = 'test'").count() == 12
+    l0 = {r["row_id"]: r["labels"] for r in e0.collect()}
+    l1 = {r["row_id"]: r["labels"] for r in e1.collect()}
+    assert l0 != l1                                   # each epoch draws again

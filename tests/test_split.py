@@ -110,3 +110,20 @@ def test_replicate_by_count(spark):
     assert "a" not in got
     assert sorted(got["b"]) == [0] and sorted(got["c"]) == list(range(5))
     assert sorted(got["d"]) == list(range(2500))
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.integers(2, 60), min_size=1, max_size=6), st.sampled_from([0.1, 0.15, 0.25, 0.5]))
+def test_split_sizes_match_quotas(spark, sizes, test_size):
+    rows = [(len(r), f"c{j}") for j, n in enumerate(sizes) for r in [[0]] for _ in range(n)]
+    rows = [(i, c) for i, (_, c) in enumerate(rows)]
+    got = sample.stratified_split(make(spark, rows), "key", "c", test_size).groupBy("c", "split").count().collect()
+    counts = {f"c{j}": n for j, n in enumerate(sizes)}
+    q = quotas(counts, test_size)
+    train = {r["c"]: r["count"] for r in got if r["split"] == "train"}
+    assert {c: train.get(c, 0) for c in counts} == q
+    assert sum(r["count"] for r in got if r["split"] == "test") == math.ceil(test_size * sum(sizes))

@@ -1,6 +1,7 @@
 """End-to-end jobs composed from the operators.
 
 * ``dataset_job``       delimited table -> labelled split sets, class weights, encodings
+* ``pretrain_dataset_job`` split sets -> encoded ids -> masked inputs and targets per epoch
 * ``clean_job``         idem -> language -> intervals, written as a cleaned table
 * ``train_job``         per-target classifiers on the train split, saved as a bundle
 * ``predict_table``     C1 -> C3 on any table of texts (C6's core)
@@ -54,6 +55,26 @@ def dataset_job(df: DataFrame, text_col: str, target_col: str, mapping: Mapping[
     return paths
 
 
+def pretrain_dataset_job(split_sets: DataFrame, out_dir: str, key_col: str = "row_id",
+                         vocabulary: str | None = None, mask_id: int = 49408, vocab_size: int = 49408,
+                         epochs: int = 1, seed: int = 2023,
+                         max_length: int = encode.MAX_LENGTH) -> dict[str, str]:
+    """Masked-word training data: E2 (ids to ``max_length``, special-token
+    mask), P11 (text and label dropped), E3 once per epoch with that epoch's
+    draws; one Parquet set per epoch, partitioned by split."""
+    enc = encode.encode_variable(split_sets, "text", [key_col, "split"], vocabulary, max_length=max_length)
+    enc = clean.drop_columns(enc, "text", "label")
+    enc.write.mode("overwrite").partitionBy("split").parquet(os.path.join(out_dir, "encoded"))
+    stored = split_sets.sparkSession.read.parquet(os.path.join(out_dir, "encoded"))
+    paths = {}
+    for epoch in range(epochs):
+        path = os.path.join(out_dir, f"masked_epoch{epoch}")
+        encode.mask_tokens(stored, key_col, mask_id, vocab_size, seed=seed, epoch=epoch) \
+            .write.mode("overwrite").partitionBy("split").parquet(path)
+        paths[f"epoch{epoch}"] = path
+    return paths
+
+
 def clean_job(df: DataFrame, site_cols: Sequence[str], order_col: str, text_col: str, out_path: str,
               lang: str = "fr", lang_col: str | None = None) -> DataFrame:
     """P6 as a job: the cleaned table is written and read back."""
