@@ -34,8 +34,8 @@ def expand_idem(df: DataFrame, site_cols: Sequence[str], order_col: str, text_co
     after the first marker in any case.  Several idem rows in a row all take
     the same base.  An idem row without an earlier non-idem row in its site
     keeps its text and gets ``flag_col = true`` (the reference aborts there).
-    Null text is not idem and is never a base.  ``order_col`` must be numeric;
-    rows are chunked by ``order // chunk_width``.
+    Null text is not idem and is never a base.  Rows are chunked by
+    ``floor(order / chunk_width)`` (numbers or timestamps as the order).
     """
     if rest_match not in ("exact", "ignore_case"):
         raise ValueError("rest_match must be 'exact' or 'ignore_case'")
@@ -43,7 +43,9 @@ def expand_idem(df: DataFrame, site_cols: Sequence[str], order_col: str, text_co
     site = list(site_cols)
     text = F.col(text_col)
     idem = starts_with_idem(text, marker)
-    chunk = F.floor(F.col(order_col) / F.lit(chunk_width)).cast("long")
+    # Any monotone chunking is correct (the carry crosses chunk borders); a
+    # double keeps numbers and timestamps usable as the order.
+    chunk = F.floor(F.col(order_col).cast("double") / F.lit(float(chunk_width))).cast("long")
     keyed = df.withColumn("_ts_idem", idem).withColumn("_ts_chunk", chunk)
     base_value = F.when(~F.col("_ts_idem"), text)  # null text is never a base
 
