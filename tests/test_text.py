@@ -75,5 +75,7 @@ def test_text_hook_python_and_column(spark):
     df = spark.createDataFrame([(1, "AbC"), (2, None)], "id int, text string")
     py = {r["id"]: r["text"] for r in clean.apply_text_hook(df, "text", lambda s: s.upper() + "!").collect()}
     assert py == {1: "ABC!", 2: None}
-    col = {r["id"]: r["text"] for r in clean.apply_text_hook(df, "text", F.lower).collect()}
+    col = {r["id"]: r["text"] for r in clean.apply_text_hook(df, "text", F.lower, on_column=True).collect()}
+    plus = {r["id"]: r["text"] for r in clean.apply_text_hook(df, "text", lambda s: s + "!").collect()}
+    assert plus == {1: "AbC!", 2: None}
     assert col == {1: "abc", 2: None}

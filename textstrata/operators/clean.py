@@ -26,18 +26,16 @@ DEFAULT_LANGUAGE_WORDS: dict[str, tuple[str, ...]] = {
 
 
 def apply_text_hook(df: DataFrame, text_col: str,
-                    hook: Callable[[Column], Column] | Callable[[str], str]) -> DataFrame:
+                    hook: Callable[[Column], Column] | Callable[[str], str],
+                    on_column: bool = False) -> DataFrame:
     """Apply a caller's function to the text column and keep the result.
 
-    A function of a Column stays in the JVM.  A plain ``str -> str`` Python
-    function runs as an Arrow-batched pandas UDF (null stays null).
+    By default ``hook`` is a ``str -> str`` Python function (the reference's
+    form); it runs as an Arrow-batched pandas UDF and null stays null.  With
+    ``on_column=True`` it is a ``Column -> Column`` function and stays in the JVM.
     """
-    try:
-        out = hook(F.col(text_col))
-        if isinstance(out, Column):
-            return df.withColumn(text_col, out)
-    except Exception:  # a str -> str function fails on a Column
-        pass
+    if on_column:
+        return df.withColumn(text_col, hook(F.col(text_col)))
 
     @F.pandas_udf(StringType())
     def _apply(s: pd.Series) -> pd.Series:
@@ -48,7 +46,7 @@ def apply_text_hook(df: DataFrame, text_col: str,
 
 def prepare(df: DataFrame, input_cols: Sequence[str], output_cols: Sequence[str],
             text_col: str | None = None, fill_value: str = NONE_LABEL,
-            process_text: Callable | None = None) -> DataFrame:
+            process_text: Callable | None = None, process_on_column: bool = False) -> DataFrame:
     """P1 (+P2): keep the input and output columns and fill missing values.
 
     Output (target) columns are labels and become strings, so they are filled
@@ -62,7 +60,7 @@ def prepare(df: DataFrame, input_cols: Sequence[str], output_cols: Sequence[str]
         out.append(F.coalesce(F.col(c).cast("string"), F.lit(fill_value)).alias(c))
     res = df.select(*out)
     if process_text is not None:
-        res = apply_text_hook(res, text_col or input_cols[0], process_text)
+        res = apply_text_hook(res, text_col or input_cols[0], process_text, process_on_column)
     return res
 
 

@@ -58,7 +58,8 @@ def mark_first_k(df: DataFrame, strata: Sequence[str], key_cols: Sequence[str],
     """Flag the first ``quota`` rows of each stratum in seeded hash order.
 
     ``quotas`` receives the per-stratum counts ``(*strata, n_c)`` and returns
-    them with a ``quota`` column.  Ties in the hash are broken by the key.
+    them with a ``quota`` column.  ``key_cols`` must identify a row (as the
+    row position does in the reference); ties in the hash are broken by the key.
     """
     strata, key_cols = list(strata), list(key_cols)
     single = not strata
