@@ -45,13 +45,17 @@ def featurise_for_training(train: DataFrame, text_col: str, keep: Sequence[str],
                            num_features: int = NUM_FEATURES) -> tuple[PipelineModel, DataFrame]:
     """Fit the featuriser and return it with the persisted training features.
 
-    Texts are tokenised and hashed once: the term counts are persisted, IDF is
-    fitted on them and the features are derived from them.  The caller
+    The training rows are spread over all cores once; texts are tokenised and
+    hashed once: the term counts are persisted, IDF is fitted on them and the
+    features are derived from them.  The caller
     unpersists the returned frame; persisted blocks lost with an executor are
     recomputed from the lineage.
     """
     tok, tf = _featuriser(text_col, num_features)
-    counts = tf.transform(tok.transform(train)).select("_ts_tf", *keep) \
+    # Every optimiser iteration is a pass over these rows: lay them out once
+    # over all cores (round robin) before tokenising and persisting them.
+    spread = train.repartition(train.sparkSession.sparkContext.defaultParallelism)
+    counts = tf.transform(tok.transform(spread)).select("_ts_tf", *keep) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     idf = IDF(inputCol="_ts_tf", outputCol=FEATURES).fit(counts)
     return PipelineModel(stages=[tok, tf, idf]), idf.transform(counts)
