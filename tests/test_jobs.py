@@ -41,7 +41,10 @@ def test_dataset_job(spark, labelled_csv):
     paths = jobs.dataset_job(rows, "beschrijving", "HL_cor", mapping, os.path.join(d, "out"),
                              save_preprocessed=True, max_length=16)
     sets = io.load_split_sets(spark, paths["dataset"])
-    assert sets.count() == 200
+    assert sets.count() == 200 and set(sets.columns) == {"row_id", "text", "label", "split"}
+    from textstrata.plans.jobs import pretrain_dataset_job
+    mlm = pretrain_dataset_job(sets, os.path.join(d, "mlm"), max_length=16)
+    assert spark.read.parquet(mlm["epoch0"]).count() == 200
     assert sets.where("split = 'test'").count() == 30            # ceil(0.15 * 200)
     weights = spark.read.parquet(os.path.join(paths["weights"], "table")).collect()
     assert abs(sum(r["n"] * r["weight"] for r in weights) - 170) < 1e-9

@@ -47,7 +47,7 @@ def dataset_job(df: DataFrame, text_col: str, target_col: str, mapping: Mapping[
         .partitionBy("split").parquet(paths["dataset"] + "_rows")
     split_rows = spark.read.parquet(paths["dataset"] + "_rows")
     io.write_class_weights(stats.balanced_class_weights(split_rows, "label_id", mapping), paths["weights"])
-    io.write_split_sets(split_rows, paths["dataset"], text_col, "label_id")
+    io.write_split_sets(split_rows, paths["dataset"], text_col, "label_id", key_col=row_col)
     if tokenize:
         enc = encode.encode_padded(split_rows, text_col, [row_col, "label_id", "split"], vocabulary,
                                    max_length=max_length)

@@ -94,11 +94,15 @@ def write_class_weights(weights: DataFrame, path: str) -> None:
 
 
 def write_split_sets(df: DataFrame, path: str, text_col: str, label_col: str,
-                     split_col: str = "split", splits: Sequence[str] = ("train", "test")) -> None:
-    """IO4: ``{text, label}`` per split, Parquet partitioned by split; rows of
-    other splits (``NOT_SET``) are left out."""
+                     split_col: str = "split", splits: Sequence[str] = ("train", "test"),
+                     key_col: str | None = None) -> None:
+    """IO4: ``{text, label}`` per split (plus the row key when given, which
+    seeds later per-row draws), Parquet partitioned by split; rows of other
+    splits (``NOT_SET``) are left out."""
+    keep = [F.col(key_col)] if key_col else []
     (df.where(F.col(split_col).isin(list(splits)))
-     .select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.col(split_col).alias("split"))
+     .select(*keep, F.col(text_col).alias("text"), F.col(label_col).alias("label"),
+             F.col(split_col).alias("split"))
      .write.mode("overwrite").partitionBy("split").parquet(path))
 
 
