@@ -105,3 +105,26 @@ def test_pretrain_dataset_job(spark):
     l0 = {r["row_id"]: r["labels"] for r in e0.collect()}
     l1 = {r["row_id"]: r["labels"] for r in e1.collect()}
     assert l0 != l1                                   # each epoch draws again
+
+
+def test_stream_restart_processes_only_new_files(spark, labelled_csv):
+    d, path = labelled_csv
+    rows = io.read_delimited(spark, path).withColumn("row_id", F.monotonically_increasing_id())
+    table = {n: i for i, n in enumerate(LITHOLOGY_LABELS)}
+    lab = F.try_element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))]),
+                           F.col("HL_cor"))
+    train_rows = rows.select("row_id", "beschrijving", lab.alias("HL_cor")).withColumn("split", F.lit("train"))
+    models = jobs.train_job(train_rows, "beschrijving", {"HL_cor": "HL_cor"}, None,
+                            os.path.join(d, "bundle_restart"), max_iter=3)
+    texts = rows.select("row_id", "beschrijving")
+    src, out, ckpt = (os.path.join(d, x) for x in ("restart_in", "restart_out", "restart_ckpt"))
+    texts.where("row_id % 2 = 0").write.mode("append").parquet(src)
+    start_stream_predict(spark, src, texts.schema, models, ["HL_cor"], table, out, ckpt).awaitTermination()
+    first = spark.read.parquet(out).count()
+    texts.where("row_id % 2 = 1").write.mode("append").parquet(src)
+    start_stream_predict(spark, src, texts.schema, models, ["HL_cor"], table, out, ckpt).awaitTermination()
+    streamed = spark.read.parquet(out)
+    batch = jobs.predict_table(texts, models, ["HL_cor"], table)
+    assert first == 100 and streamed.count() == 200
+    cols = ["row_id", "HL_cor_label", "HL_cor_score"]
+    assert sorted(map(tuple, streamed.select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
