@@ -128,3 +128,19 @@ def test_stream_restart_processes_only_new_files(spark, labelled_csv):
     assert first == 100 and streamed.count() == 200
     cols = ["row_id", "HL_cor_label", "HL_cor_score"]
     assert sorted(map(tuple, streamed.select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
+
+
+def test_tune_cutoffs_job(spark, labelled_csv):
+    from textstrata.plans.jobs import tune_cutoffs_job
+    d, path = labelled_csv
+    rows = io.read_delimited(spark, path).withColumn("row_id", F.monotonically_increasing_id())
+    table = {n: i for i, n in enumerate(LITHOLOGY_LABELS)} | {"none": 9}
+    tmap = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))])
+    lab = rows.select("row_id", F.col("beschrijving").alias("text"),
+                      F.try_element_at(tmap, F.col("HL_cor")).alias("HL"),
+                      F.try_element_at(tmap, F.col("NL1_cor")).alias("NL1")).withColumn("split", F.lit("train"))
+    jobs.train_job(lab, "text", {"HL": "HL", "NL1": "NL1"}, None, os.path.join(d, "tune_bundle"), max_iter=3)
+    tests = {"HL": lab.select("text", F.col("HL").alias("label")),
+             "NL1": lab.select("text", F.col("NL1").alias("label"))}
+    out = tune_cutoffs_job(spark, os.path.join(d, "tune_bundle"), tests, table, os.path.join(d, "tune"))
+    assert out["sweep"].count() == 24 and out["best"].count() == 1

@@ -147,3 +147,18 @@ def test_raising_cutoff_never_revives_first_target(spark, seed):
                 fell_back = True
             elif fell_back:
                 raise AssertionError("a higher cut-off turned a fallback back into a label")
+
+
+def test_sweep_with_row_targets(spark):
+    """Each row counts only for its own target; picks still run over all targets."""
+    rows = [
+        # target HL row: HL best 0 (0.9); truth 0 -> hit at every cut-off <= 0.9
+        (1, [0.9, 0.1] + [0.0] * 8, [0.9, 0.1] + [0.0] * 8, [0.0] * 10, 0, "HL"),
+        # target NL1 row: NL1 best is 0 but HL took it -> NL1 picks 1 (0.1 >= 0.1 only)
+        (2, [0.9, 0.1] + [0.0] * 8, [0.9, 0.1] + [0.0] * 8, [0.0] * 10, 1, "NL1"),
+    ]
+    df = spark.createDataFrame(rows, "id int, a array<double>, b array<double>, c array<double>, y int, t string")
+    sweep = pick.cutoff_sweep(df, {"HL": "a", "NL1": "b", "NL2": "c"}, {k: "y" for k in TARGETS}, TABLE,
+                              [0.1, 0.15], row_target_col="t")
+    got = {(r["cutoff"], r["target"]): r["accuracy"] for r in sweep.collect()}
+    assert got == {(0.1, "HL"): 1.0, (0.15, "HL"): 1.0, (0.1, "NL1"): 1.0, (0.15, "NL1"): 0.0}

@@ -101,18 +101,23 @@ def numpy_cutoffs(start: float = 0.1, stop: float = 0.7, step: float = 0.05) ->
 
 
 def cutoff_sweep(df: DataFrame, score_cols: Mapping[str, str | Column], truth_cols: Mapping[str, str],
-                 label_ids: Mapping[str, int], cutoffs: Sequence[float]) -> DataFrame:
+                 label_ids: Mapping[str, int], cutoffs: Sequence[float],
+                 row_target_col: str | None = None) -> DataFrame:
     """Accuracy per (cutoff, target) of the picks against the truth ids.
 
     Scores are computed once per row; the cut-offs are a literal array that
     each row is expanded by (no join), then one aggregation of partial sums by
     (cutoff, target).  A pick's name maps back to its id (the fallback
-    ``none`` to the ``none`` id).
+    ``none`` to the ``none`` id).  With ``row_target_col`` a row counts only
+    for the target named in that column (each target's own test split), while
+    its picks still run over all targets in order.
     """
     targets = list(score_cols)
     none_id = label_ids.get(NONE_LABEL)
+    extra = [F.col(row_target_col).alias("_row_target")] if row_target_col else []
     rows = df.select(*[_c(score_cols[t]).alias(f"_s{i}") for i, t in enumerate(targets)],
-                     *[F.col(truth_cols[t]).cast("int").alias(f"_y{i}") for i, t in enumerate(targets)])
+                     *[F.col(truth_cols[t]).cast("int").alias(f"_y{i}") for i, t in enumerate(targets)],
+                     *extra)
     rows = rows.withColumn("cutoff", F.explode(F.array(*[F.lit(float(c)) for c in cutoffs])))
     picks = rows.withColumn("_p", pick_fold([f"_s{i}" for i in range(len(targets))], F.col("cutoff")))
     hits = []
@@ -121,7 +126,11 @@ def cutoff_sweep(df: DataFrame, score_cols: Mapping[str, str | Column], truth_co
         pred = F.when(p.isNull(), F.lit(none_id)).otherwise(-p["nid"])
         hits.append(F.struct(F.lit(t).alias("target"), F.lit(i).alias("_ord"),
                              (pred == F.col(f"_y{i}")).cast("double").alias("_hit")))
-    long = picks.select("cutoff", F.explode(F.array(*hits)).alias("_h")).select("cutoff", "_h.*")
+    carry = ["_row_target"] if extra else []
+    long = (picks.select("cutoff", *carry, F.explode(F.array(*hits)).alias("_h"))
+            .select("cutoff", "_h.*", *carry))
+    if extra:
+        long = long.where(F.col("target") == F.col("_row_target"))
     return long.groupBy("cutoff", "target").agg(F.avg("_hit").alias("accuracy"))
 
 

@@ -7,6 +7,7 @@
 * ``predict_table``     C1 -> C3 on any table of texts (C6's core)
 * ``batch_predict_job`` C6: texts in, picks out, written to Parquet
 * ``sweep_job``         C8-C10: score once, write, sweep cut-offs, pick the best
+* ``tune_cutoffs_job``  C8-C10 from a bundle and each target's own test split
 
 Each job writes its results; later steps read the written tables, so lineage
 stays short and a lost executor costs at most the current stage.
@@ -114,14 +115,34 @@ def batch_predict_job(spark: SparkSession, texts: DataFrame, bundle_path: str, t
 
 def sweep_job(scores: DataFrame, score_cols: Mapping[str, str], truth_cols: Mapping[str, str],
               label_ids: Mapping[str, int], out_dir: str,
-              cutoffs: Sequence[float] | None = None) -> dict[str, DataFrame]:
+              cutoffs: Sequence[float] | None = None,
+              row_target_col: str | None = None) -> dict[str, DataFrame]:
     """The scores are written once, then swept over all cut-offs."""
     spark = scores.sparkSession
-    cols = sorted({*score_cols.values(), *truth_cols.values()})
+    cols = sorted({*score_cols.values(), *truth_cols.values(), *([row_target_col] if row_target_col else [])})
     scores.select(*cols).write.mode("overwrite").parquet(os.path.join(out_dir, "scores"))
     stored = spark.read.parquet(os.path.join(out_dir, "scores"))
-    sweep = pick.cutoff_sweep(stored, score_cols, truth_cols, label_ids, cutoffs or pick.numpy_cutoffs())
+    sweep = pick.cutoff_sweep(stored, score_cols, truth_cols, label_ids, cutoffs or pick.numpy_cutoffs(),
+                              row_target_col)
     sweep.write.mode("overwrite").parquet(os.path.join(out_dir, "sweep"))
     sweep = spark.read.parquet(os.path.join(out_dir, "sweep"))
     return {"sweep": sweep, "wide": pick.cutoff_wide(sweep, list(score_cols)),
             "best": pick.best_cutoff(sweep)}
+
+
+def tune_cutoffs_job(spark: SparkSession, bundle_path: str, test_sets: Mapping[str, DataFrame],
+                     label_ids: Mapping[str, int], out_dir: str,
+                     cutoffs: Sequence[float] | None = None) -> dict[str, DataFrame]:
+    """The reference's cut-off tuning: for each target, its own test split
+    (``text``, ``label`` ids) is labelled with the whole bundle (picks run over
+    all targets) and only that target's pick is scored.  All test splits are
+    scored in one pass (their union, tagged with the target), then swept."""
+    targets = list(test_sets)
+    models = io.load_bundle(bundle_path, ["features", *targets])
+    tagged = None
+    for t, rows in test_sets.items():
+        part = rows.select("text", F.col("label").cast("int").alias("label"), F.lit(t).alias("_target"))
+        tagged = part if tagged is None else tagged.unionByName(part)
+    scored = train.score(tagged, models, targets, len(label_ids))
+    return sweep_job(scored, {t: f"s_{t}" for t in targets}, {t: "label" for t in targets}, label_ids,
+                     out_dir, cutoffs, row_target_col="_target")
