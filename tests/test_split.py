@@ -127,3 +127,9 @@ def test_split_sizes_match_quotas(spark, sizes, test_size):
     train = {r["c"]: r["count"] for r in got if r["split"] == "train"}
     assert {c: train.get(c, 0) for c in counts} == q
     assert sum(r["count"] for r in got if r["split"] == "test") == math.ceil(test_size * sum(sizes))
+
+
+def test_split_without_boundary_buckets(spark):
+    rows = [(1, "a"), (2, "b"), (3, "c")]          # every quota is 0 or the whole class
+    got = {r["key"]: r["split"] for r in sample.stratified_split(make(spark, rows), "key", "c", 0.5).collect()}
+    assert got == brute_split(rows, 0.5, 2023) == {1: "train", 2: "test", 3: "test"}

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textstrata.functions.hashing import hash_bucket, hash_order
-from textstrata.session import checkpoint_dir, collect_bounded
+from textstrata.session import checkpoint_dir, collect_bounded, collect_bounded_rows
 
 DEFAULT_SEED = 2023
 BUCKET_DIGITS = 4
@@ -87,10 +87,18 @@ def mark_first_k(df: DataFrame, strata: Sequence[str], key_cols: Sequence[str],
         .select(*strata, _B, (F.col("quota") - F.col("_before")).alias("_need"))
     )
     per_stratum = _null_safe_join(quota_table, boundary, strata, "left")
-    decide = collect_bounded(per_stratum, max_strata)
-    lazy = decide is None
-    if lazy:
-        decide = per_stratum
+    decide_rows = collect_bounded_rows(per_stratum, max_strata)
+    lazy = decide_rows is None
+    decide = per_stratum if lazy else df.sparkSession.createDataFrame(decide_rows, per_stratum.schema)
+    rows = df.withColumn(_H, h).withColumn(_K, F.struct(*key_cols))
+    if not lazy and not any(r[_B] is not None for r in decide_rows):
+        # No stratum is cut inside a bucket: every quota is 0 or all its rows.
+        if single:
+            return _flag_with_literals(rows, decide_rows, None, out_col).drop("_ts_all")
+        full = decide.select(*strata, (F.col("quota") >= F.col("n_c")).alias("_full"))
+        flagged = _null_safe_join(rows, F.broadcast(full), strata, "left")
+        return (flagged.withColumn(out_col, F.coalesce(F.col("_full"), F.lit(False)))
+                .drop(_H, _K, "_full"))
 
     # Job 2: rank only the boundary bucket's rows; the need-th is the threshold.
     wr = Window.partitionBy(*strata).orderBy(_H, _K)
@@ -101,14 +109,15 @@ def mark_first_k(df: DataFrame, strata: Sequence[str], key_cols: Sequence[str],
         .where(F.col("_rn") == F.col("_need"))
         .select(*strata, F.col(_H).alias("_th"), F.col(_K).alias("_tk"))
     )
-    local_threshold = None if lazy else collect_bounded(threshold, max_strata)
+    threshold_rows = None if lazy else collect_bounded_rows(threshold, max_strata)
+    if single and threshold_rows is not None:
+        return _flag_with_literals(rows, decide_rows, threshold_rows, out_col).drop("_ts_all")
+    local_threshold = None if threshold_rows is None else \
+        df.sparkSession.createDataFrame(threshold_rows, threshold.schema)
     decide = _null_safe_join(decide.select(*strata, "n_c", "quota"),
                              threshold if local_threshold is None else F.broadcast(local_threshold),
                              strata, "left")
 
-    rows = df.withColumn(_H, h).withColumn(_K, F.struct(*key_cols))
-    if single:
-        return _flag_with_literals(rows, decide, out_col).drop("_ts_all")
     flagged = _null_safe_join(rows, decide if lazy else F.broadcast(decide), strata, "left")
     take = (F.col("quota") >= F.col("n_c")) | (
         (F.col("quota") > 0) & (F.struct(F.col(_H), F.col(_K)) <= F.struct(F.col("_th"), F.col("_tk"))))
@@ -116,20 +125,21 @@ def mark_first_k(df: DataFrame, strata: Sequence[str], key_cols: Sequence[str],
             .drop(_H, _K, "n_c", "quota", "_th", "_tk"))
 
 
-def _flag_with_literals(rows: DataFrame, decide: DataFrame, out_col: str) -> DataFrame:
-    """One stratum: its (at most one) decision row becomes literals, no join."""
-    found = decide.collect()
-    if not found:  # no rows at all
+def _flag_with_literals(rows: DataFrame, decide_rows: list, threshold_rows: list | None,
+                        out_col: str) -> DataFrame:
+    """One stratum: its (at most one) decision and threshold become literals, no join."""
+    if not decide_rows:  # no rows at all
         return rows.withColumn(out_col, F.lit(False)).drop(_H, _K)
-    d = found[0]
+    d = decide_rows[0]
     if d["quota"] >= d["n_c"]:
         take = F.lit(True)
-    elif d["quota"] <= 0 or d["_th"] is None:
+    elif d["quota"] <= 0 or not threshold_rows:
         take = F.lit(False)
     else:
+        th = threshold_rows[0]
         ktype = rows.schema[_K].dataType
-        tk = F.struct(*[F.lit(d["_tk"][f.name]).cast(f.dataType).alias(f.name) for f in ktype.fields])
-        take = F.struct(F.col(_H), F.col(_K)) <= F.struct(F.lit(d["_th"]), tk)
+        tk = F.struct(*[F.lit(th["_tk"][f.name]).cast(f.dataType).alias(f.name) for f in ktype.fields])
+        take = F.struct(F.col(_H), F.col(_K)) <= F.struct(F.lit(th["_th"]), tk)
     return rows.withColumn(out_col, take).drop(_H, _K)
 
 

@@ -60,6 +60,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def collect_bounded_rows(df: DataFrame, max_rows: int) -> list | None:
+    """The rows of ``df`` when it has at most ``max_rows`` of them, else ``None``."""
+    rows = df.limit(max_rows + 1).collect()
+    return rows if len(rows) <= max_rows else None
+
+
 def collect_bounded(df: DataFrame, max_rows: int) -> DataFrame | None:
     """Materialise ``df`` as a local relation when it has at most ``max_rows`` rows.
 
@@ -68,7 +74,7 @@ def collect_bounded(df: DataFrame, max_rows: int) -> DataFrame | None:
     with an executor.  It carries no size statistics, so callers join it with
     an explicit ``broadcast`` hint - its size is what this function checked.
     """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = collect_bounded_rows(df, max_rows)
+    if rows is None:
         return None
     return df.sparkSession.createDataFrame(rows, schema=df.schema)
