@@ -78,3 +78,14 @@ def test_mask_tokens_invariants(spark, docs):
     again = encode.mask_tokens(enc, "id", mask_id=49408, vocab_size=49408, seed=1)
     assert sorted(map(tuple, masked.select("id", F.col("labels").cast("string")).collect())) == \
         sorted(map(tuple, again.select("id", F.col("labels").cast("string")).collect()))
+
+
+def test_inference_after_missing_values(spark):
+    d = tempfile.mkdtemp(prefix="textstrata-infer-")
+    path = os.path.join(d, "t.csv")
+    with open(path, "w") as f:
+        f.write("x;y;t\n1;2.5;a\nNA;;b\n3;nan;NA\n")
+    df = io.read_delimited(spark, path)
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    assert types == {"x": "bigint", "y": "double", "t": "string"}
+    assert sorted(map(tuple, df.collect()), key=str) == sorted([(1, 2.5, "a"), (None, None, "b"), (3, None, None)], key=str)

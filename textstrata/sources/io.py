@@ -42,18 +42,48 @@ def normalise_missing(df: DataFrame, tokens: Sequence[str] = PANDAS_NA_TOKENS) -
         for f in df.schema.fields])
 
 
+def infer_numeric(df: DataFrame) -> DataFrame:
+    """String columns whose every non-null value is an integer become ``long``,
+    else whose every non-null value is a number become ``double``.
+
+    Runs after missing-value normalisation, so ``NA`` in a number column
+    gives a null number (as pandas' reader does).  One aggregation pass of
+    partial counts decides all columns.
+    """
+    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+    if not cols:
+        return df
+    counts = df.agg(*[e for c in cols for e in (
+        F.count(F.col(c)).alias(f"{c}__n"),
+        F.count(F.col(c).try_cast("bigint")).alias(f"{c}__l"),
+        F.count(F.col(c).try_cast("double")).alias(f"{c}__d"))]).first()
+    out = []
+    for f in df.schema.fields:
+        c = f.name
+        if c in cols and counts[f"{c}__n"] > 0 and counts[f"{c}__l"] == counts[f"{c}__n"]:
+            out.append(F.col(c).cast("bigint").alias(c))
+        elif c in cols and counts[f"{c}__n"] > 0 and counts[f"{c}__d"] == counts[f"{c}__n"]:
+            out.append(F.col(c).cast("double").alias(c))
+        else:
+            out.append(F.col(c))
+    return df.select(*out)
+
+
 def read_delimited(spark: SparkSession, path: str, schema: StructType | str | None = None,
                    sep: str = ";", multiline: bool = True,
                    na_tokens: Sequence[str] = PANDAS_NA_TOKENS) -> DataFrame:
     """IO1: delimited text with a header; missing-value spellings become null.
 
-    With a schema nothing is inferred.  ``multiline`` allows quoted line breaks
+    With a schema nothing is inferred.  Without one, every column is read as
+    text, missing spellings become null, and then number columns are
+    recognised (``infer_numeric``).  ``multiline`` allows quoted line breaks
     (each file is then read by one task).
     """
     reader = spark.read.options(**_CSV_OPTIONS).option("sep", sep) \
         .option("multiLine", str(multiline).lower()).option("mode", "FAILFAST")
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", "true")
-    return normalise_missing(reader.csv(path), na_tokens)
+    if schema is not None:
+        return normalise_missing(reader.schema(schema).csv(path), na_tokens)
+    return infer_numeric(normalise_missing(reader.csv(path), na_tokens))
 
 
 def ingest_delimited(spark: SparkSession, path: str, out_path: str,
