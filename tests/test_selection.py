@@ -66,3 +66,11 @@ def test_no_minor_group(spark):
 def test_ratio_bounds(spark):
     with pytest.raises(ValueError):
         run(spark, ROWS, 10, 1.0)
+
+
+def test_partition_invariance(spark):
+    df = spark.createDataFrame(ROWS, "row_id long, t1 string, t2 string, text string")
+    from textstrata.operators import sample as S
+    one = S.minority_select(df.repartition(1), ["t1", "t2"], "text", "row_id", 20, 0.3).collect()
+    many = S.minority_select(df.repartition(16), ["t1", "t2"], "text", "row_id", 20, 0.3).collect()
+    assert sorted(map(tuple, one)) == sorted(map(tuple, many))
