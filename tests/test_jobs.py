@@ -144,3 +144,24 @@ def test_tune_cutoffs_job(spark, labelled_csv):
              "NL1": lab.select("text", F.col("NL1").alias("label"))}
     out = tune_cutoffs_job(spark, os.path.join(d, "tune_bundle"), tests, table, os.path.join(d, "tune"))
     assert out["sweep"].count() == 24 and out["best"].count() == 1
+
+
+def test_bundle_classifier(spark, labelled_csv):
+    from textstrata.plans.classifier import BundleClassifier
+    d, path = labelled_csv
+    rows = io.read_delimited(spark, path).withColumn("row_id", F.monotonically_increasing_id())
+    table = {n: i for i, n in enumerate(LITHOLOGY_LABELS)} | {"none": 9}
+    tmap = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v))])
+    lab = rows.select("row_id", F.col("beschrijving").alias("text"),
+                      *[F.try_element_at(tmap, F.coalesce(F.col(c), F.lit("none"))).alias(c)
+                        for c in ("HL_cor", "NL1_cor", "NL2_cor")]).withColumn("split", F.lit("train"))
+    bundle = os.path.join(d, "clf_bundle")
+    jobs.train_job(lab, "text", {c: c for c in ("HL_cor", "NL1_cor", "NL2_cor")}, None, bundle, max_iter=3)
+    clf = BundleClassifier.from_directory(bundle)
+    texts = spark.createDataFrame([("grind met wat klei nr 3",), ("veen",)], "text string")
+    out = clf(texts, cutoff=0.1).collect()
+    assert len(out) == 2 and {"HL_cor_label", "NL2_cor_score"} <= set(out[0].asDict())
+    ranked = clf.scores(texts).first()["HL_cor_ranked"]
+    assert len(ranked) == 10 and ranked[0]["score"] >= ranked[-1]["score"]
+    with pytest.raises(FileNotFoundError):
+        BundleClassifier.from_directory(bundle, targets=["HL_cor", "missing"])
