@@ -162,3 +162,9 @@ def test_sweep_with_row_targets(spark):
                               [0.1, 0.15], row_target_col="t")
     got = {(r["cutoff"], r["target"]): r["accuracy"] for r in sweep.collect()}
     assert got == {(0.1, "HL"): 1.0, (0.15, "HL"): 1.0, (0.1, "NL1"): 1.0, (0.15, "NL1"): 0.0}
+
+
+def test_sweep_fallback_counts_as_miss_without_none(spark):
+    df = spark.createDataFrame([([0.05, 0.05], 0), ([0.9, 0.1], 0)], "a array<double>, y int")
+    sweep = pick.cutoff_sweep(df, {"T": "a"}, {"T": "y"}, {"x": 0, "z": 1}, [0.1])
+    assert sweep.first()["accuracy"] == 0.5

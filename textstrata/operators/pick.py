@@ -113,7 +113,9 @@ def cutoff_sweep(df: DataFrame, score_cols: Mapping[str, str | Column], truth_co
     its picks still run over all targets in order.
     """
     targets = list(score_cols)
-    none_id = label_ids.get(NONE_LABEL)
+    # A fallback predicts ``none``; without a ``none`` id it can match no truth
+    # (-1), so it still counts as a miss rather than dropping out of the mean.
+    none_id = label_ids.get(NONE_LABEL, -1)
     extra = [F.col(row_target_col).alias("_row_target")] if row_target_col else []
     rows = df.select(*[_c(score_cols[t]).alias(f"_s{i}") for i, t in enumerate(targets)],
                      *[F.col(truth_cols[t]).cast("int").alias(f"_y{i}") for i, t in enumerate(targets)],
