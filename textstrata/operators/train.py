@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textstrata.operators.pick import rank_scores
+from textstrata.operators.stats import balanced_class_weights
 from textstrata.session import collect_bounded
 
 FEATURES = "features"
@@ -84,13 +85,21 @@ def fit_target(featured: DataFrame, label_col: str, weights: DataFrame | None =
 
 def train_models(train: DataFrame, text_col: str, label_cols: Mapping[str, str],
                  weights: Mapping[str, DataFrame] | None = None, max_iter: int = EPOCHS,
-                 reg_param: float = 0.0, num_features: int = NUM_FEATURES) -> dict[str, PipelineModel]:
-    """The shared featuriser and one classifier per target."""
+                 reg_param: float = 0.0, num_features: int = NUM_FEATURES,
+                 weight_mapping: Mapping[str, int] | None = None) -> dict[str, PipelineModel]:
+    """The shared featuriser and one classifier per target.
+
+    Class weights come from ``weights`` (one ``(label_id, weight)`` table per
+    target) or, with ``weight_mapping``, are computed as balanced weights (A1)
+    from the persisted training rows themselves.
+    """
     features, featured = featurise_for_training(train, text_col, list(label_cols.values()), num_features)
     try:
         models: dict[str, PipelineModel] = {"features": features}
         for target, label_col in label_cols.items():
             w = (weights or {}).get(target)
+            if w is None and weight_mapping is not None:
+                w = balanced_class_weights(featured, label_col, weight_mapping, split_col=None)
             models[target] = fit_target(featured, label_col, w, max_iter, reg_param, target)
         return models
     finally:

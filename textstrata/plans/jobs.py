@@ -88,11 +88,7 @@ def train_job(split_rows: DataFrame, text_col: str, label_cols: Mapping[str, str
               max_iter: int = train.EPOCHS) -> dict:
     """T1 on the train split with A1's weights per target; the bundle is saved (IO7)."""
     tr = split_rows.where(F.col(split_col) == "train")
-    weights = None
-    if weight_mapping is not None:
-        weights = {t: stats.balanced_class_weights(tr, c, weight_mapping, split_col=None)
-                   for t, c in label_cols.items()}
-    models = train.train_models(tr, text_col, label_cols, weights, max_iter=max_iter)
+    models = train.train_models(tr, text_col, label_cols, max_iter=max_iter, weight_mapping=weight_mapping)
     io.save_bundle(models, bundle_path)
     return models
 
