@@ -35,7 +35,8 @@ def expand_idem(df: DataFrame, site_cols: Sequence[str], order_col: str, text_co
     the same base.  An idem row without an earlier non-idem row in its site
     keeps its text and gets ``flag_col = true`` (the reference aborts there).
     Null text is not idem and is never a base.  Rows are chunked by
-    ``floor(order / chunk_width)`` (numbers or timestamps as the order).
+    ``floor(order / chunk_width)`` (numbers or timestamps as the order; the
+    order identifies a row within its site, as the row position does).
     """
     if rest_match not in ("exact", "ignore_case"):
         raise ValueError("rest_match must be 'exact' or 'ignore_case'")

@@ -237,8 +237,9 @@ def seeded_shuffle(df: DataFrame, key_cols: str | Sequence[str], seed: int = DEF
     """A seeded permutation; adds each row's 0-based position in it.
 
     Positions are bucket offsets (from at most ``16**digits`` bucket counts,
-    broadcast) plus the rank inside the bucket.  Buckets are hash ranges, so
-    they are equally full whatever the data; the one shuffle is by bucket.
+    broadcast) plus the rank inside the bucket.  Buckets are hash ranges of
+    the row key (which identifies a row), so they are equally full whatever
+    the data; the one shuffle is by bucket.
     """
     keys = _as_list(key_cols)
     h = hash_order(seed, *keys)
