@@ -53,12 +53,16 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(read(spark, sf_dir, "labels"), "doc_id")
 
 
-def q_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: balanced class weights of the train split."""
+def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents, filled (P1), mapped (P7) and split (S2) on ``quality``."""
     rows = prepare(labelled_documents(spark, sf_dir), ["doc_id", "text"], ["quality"])
     rows = map_labels(rows, "quality", QUALITY, "label_id")
-    rows = stratified_split(rows, "doc_id", "quality", test_size=TEST_SIZE, seed=SEED)
-    return balanced_class_weights(rows, "label_id", QUALITY)
+    return stratified_split(rows, "doc_id", "quality", test_size=TEST_SIZE, seed=SEED)
+
+
+def q_class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: balanced class weights of the train split."""
+    return balanced_class_weights(split_rows(spark, sf_dir), "label_id", QUALITY)
 
 
 
@@ -347,12 +351,6 @@ def q_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.read_delimited(spark, path, DOC_SCHEMA)
 
 
-def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = prepare(labelled_documents(spark, sf_dir), ["doc_id", "text"], ["quality"])
-    rows = map_labels(rows, "quality", QUALITY, "label_id")
-    return stratified_split(rows, "doc_id", "quality", test_size=TEST_SIZE, seed=SEED)
-
-
 def q_split_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IO4 then IO5: split sets written partitioned by split; the test split read back."""
     path = shared_path(spark, "split_sets")
