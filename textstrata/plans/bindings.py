@@ -219,6 +219,11 @@ def q_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_assoc(stats.association(read(spark, sf_dir, "part"), "p_type", "p_brand"))
 
 
+def q_association_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6 on ``orders``: order status against order priority."""
+    return _round_assoc(stats.association(read(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority"))
+
+
 ASSOCIATION_PAIRS = (("l_returnflag", "l_linestatus"), ("l_returnflag", "l_linenumber"),
                      ("l_linestatus", "l_linenumber"))
 
@@ -470,6 +475,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "crosstab": q_crosstab,
     "association": q_association,
     "association_pairs": q_association_pairs,
+    "association_orders": q_association_orders,
     "confusion_counts": q_confusion_counts,
     "confusion_normalised": q_confusion_normalised,
     "argmax_accuracy": q_argmax_accuracy,

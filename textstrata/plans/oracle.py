@@ -285,6 +285,8 @@ WHERE p_type IS NOT NULL AND p_brand IS NOT NULL GROUP BY ALL""",
 
         "association": "SELECT * FROM " + _dense_association("part", "p_type", "p_brand"),
 
+        "association_orders": "SELECT * FROM " + _dense_association("orders", "o_orderstatus", "o_orderpriority"),
+
         "association_pairs": " UNION ALL ".join(
             "SELECT * FROM " + _dense_association("lineitem", a, b, f"{a}|{b}")
             for a, b in (("l_returnflag", "l_linestatus"), ("l_returnflag", "l_linenumber"),
