@@ -32,3 +32,10 @@ def test_split_broadcasts_thresholds_and_reads_two_columns(spark):
 def test_pick_is_row_local(spark):
     p = plan(E.queries()["pick_labels"](spark, SF01))
     assert "Exchange" not in p
+
+
+@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+def test_sql_checked_queries_stay_in_the_jvm(spark, name):
+    p = plan(E.queries()[name](spark, SF01))
+    for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas"):
+        assert node not in p, (name, node)
