@@ -168,3 +168,19 @@ def test_sweep_fallback_counts_as_miss_without_none(spark):
     df = spark.createDataFrame([([0.05, 0.05], 0), ([0.9, 0.1], 0)], "a array<double>, y int")
     sweep = pick.cutoff_sweep(df, {"T": "a"}, {"T": "y"}, {"x": 0, "z": 1}, [0.1])
     assert sweep.first()["accuracy"] == 0.5
+
+
+def test_fold_path_matches_unrolled(spark, monkeypatch):
+    """Large label tables use the aggregate fold: same picks as the unrolled form."""
+    monkeypatch.setattr(pick, "UNROLL_MAX_LABELS", 0)
+    got = run(spark, CASES, 0.1)
+    for case, g in zip(CASES, got):
+        assert g == brute(case, 0.1), case
+
+
+def test_longer_score_array_than_table_fails(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+    df = spark.createDataFrame([([0.5] * 11,)], "a array<double>")
+    with pytest.raises(PySparkException):
+        pick.pick_labels(df, {"HL": "a"}, TABLE, 0.1).collect()

@@ -7,8 +7,10 @@ compares label *names* across targets.
 Picking runs targets in their declared order and takes, per target, the best
 label with ``score >= cutoff`` that no earlier target has taken; otherwise the
 fallback ``("none", -1)``.  A picked label - a predicted ``none`` included - is
-taken; a fallback is not.  It is one row-local ``aggregate`` fold whose
-accumulator carries the taken ids: no join, no shuffle.
+taken; a fallback is not.  It is row-local - no join, no shuffle: for label
+tables of known, small size one projection per target of plain expressions
+(generated code), otherwise one ``aggregate`` fold whose accumulator carries
+the taken ids.
 """
 
 from __future__ import annotations
@@ -76,6 +78,46 @@ def pick_fold(score_cols: Sequence[str | Column], cutoff: float | Column) -> Col
     return F.aggregate(per_target, start, step)["picks"]
 
 
+UNROLL_MAX_LABELS = 64
+UNROLL_MAX_TARGETS = 4
+
+
+def with_picks(df: DataFrame, score_cols: Sequence[str | Column], cutoff: float | Column,
+               num_labels: int, prefix: str = "_ts_pk") -> tuple[DataFrame, list[str]]:
+    """C3 with the label count known: one column per target holding the pick
+    (``struct<score, nid>``, null = fallback), the same rule as ``pick_fold``.
+
+    For small label tables the rule is unrolled into plain expressions - per
+    label a candidate if its score reaches the cut-off and no earlier pick took
+    it, and the greatest candidate wins - one projection per target, so it
+    runs as generated code instead of interpreted lambdas.  A score array
+    longer than the label table fails the job (as an unknown label id does).
+    Larger tables or more targets use the ``aggregate`` fold.
+    """
+    cols = [_c(x) for x in score_cols]
+    names = [f"{prefix}{i}" for i in range(len(cols))]
+    if num_labels > UNROLL_MAX_LABELS or len(cols) > UNROLL_MAX_TARGETS:
+        folded = df.withColumn("_ts_fold", pick_fold(cols, cutoff))
+        for i, n in enumerate(names):
+            folded = folded.withColumn(n, F.col("_ts_fold")[i])
+        return folded.drop("_ts_fold"), names
+    c = cutoff if isinstance(cutoff, Column) else F.lit(float(cutoff))
+    out = df
+    for t, col in enumerate(cols):
+        cands = []
+        for j in range(num_labels):
+            x = F.get(col, j).cast("double")
+            ok = x >= c
+            for prev in names[:t]:
+                ok = ok & (F.col(prev).isNull() | (F.col(prev)["nid"] != -j))
+            cands.append(F.when(ok, F.struct(x.alias("score"), F.lit(-j).alias("nid"))))
+        best = F.greatest(*cands) if len(cands) > 1 else cands[0]
+        checked = F.when(F.size(col) > num_labels, F.raise_error(
+            F.lit(f"more scores than the {num_labels} labels of the table"))).otherwise(best)
+        out = out.withColumn(names[t], checked)
+    return out, names
+
+
 def pick_labels(df: DataFrame, score_cols: Mapping[str, str | Column], label_ids: Mapping[str, int],
                 cutoff: float | Column = 0.0, score_digits: int | None = None) -> DataFrame:
     """C3 as a table operator: adds ``<target>_label`` and ``<target>_score``.
@@ -84,15 +126,19 @@ def pick_labels(df: DataFrame, score_cols: Mapping[str, str | Column], label_ids
     fallback is ``("none", -1.0)``.  ``score_digits`` rounds reported scores.
     """
     targets = list(score_cols)
-    picks = pick_fold([score_cols[t] for t in targets], cutoff)
-    out = df.withColumn("_ts_picks", picks)
-    for i, t in enumerate(targets):
-        p = out["_ts_picks"][i]
-        score = p["score"] if score_digits is None else F.round(p["score"], score_digits)
-        out = (out.withColumn(f"{t}_label", F.when(p.isNull(), F.lit(NONE_LABEL))
-                              .otherwise(id_to_label(-p["nid"], label_ids)))
+    out, picks = with_picks(df, [score_cols[t] for t in targets], cutoff, _num_labels(label_ids))
+    for t, p in zip(targets, picks):
+        pc = F.col(p)
+        score = pc["score"] if score_digits is None else F.round(pc["score"], score_digits)
+        out = (out.withColumn(f"{t}_label", F.when(pc.isNull(), F.lit(NONE_LABEL))
+                              .otherwise(id_to_label(-pc["nid"], label_ids)))
                .withColumn(f"{t}_score", F.coalesce(score, F.lit(FALLBACK_SCORE))))
-    return out.drop("_ts_picks")
+    return out.drop(*picks)
+
+
+def _num_labels(label_ids: Mapping[str, int]) -> int:
+    """Score arrays are indexed by label id: their length is the highest id + 1."""
+    return max(label_ids.values()) + 1 if label_ids else 0
 
 
 def numpy_cutoffs(start: float = 0.1, stop: float = 0.7, step: float = 0.05) -> list[float]:
@@ -121,10 +167,11 @@ def cutoff_sweep(df: DataFrame, score_cols: Mapping[str, str | Column], truth_co
                      *[F.col(truth_cols[t]).cast("int").alias(f"_y{i}") for i, t in enumerate(targets)],
                      *extra)
     rows = rows.withColumn("cutoff", F.explode(F.array(*[F.lit(float(c)) for c in cutoffs])))
-    picks = rows.withColumn("_p", pick_fold([f"_s{i}" for i in range(len(targets))], F.col("cutoff")))
+    picks, pick_cols = with_picks(rows, [f"_s{i}" for i in range(len(targets))], F.col("cutoff"),
+                                  _num_labels(label_ids))
     hits = []
     for i, t in enumerate(targets):
-        p = F.col("_p")[i]
+        p = F.col(pick_cols[i])
         pred = F.when(p.isNull(), F.lit(none_id)).otherwise(-p["nid"])
         hits.append(F.struct(F.lit(t).alias("target"), F.lit(i).alias("_ord"),
                              (pred == F.col(f"_y{i}")).cast("double").alias("_hit")))
