@@ -39,9 +39,27 @@ def logsumexp(arr: str | Column) -> Column:
         F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))))
 
 
-def softmax(arr: str | Column, scale: float = 1.0) -> Column:
-    """``exp(s*x - max) / sum``; the scaled array, max, exponentials and sum
-    are each bound once per row."""
+UNROLL_MAX = 64
+
+
+def softmax(arr: str | Column, scale: float = 1.0, length: int | None = None) -> Column:
+    """``exp(s*x - max) / sum``.
+
+    With a known, small ``length`` the elements are written out as plain
+    expressions (generated code; the repeated max and sum are common
+    subexpressions, computed once per row).  Otherwise the scaled array, max,
+    exponentials and sum are each bound once with lambdas.  Both add the
+    exponentials left to right, so they give the same doubles.
+    """
+    if length is not None and 0 < length <= UNROLL_MAX:
+        a = _c(arr)
+        xs = [F.get(a, i).cast("double") * F.lit(float(scale)) for i in range(length)]
+        m = F.greatest(*xs) if length > 1 else xs[0]
+        es = [F.exp(x - m) for x in xs]
+        total = es[0]
+        for e in es[1:]:
+            total = total + e
+        return F.array(*[e / total for e in es])
     return let(F.transform(_c(arr), lambda x: x * F.lit(float(scale))), lambda a: let(
         F.array_max(a), lambda m: let(
             F.transform(a, lambda x: F.exp(x - m)), lambda e: let(

@@ -274,7 +274,8 @@ def target_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three targets' scores: softmax of 20x elements 0-9, 10-19 and 20-29."""
     emb = read(spark, sf_dir, "embeddings")
     return emb.select("vec_id", "label", *[
-        softmax(slice0("embedding", 10 * i, 10), SCALE).alias(f"s_{t}") for i, t in enumerate(TARGETS)])
+        softmax(slice0("embedding", 10 * i, 10), SCALE, length=10).alias(f"s_{t}")
+        for i, t in enumerate(TARGETS)])
 
 
 def q_pick_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
