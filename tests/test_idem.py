@@ -86,3 +86,10 @@ def test_partition_invariance(spark):
     one = expand_idem(df.repartition(1), ["site"], "ord", "text", chunk_width=50).collect()
     many = expand_idem(df.repartition(64), ["site"], "ord", "text", chunk_width=50).collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, many))
+
+
+def test_null_site_carries_across_chunks(spark):
+    rows = [(None, 1, "zand"), (None, 5, "idem x"), (None, 9, "idem"), (1, 2, "idem")]
+    got = run(spark, rows, chunk_width=2)
+    assert got[(None, 5)] == ("zand x", False) and got[(None, 9)] == ("zand", False)
+    assert got[(1, 2)] == ("idem", True)

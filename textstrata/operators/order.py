@@ -47,12 +47,15 @@ def expand_idem(df: DataFrame, site_cols: Sequence[str], order_col: str, text_co
     # Any monotone chunking is correct (the carry crosses chunk borders); a
     # double keeps numbers and timestamps usable as the order.
     chunk = F.floor(F.col(order_col).cast("double") / F.lit(float(chunk_width))).cast("long")
-    keyed = df.withColumn("_ts_idem", idem).withColumn("_ts_chunk", chunk)
+    # One struct key for the site: never null itself, so plain equality keeps
+    # a missing site value as a site of its own in windows and joins alike.
+    keyed = (df.withColumn("_ts_site", F.struct(*[F.col(c) for c in site]))
+             .withColumn("_ts_idem", idem).withColumn("_ts_chunk", chunk))
     base_value = F.when(~F.col("_ts_idem"), text)  # null text is never a base
 
     # Level 1: last non-idem text up to each row inside its chunk; for an idem
     # row (which adds nothing itself) that is its nearest earlier base.
-    w = (Window.partitionBy(*site, "_ts_chunk").orderBy(order_col)
+    w = (Window.partitionBy("_ts_site", "_ts_chunk").orderBy(order_col)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = keyed.withColumn("_ts_base", F.last(base_value, ignorenulls=True).over(w))
 
@@ -61,14 +64,14 @@ def expand_idem(df: DataFrame, site_cols: Sequence[str], order_col: str, text_co
     # summary is combined map-side in every scan task, so only about one row
     # per (site, chunk) and task is shuffled - not the rows themselves.
     valid = ~F.col("_ts_idem") & text.isNotNull()
-    summary = (keyed.groupBy(*site, "_ts_chunk")
+    summary = (keyed.groupBy("_ts_site", "_ts_chunk")
                .agg(F.max_by(F.when(valid, text), F.when(valid, F.col(order_col))).alias("_ts_last")))
-    wc = (Window.partitionBy(*site).orderBy("_ts_chunk")
+    wc = (Window.partitionBy("_ts_site").orderBy("_ts_chunk")
           .rowsBetween(Window.unboundedPreceding, -1))
     carry = (summary.withColumn("_ts_carry", F.last("_ts_last", ignorenulls=True).over(wc))
              .where(F.col("_ts_carry").isNotNull())
-             .select(*site, "_ts_chunk", "_ts_carry"))
-    joined = local.join(carry, [*site, "_ts_chunk"], "left")
+             .select("_ts_site", "_ts_chunk", "_ts_carry"))
+    joined = local.join(carry, ["_ts_site", "_ts_chunk"], "left")
 
     base = F.coalesce(F.col("_ts_base"), F.col("_ts_carry"))
     rest = after_marker(text, marker, ignore_case=(rest_match == "ignore_case"))
@@ -76,4 +79,4 @@ def expand_idem(df: DataFrame, site_cols: Sequence[str], order_col: str, text_co
     return (joined
             .withColumn(flag_col, F.col("_ts_idem") & base.isNull())
             .withColumn(out_col, F.when(resolved, F.concat(base, rest)).otherwise(text))
-            .drop("_ts_idem", "_ts_chunk", "_ts_base", "_ts_carry"))
+            .drop("_ts_site", "_ts_idem", "_ts_chunk", "_ts_base", "_ts_carry"))
