@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textstrata.functions.arrays import argmax, nll
-from textstrata.session import collect_bounded
+from textstrata.session import collect_bounded, collect_bounded_rows
 
 MAX_LABELS = 1_000
 
@@ -128,10 +128,10 @@ def confusion_counts(df: DataFrame, true_col: str, pred_col: str,
         .agg(F.count(F.lit(1)).alias("n"))
     labels = (cells.select(F.col("y_true").alias("l"))
               .union(cells.select(F.col("y_pred").alias("l"))).distinct())
-    local = collect_bounded(labels, max_labels)
-    if local is None:
+    label_rows = collect_bounded_rows(labels, max_labels)
+    if label_rows is None:
         raise ValueError(f"more than {max_labels} labels: not a confusion matrix")
-    values = sorted(r["l"] for r in local.collect())
+    values = sorted(r["l"] for r in label_rows)
     ltype = cells.schema["y_true"].dataType.simpleString()
     arr = F.array(*[F.lit(v).cast(ltype) for v in values]) if values else F.array().cast(f"array<{ltype}>")
     grid = (df.sparkSession.range(1).select(F.explode(arr).alias("y_true"))
