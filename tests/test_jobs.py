@@ -47,6 +47,7 @@ def test_dataset_job(spark, labelled_csv):
     assert spark.read.parquet(mlm["epoch0"]).count() == 200
     assert sets.where("split = 'test'").count() == 30            # ceil(0.15 * 200)
     weights = spark.read.parquet(os.path.join(paths["weights"], "table")).collect()
+    assert {r["target"] for r in weights} == {"HL_cor"}
     assert abs(sum(r["n"] * r["weight"] for r in weights) - 170) < 1e-9
     text = spark.read.text(os.path.join(paths["weights"], "text")).first()["value"]
     assert len(text.split()) == 5

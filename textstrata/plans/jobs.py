@@ -47,7 +47,8 @@ def dataset_job(df: DataFrame, text_col: str, target_col: str, mapping: Mapping[
     rows.select(row_col, text_col, "label_id", "split").write.mode("overwrite") \
         .partitionBy("split").parquet(paths["dataset"] + "_rows")
     split_rows = spark.read.parquet(paths["dataset"] + "_rows")
-    io.write_class_weights(stats.balanced_class_weights(split_rows, "label_id", mapping), paths["weights"])
+    io.write_class_weights(stats.balanced_class_weights(split_rows, "label_id", mapping), paths["weights"],
+                           target=target_col)
     io.write_split_sets(split_rows, paths["dataset"], text_col, "label_id", key_col=row_col)
     if tokenize:
         enc = encode.encode_padded(split_rows, text_col, [row_col, "label_id", "split"], vocabulary,

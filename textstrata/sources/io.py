@@ -116,10 +116,11 @@ def weights_text(weights: DataFrame, fmt: str = "%10.5f") -> DataFrame:
         lambda s: F.format_string(fmt, s["weight"]))).alias("value"))
 
 
-def write_class_weights(weights: DataFrame, path: str) -> None:
-    """IO3: the ``(label_id, label, n, weight)`` table at full precision, and
-    its one-line text form next to it."""
-    weights.write.mode("overwrite").parquet(os.path.join(path, "table"))
+def write_class_weights(weights: DataFrame, path: str, target: str | None = None) -> None:
+    """IO3: the ``([target,] label_id, label, n, weight)`` table at full
+    precision, and its one-line text form next to it."""
+    table = weights.select(F.lit(target).alias("target"), "*") if target else weights
+    table.write.mode("overwrite").parquet(os.path.join(path, "table"))
     weights_text(weights).write.mode("overwrite").text(os.path.join(path, "text"))
 
 
