@@ -409,16 +409,19 @@ def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_split(rows, "doc_id", "quality", test_size=TEST_SIZE, seed=SEED)
 
 
-def _bundle(spark: SparkSession, sf_dir: str) -> tuple[str, dict]:
+def _bundle(spark: SparkSession, sf_dir: str, save: bool = True) -> tuple[str | None, dict]:
+    """T1 on the train split with balanced weights; saved as a bundle (IO7) when asked."""
+    labels = {t: f"{t}_id" for t in MODEL_TARGETS}
+    if not save:
+        train_rows = _model_rows(spark, sf_dir).where("split = 'train'")
+        return None, train_ops.train_models(train_rows, "text", labels, weight_mapping=QUALITY)
     path = shared_path(spark, "bundle")
-    models = jobs.train_job(_model_rows(spark, sf_dir), "text", {t: f"{t}_id" for t in MODEL_TARGETS},
-                            QUALITY, path)
-    return path, models
+    return path, jobs.train_job(_model_rows(spark, sf_dir), "text", labels, QUALITY, path)
 
 
 def q_train_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T1 + C1: weighted classifiers per target, every document scored (ranked lists)."""
-    _, models = _bundle(spark, sf_dir)
+    _, models = _bundle(spark, sf_dir, save=False)
     scored = train_ops.score(read(spark, sf_dir, "documents").select("doc_id", "text"), models,
                              MODEL_TARGETS, len(TOXIC))
     id2name = {v: k for k, v in TOXIC.items()}
@@ -445,7 +448,7 @@ def q_batch_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_stream_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table read as a file stream, labelled, appended to Parquet."""
-    _, models = _bundle(spark, sf_dir)
+    _, models = _bundle(spark, sf_dir, save=False)
     out, ckpt = shared_path(spark, "stream_out"), shared_path(spark, "stream_ckpt")
     q = start_stream_predict(spark, sf_dir, read(spark, sf_dir, "documents").schema, models, MODEL_TARGETS,
                              TOXIC, out, ckpt, cutoff=0.1, path_glob="documents.parquet",
