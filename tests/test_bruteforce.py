@@ -60,3 +60,34 @@ def test_mask_tokens_replays_in_python(spark, expected_ids):
             labels.append(x if chosen else -100)
         assert got[k]["input_ids"] == inputs
         assert got[k]["labels"] == labels
+
+
+def test_batch_predict_picks_match_python_rule(spark, tmp_path_factory):
+    from textstrata.operators import train
+    from textstrata.plans import bindings as B
+    from textstrata.plans import jobs
+    from textstrata.sources import io
+
+    path, _ = B._bundle(spark, SF001, save=True)
+    texts = B.read(spark, SF001, "documents").select("doc_id", "text")
+    out = jobs.batch_predict_job(spark, texts, path, B.MODEL_TARGETS, B.TOXIC,
+                                 str(tmp_path_factory.mktemp("pred")), cutoff=0.1)
+    models = io.load_bundle(path, ["features", *B.MODEL_TARGETS])
+    scored = train.score(texts, models, B.MODEL_TARGETS, len(B.TOXIC)).collect()
+    names = {v: k for k, v in B.TOXIC.items()}
+    expected = {}
+    for r in scored:
+        taken, picks = [], []
+        for t in B.MODEL_TARGETS:
+            s = r[f"s_{t}"]
+            cand = [i for i in sorted(range(len(s)), key=lambda i: (-s[i], i))
+                    if s[i] >= 0.1 and names[i] not in taken]
+            if cand:
+                picks += [names[cand[0]], s[cand[0]]]
+                taken.append(names[cand[0]])
+            else:
+                picks += ["none", -1.0]
+        expected[r["doc_id"]] = tuple(picks)
+    got = {r["doc_id"]: (r["quality_label"], r["quality_score"], r["toxic_label"], r["toxic_score"])
+           for r in out.collect()}
+    assert got == expected
