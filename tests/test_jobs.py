@@ -166,3 +166,16 @@ def test_bundle_classifier(spark, labelled_csv):
     assert len(ranked) == 10 and ranked[0]["score"] >= ranked[-1]["score"]
     with pytest.raises(FileNotFoundError):
         BundleClassifier.from_directory(bundle, targets=["HL_cor", "missing"])
+
+
+def test_clean_job_writes_the_chain(spark):
+    from textstrata.operators import clean
+    d = tempfile.mkdtemp(prefix="textstrata-clean-")
+    rows = [(1.0, 2.0, 1, "grijs zand"), (1.0, 2.0, 2, "idem met klei"), (1.0, 2.0, 3, "van 1 tot 2 m zand van 2 tot 3 m klei"),
+            (5.0, 5.0, 4, "le sable et la mer dans une"), (5.0, 5.0, 5, "idem")]
+    df = spark.createDataFrame(rows, "x double, y double, row_id long, beschrijving string")
+    out = jobs.clean_job(df, ["x", "y"], "row_id", "beschrijving", os.path.join(d, "clean"))
+    expect = clean.clean_chain(df, ["x", "y"], "row_id", "beschrijving")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, expect.collect()))
+    got = {r["row_id"]: r["beschrijving"] for r in out.collect()}
+    assert got == {1: "grijs zand", 2: "grijs zand met klei"}   # interval row dropped; French site dropped

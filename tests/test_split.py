@@ -133,3 +133,23 @@ def test_split_without_boundary_buckets(spark):
     rows = [(1, "a"), (2, "b"), (3, "c")]          # every quota is 0 or the whole class
     got = {r["key"]: r["split"] for r in sample.stratified_split(make(spark, rows), "key", "c", 0.5).collect()}
     assert got == brute_split(rows, 0.5, 2023) == {1: "train", 2: "test", 3: "test"}
+
+
+def test_split_above_the_broadcast_bound(spark):
+    """With the per-stratum bound forced below the strata count, the split takes
+    its shuffle-join path and gives the same rows."""
+    rnd = random.Random(4)
+    rows = [(i, f"c{rnd.randint(0, 9)}") for i in range(2000)]
+    lazy = sample.mark_first_k(make(spark, rows), ["c"], ["key"], sample.split_quotas(0.2), "t",
+                               seed=2023, digits=2, max_strata=3)
+    got = {r["key"]: ("train" if r["t"] else "test") for r in lazy.collect()}
+    assert got == brute_split(rows, 0.2, 2023)
+
+
+def test_semi_join_above_the_broadcast_bound(spark, monkeypatch):
+    df = spark.range(100).withColumnRenamed("id", "k")
+    keys = spark.range(0, 100, 3).withColumnRenamed("id", "k")
+    small = sorted(r["k"] for r in sample.semi_join(df, keys, ["k"]).collect())
+    monkeypatch.setattr(sample, "MAX_STRATA", 5)
+    big = sorted(r["k"] for r in sample.semi_join(df, keys, ["k"]).collect())
+    assert small == big == list(range(0, 100, 3))
