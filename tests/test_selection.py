@@ -74,3 +74,10 @@ def test_partition_invariance(spark):
     one = S.minority_select(df.repartition(1), ["t1", "t2"], "text", "row_id", 20, 0.3).collect()
     many = S.minority_select(df.repartition(16), ["t1", "t2"], "text", "row_id", 20, 0.3).collect()
     assert sorted(map(tuple, one)) == sorted(map(tuple, many))
+
+
+def test_above_the_broadcast_bound(spark, monkeypatch):
+    """Group tables larger than the bound take the shuffle-join path: same rows."""
+    from textstrata.operators import sample as S
+    monkeypatch.setattr(S, "MAX_STRATA", 2)
+    assert run(spark, ROWS, 20, 0.3) == brute(ROWS, 20, 0.3)
