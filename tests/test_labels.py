@@ -34,3 +34,12 @@ def test_with_none_appends_next_id():
 def test_label_to_id_column(spark):
     df = spark.createDataFrame([(1,)], "v int")
     assert df.select(label_to_id("v", {"1": 7}).alias("x")).first()["x"] == 7
+
+
+def test_target_label_table(spark):
+    from textstrata.operators.labels import target_label_table
+    rows = target_label_table(spark).collect()
+    per = {}
+    for r in rows:
+        per.setdefault(r["target"], {})[r["label"]] = r["label_id"]
+    assert len(per["HL_cor"]) == 9 and per["NL1_cor"]["none"] == 9 and per["NL2_cor"]["silt"] == 8

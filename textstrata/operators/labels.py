@@ -50,6 +50,13 @@ def label_table(spark: SparkSession, mapping: Mapping[str, int]) -> DataFrame:
                                  "label string, label_id int")
 
 
+def target_label_table(spark: SparkSession, targets: Sequence[str] = DEFAULT_TARGETS,
+                       labels: Sequence[str] = LITHOLOGY_LABELS) -> DataFrame:
+    """P9 as one table: ``(target, label, label_id)`` for every target."""
+    rows = [(t, name, i) for t in targets for name, i in target_label2id(t, labels).items()]
+    return spark.createDataFrame(rows, "target string, label string, label_id int")
+
+
 def _literal_map(mapping: Mapping, key_type: str, value_type: str) -> Column:
     if not mapping:
         return F.create_map().cast(f"map<{key_type},{value_type}>")
