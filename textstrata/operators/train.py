@@ -36,12 +36,6 @@ def _featuriser(text_col: str, num_features: int) -> tuple[RegexTokenizer, Hashi
             HashingTF(inputCol="_ts_tokens", outputCol="_ts_tf", numFeatures=num_features))
 
 
-def fit_features(train: DataFrame, text_col: str, num_features: int = NUM_FEATURES) -> PipelineModel:
-    """Shared featuriser: lower-cased word tokens, hashed counts, IDF (one pass to fit)."""
-    tok, tf = _featuriser(text_col, num_features)
-    return Pipeline(stages=[tok, tf, IDF(inputCol="_ts_tf", outputCol=FEATURES)]).fit(train)
-
-
 def featurise_for_training(train: DataFrame, text_col: str, keep: Sequence[str],
                            num_features: int = NUM_FEATURES) -> tuple[PipelineModel, DataFrame]:
     """Fit the featuriser and return it with the persisted training features.
