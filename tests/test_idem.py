@@ -93,3 +93,17 @@ def test_null_site_carries_across_chunks(spark):
     got = run(spark, rows, chunk_width=2)
     assert got[(None, 5)] == ("zand x", False) and got[(None, 9)] == ("zand", False)
     assert got[(1, 2)] == ("idem", True)
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+TEXTS = ["idem", "Idem, nat", "IDEM idem x", "zand", "klei", None, "grijs idem", "idem idem"]
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.sampled_from(TEXTS)), min_size=1, max_size=60),
+       st.integers(1, 9))
+def test_random_shapes_and_chunks(spark, items, chunk):
+    rows = [(site, order * 3 + site, text) for order, (site, text) in enumerate(items)]
+    assert run(spark, rows, chunk_width=chunk) == brute(rows)
