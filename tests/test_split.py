@@ -5,7 +5,6 @@ import random
 
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql.utils import AnalysisException  # noqa: F401
 
 from textstrata.operators import sample
 
@@ -70,8 +69,7 @@ def test_split_strict_errors(spark):
     rows = [(1, "a"), (2, "a"), (3, "b")]           # b has one row
     with pytest.raises(PySparkException):
         sample.stratified_split(make(spark, rows), "key", "c", strict=True).collect()
-    rows = [(i, f"c{i}") for i in range(4)] * 1     # fewer test rows than classes
-    rows = [(i, f"c{i % 4}") for i in range(8)]
+    rows = [(i, f"c{i % 4}") for i in range(8)]     # fewer test rows than classes
     with pytest.raises(PySparkException):
         sample.stratified_split(make(spark, rows), "key", "c", 0.1, strict=True).collect()
 
@@ -119,8 +117,8 @@ from hypothesis import strategies as st  # noqa: E402
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.integers(2, 60), min_size=1, max_size=6), st.sampled_from([0.1, 0.15, 0.25, 0.5]))
 def test_split_sizes_match_quotas(spark, sizes, test_size):
-    rows = [(len(r), f"c{j}") for j, n in enumerate(sizes) for r in [[0]] for _ in range(n)]
-    rows = [(i, c) for i, (_, c) in enumerate(rows)]
+    classes = [f"c{j}" for j, n in enumerate(sizes) for _ in range(n)]
+    rows = list(enumerate(classes))
     got = sample.stratified_split(make(spark, rows), "key", "c", test_size).groupBy("c", "split").count().collect()
     counts = {f"c{j}": n for j, n in enumerate(sizes)}
     q = quotas(counts, test_size)
