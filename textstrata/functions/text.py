@@ -55,7 +55,3 @@ def after_marker(text: str | Column, marker: str = IDEM_MARKER, ignore_case: boo
     rest = t.substr(pos + F.lit(len(marker)), F.lit(2 ** 31 - 1))
     return F.when(pos > 0, rest).otherwise(F.lit(""))
 
-
-def words(text: str | Column) -> Column:
-    """Lower-cased letter runs of a text (for word-table language scoring)."""
-    return F.filter(F.split(F.lower(_c(text)), r"[^\p{L}]+"), lambda w: F.length(w) > 0)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from textstrata.functions.arrays import let
-from textstrata.functions.text import is_multi_interval, normalise, words
+from textstrata.functions.text import is_multi_interval, normalise
 from textstrata.operators.labels import NONE_LABEL
 from textstrata.operators.order import CHUNK_WIDTH, expand_idem
 
@@ -90,7 +90,9 @@ def detect_language(text: str | Column,
             pairs += [F.lit(w), F.lit(lang)]
     lookup = F.create_map(*pairs)
     names = F.array(*[F.lit(x) for x in langs])
-    hits = F.filter(F.transform(words(text), lambda w: F.try_element_at(lookup, w)),
+    # Empty pieces of the split match no word, so the raw split is looked up.
+    tokens = F.split(F.lower(F.col(text) if isinstance(text, str) else text), r"[^\p{L}]+")
+    hits = F.filter(F.transform(tokens, lambda w: F.try_element_at(lookup, w)),
                     lambda h: h.isNotNull())
     return let(hits, lambda hs: let(
         F.transform(names, lambda lang: F.size(F.filter(hs, lambda h: h == lang))), lambda counts: let(
