@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from odd_tables import no_docs, odd_docs, sf001_docs  # noqa: F401  fixtures
 from textstrata.llm import mixing, packing
 
 

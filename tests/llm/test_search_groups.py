@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brute import fingerprint, groups
+from odd_tables import no_docs, odd_docs  # noqa: F401  fixtures
 from textstrata.llm import simhash, topk
 from textstrata.llm.components import components
 

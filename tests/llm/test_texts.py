@@ -7,11 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
+from odd_tables import no_docs, odd_docs, sf001_docs  # noqa: F401  fixtures
 from textstrata.llm import chat, licenses, quality, rules, secrets, toxicity
 
 
 def texts_by_id(df):
-    return {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+    return {r.doc_id: r.text for r in df.select("doc_id", "text").where("doc_id is not null").collect()}
 
 
 @pytest.mark.parametrize("table", ["odd_docs", "sf001_docs"])

@@ -27,7 +27,7 @@ WITH turns AS (
     UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), s AS (
     SELECT *, length(t) + {_ESCAPES}
-        + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 9 WHEN 'system' THEN 21 ELSE length(role) + 30 END AS chars
+        + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 9 WHEN 'system' THEN 20 ELSE length(role) + 24 END AS chars
     FROM turns
 )
 SELECT conv_id, count(*) AS n_turns,
