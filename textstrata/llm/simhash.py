@@ -159,7 +159,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     fps = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     first = materialise(fps.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
-    roots = materialise(components(links(first, max_bits)), "roots")
+    roots = materialise(components(materialise(links(first, max_bits), "links")), "roots")
     # fingerprints without a link are their own group and skip the second aggregation
     linked = first.join(roots, first.fp == roots.node).select("fp", "low", "root")
     low = linked.groupBy("root").agg(F.min("low").alias("group_low"))
