@@ -109,13 +109,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
     rows = materialise(with_bins(statistics(src, "text", ("id", "lang", "source"))), "rule-statistics")
     own = materialise(sketches(rows, ["lang", "source"]), "rule-sketches")
-    sides = {"g": fences(own, ["lang", "source"]), "l": fences(own, ["lang"]), "a": fences(own, [])}
     limits = [f"{m}_{side}" for m in METRICS for side in ("low", "high")]
-    g, lg, al = (df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns]) for p, df in sides.items())
-    one = F.lit(1)  # the fences of all rows are one row
-    table = g.join(lg, g["g_lang"].eqNullSafe(lg["l_lang"])).withColumn("_one", one).join(al.withColumn("_one", one), "_one")
-    pick = lambda c: F.when(F.col("g_rows") >= MIN_ROWS, F.col(f"g_{c}")).when(F.col("l_rows") >= MIN_ROWS, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
-    table = table.select("g_lang", "g_source", *[pick(c).alias(c) for c in limits])
+    g, lang = (fences(own, by).select(*[F.col(c).alias(f"{p}_{c}") for c in (*by, "rows", *limits)]) for p, by in (("g", ["lang", "source"]), ("l", ["lang"])))
+    every = fences(own, []).first()  # one row of numbers
+    pick = lambda c: F.when(F.col("g_rows") >= MIN_ROWS, F.col(f"g_{c}")).when(F.col("l_rows") >= MIN_ROWS, F.col(f"l_{c}")).otherwise(F.lit(every[c]))
+    table = g.join(lang, g["g_lang"].eqNullSafe(lang["l_lang"])).select("g_lang", "g_source", *[pick(c).alias(c) for c in limits])
     joined = rows.join(table, rows["lang"].eqNullSafe(table["g_lang"]) & rows["source"].eqNullSafe(table["g_source"]), "left")
     base_failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     inside = F.lit(True)
