@@ -22,6 +22,8 @@ from textstrata.llm.shared import materialise, word_count
 #: Hash ranges whose sizes are summed before any document is ranked.
 RANGES_BITS = 12
 MAX_REPEATS = 3
+#: Tables of one row per pattern are broadcast up to so many rows; the plan is the same join beyond.
+BROADCAST_PATTERNS = 50_000
 
 
 def source_targets(sizes: dict[str | None, int], weights: dict[str | None, float], total: float, cap: float = MAX_REPEATS) -> dict[str | None, float]:
@@ -105,7 +107,7 @@ def route(patterns: dict[str, tuple[tuple, int]], targets: dict[str | None, floa
     return taken
 
 
-def _select(units: DataFrame) -> DataFrame:
+def _select(units: DataFrame, patterns: int) -> DataFrame:
     """One round of ``chosen``: the unchosen units of each pattern that fit ``want``, in seeded order.
 
     Hash ranges that fit whole are taken whole; only the range in which the sum
@@ -117,7 +119,7 @@ def _select(units: DataFrame) -> DataFrame:
     sums = units.where(fits).groupBy("pattern", span.alias("span")).agg(F.sum("mass").alias("mass"), F.max("want").alias("want"))
     run = sums.withColumn("upto", F.sum("mass").over(Window.partitionBy("pattern").orderBy("span")))
     cut = run.where("upto > want").groupBy("pattern").agg(F.min(F.struct("span", (F.col("upto") - F.col("mass")).alias("before"))).alias("cut"))
-    at = units.join(cut.withColumnRenamed("pattern", "cut_pattern"), F.col("pattern") == F.col("cut_pattern"), "left").withColumn("fits", fits).withColumn("span", span)
+    at = units.join(_per_pattern(cut.withColumnRenamed("pattern", "cut_pattern"), patterns), F.col("pattern") == F.col("cut_pattern"), "left").withColumn("fits", fits).withColumn("span", span)
     edge = F.col("fits") & F.coalesce(F.col("span") == F.col("cut.span"), F.lit(False))
     whole = at.where(~edge).withColumn("chosen", F.col("chosen") | (F.col("fits") & F.coalesce(F.col("span") < F.col("cut.span"), F.lit(True))))
     order = Window.partitionBy("pattern").orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -125,14 +127,29 @@ def _select(units: DataFrame) -> DataFrame:
     return whole.unionByName(ranked).select("id", "size", "n", "mass", "pattern", "h", "chosen")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None, weights=None,
-        repeats: int = MAX_REPEATS, rounds: int = 4, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None) -> DataFrame:
+    """``(id, size, pattern)`` per row: words of the text and the key of its set of sources."""
+    member = F.array(F.col("source").cast("string")) if sources is None else F.array_sort(F.array_distinct(sources))
+    return docs.select(F.col(id_col).cast("long").alias("id"), word_count(F.col(text_col)).alias("size"), F.to_json(member).alias("pattern"))
+
+
+def _per_pattern(table: DataFrame, patterns: int) -> DataFrame:
+    """A table of one short row per pattern, broadcast while there are few patterns."""
+    return F.broadcast(table) if patterns <= BROADCAST_PATTERNS else table
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """``mix_sized`` over the rows of ``docs``; a document's sources default to its ``source`` column."""
+    return mix_sized(sized(docs, id_col, text_col, sources), **options)
+
+
+def mix_sized(rows: DataFrame, weights=None, repeats: int = MAX_REPEATS, rounds: int = 4, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """``(units, sources)``: how often each document is taken, and each source's size and target.
 
     ``units`` is ``(id, size, pattern, copies)``, one row per distinct id, size
     and pattern; repeated rows share the decision.  ``sources`` is ``(source,
-    source_size, target)``.  A document's sources default to its ``source``
-    column; null is a source of its own, last in order.  Weights default to 1,
+    source_size, target)``.  A null source is a source of
+    its own, last in order.  Weights default to 1,
     2, 3, repeating over the sources in code point order.  Each source gets its
     weight's share of all tokens, at most ``repeats`` times its size.  A null
     text has size 0; documents of size 0 are never taken.
@@ -140,9 +157,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources
     Only one row per pattern reaches the driver.  Each of ``rounds`` rounds
     fills what the one before left with documents that fit, in seeded order.
     """
-    spark = docs.sparkSession
-    member = F.array(F.col("source").cast("string")) if sources is None else F.array_sort(F.array_distinct(sources))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), word_count(F.col(text_col)).alias("size"), F.to_json(member).alias("pattern"))
+    spark = rows.sparkSession
     units = materialise(rows.groupBy("id", "size", "pattern").agg(F.count("*").alias("n")).withColumn("mass", F.col("size") * F.col("n"))
                         .withColumn("h", F.xxhash64("id", "size", F.lit(seed))), "mix-units")
     patterns = {r.pattern: (tuple(json.loads(r.pattern)), int(r.mass)) for r in units.groupBy("pattern").agg(F.sum("mass").alias("mass")).collect()}
@@ -160,13 +175,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources
         whole, rest = divmod(flow[key], mass) if mass else (0, 0)
         plan.append((key, int(whole), int(rest)))
     schema = T.StructType([T.StructField("p", T.StringType()), T.StructField("whole", T.LongType()), T.StructField("rest", T.LongType())])
+    n = len(plan)
     plan = spark.createDataFrame(plan, schema)
     now = units.withColumn("chosen", F.lit(False))
     for _ in range(rounds):
         used = now.where("chosen").groupBy("pattern").agg(F.sum("mass").alias("used"))
         left = plan.join(used, F.col("p") == F.col("pattern"), "left").select("p", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("want"))
-        now = materialise(_select(now.join(left, F.col("pattern") == F.col("p")).drop("p")), "mix-round")
-    chosen = now.join(plan, F.col("pattern") == F.col("p")).select("id", "size", "pattern", (F.col("whole") + F.col("chosen").cast("long")).alias("copies"))
+        now = materialise(_select(now.join(_per_pattern(left, n), F.col("pattern") == F.col("p")).drop("p"), n), "mix-round")
+    chosen = now.join(_per_pattern(plan, n), F.col("pattern") == F.col("p")).select("id", "size", "pattern", (F.col("whole") + F.col("chosen").cast("long")).alias("copies"))
     return chosen.withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(0)), table
 
 

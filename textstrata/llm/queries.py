@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textstrata.llm import chat, licenses, mixing, packing, quality, rules, secrets, simhash, topk, toxicity
-from textstrata.llm.shared import crc_bucket, word_count
+from textstrata.llm.shared import crc_bucket, materialise
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,12 +68,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes from each document."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    units, sources = mixing.mix(docs)
-    sources = sources.withColumnRenamed("source", "_source")
-    rows = mixing.with_copies(docs, units, "doc_id", "text").withColumn("size", word_count(F.col("text"))).drop("text")
-    return (rows.join(sources, rows["source"].eqNullSafe(sources["_source"]))
-            .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")))
+    rows = materialise(mixing.sized(_table(spark, sf_dir, "documents")), "sizes")
+    units, sources = mixing.mix_sized(rows)
+    sources = sources.select(F.to_json(F.array("source")).alias("pattern"), "source_size", "target")
+    same = rows["id"].eqNullSafe(units["id"]) & (rows["size"] == units["size"]) & (rows["pattern"] == units["pattern"])
+    taken = rows.join(units, same).select(rows["id"], rows["size"], rows["pattern"], (units["copies"] * rows["size"]).alias("taken"))
+    return taken.join(sources, "pattern").select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
