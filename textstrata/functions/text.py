@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 # The multi-interval rule of the reference: a description that starts with two
 # "van .. tot .." ranges, or with a depth range in metres, describes several
 # intervals.  It is matched from the start of the text, case-insensitively.
-MULTI_INTERVAL_PATTERN = (
-    r"van [0-9]+ tot [0-9]+ .* van .* tot .*"
-    r"|(^|KERNSTROOK [0-9]*|Kern)[ ]?[0-9\.\,]+[ m]?([- ]+|tot )[0-9\.\,]+[ ]?m"
-)
+MULTI_INTERVAL_PATTERN = r"van [0-9]+ tot [0-9]+ .* van .* tot .*|(^|KERNSTROOK [0-9]*|Kern)[ ]?[0-9\.\,]+[ m]?([- ]+|tot )[0-9\.\,]+[ ]?m"
 # The marker of a row that repeats the description of the row above it.
 IDEM_MARKER = "idem"
 

@@ -18,10 +18,8 @@ from pyspark.sql import functions as F
 
 from textstrata.functions.arrays import let
 
-try:  # the public vocabulary files, when installed
-    import public_tokenizers as _public_tokenizers
-except ImportError:  # pragma: no cover
-    _public_tokenizers = None
+#: Vocabulary file used when none is given; ``TEXTSTRATA_VOCABULARY`` names another.
+DEFAULT_VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
 MAX_LENGTH = 512
 MLM_PROBABILITY = 0.15
@@ -30,9 +28,7 @@ IGNORE_INDEX = -100
 
 def default_vocabulary() -> str:
     """The public lower-case word BPE file (49,408 ids; start 49406, end 49407)."""
-    if _public_tokenizers is None:
-        raise RuntimeError("no vocabulary given and public_tokenizers is not installed")
-    return _public_tokenizers.path("word_bpe_49k.json")
+    return os.environ.get("TEXTSTRATA_VOCABULARY", DEFAULT_VOCABULARY)
 
 
 def token_ids(df: DataFrame, text_col: str, key_cols: Sequence[str], vocabulary: str | None = None,
@@ -50,13 +46,10 @@ def token_ids(df: DataFrame, text_col: str, key_cols: Sequence[str], vocabulary:
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Self-contained (imports inside): executors need no copy of this package.
-        import os as _os
-
         from pyspark import SparkFiles as _files
         from tokenizers import Tokenizer
 
-        local = vocab if _os.path.exists(vocab) else _files.get(name)
-        tok = Tokenizer.from_file(local)  # once per task, then reused for all its batches
+        tok = Tokenizer.from_file(_files.get(name))  # once per task, then reused for all its batches
         for pdf in batches:
             # Slices bound the tokenizer's working set when texts are long.
             for start in range(0, len(pdf), slice_rows):

@@ -41,7 +41,7 @@ def target_label2id(target: str, labels: Sequence[str] = LITHOLOGY_LABELS,
         return label2id(labels)
     if target in secondary_targets:
         return label2id(labels, with_none=True)
-    raise ValueError(f"Unknown column target: {target}")
+    raise ValueError(f"no label table for {target!r}")
 
 
 def label_table(spark: SparkSession, mapping: Mapping[str, int]) -> DataFrame:

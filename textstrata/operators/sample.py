@@ -303,7 +303,7 @@ def drop_duplicates_first(df: DataFrame, subset: Sequence[str], order_col: str)
 
 
 def group_sizes(df: DataFrame, cols: Sequence[str], count_col: str = "count") -> DataFrame:
-    """A2: rows per group, ascending by size then by the group columns (null keys dropped)."""
+    """A2: rows per group (null keys dropped); ``group_sizes_ordered`` sorts them."""
     cond = None
     for c in cols:
         cond = F.col(c).isNotNull() if cond is None else cond & F.col(c).isNotNull()
@@ -311,6 +311,11 @@ def group_sizes(df: DataFrame, cols: Sequence[str], count_col: str = "count") ->
     return src.groupBy(*cols).agg(F.count(F.lit(1)).alias(count_col))
 
 
+def group_sizes_ordered(df: DataFrame, cols: Sequence[str], count_col: str = "count") -> DataFrame:
+    """A2: ``group_sizes`` ascending by size, then by the group columns."""
+    return group_sizes(df, cols, count_col).orderBy(count_col, *cols)
+
+
 def running_total(groups: DataFrame, cols: Sequence[str], count_col: str = "count",
                   out_col: str = "cum") -> DataFrame:
     """A3: running total of group sizes in ascending size order.
@@ -335,7 +340,7 @@ def minority_select(df: DataFrame, targets: Sequence[str], text_col: str, row_co
     occur twice unless ``disjoint``.
     """
     if not 0.0 < minor_ratio < 1.0:
-        raise ValueError("Unexpected minor ratio value, it must be between (0, 1)")
+        raise ValueError(f"minor_ratio is {minor_ratio}; a share strictly between 0 and 1 is needed")
     targets = list(targets)
     n_minor = int(minor_ratio * num_samples)
     n_random = int((1 - minor_ratio) * num_samples)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textstrata.functions.arrays import argmax, nll
-from textstrata.session import collect_bounded, collect_bounded_rows
+from textstrata.session import collect_bounded_rows
 
 MAX_LABELS = 1_000
 
@@ -156,29 +156,34 @@ def split_counts(df: DataFrame, split_col: str = "split") -> DataFrame:
 
 
 def argmax_accuracy(df: DataFrame, logits_col: str | Column, label_col: str) -> DataFrame:
-    """A10: share of rows whose argmax equals the label; one row."""
+    """A10: share of rows whose argmax equals the label; one row.
+
+    ``n`` counts the rows that the share is taken over: rows without a label or
+    without logits are in neither.
+    """
     hit = (argmax(logits_col) == F.col(label_col)).cast("double")
-    return df.agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    return df.agg(F.avg(hit).alias("accuracy"), F.count(hit).alias("n"))
 
 
 def weighted_cross_entropy(df: DataFrame, logits_col: str | Column, label_col: str,
                            weights: DataFrame | None = None) -> DataFrame:
     """Class-weighted mean cross-entropy ``sum(w*nll) / sum(w)``; one row.
 
-    ``weights`` is a ``(label_id, weight)`` table (for example from A1); it is
-    size-checked and broadcast.  Without it every weight is 1.
+    ``weights`` is a ``(label_id, weight)`` table (for example from A1), joined
+    by label; a row whose label has no weight fails the job.  Without it every
+    weight is 1.  ``n`` counts the rows in the loss; rows without a label are
+    in neither.
     """
     rows = df.select(F.col(label_col).cast("int").alias("label_id"),
                      nll(logits_col, label_col).alias("_nll"))
     if weights is None:
         rows = rows.withColumn("weight", F.lit(1.0))
     else:
-        w = collect_bounded(weights.select("label_id", "weight"), MAX_LABELS)
-        if w is None:
-            raise ValueError("weight table is larger than a label table")
-        rows = rows.join(F.broadcast(w), "label_id", "left")
+        rows = rows.where("label_id is not null").join(weights.select("label_id", "weight"), "label_id", "left")
+        missing = F.raise_error(F.concat(F.lit("no weight for label "), F.col("label_id").cast("string")))
+        rows = rows.withColumn("weight", F.coalesce("weight", missing.cast("double")))
     return rows.agg((F.sum(F.col("weight") * F.col("_nll")) / F.sum("weight")).alias("loss"),
-                    F.count(F.lit(1)).alias("n"))
+                    F.count("_nll").alias("n"))
 
 
 def classification_metrics(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:

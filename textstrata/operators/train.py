@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from textstrata.operators.pick import rank_scores
 from textstrata.operators.stats import balanced_class_weights
-from textstrata.session import collect_bounded
 
 FEATURES = "features"
 NUM_FEATURES = 1 << 16
@@ -37,33 +36,29 @@ def _featuriser(text_col: str, num_features: int) -> tuple[RegexTokenizer, Hashi
 
 
 def featurise_for_training(train: DataFrame, text_col: str, keep: Sequence[str],
-                           num_features: int = NUM_FEATURES) -> tuple[PipelineModel, DataFrame]:
-    """Fit the featuriser and return it with the persisted training features.
+                           num_features: int = NUM_FEATURES) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    """Fit the featuriser; returns it, the training features and the persisted term counts.
 
-    The training rows are spread over all cores once; texts are tokenised and
-    hashed once: the term counts are persisted, IDF is fitted on them and the
-    features are derived from them.  The caller
-    unpersists the returned frame; persisted blocks lost with an executor are
+    Texts are tokenised and hashed once: the term counts are persisted, IDF is
+    fitted on them and the features are derived from them.  The caller
+    unpersists the last frame; persisted blocks lost with an executor are
     recomputed from the lineage.
     """
     tok, tf = _featuriser(text_col, num_features)
-    # Every optimiser iteration is a pass over these rows: lay them out once
-    # over all cores (round robin) before tokenising and persisting them.
-    spread = train.repartition(train.sparkSession.sparkContext.defaultParallelism)
+    # Every optimiser iteration is a pass over these rows: even them out once, in
+    # partitions of the advisory size, before tokenising and persisting them.
+    spread = train.hint("rebalance")
     counts = tf.transform(tok.transform(spread)).select("_ts_tf", *keep) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     idf = IDF(inputCol="_ts_tf", outputCol=FEATURES).fit(counts)
-    return PipelineModel(stages=[tok, tf, idf]), idf.transform(counts)
+    return PipelineModel(stages=[tok, tf, idf]), idf.transform(counts), counts
 
 
 def _with_weights(df: DataFrame, label_col: str, weights: DataFrame | None) -> DataFrame:
     if weights is None:
         return df.withColumn("_ts_w", F.lit(1.0))
-    w = collect_bounded(weights.select(F.col("label_id").alias(label_col), F.col("weight").alias("_ts_w")),
-                        100_000)
-    if w is None:
-        raise ValueError("class weight table is larger than a label table")
-    return df.join(F.broadcast(w), label_col, "left").withColumn("_ts_w", F.coalesce("_ts_w", F.lit(1.0)))
+    w = weights.select(F.col("label_id").alias(label_col), F.col("weight").alias("_ts_w"))
+    return df.join(w, label_col, "left").withColumn("_ts_w", F.coalesce("_ts_w", F.lit(1.0)))
 
 
 def fit_target(featured: DataFrame, label_col: str, weights: DataFrame | None = None,
@@ -87,7 +82,7 @@ def train_models(train: DataFrame, text_col: str, label_cols: Mapping[str, str],
     target) or, with ``weight_mapping``, are computed as balanced weights (A1)
     from the persisted training rows themselves.
     """
-    features, featured = featurise_for_training(train, text_col, list(label_cols.values()), num_features)
+    features, featured, cached = featurise_for_training(train, text_col, list(label_cols.values()), num_features)
     try:
         models: dict[str, PipelineModel] = {"features": features}
         for target, label_col in label_cols.items():
@@ -97,7 +92,7 @@ def train_models(train: DataFrame, text_col: str, label_cols: Mapping[str, str],
             models[target] = fit_target(featured, label_col, w, max_iter, reg_param, target)
         return models
     finally:
-        featured.unpersist()
+        cached.unpersist()
 
 
 def accuracy(model: PipelineModel, featured: DataFrame, label_col: str, target: str) -> DataFrame:
@@ -118,21 +113,24 @@ def best_run(train: DataFrame, test: DataFrame, text_col: str, label_cols: Mappi
     number per run reaches the driver.
     """
     spark = train.sparkSession
-    features, f_train = featurise_for_training(train, text_col, list(label_cols.values()), num_features)
-    f_test = features.transform(test)
+    features, f_train, cached = featurise_for_training(train, text_col, list(label_cols.values()), num_features)
+    f_test = features.transform(test).select(FEATURES, *label_cols.values()).persist(StorageLevel.MEMORY_AND_DISK)
     rows, chosen = [], {"features": features}
-    for target, label_col in label_cols.items():
-        best_acc, best_model = None, None
-        for run, params in enumerate(candidates):
-            m = fit_target(f_train, label_col, (weights or {}).get(target),
-                           int(params.get("max_iter", EPOCHS)), float(params.get("reg_param", 0.0)), target)
-            acc = accuracy(m, f_test, label_col, target).first()["accuracy"]
-            rows.append((target, run, int(params.get("max_iter", EPOCHS)),
-                         float(params.get("reg_param", 0.0)), acc))
-            if best_acc is None or (acc is not None and acc > best_acc):
-                best_acc, best_model = acc, m
-        chosen[target] = best_model
-    f_train.unpersist()
+    try:
+        for target, label_col in label_cols.items():
+            best_acc, best_model = None, None
+            for run, params in enumerate(candidates):
+                m = fit_target(f_train, label_col, (weights or {}).get(target),
+                               int(params.get("max_iter", EPOCHS)), float(params.get("reg_param", 0.0)), target)
+                acc = accuracy(m, f_test, label_col, target).first()["accuracy"]
+                rows.append((target, run, int(params.get("max_iter", EPOCHS)),
+                             float(params.get("reg_param", 0.0)), acc))
+                if best_acc is None or (acc is not None and acc > best_acc):
+                    best_acc, best_model = acc, m
+            chosen[target] = best_model
+    finally:
+        cached.unpersist()
+        f_test.unpersist()
     table = spark.createDataFrame(rows, "target string, run int, max_iter int, reg_param double, accuracy double")
     first_best = F.min_by("run", F.struct(-F.col("accuracy"), F.col("run"))).over(
         Window.partitionBy("target"))

@@ -42,6 +42,11 @@ def normalise_missing(df: DataFrame, tokens: Sequence[str] = PANDAS_NA_TOKENS) -
         for f in df.schema.fields])
 
 
+#: What counts as a number; the engine's own cast also takes suffixes such as ``10D``.
+_INTEGER = r"^\s*[+-]?[0-9]+\s*$"
+_NUMBER = r"^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))\s*$"
+
+
 def infer_numeric(df: DataFrame) -> DataFrame:
     """String columns whose every non-null value is an integer become ``long``,
     else whose every non-null value is a number become ``double``.
@@ -55,8 +60,8 @@ def infer_numeric(df: DataFrame) -> DataFrame:
         return df
     counts = df.agg(*[e for c in cols for e in (
         F.count(F.col(c)).alias(f"{c}__n"),
-        F.count(F.col(c).try_cast("bigint")).alias(f"{c}__l"),
-        F.count(F.col(c).try_cast("double")).alias(f"{c}__d"))]).first()
+        F.count(F.when(F.col(c).rlike(_INTEGER), F.col(c).try_cast("bigint"))).alias(f"{c}__l"),
+        F.count(F.when(F.col(c).rlike(_NUMBER), F.col(c).try_cast("double"))).alias(f"{c}__d"))]).first()
     out = []
     for f in df.schema.fields:
         c = f.name
@@ -88,13 +93,15 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType | str | No
 
 def ingest_delimited(spark: SparkSession, path: str, out_path: str,
                      schema: StructType | str | None = None, sep: str = ";",
-                     row_col: str = "row_id") -> DataFrame:
+                     row_col: str = "row_id", multiline: bool = True) -> DataFrame:
     """IO1 + ingest: read once, number the rows, write Parquet, read that back.
 
     ``row_id`` is assigned once here and stored; it is never recomputed
     downstream (a recomputed id could differ after a retry or a re-split).
+    ``multiline=False`` splits files among tasks; it needs rows without quoted
+    line breaks.
     """
-    df = read_delimited(spark, path, schema, sep)
+    df = read_delimited(spark, path, schema, sep, multiline)
     df.withColumn(row_col, F.monotonically_increasing_id()).write.mode("overwrite").parquet(out_path)
     return spark.read.parquet(out_path)
 
@@ -161,12 +168,10 @@ def load_bundle(path: str, targets: Sequence[str]):
     """IO7: load every target's model; a missing directory fails before any job."""
     from pyspark.ml import PipelineModel
 
-    local = path[len("file:"):] if path.startswith("file:") else path
-    if "://" not in path:
-        if not os.path.isdir(local):
-            raise FileNotFoundError(f"Directory '{path}' does not exist!")
-        for t in targets:
-            if not os.path.isdir(os.path.join(local, t)):
-                raise FileNotFoundError(f"Directory '{os.path.join(path, t)}' does not exist!")
+    spark = SparkSession.getActiveSession()
+    for folder in (path, *(os.path.join(path, t) for t in targets)):
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            raise FileNotFoundError(f"no model folder at {folder}")
     return {t: PipelineModel.load(os.path.join(path, t)) for t in targets}
 
