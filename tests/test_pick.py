@@ -170,17 +170,40 @@ def test_sweep_fallback_counts_as_miss_without_none(spark):
     assert sweep.first()["accuracy"] == 0.5
 
 
-def test_fold_path_matches_unrolled(spark, monkeypatch):
-    """Large label tables use the aggregate fold: same picks as the unrolled form."""
-    monkeypatch.setattr(pick, "UNROLL_MAX_LABELS", 0)
-    got = run(spark, CASES, 0.1)
-    for case, g in zip(CASES, got):
-        assert g == brute(case, 0.1), case
+def test_many_labels_and_targets_pick_as_brute_force(spark):
+    """65 labels and 5 targets: the same rule as for ten labels and three targets."""
+    import random
+    rng = random.Random(5)
+    names = [f"t{i}" for i in range(5)]
+    table = {f"l{i}": i for i in range(65)}
+    rows = [tuple([round(rng.random(), 1) for _ in range(65)] for _ in names) for _ in range(40)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)],
+                               "id int, " + ", ".join(f"{n} array<double>" for n in names))
+    got = {r["id"]: r for r in pick.pick_labels(df, {n: n for n in names}, table, 0.9).collect()}
+    for i, row in enumerate(rows):
+        used = set()
+        for n, scores in zip(names, row):
+            best = max(((s, -j) for j, s in enumerate(scores) if s >= 0.9 and j not in used), default=None)
+            if best is None:
+                assert (got[i][f"{n}_label"], got[i][f"{n}_score"]) == ("none", -1.0)
+            else:
+                used.add(-best[1])
+                assert (got[i][f"{n}_label"], got[i][f"{n}_score"]) == (f"l{-best[1]}", best[0])
+
+
+def test_fold_column_matches_projections(spark):
+    df = spark.createDataFrame([([0.4, 0.6, 0.6], [0.1, 0.9, 0.2]), ([0.0, 0.0, 0.0], [0.5, 0.5, 0.1])],
+                               "a array<double>, b array<double>")
+    out, names = pick.with_picks(df, ["a", "b"], 0.3, 3)
+    for r in out.withColumn("fold", pick.pick_fold(["a", "b"], 0.3)).collect():
+        assert [r[n] for n in names] == list(r["fold"])
 
 
 def test_longer_score_array_than_table_fails(spark):
     import pytest
     from pyspark.errors import PySparkException
-    df = spark.createDataFrame([([0.5] * 11,)], "a array<double>")
+    df = spark.createDataFrame([([0.5] * 11, 0)], "a array<double>, y int")
     with pytest.raises(PySparkException):
         pick.pick_labels(df, {"HL": "a"}, TABLE, 0.1).collect()
+    with pytest.raises(PySparkException):
+        pick.cutoff_sweep(df, {"HL": "a"}, {"HL": "y"}, TABLE, [0.1]).collect()

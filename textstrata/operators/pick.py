@@ -7,10 +7,8 @@ compares label *names* across targets.
 Picking runs targets in their declared order and takes, per target, the best
 label with ``score >= cutoff`` that no earlier target has taken; otherwise the
 fallback ``("none", -1)``.  A picked label - a predicted ``none`` included - is
-taken; a fallback is not.  It is row-local - no join, no shuffle: for label
-tables of known, small size one projection per target of plain expressions
-(generated code), otherwise one ``aggregate`` fold whose accumulator carries
-the taken ids.
+taken; a fallback is not.  It is row-local - no join, no shuffle: one projection
+per target, whatever the size of the label table.
 """
 
 from __future__ import annotations
@@ -78,8 +76,14 @@ def pick_fold(score_cols: Sequence[str | Column], cutoff: float | Column) -> Col
     return F.aggregate(per_target, start, step)["picks"]
 
 
-UNROLL_MAX_LABELS = 64
-UNROLL_MAX_TARGETS = 4
+def _open_entry(cutoff: Column, earlier: Sequence[str]):
+    """Whether a scored entry reaches the cut-off and no pick in ``earlier`` took it."""
+    def test(x: Column) -> Column:
+        ok = x["score"] >= cutoff
+        for prev in earlier:
+            ok = ok & (F.col(prev).isNull() | (F.col(prev)["nid"] != x["nid"]))
+        return ok
+    return test
 
 
 def with_picks(df: DataFrame, score_cols: Sequence[str | Column], cutoff: float | Column,
@@ -87,34 +91,19 @@ def with_picks(df: DataFrame, score_cols: Sequence[str | Column], cutoff: float
     """C3 with the label count known: one column per target holding the pick
     (``struct<score, nid>``, null = fallback), the same rule as ``pick_fold``.
 
-    For small label tables the rule is unrolled into plain expressions - per
-    label a candidate if its score reaches the cut-off and no earlier pick took
-    it, and the greatest candidate wins - one projection per target, so it
-    runs as generated code instead of interpreted lambdas.  A score array
-    longer than the label table fails the job (as an unknown label id does).
-    Larger tables or more targets use the ``aggregate`` fold.
+    One projection per target: the greatest scored entry that reaches the
+    cut-off and that no earlier pick took.  The expression does not grow with
+    the label table, so label tables of any size run the same plan.  A score
+    array longer than the label table fails the job (as an unknown id does).
     """
     cols = [_c(x) for x in score_cols]
     names = [f"{prefix}{i}" for i in range(len(cols))]
-    if num_labels > UNROLL_MAX_LABELS or len(cols) > UNROLL_MAX_TARGETS:
-        folded = df.withColumn("_ts_fold", pick_fold(cols, cutoff))
-        for i, n in enumerate(names):
-            folded = folded.withColumn(n, F.col("_ts_fold")[i])
-        return folded.drop("_ts_fold"), names
     c = cutoff if isinstance(cutoff, Column) else F.lit(float(cutoff))
     out = df
     for t, col in enumerate(cols):
-        cands = []
-        for j in range(num_labels):
-            x = F.get(col, j).cast("double")
-            ok = x >= c
-            for prev in names[:t]:
-                ok = ok & (F.col(prev).isNull() | (F.col(prev)["nid"] != -j))
-            cands.append(F.when(ok, F.struct(x.alias("score"), F.lit(-j).alias("nid"))))
-        best = F.greatest(*cands) if len(cands) > 1 else cands[0]
-        checked = F.when(F.size(col) > num_labels, F.raise_error(
-            F.lit(f"more scores than the {num_labels} labels of the table"))).otherwise(best)
-        out = out.withColumn(names[t], checked)
+        best = F.array_max(F.filter(_scored(col), _open_entry(c, names[:t])))
+        too_long = F.raise_error(F.lit(f"more scores than the {num_labels} labels of the table"))
+        out = out.withColumn(names[t], F.when(F.size(col) > num_labels, too_long).otherwise(best))
     return out, names
 
 

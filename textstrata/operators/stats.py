@@ -13,9 +13,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textstrata.functions.arrays import argmax, nll
-from textstrata.session import collect_bounded_rows
-
-MAX_LABELS = 1_000
 
 
 def _classes_frame(df: DataFrame, mapping: Mapping[str, int]) -> DataFrame:
@@ -114,39 +111,36 @@ def association_pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
 
 
 def confusion_counts(df: DataFrame, true_col: str, pred_col: str,
-                     normalize: str | None = None, max_labels: int = MAX_LABELS) -> DataFrame:
-    """Dense confusion matrix ``(y_true, y_pred, value)``.
-
-    Labels are the union of both columns.  ``normalize``: ``None`` counts,
-    ``"true"`` by row total, ``"pred"`` by column total, ``"all"`` by the grand
-    total; an empty row or column normalises to 0.  The counts are one partial
-    aggregation; the label set is size-checked and the zero cells are added
-    as a literal grid by a union and a second aggregation (no join).
+                     normalize: str | None = None) -> DataFrame:
+    """Dense confusion matrix ``(y_true, y_pred, n[, value])``.
+
+    Labels are the union of both columns; a row without a true or predicted
+    label fails the job.  ``normalize``: ``None`` counts, ``"true"`` by row
+    total, ``"pred"`` by column total, ``"all"`` by the grand total; an empty
+    row or column normalises to 0.  The counts are one partial aggregation.
+    Each label is then expanded by the list of labels (a scalar of the plan, as
+    long as one row of the matrix) into its row of zero cells, added by a union
+    and a second aggregation (no join, nothing collected).
     """
-    rows = df.where(F.col(true_col).isNotNull() & F.col(pred_col).isNotNull())
-    cells = rows.groupBy(F.col(true_col).alias("y_true"), F.col(pred_col).alias("y_pred")) \
-        .agg(F.count(F.lit(1)).alias("n"))
+    if normalize not in (None, "true", "pred", "all"):
+        raise ValueError("normalize must be None, 'true', 'pred' or 'all'")
+
+    def present(c: str) -> Column:
+        return F.when(F.col(c).isNull(), F.raise_error(F.lit(f"row without a label in {c}"))).otherwise(F.col(c))
+
+    cells = (df.groupBy(F.col(true_col).alias("t"), F.col(pred_col).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+             .select(present("t").alias("y_true"), present("p").alias("y_pred"), "n"))
     labels = (cells.select(F.col("y_true").alias("l"))
               .union(cells.select(F.col("y_pred").alias("l"))).distinct())
-    label_rows = collect_bounded_rows(labels, max_labels)
-    if label_rows is None:
-        raise ValueError(f"more than {max_labels} labels: not a confusion matrix")
-    values = sorted(r["l"] for r in label_rows)
-    ltype = cells.schema["y_true"].dataType.simpleString()
-    arr = F.array(*[F.lit(v).cast(ltype) for v in values]) if values else F.array().cast(f"array<{ltype}>")
-    grid = (df.sparkSession.range(1).select(F.explode(arr).alias("y_true"))
-            .select("y_true", F.explode(arr).alias("y_pred"), F.lit(0).cast("long").alias("n")))
+    every = labels.agg(F.collect_list("l")).scalar()
+    grid = (labels.select(F.col("l").alias("y_true"), F.explode(every).alias("y_pred"))
+            .withColumn("n", F.lit(0).cast("long")))
     dense = grid.unionByName(cells).groupBy("y_true", "y_pred").agg(F.sum("n").cast("long").alias("n"))
     if normalize is None:
         return dense
-    if normalize == "true":
-        total = F.sum("n").over(Window.partitionBy("y_true"))
-    elif normalize == "pred":
-        total = F.sum("n").over(Window.partitionBy("y_pred"))
-    elif normalize == "all":
-        total = F.sum("n").over(Window.partitionBy())
-    else:
-        raise ValueError("normalize must be None, 'true', 'pred' or 'all'")
+    total = {"true": F.sum("n").over(Window.partitionBy("y_true")),
+             "pred": F.sum("n").over(Window.partitionBy("y_pred")),
+             "all": cells.agg(F.sum("n")).scalar()}[normalize]
     return dense.withColumn("value", F.when(total > 0, F.col("n") / total).otherwise(F.lit(0.0)))
 
 
