@@ -2,7 +2,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textstrata.operators import sample, stats, train
+from textstrata.operators import order, sample, stats, train
 from textstrata.sources import io
 
 
@@ -43,3 +43,45 @@ def test_training_releases_its_caches(spark):
 def test_missing_bundle(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         io.load_bundle(str(tmp_path / "none"), ["t"])
+
+
+def test_row_ids_follow_file_name_and_position(spark, tmp_path):
+    """Small and large files, several pieces per file: ids run in file order."""
+    sizes = {"a": 1, "b": 900, "c": 40}
+    for name, n in sizes.items():
+        lines = "\n".join(f"{name}{i};{i}" for i in range(n))
+        (tmp_path / f"{name}.csv").write_text(f"k;v\n{lines}\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        out = io.ingest_delimited(spark, str(tmp_path / "*.csv"), str(tmp_path / "out"))
+        got = [r.k for r in out.orderBy("row_id").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [f"{name}{i}" for name, n in sizes.items() for i in range(n)]
+    assert [r.row_id for r in out.orderBy("row_id").collect()] == list(range(941))
+    assert dict(out.dtypes)["v"] == "bigint"
+
+
+def test_one_site_of_many_rows_is_many_groups(spark):
+    """A site with positions 0..n-1 is cut into chunks, the chunks into blocks."""
+    n = 4000
+    rows = [("hot", i, "zand" if i % 1500 == 0 else "idem") for i in range(n)] + [("s", i, f"klei {i}") for i in range(9)]
+    df = spark.createDataFrame(rows, "site string, ord long, text string")
+    got = order.expand_idem(df, ["site"], "ord", "text", chunk_width=10)
+    assert {r.text for r in got.where("site = 'hot'").collect()} == {"zand"}
+    assert got.where("idem_unresolved").count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_a_row_without_a_label_fails_the_confusion_matrix(spark):
+    df = spark.createDataFrame([("a", "b"), (None, "a")], "t string, p string")
+    with pytest.raises(Exception, match="row without a label in t"):
+        stats.confusion_counts(df, "t", "p").collect()
+
+
+def test_confusion_matrix_of_1001_labels(spark):
+    df = spark.range(1001).select(F.col("id").alias("t"), F.col("id").alias("p"))
+    cells = stats.confusion_counts(df, "t", "p", normalize="all")
+    assert cells.agg(F.count("*"), F.sum("n"), F.round(F.sum("value"), 9)).first()[:] == (1001 * 1001, 1001, 1.0)

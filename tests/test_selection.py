@@ -76,8 +76,7 @@ def test_partition_invariance(spark):
     assert sorted(map(tuple, one)) == sorted(map(tuple, many))
 
 
-def test_above_the_broadcast_bound(spark, monkeypatch):
-    """Group tables larger than the bound take the shuffle-join path: same rows."""
-    from textstrata.operators import sample as S
-    monkeypatch.setattr(S, "MAX_STRATA", 2)
-    assert run(spark, ROWS, 20, 0.3) == brute(ROWS, 20, 0.3)
+@pytest.mark.parametrize("disjoint", [False, True])
+def test_minority_share_above_a_half(spark, disjoint):
+    """The random pool's bound is above zero, so groups are shut out of it."""
+    assert run(spark, ROWS, 12, 0.7, disjoint=disjoint) == brute(ROWS, 12, 0.7, disjoint=disjoint)

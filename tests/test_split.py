@@ -5,8 +5,10 @@ import random
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from textstrata.operators import sample
+from textstrata.operators.prefix import running_sum
 
 
 def h(seed, key):
@@ -81,10 +83,10 @@ def test_unstratified(spark):
     assert got == brute_split([(k, 0) for k in range(1000)], 0.1, 2023)
 
 
-@pytest.mark.parametrize("n,small", [(37, 10_000), (600, 100), (5000, 100), (0, 100)])
-def test_exact_sample(spark, n, small):
+@pytest.mark.parametrize("n", [37, 600, 5000, 0])
+def test_exact_sample(spark, n):
     df = spark.range(2000).withColumnRenamed("id", "key")
-    got = sorted(r["key"] for r in sample.exact_sample(df, n, "key", 7, small=small).collect())
+    got = sorted(r["key"] for r in sample.exact_sample(df, n, "key", 7).collect())
     if n <= 0:
         assert len(got) == 2000
         return
@@ -133,21 +135,50 @@ def test_split_without_boundary_buckets(spark):
     assert got == brute_split(rows, 0.5, 2023) == {1: "train", 2: "test", 3: "test"}
 
 
-def test_split_above_the_broadcast_bound(spark):
-    """With the per-stratum bound forced below the strata count, the split takes
-    its shuffle-join path and gives the same rows."""
+def test_split_by_shuffle_join(spark):
+    """Without broadcasts the split gives the same rows."""
     rnd = random.Random(4)
     rows = [(i, f"c{rnd.randint(0, 9)}") for i in range(2000)]
-    lazy = sample.mark_first_k(make(spark, rows), ["c"], ["key"], sample.split_quotas(0.2), "t",
-                               seed=2023, digits=2, max_strata=3)
-    got = {r["key"]: ("train" if r["t"] else "test") for r in lazy.collect()}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        marked = sample.mark_first_k(make(spark, rows), ["c"], ["key"], sample.split_quotas(0.2), "t",
+                                     seed=2023, digits=2)
+        got = {r["key"]: ("train" if r["t"] else "test") for r in marked.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == brute_split(rows, 0.2, 2023)
 
 
-def test_semi_join_above_the_broadcast_bound(spark, monkeypatch):
+def test_two_hundred_thousand_and_one_strata(spark):
+    """As many strata as rows but one: quotas still add up to the exact size."""
+    n = 200_002
+    df = spark.range(n).select(F.col("id").alias("key"), F.greatest(F.col("id"), F.lit(1)).alias("c"))
+    got = {r["split"]: r["count"] for r in sample.stratified_split(df, "key", "c", 0.15).groupBy("split").count().collect()}
+    n_test = math.ceil(0.15 * n)
+    assert got == {"train": n - n_test, "test": n_test}
+
+
+def test_repeated_keys_fail(spark):
+    """A key repeated at the threshold can't give an exact size."""
+    df = spark.range(1000).select((F.col("id") % 50).alias("key"))
+    with pytest.raises(PySparkException, match="row keys repeat"):
+        sample.unstratified_split(df, "key", 0.15).count()
+
+
+def test_running_sum_matches_a_window(spark):
+    rnd = random.Random(9)
+    rows = [(i, rnd.randint(0, 5)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(7)
+    got = {r["k"]: r["s"] for r in running_sum(df, [F.desc("v"), F.col("k")], F.col("v"), "s").collect()}
+    total = 0
+    for k, v in sorted(rows, key=lambda r: (-r[1], r[0])):
+        total += v
+        assert got[k] == total
+    assert running_sum(df.limit(0), [F.col("k")], F.col("v"), "s").collect() == []
+
+
+def test_semi_join_of_any_key_count(spark):
     df = spark.range(100).withColumnRenamed("id", "k")
     keys = spark.range(0, 100, 3).withColumnRenamed("id", "k")
-    small = sorted(r["k"] for r in sample.semi_join(df, keys, ["k"]).collect())
-    monkeypatch.setattr(sample, "MAX_STRATA", 5)
-    big = sorted(r["k"] for r in sample.semi_join(df, keys, ["k"]).collect())
-    assert small == big == list(range(0, 100, 3))
+    assert sorted(r["k"] for r in sample.semi_join(df, keys, ["k"]).collect()) == list(range(0, 100, 3))

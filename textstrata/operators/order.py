@@ -6,9 +6,11 @@ non-idem row of the same site, followed by what stands after the word *idem*.
 Spark has no row order, so the order is an explicit column.  The scan runs in
 two levels so that one site holding a third of all rows is not one task:
 rows are windowed per (site, chunk of the order key), and only one summary row
-per (site, chunk) - its last non-idem text - is carried across chunks by a
-second window.  The summary is map-side combined; the carried values join back
-on (site, chunk), which is how the rows are already partitioned.
+per (site, chunk) - its last non-idem text - is carried across chunks.  The
+summaries are cut into blocks of chunks and carried the same way, so the window
+over one site sees one row per ``chunk_width ** 2`` positions.  The summary is
+map-side combined; the carried values join back on (site, chunk), which is how
+the rows are already partitioned.
 """
 
 from __future__ import annotations
@@ -20,7 +22,26 @@ from pyspark.sql import functions as F
 
 from textstrata.functions.text import IDEM_MARKER, after_marker, starts_with_idem
 
-CHUNK_WIDTH = 1 << 20
+#: Positions per chunk.  The order identifies a row within its site, so with a
+#: whole-number order it also bounds the rows of one group.
+CHUNK_WIDTH = 1 << 15
+
+
+def _last_before(summary: DataFrame, value: str, width: int, out: str) -> DataFrame:
+    """Per (site, chunk) the last non-null ``value`` of the earlier chunks of its
+    site: first inside blocks of ``width`` chunks, then across the blocks."""
+    block = F.floor(F.col("_ts_chunk") / F.lit(width)).cast("long")
+    cut = summary.withColumn("_ts_block", block)
+    inside = (Window.partitionBy("_ts_site", "_ts_block").orderBy("_ts_chunk")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    near = cut.withColumn("_ts_near", F.last(value, ignorenulls=True).over(inside))
+    ends = cut.groupBy("_ts_site", "_ts_block").agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_ts_chunk"))).alias("_ts_end"))
+    across = (Window.partitionBy("_ts_site").orderBy("_ts_block")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    far = ends.select("_ts_site", "_ts_block", F.last("_ts_end", ignorenulls=True).over(across).alias("_ts_far"))
+    return (near.join(far, ["_ts_site", "_ts_block"])
+            .select("_ts_site", "_ts_chunk", F.coalesce("_ts_near", "_ts_far").alias(out)))
 
 
 def expand_idem(df: DataFrame, site_cols: Sequence[str], order_col: str, text_col: str,
@@ -66,11 +87,7 @@ def expand_idem(df: DataFrame, site_cols: Sequence[str], order_col: str, text_co
     valid = ~F.col("_ts_idem") & text.isNotNull()
     summary = (keyed.groupBy("_ts_site", "_ts_chunk")
                .agg(F.max_by(F.when(valid, text), F.when(valid, F.col(order_col))).alias("_ts_last")))
-    wc = (Window.partitionBy("_ts_site").orderBy("_ts_chunk")
-          .rowsBetween(Window.unboundedPreceding, -1))
-    carry = (summary.withColumn("_ts_carry", F.last("_ts_last", ignorenulls=True).over(wc))
-             .where(F.col("_ts_carry").isNotNull())
-             .select("_ts_site", "_ts_chunk", "_ts_carry"))
+    carry = _last_before(summary, "_ts_last", chunk_width, "_ts_carry").where(F.col("_ts_carry").isNotNull())
     joined = local.join(carry, ["_ts_site", "_ts_chunk"], "left")
 
     base = F.coalesce(F.col("_ts_base"), F.col("_ts_carry"))

@@ -8,27 +8,27 @@ All random choices are "the first k rows of a stratum in seeded hash order"
    bucket's rows are ranked, which gives the k-th order key of the stratum
 3. flag every row by comparing its order key with that threshold
 
-Steps 1 and 2 produce tables with at most one row per (stratum, bucket) and
-per stratum; the per-stratum tables are size-checked and broadcast.  No step
-shuffles the rows themselves, and a stratum holding a third of all rows costs
-no more than others: its work is spread over all scan tasks and only a
-``1/16**digits`` slice of it is ever ranked in one task.
+Steps 1 and 2 write tables with at most one row per (stratum, bucket) and one
+per stratum to the shared folder; joins against them are planned by their size
+in bytes.  A stratum holding a third of all rows costs no more than others: its
+work is spread over all scan tasks and only a ``1/16**digits`` slice of it is
+ever ranked in one task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textstrata.functions.hashing import hash_bucket, hash_order
-from textstrata.session import checkpoint_dir, collect_bounded, collect_bounded_rows
+from textstrata.operators.prefix import running_sum
+from textstrata.session import written
 
 DEFAULT_SEED = 2023
 BUCKET_DIGITS = 4
-MAX_STRATA = 200_000
-SMALL_SAMPLE = 0
 
 _H, _B, _K, _CNT = "_ts_h", "_ts_b", "_ts_k", "_ts_cnt"
 
@@ -53,13 +53,14 @@ def _null_safe_join(big: DataFrame, small: DataFrame, keys: list[str], how: str
 
 def mark_first_k(df: DataFrame, strata: Sequence[str], key_cols: Sequence[str],
                  quotas: Callable[[DataFrame], DataFrame], out_col: str,
-                 seed: int = DEFAULT_SEED, digits: int = BUCKET_DIGITS,
-                 max_strata: int = MAX_STRATA) -> DataFrame:
+                 seed: int = DEFAULT_SEED, digits: int = BUCKET_DIGITS) -> DataFrame:
     """Flag the first ``quota`` rows of each stratum in seeded hash order.
 
     ``quotas`` receives the per-stratum counts ``(*strata, n_c)`` and returns
     them with a ``quota`` column.  ``key_cols`` must identify a row (as the
-    row position does in the reference); ties in the hash are broken by the key.
+    row position does in the reference); ties in the hash are broken by the
+    key, and a key repeated at a threshold fails the job, because no exact
+    number of rows could be taken there.
     """
     strata, key_cols = list(strata), list(key_cols)
     single = not strata
@@ -70,76 +71,53 @@ def mark_first_k(df: DataFrame, strata: Sequence[str], key_cols: Sequence[str],
     keyed = df.select(*strata, h.alias(_H), hash_bucket(F.col(_H), digits).alias(_B),
                       F.struct(*key_cols).alias(_K))
 
-    # Job 1: counts per (stratum, bucket) -> per-stratum quotas -> the bucket in
-    # which each stratum's quota-th row falls.  The bucket counts are one
-    # exchange, reused by both branches of the plan.
-    bucket_counts = keyed.groupBy(*strata, _B).agg(F.count(F.lit(1)).alias(_CNT))
+    # Counts per (stratum, bucket) -> quotas -> the bucket in which each
+    # stratum's quota-th row falls.
+    bucket_counts = written(keyed.groupBy(*strata, _B).agg(F.count(F.lit(1)).alias(_CNT)), "bucket-counts")
     class_counts = bucket_counts.groupBy(*strata).agg(F.sum(_CNT).alias("n_c"))
-    quota_table = quotas(class_counts).select(*strata, "n_c", F.col("quota").cast("long"))
+    quota_table = written(quotas(class_counts).select(*strata, "n_c", F.col("quota").cast("long")), "quotas")
     w = Window.partitionBy(*strata).orderBy(_B)
-    boundary = (
-        _null_safe_join(bucket_counts, quota_table.select(*strata, "quota", "n_c"), strata, "inner")
+    boundary = written(
+        _null_safe_join(bucket_counts, quota_table, strata, "inner")
         .withColumn("_before", F.coalesce(F.sum(_CNT).over(
             w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .where((F.col("quota") > F.col("_before"))
                & (F.col("quota") <= F.col("_before") + F.col(_CNT))
                & (F.col("quota") < F.col("n_c")))
-        .select(*strata, _B, (F.col("quota") - F.col("_before")).alias("_need"))
-    )
-    per_stratum = _null_safe_join(quota_table, boundary, strata, "left")
-    decide_rows = collect_bounded_rows(per_stratum, max_strata)
-    lazy = decide_rows is None
-    decide = per_stratum if lazy else df.sparkSession.createDataFrame(decide_rows, per_stratum.schema)
-    rows = df.withColumn(_H, h).withColumn(_K, F.struct(*key_cols))
-    if not lazy and not any(r[_B] is not None for r in decide_rows):
-        # No stratum is cut inside a bucket: every quota is 0 or all its rows.
-        if single:
-            return _flag_with_literals(rows, decide_rows, None, out_col).drop("_ts_all")
-        full = decide.select(*strata, (F.col("quota") >= F.col("n_c")).alias("_full"))
-        flagged = _null_safe_join(rows, F.broadcast(full), strata, "left")
-        return (flagged.withColumn(out_col, F.coalesce(F.col("_full"), F.lit(False)))
-                .drop(_H, _K, "_full"))
-
-    # Job 2: rank only the boundary bucket's rows; the need-th is the threshold.
+        .select(*strata, _B, (F.col("quota") - F.col("_before")).alias("_need")), "boundary")
+
+    # Only the boundary buckets' rows are ranked; the need-th is the threshold.
     wr = Window.partitionBy(*strata).orderBy(_H, _K)
-    bounds = decide.where(F.col(_B).isNotNull()).select(*strata, _B, "_need")
-    threshold = (
-        _null_safe_join(keyed, bounds if lazy else F.broadcast(bounds), [*strata, _B], "inner")
-        .withColumn("_rn", F.row_number().over(wr))
-        .where(F.col("_rn") == F.col("_need"))
-        .select(*strata, F.col(_H).alias("_th"), F.col(_K).alias("_tk"))
-    )
-    threshold_rows = None if lazy else collect_bounded_rows(threshold, max_strata)
-    if single and threshold_rows is not None:
-        return _flag_with_literals(rows, decide_rows, threshold_rows, out_col).drop("_ts_all")
-    local_threshold = None if threshold_rows is None else \
-        df.sparkSession.createDataFrame(threshold_rows, threshold.schema)
-    decide = _null_safe_join(decide.select(*strata, "n_c", "quota"),
-                             threshold if local_threshold is None else F.broadcast(local_threshold),
-                             strata, "left")
-
-    flagged = _null_safe_join(rows, decide if lazy else F.broadcast(decide), strata, "left")
+    next_key = F.lead(F.struct(_H, _K)).over(wr)
+    repeated = F.raise_error(F.lit("row keys repeat: an exact number of rows can't be taken"))
+    ranked = (_null_safe_join(keyed, boundary, [*strata, _B], "inner")
+              .withColumn("_rn", F.row_number().over(wr)).withColumn("_next", next_key)
+              .where(F.col("_rn") == F.col("_need"))
+              .withColumn("_th", F.when(F.col("_next").eqNullSafe(F.struct(_H, _K)), repeated).otherwise(F.col(_H))))
+    threshold = ranked.select(*strata, "_th", F.col(_K).alias("_tk"))
+    decide = written(_null_safe_join(quota_table, threshold, strata, "left"), "thresholds")
+
+    rows = df.withColumn(_H, h).withColumn(_K, F.struct(*key_cols))
+    if single:
+        return _flag_with_literals(rows, decide, out_col).drop("_ts_all")
+    flagged = _null_safe_join(rows, decide, strata, "left")
     take = (F.col("quota") >= F.col("n_c")) | (
         (F.col("quota") > 0) & (F.struct(F.col(_H), F.col(_K)) <= F.struct(F.col("_th"), F.col("_tk"))))
     return (flagged.withColumn(out_col, F.coalesce(take, F.lit(False)))
             .drop(_H, _K, "n_c", "quota", "_th", "_tk"))
 
 
-def _flag_with_literals(rows: DataFrame, decide_rows: list, threshold_rows: list | None,
-                        out_col: str) -> DataFrame:
-    """One stratum: its (at most one) decision and threshold become literals, no join."""
-    if not decide_rows:  # no rows at all
-        return rows.withColumn(out_col, F.lit(False)).drop(_H, _K)
-    d = decide_rows[0]
-    if d["quota"] >= d["n_c"]:
-        take = F.lit(True)
-    elif d["quota"] <= 0 or not threshold_rows:
+def _flag_with_literals(rows: DataFrame, decide: DataFrame, out_col: str) -> DataFrame:
+    """One stratum: its decision (one row, or none for an empty table) becomes literals, no join."""
+    d = decide.first()
+    if d is None or d["quota"] <= 0:
         take = F.lit(False)
+    elif d["quota"] >= d["n_c"]:
+        take = F.lit(True)
     else:
-        th = threshold_rows[0]
         ktype = rows.schema[_K].dataType
-        tk = F.struct(*[F.lit(th["_tk"][f.name]).cast(f.dataType).alias(f.name) for f in ktype.fields])
-        take = F.struct(F.col(_H), F.col(_K)) <= F.struct(F.lit(th["_th"]), tk)
+        tk = F.struct(*[F.lit(d["_tk"][f.name]).cast(f.dataType).alias(f.name) for f in ktype.fields])
+        take = F.struct(F.col(_H), F.col(_K)) <= F.struct(F.lit(d["_th"]), tk)
     return rows.withColumn(out_col, take).drop(_H, _K)
 
 
@@ -158,27 +136,25 @@ def split_quotas(test_size: float, strict: bool = False) -> Callable[[DataFrame]
 
     def quotas(counts: DataFrame) -> DataFrame:
         strata = [c for c in counts.columns if c != "n_c"]
-        everything = Window.partitionBy()
+        counts = written(counts, "strata")
         dec = "decimal(38,0)"
-        q = (counts
-             .withColumn("_n", F.sum("n_c").over(everything))
-             .withColumn("_k", F.count(F.lit(1)).over(everything))
-             .withColumn("_ntest", F.ceil(F.lit(float(test_size)) * F.col("_n")).cast("long"))
-             .withColumn("_ntrain", F.col("_n") - F.col("_ntest"))
-             .withColumn("_prod", F.col("n_c").cast(dec) * F.col("_ntrain").cast(dec))
-             .withColumn("_base", F.expr(f"cast(_prod div cast(_n as {dec}) as long)"))
-             .withColumn("_rem", F.col("_prod") % F.col("_n").cast(dec))
-             .withColumn("_short", F.col("_ntrain") - F.sum("_base").over(everything))
-             .withColumn("_rank", F.row_number().over(
-                 Window.orderBy(F.desc("_rem"), *[F.asc_nulls_first(s) for s in strata])))
-             .withColumn("quota", F.col("_base") + F.when(F.col("_rank") <= F.col("_short"), 1).otherwise(0)))
-        if strict:
-            bad = ((F.min("n_c").over(everything) < 2)
-                   | (F.col("_ntrain") < F.col("_k")) | (F.col("_ntest") < F.col("_k")))
-            q = q.withColumn("quota", F.when(bad, F.raise_error(F.lit(
+        whole = counts.agg(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k"), F.min("n_c").alias("least")).first()
+        n = whole["n"] or 0
+        n_test = math.ceil(float(test_size) * n)
+        n_train = n - n_test
+        impossible = strict and n > 0 and (whole["least"] < 2 or n_train < whole["k"] or n_test < whole["k"])
+        prod = F.col("n_c").cast(dec) * F.lit(n_train).cast(dec)
+        q = (counts.withColumn("_prod", prod)
+             .withColumn("_base", F.expr(f"cast(_prod div cast({max(n, 1)} as {dec}) as long)"))
+             .withColumn("_rem", F.col("_prod") % F.lit(max(n, 1)).cast(dec)))
+        short = n_train - (q.agg(F.sum("_base")).first()[0] or 0)
+        order = [F.desc("_rem"), *[F.asc_nulls_first(s) for s in strata]]
+        q = running_sum(q, order, F.lit(1), "_rank")
+        if impossible:
+            q = q.withColumn("_base", F.raise_error(F.lit(
                 "stratified split impossible: a stratum has fewer than 2 rows "
-                "or a side has fewer rows than strata"))).otherwise(F.col("quota")))
-        return q.select(*strata, "n_c", "quota")
+                "or a side has fewer rows than strata")).cast("long"))
+        return q.select(*strata, "n_c", (F.col("_base") + (F.col("_rank") <= short).cast("long")).alias("quota"))
 
     return quotas
 
@@ -204,14 +180,11 @@ def unstratified_split(df: DataFrame, key_cols: str | Sequence[str], test_size:
 
 
 def exact_sample(df: DataFrame, n: int, key_cols: str | Sequence[str], seed: int = DEFAULT_SEED,
-                 strict: bool = False, small: int = SMALL_SAMPLE) -> DataFrame:
+                 strict: bool = False) -> DataFrame:
     """Exactly ``min(n, rows)`` rows, the first ``n`` in seeded hash order.
 
     ``n <= 0`` returns every row (sampling off).  The sample is taken with the
     bucketed threshold, so no task holds more than one bucket of one stratum.
-    A top-n (``orderBy().limit(n)``) is used only for ``n <= small``: it merges
-    ``n`` rows of every input partition in one task, which is fine for small
-    inputs but not for a table of 10^5 partitions, hence ``small=0`` by default.
     ``strict`` fails when ``n`` exceeds the rows.
     """
     keys = _as_list(key_cols)
@@ -221,9 +194,6 @@ def exact_sample(df: DataFrame, n: int, key_cols: str | Sequence[str], seed: int
         total = df.count()
         if n > total:
             raise ValueError(f"cannot take a sample of {n} from {total} rows")
-    if n <= small:
-        h = hash_order(seed, *keys)
-        return df.withColumn(_H, h).orderBy(_H, *keys).limit(n).drop(_H)
 
     def quotas(counts: DataFrame) -> DataFrame:
         return counts.withColumn("quota", F.least(F.col("n_c"), F.lit(int(n))))
@@ -247,7 +217,7 @@ def seeded_shuffle(df: DataFrame, key_cols: str | Sequence[str], seed: int = DEF
     counts = keyed.groupBy(_B).agg(F.count(F.lit(1)).alias(_CNT))
     offsets = counts.select(_B, (F.coalesce(F.sum(_CNT).over(
         Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("_off"))
-    offsets = collect_bounded(offsets, 16 ** digits)
+    offsets = written(offsets, "offsets")  # at most 16**digits rows of two numbers
     ranked = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy(_B).orderBy(_H, *keys)))
     return (ranked.join(F.broadcast(offsets), _B, "left")
             .withColumn(position_col, (F.col("_off") + F.col("_rn") - 1).cast("long"))
@@ -277,10 +247,8 @@ def replicate_by_count(df: DataFrame, count_col: str, copy_col: str = "copy",
 
 
 def semi_join(df: DataFrame, keys_df: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows of ``df`` whose key is in ``keys_df`` (broadcast when small)."""
-    local = collect_bounded(keys_df.select(*on).distinct(), MAX_STRATA)
-    side = F.broadcast(local) if local is not None else keys_df.select(*on)
-    return df.join(side, list(on), "left_semi")
+    """Rows of ``df`` whose key is in ``keys_df``; the join strategy follows the sizes."""
+    return df.join(keys_df.select(*on), list(on), "left_semi")
 
 
 def concat_rows(*dfs: DataFrame) -> DataFrame:
@@ -318,13 +286,9 @@ def group_sizes_ordered(df: DataFrame, cols: Sequence[str], count_col: str = "co
 
 def running_total(groups: DataFrame, cols: Sequence[str], count_col: str = "count",
                   out_col: str = "cum") -> DataFrame:
-    """A3: running total of group sizes in ascending size order.
-
-    The window has no partition key, so it is only for group tables (one row
-    per label combination), never for rows.
-    """
-    w = Window.orderBy(count_col, *cols).rowsBetween(Window.unboundedPreceding, 0)
-    return groups.withColumn(out_col, F.sum(count_col).over(w))
+    """A3: running total of group sizes in ascending size order, summed per
+    range of the order, so the groups never meet in one task."""
+    return running_sum(groups, [F.col(count_col), *[F.col(c) for c in cols]], F.col(count_col), out_col)
 
 
 def minority_select(df: DataFrame, targets: Sequence[str], text_col: str, row_col: str,
@@ -344,25 +308,14 @@ def minority_select(df: DataFrame, targets: Sequence[str], text_col: str, row_co
     targets = list(targets)
     n_minor = int(minor_ratio * num_samples)
     n_random = int((1 - minor_ratio) * num_samples)
-    checkpoint_dir(df.sparkSession)
-    deduped = drop_duplicates_first(df, [*targets, text_col], row_col).checkpoint(eager=True)
-
-    # The group table has one row per label combination; it is size-checked
-    # and the two key sets are broadcast (a shuffle join above the bound).
-    groups = running_total(group_sizes(deduped, targets), targets)
-    groups_local = collect_bounded(groups, MAX_STRATA)
+    # Decided on targets and row key alone; the kept rows are fetched by key.
+    slim = drop_duplicates_first(df.select(*targets, text_col, row_col), [*targets, text_col], row_col)
+    kept = written(slim.select(*targets, row_col), "kept-rows")
+    groups = written(running_total(group_sizes(kept, targets), targets), "groups")
     bound = n_minor if disjoint else n_minor - n_random
-
-    def keys(cond):
-        if groups_local is None:
-            return groups.where(cond).select(*targets)
-        return F.broadcast(groups_local.where(cond).select(*targets))
-
-    minor_keys = keys(F.col("cum") <= n_minor)
-    pool_keys = keys(F.col("cum") > bound)
-
-    minor = deduped.join(minor_keys, targets, "left_semi").withColumn(pool_col, F.lit("minor"))
-    pool = deduped.join(pool_keys, targets, "left_semi")
+    minor = semi_join(kept, groups.where(F.col("cum") <= n_minor), targets).select(row_col)
+    pool = semi_join(kept, groups.where(F.col("cum") > bound), targets).select(row_col)
     rand = exact_sample(pool, n_random, [row_col], seed=seed) if n_random > 0 else pool.limit(0)
-    return concat_rows(minor, rand.withColumn(pool_col, F.lit("random")))
-
+    picked = written(concat_rows(minor.withColumn(pool_col, F.lit("minor")),
+                                 rand.withColumn(pool_col, F.lit("random"))), "picked")
+    return df.join(picked, row_col).select(*df.columns, pool_col)

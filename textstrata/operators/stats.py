@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textstrata.functions.arrays import argmax, nll
+from textstrata.session import written
 
 
 def _classes_frame(df: DataFrame, mapping: Mapping[str, int]) -> DataFrame:
@@ -117,22 +118,23 @@ def confusion_counts(df: DataFrame, true_col: str, pred_col: str,
     Labels are the union of both columns; a row without a true or predicted
     label fails the job.  ``normalize``: ``None`` counts, ``"true"`` by row
     total, ``"pred"`` by column total, ``"all"`` by the grand total; an empty
-    row or column normalises to 0.  The counts are one partial aggregation.
-    Each label is then expanded by the list of labels (a scalar of the plan, as
-    long as one row of the matrix) into its row of zero cells, added by a union
-    and a second aggregation (no join, nothing collected).
+    row or column normalises to 0.  The counts are one partial aggregation,
+    written once.  Each label is then expanded by the list of labels (a literal
+    as long as one row of the matrix, whatever its length) into its row of zero
+    cells, added by a union and a second aggregation (no join).
     """
     if normalize not in (None, "true", "pred", "all"):
         raise ValueError("normalize must be None, 'true', 'pred' or 'all'")
 
-    def present(c: str) -> Column:
-        return F.when(F.col(c).isNull(), F.raise_error(F.lit(f"row without a label in {c}"))).otherwise(F.col(c))
+    def present(c: str, name: str) -> Column:
+        return F.when(F.col(c).isNull(), F.raise_error(F.lit(f"row without a label in {name}"))).otherwise(F.col(c))
 
-    cells = (df.groupBy(F.col(true_col).alias("t"), F.col(pred_col).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-             .select(present("t").alias("y_true"), present("p").alias("y_pred"), "n"))
+    cells = written(df.groupBy(F.col(true_col).alias("t"), F.col(pred_col).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+                    .select(present("t", true_col).alias("y_true"), present("p", pred_col).alias("y_pred"), "n"), "cells")
     labels = (cells.select(F.col("y_true").alias("l"))
               .union(cells.select(F.col("y_pred").alias("l"))).distinct())
-    every = labels.agg(F.collect_list("l")).scalar()
+    names = sorted(r["l"] for r in labels.collect())
+    every = F.array(*[F.lit(v) for v in names]).cast(f"array<{cells.schema['y_true'].dataType.simpleString()}>")
     grid = (labels.select(F.col("l").alias("y_true"), F.explode(every).alias("y_pred"))
             .withColumn("n", F.lit(0).cast("long")))
     dense = grid.unionByName(cells).groupBy("y_true", "y_pred").agg(F.sum("n").cast("long").alias("n"))
@@ -140,7 +142,7 @@ def confusion_counts(df: DataFrame, true_col: str, pred_col: str,
         return dense
     total = {"true": F.sum("n").over(Window.partitionBy("y_true")),
              "pred": F.sum("n").over(Window.partitionBy("y_pred")),
-             "all": cells.agg(F.sum("n")).scalar()}[normalize]
+             "all": F.lit(cells.agg(F.sum("n")).first()[0])}[normalize]
     return dense.withColumn("value", F.when(total > 0, F.col("n") / total).otherwise(F.lit(0.0)))
 
 

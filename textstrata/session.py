@@ -57,21 +57,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def collect_bounded_rows(df: DataFrame, max_rows: int) -> list | None:
-    """The rows of ``df`` when it has at most ``max_rows`` of them, else ``None``."""
-    rows = df.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet below the shared folder and read back.
 
-
-def collect_bounded(df: DataFrame, max_rows: int) -> DataFrame | None:
-    """Materialise ``df`` as a local relation when it has at most ``max_rows`` rows.
-
-    Returns ``None`` when it is larger, so that the caller takes its shuffle
-    path instead of broadcasting.  The result has no lineage: it cannot be lost
-    with an executor.  It carries no size statistics, so callers join it with
-    an explicit ``broadcast`` hint - its size is what this function checked.
+    The result can't be lost with an executor, is computed once, and Catalyst
+    knows its size in bytes: a join against it is broadcast or shuffled by that
+    size, without a hint or a row limit of ours.
     """
-    rows = collect_bounded_rows(df, max_rows)
-    if rows is None:
-        return None
-    return df.sparkSession.createDataFrame(rows, schema=df.schema)
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

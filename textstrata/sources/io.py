@@ -1,9 +1,8 @@
 """Readers and writers (IO1-IO7).
 
 Delimited files are read and written in parallel as directories of part files
-(never ``coalesce(1)``).  A delimited file with quoted line breaks cannot be
-split, so it is ingested once into Parquet with a ``row_id`` and all later
-work reads the Parquet copy.
+(never ``coalesce(1)``).  They are ingested once into Parquet with a ``row_id``
+in the order of the files, and all later work reads the Parquet copy.
 """
 
 from __future__ import annotations
@@ -11,11 +10,12 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from textstrata.operators.labels import id_to_label
+from textstrata.session import written
 
 # The strings that pandas' delimited reader treats as missing by
 # default (public pandas behaviour, which the reference's reader relies on).
@@ -74,6 +74,13 @@ def infer_numeric(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def _delimited_text(spark: SparkSession, path: str, schema: StructType | str | None, sep: str,
+                    multiline: bool) -> DataFrame:
+    reader = spark.read.options(**_CSV_OPTIONS).option("sep", sep) \
+        .option("multiLine", str(multiline).lower()).option("mode", "FAILFAST")
+    return (reader.schema(schema) if schema is not None else reader).csv(path)
+
+
 def read_delimited(spark: SparkSession, path: str, schema: StructType | str | None = None,
                    sep: str = ";", multiline: bool = True,
                    na_tokens: Sequence[str] = PANDAS_NA_TOKENS) -> DataFrame:
@@ -81,28 +88,39 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType | str | No
 
     With a schema nothing is inferred.  Without one, every column is read as
     text, missing spellings become null, and then number columns are
-    recognised (``infer_numeric``).  ``multiline`` allows quoted line breaks
-    (each file is then read by one task).
+    recognised (``infer_numeric``).  ``multiline`` allows quoted line breaks,
+    and each file is then read by one task.
     """
-    reader = spark.read.options(**_CSV_OPTIONS).option("sep", sep) \
-        .option("multiLine", str(multiline).lower()).option("mode", "FAILFAST")
-    if schema is not None:
-        return normalise_missing(reader.schema(schema).csv(path), na_tokens)
-    return infer_numeric(normalise_missing(reader.csv(path), na_tokens))
+    rows = normalise_missing(_delimited_text(spark, path, schema, sep, multiline), na_tokens)
+    return rows if schema is not None else infer_numeric(rows)
 
 
 def ingest_delimited(spark: SparkSession, path: str, out_path: str,
                      schema: StructType | str | None = None, sep: str = ";",
-                     row_col: str = "row_id", multiline: bool = True) -> DataFrame:
+                     row_col: str = "row_id", multiline: bool = False) -> DataFrame:
     """IO1 + ingest: read once, number the rows, write Parquet, read that back.
 
-    ``row_id`` is assigned once here and stored; it is never recomputed
-    downstream (a recomputed id could differ after a retry or a re-split).
-    ``multiline=False`` splits files among tasks; it needs rows without quoted
-    line breaks.
+    Files are split among tasks; a quoted line break then fails the job, and
+    ``multiline=True`` reads each file whole.
+    ``row_id`` counts from 0 in the order of file path and position in the file,
+    however the files are packed into tasks.  A task reads each piece of a file
+    as one run of rows, so a row's place is its distance from the first row of
+    its piece, plus the rows of all earlier pieces (a table of one short row
+    per piece).  It is assigned once here and stored, never recomputed.
     """
-    df = read_delimited(spark, path, schema, sep, multiline)
-    df.withColumn(row_col, F.monotonically_increasing_id()).write.mode("overwrite").parquet(out_path)
+    text = _delimited_text(spark, path, schema, sep, multiline)
+    staged = written(text.select(
+        "*", F.col("_metadata.file_path").alias("_ts_file"), F.col("_metadata.file_block_start").alias("_ts_at"),
+        F.monotonically_increasing_id().alias("_ts_id")), "delimited")
+    pieces = staged.groupBy("_ts_file", "_ts_at").agg(F.min("_ts_id").alias("_ts_first"), F.count(F.lit(1)).alias("_ts_n"))
+    earlier = Window.orderBy("_ts_file", "_ts_at").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("_ts_before", F.coalesce(F.sum("_ts_n").over(earlier), F.lit(0))).drop("_ts_n")
+    numbered = (staged.join(pieces, ["_ts_file", "_ts_at"])
+                .withColumn(row_col, F.col("_ts_before") + F.col("_ts_id") - F.col("_ts_first")))
+    out = normalise_missing(numbered.select(*text.columns, row_col))
+    if schema is None:
+        out = infer_numeric(out)
+    out.write.mode("overwrite").parquet(out_path)
     return spark.read.parquet(out_path)
 
 
