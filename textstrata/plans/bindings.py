@@ -10,11 +10,13 @@ same rows.  Column names are the same on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textstrata.functions.arrays import argmax, slice0, softmax
+from textstrata.functions.arrays import argmax, softmax
 from textstrata.functions.text import normalise
 from textstrata.operators import clean, encode, pick, sample, stats
 from textstrata.operators import train as train_ops
@@ -25,7 +27,7 @@ from textstrata.operators.order import expand_idem
 from textstrata.operators.sample import stratified_split
 from textstrata.operators.stats import balanced_class_weights
 from textstrata.plans import jobs
-from textstrata.plans.oracle import oracle_sql
+from textstrata.plans.oracle import TURNS, oracle_sql
 from textstrata.session import shared_path
 from textstrata.sources import io
 from textstrata.streaming.predict import start_stream_predict
@@ -233,10 +235,19 @@ def q_association_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_assoc(stats.association_pairs(read(spark, sf_dir, "lineitem"), ASSOCIATION_PAIRS))
 
 
+def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` with ten logits per target in ``l_0``, ``l_1``, ``l_2``: all 64
+    elements, summed by ``(position + turn) % 10`` with another turn per target."""
+    def folded(turn: int) -> Column:
+        return F.array(*[reduce(add, [F.col("embedding")[j].cast("double") for j in range(64) if (j + turn) % 10 == c])
+                         for c in range(10)])
+    return read(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", *[folded(turn).alias(f"l_{t}") for t, turn in enumerate(TURNS)])
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``embeddings`` with the argmax of elements 0-9 as a prediction."""
-    emb = read(spark, sf_dir, "embeddings")
-    return emb.select("vec_id", "label", argmax(slice0("embedding", 0, 10)).alias("pred"))
+    """``embeddings`` with the argmax of the first target's logits as a prediction."""
+    return logits(spark, sf_dir).select("vec_id", "label", argmax("l_0").alias("pred"))
 
 
 def q_confusion_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,16 +262,15 @@ def q_confusion_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_argmax_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A10 on elements 0-9 of the embeddings as logits."""
-    emb = read(spark, sf_dir, "embeddings")
-    return stats.argmax_accuracy(emb, slice0("embedding", 0, 10), "label")
+    """A10 on the first target's logits."""
+    return stats.argmax_accuracy(logits(spark, sf_dir), "l_0", "label")
 
 
 def q_weighted_ce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A11 with balanced weights of the labels (A1 over all rows)."""
     emb = read(spark, sf_dir, "embeddings")
     weights = balanced_class_weights(emb, "label", TEN_CLASSES, split_col=None)
-    loss = stats.weighted_cross_entropy(emb, slice0("embedding", 0, 10), "label", weights)
+    loss = stats.weighted_cross_entropy(logits(spark, sf_dir), "l_0", "label", weights)
     return loss.withColumn("loss", F.round("loss", 9))
 
 
@@ -271,10 +281,9 @@ def q_metric_trio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def target_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three targets' scores: softmax of 20x elements 0-9, 10-19 and 20-29."""
-    emb = read(spark, sf_dir, "embeddings")
-    return emb.select("vec_id", "label", *[
-        softmax(slice0("embedding", 10 * i, 10), SCALE).alias(f"s_{t}") for i, t in enumerate(TARGETS)])
+    """Three targets' scores: softmax of 20x their logits."""
+    return logits(spark, sf_dir).select("vec_id", "label", *[
+        softmax(f"l_{i}", SCALE).alias(f"s_{t}") for i, t in enumerate(TARGETS)])
 
 
 def q_pick_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ SEED = 2023
 TEST_SIZE = 0.15
 CUTOFF = 0.1
 TARGETS = ("HL", "NL1", "NL2")
+#: How far the 64 elements are turned before they are summed into a target's ten logits.
+TURNS = (0, 3, 7)
 TEN = (*LITHOLOGY_LABELS, NONE_LABEL)
 
 # RE2 forms of the normalisation class: RE2's \s is ASCII, so the other
@@ -78,6 +80,14 @@ SELECT {pair_col}CAST(t.nt AS BIGINT) AS n, round(x.chi2, 6) AS chi2,
 FROM t CROSS JOIN x)"""
 
 
+def _logits() -> str:
+    """``embeddings`` with ``embedding`` replaced by ten sums per target over all 64 elements."""
+    sums = [" + ".join(f"CAST(embedding[{j + 1}] AS DOUBLE)" for j in range(64) if (j + turn) % 10 == c)
+            for turn in TURNS for c in range(10)]
+    return f"(SELECT vec_id, label, [{', '.join(sums)}] AS embedding FROM embeddings)"
+
+
+_LOGITS = _logits()
 _ARGMAX = "list_position(list_slice(embedding, 1, 10), list_max(list_slice(embedding, 1, 10))) - 1"
 
 
@@ -87,7 +97,7 @@ def _target_scores() -> str:
     return f"""
 lg AS (SELECT e.vec_id, e.label, tg.tgt, tg.tord, g.i AS label_id,
               CAST(e.embedding[tg.tord * 10 + g.i + 1] AS DOUBLE) * 20.0 AS x
-       FROM embeddings e CROSS JOIN {tv} CROSS JOIN range(0, 10) AS g(i)),
+       FROM {_LOGITS} e CROSS JOIN {tv} CROSS JOIN range(0, 10) AS g(i)),
 ex AS (SELECT *, exp(x - max(x) OVER (PARTITION BY vec_id, tgt)) AS ee FROM lg),
 sc AS (SELECT vec_id, label, tgt, tord, label_id, ee / sum(ee) OVER (PARTITION BY vec_id, tgt) AS score FROM ex)"""
 
@@ -118,7 +128,7 @@ def _sweep_sql(cutoffs) -> str:
         f"FROM base b LEFT JOIN pick_{t} p ON p.vec_id = b.vec_id AND p.cutoff = b.cutoff" for t in TARGETS)
     return f"""WITH {_target_scores()},
 scc AS (SELECT sc.*, cv.cutoff FROM sc CROSS JOIN {_cutoffs_values(cutoffs)}),
-base AS (SELECT e.vec_id, e.label, cv.cutoff FROM embeddings e CROSS JOIN {_cutoffs_values(cutoffs)}),
+base AS (SELECT e.vec_id, e.label, cv.cutoff FROM {_LOGITS} e CROSS JOIN {_cutoffs_values(cutoffs)}),
 {picks},
 hits AS ({hits}),
 sweep AS (SELECT cutoff, target, avg(hit) AS accuracy FROM hits GROUP BY cutoff, target)"""
@@ -293,14 +303,14 @@ WHERE p_type IS NOT NULL AND p_brand IS NOT NULL GROUP BY ALL""",
                          ("l_linestatus", "l_linenumber"))),
 
         "confusion_counts": f"""
-WITH p AS (SELECT label AS y_true, CAST({_ARGMAX} AS INTEGER) AS y_pred FROM embeddings),
+WITH p AS (SELECT label AS y_true, CAST({_ARGMAX} AS INTEGER) AS y_pred FROM {_LOGITS}),
 l AS (SELECT y_true AS v FROM p UNION SELECT y_pred FROM p),
 c AS (SELECT y_true, y_pred, count(*) AS n FROM p GROUP BY ALL)
 SELECT a.v AS y_true, b.v AS y_pred, CAST(coalesce(c.n, 0) AS BIGINT) AS n
 FROM l a CROSS JOIN l b LEFT JOIN c ON c.y_true = a.v AND c.y_pred = b.v""",
 
         "confusion_normalised": f"""
-WITH p AS (SELECT label AS y_true, CAST({_ARGMAX} AS INTEGER) AS y_pred FROM embeddings),
+WITH p AS (SELECT label AS y_true, CAST({_ARGMAX} AS INTEGER) AS y_pred FROM {_LOGITS}),
 l AS (SELECT y_true AS v FROM p UNION SELECT y_pred FROM p),
 c AS (SELECT y_true, y_pred, count(*) AS n FROM p GROUP BY ALL),
 r AS (SELECT y_true, count(*) AS rt FROM p GROUP BY ALL)
@@ -309,25 +319,25 @@ SELECT a.v AS y_true, b.v AS y_pred, CAST(coalesce(c.n, 0) AS BIGINT) AS n,
 FROM l a CROSS JOIN l b LEFT JOIN c ON c.y_true = a.v AND c.y_pred = b.v LEFT JOIN r ON r.y_true = a.v""",
 
         "argmax_accuracy": f"""
-SELECT avg(CASE WHEN {_ARGMAX} = label THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS n FROM embeddings""",
+SELECT avg(CASE WHEN {_ARGMAX} = label THEN 1.0 ELSE 0.0 END) AS accuracy, count(*) AS n FROM {_LOGITS}""",
 
-        "weighted_ce": """
-WITH w AS (SELECT label, CAST((SELECT count(*) FROM embeddings) AS DOUBLE)
-                  / (CAST((SELECT count(DISTINCT label) FROM embeddings) AS DOUBLE) * count(*)) AS weight
-           FROM embeddings GROUP BY label),
+        "weighted_ce": f"""
+WITH w AS (SELECT label, CAST((SELECT count(*) FROM {_LOGITS}) AS DOUBLE)
+                  / (CAST((SELECT count(DISTINCT label) FROM {_LOGITS}) AS DOUBLE) * count(*)) AS weight
+           FROM {_LOGITS} GROUP BY label),
 x AS (SELECT e.vec_id, e.label, CAST(v.x AS DOUBLE) AS x, v.i
-      FROM embeddings e, unnest(list_slice(e.embedding, 1, 10)) WITH ORDINALITY AS v(x, i)),
+      FROM {_LOGITS} e, unnest(list_slice(e.embedding, 1, 10)) WITH ORDINALITY AS v(x, i)),
 lse AS (SELECT vec_id, label, m + ln(s) AS lse FROM (
           SELECT vec_id, label, max(m) AS m, sum(ex) AS s FROM (
             SELECT vec_id, label, max(x) OVER (PARTITION BY vec_id) AS m,
                    exp(x - max(x) OVER (PARTITION BY vec_id)) AS ex FROM x) GROUP BY vec_id, label)),
 nll AS (SELECT l.vec_id, l.label, l.lse - CAST(e.embedding[l.label + 1] AS DOUBLE) AS nll
-        FROM lse l JOIN embeddings e ON e.vec_id = l.vec_id)
+        FROM lse l JOIN {_LOGITS} e ON e.vec_id = l.vec_id)
 SELECT round(sum(w.weight * nll.nll) / sum(w.weight), 9) AS loss, count(*) AS n
 FROM nll JOIN w ON w.label = nll.label""",
 
         "metric_trio": f"""
-WITH p AS (SELECT label AS t, CAST({_ARGMAX} AS INTEGER) AS pr FROM embeddings),
+WITH p AS (SELECT label AS t, CAST({_ARGMAX} AS INTEGER) AS pr FROM {_LOGITS}),
 k AS (SELECT v FROM (SELECT t AS v FROM p UNION SELECT pr FROM p)),
 per AS (SELECT k.v, CAST((SELECT count(*) FROM p WHERE p.t = k.v) AS DOUBLE) AS tk,
                CAST((SELECT count(*) FROM p WHERE p.pr = k.v) AS DOUBLE) AS pk,
@@ -341,7 +351,7 @@ SELECT round(c / s, 12) AS accuracy, round(bal, 12) AS balanced_accuracy,
         "pick_labels": f"""
 WITH {_target_scores().lstrip()},
 {_picks()}
-SELECT e.vec_id, {picks_select} FROM embeddings e {picks_joins}""",
+SELECT e.vec_id, {picks_select} FROM {_LOGITS} e {picks_joins}""",
 
         "cutoff_sweep": f"{_sweep_sql(cutoffs)} SELECT cutoff, target, round(accuracy, 12) AS accuracy FROM sweep",
 
@@ -395,6 +405,6 @@ SELECT e.vec_id, """ + ", ".join(
             f"max(CASE WHEN r.tgt = {_q(t)} AND r.rk = 1 THEN round(r.score, 9) END) AS {t}_top_score, "
             f"max(CASE WHEN r.tgt = {_q(t)} AND r.rk = 2 THEN n.label END) AS {t}_second, "
             f"CAST(count(CASE WHEN r.tgt = {_q(t)} AND r.score >= {_dbl(CUTOFF)} THEN 1 END) AS INTEGER) AS {t}_n_above"
-            for t in TARGETS) + """
-FROM embeddings e JOIN r ON r.vec_id = e.vec_id JOIN n ON n.label_id = r.label_id GROUP BY e.vec_id""",
+            for t in TARGETS) + f"""
+FROM {_LOGITS} e JOIN r ON r.vec_id = e.vec_id JOIN n ON n.label_id = r.label_id GROUP BY e.vec_id""",
     }
