@@ -1,9 +1,10 @@
 """Licence scan by a positional index of rare licence words.
 
 The index lists, for each word of the licence templates that isn't a function
-word, the templates and positions where it stands.  A file's licence words are
-looked up by falling inverse document frequency; its postings agree on a
-template where the differences of positions agree, and a template counts once
+word, the templates and positions where it stands.  For each template the file's
+words of the highest inverse document frequency are looked up, so one licence
+can't crowd out another; postings agree on a template where the differences of
+positions agree, and a template counts once
 its mandatory key phrase stands at that place word by word.  DataFrame
 expressions only; one pass over the texts, everything after it on licence words.
 """
@@ -96,8 +97,8 @@ def read_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def match_templates(rows: DataFrame, lookups: int = 8, min_share: float = 0.5) -> DataFrame:
     """``(row, found, score)`` for rows with licence words.
 
-    A row looks up its ``lookups`` distinct licence words of the highest
-    inverse document frequency over all rows.  ``score`` is the largest share
+    A row looks up, for each template, its ``lookups`` distinct words of the
+    highest inverse document frequency over all rows.  ``score`` is the largest share
     of a template's weight found at one relative position, halved where the
     key phrase isn't there; ``found`` lists the labels of templates that have
     the key phrase and at least ``min_share``.
@@ -109,15 +110,24 @@ def match_templates(rows: DataFrame, lookups: int = 8, min_share: float = 0.5) -
     if not idf:
         return rows.sparkSession.createDataFrame([], "row long, found array<string>, score double")
     weight = F.create_map(*[F.lit(x) for pair in sorted(idf.items()) for x in pair])
-    entry = F.create_map(*[x for w in sorted(idf) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(at).alias("t_at")) for t, at in postings[w]]))])
+    code = {pair: i for i, pair in enumerate(sorted({(t, w) for w in idf for t, _ in postings[w]}))}
+    entry = F.create_map(*[x for w in sorted(idf) for x in (F.lit(w), F.array(*[
+        F.struct(F.lit(t).alias("t"), F.lit(at).alias("t_at"), F.lit(code[t, w]).alias("code")) for t, at in postings[w]]))])
     full = []
     for _, words, _ in TEMPLATES:
         per_place = sorted((idf.get(w, 0.0) for w in words.split()), reverse=True)
         full.append(sum(per_place[:lookups]))
 
-    ranked = F.sort_array(F.transform(F.filter(F.array_distinct("hits.w"), lambda w: w.isin(*idf)), lambda w: F.named_struct(F.lit("rank"), -weight[w], F.lit("w"), w)))
-    looked = rows.where(F.size("hits") > 0).select("row", F.slice(ranked, 1, lookups)["w"].alias("rare"), F.explode("hits").alias("h"))
-    placed = looked.where(F.col("h.w").isin(*idf)).select("row", F.when(F.array_contains("rare", F.col("h.w")), weight[F.col("h.w")]).otherwise(0.0).alias("weight"), F.col("h.at").alias("at"), F.col("h.text").alias("text"), F.explode(entry[F.col("h.w")]).alias("p"))
+    def rarest(t: int, seen: Column) -> Column:
+        words = sorted((w for u, w in code if u == t), key=lambda w: (-idf[w], w))
+        known = F.array(*[F.when(F.array_contains(seen, w), F.lit(code[t, w])) for w in words])
+        return F.slice(F.array_compact(known), 1, lookups)
+
+    rare = let(F.array_distinct("hits.w"), lambda seen: F.flatten(F.array(*[rarest(t, seen) for t in sorted({t for t, _ in code})])))
+    looked = rows.where(F.size("hits") > 0).select("row", rare.alias("rare"), F.explode("hits").alias("h"))
+    placed = (looked.where(F.col("h.w").isin(*idf))
+              .select("row", "rare", weight[F.col("h.w")].alias("weight"), F.col("h.at").alias("at"), F.col("h.text").alias("text"), F.explode(entry[F.col("h.w")]).alias("p"))
+              .withColumn("weight", F.when(F.array_contains("rare", F.col("p.code")), F.col("weight")).otherwise(0.0)))
     key = F.lit(False)
     for t, (_, _, phrase) in enumerate(TEMPLATES):
         here = (F.col("p.t") == t) & (F.col("p.t_at") == _phrase_start(t))
