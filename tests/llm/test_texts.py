@@ -71,6 +71,16 @@ def test_guess_spans_and_redaction(odd_docs, no_docs):
     assert secrets.scan(no_docs).count() == secrets.redact(no_docs).count() == 0
 
 
+def test_long_values_are_spans_as_a_whole():
+    rng = random.Random(8)
+    value = "".join(rng.choice("!#%^&ghjkmnpqrtvwxyz2345678") for _ in range(5000))
+    for left, right in (('"', '"'), ("'", "'"), ("", " end")):
+        text = f"auth = {left}{value}{right}"
+        assert [text[a:e] for a, k, e in secrets.find_spans(text) if k == 3] == [value]
+    many = "token: abcdefgh1 " * 3000 + "auth: Zq8#vT2!mN5^"
+    assert [many[a:e] for a, k, e in secrets.find_spans(many) if k == 3] == ["Zq8#vT2!mN5^"]
+
+
 @pytest.mark.parametrize("table", ["odd_docs", "sf001_docs"])
 def test_licence_base(request, table):
     docs = request.getfixturevalue(table)
@@ -95,6 +105,16 @@ def test_licence_labels(spark, no_docs):
     assert licenses.scan(no_docs).count() == 0
 
 
+def test_a_file_of_many_licences_has_all_their_labels(spark):
+    """One licence's rare words don't crowd out those of another."""
+    text = " . ".join(f"{words} filler" for _, words, _ in licenses.TEMPLATES)
+    rows = [(0, text)] + [(1 + i, f"{words} plain prose") for i, (_, words, _) in enumerate(licenses.TEMPLATES)]
+    got = {r.id: set(r.labels.split(",")) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {label for label, _, _ in licenses.TEMPLATES} <= got[0]
+    for i, (label, _, _) in enumerate(licenses.TEMPLATES):
+        assert label in got[1 + i]
+
+
 def test_licence_scan_runs_no_python(odd_docs):
     plan = licenses.scan(odd_docs)._jdf.queryExecution().toString() + licenses.read_words(odd_docs)._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))

@@ -12,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +29,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Wider contexts than the base pattern: more names, and values of printable ASCII.
 CONTEXT = re.compile(
-    r"""(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|auth)["']?[\x20\t]*(?:=>|:=|[:=])[\x20\t]*(?:"([^"\n]{4,256})"|'([^'\n]{4,256})'|([^\s"',;]{4,256}))""",
+    r"""(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|auth)["']?[\x20\t]*(?:=>|:=|[:=])[\x20\t]*(?:"([^"\n]{4,})"|'([^'\n]{4,})'|([^\s"',;]{4,}))""",
     re.A)
 
 # Words that guessers try first, most frequent first.
@@ -56,13 +58,25 @@ def _alphabet(value: str) -> int:
     return 16 if re.fullmatch("[0-9a-f]+|[0-9A-F]+", value) else max(size, 2)
 
 
-@lru_cache(maxsize=20_000)
+#: Costs of values up to this length are remembered; longer ones are worked out each time.
+REMEMBERED = 256
+
+
 def guess_cost(value: str) -> float:
-    """log2 of the guesses of the cheapest segmentation of ``value``.
+    """log2 of the guesses of the cheapest segmentation of a whole ``value``.
 
     Each segment also costs one bit for the choice of its kind; brute force
     costs log2 of the alphabet that the value uses per character.
     """
+    return _remembered_cost(value) if len(value) <= REMEMBERED else _cheapest(value)
+
+
+@lru_cache(maxsize=20_000)
+def _remembered_cost(value: str) -> float:
+    return _cheapest(value)
+
+
+def _cheapest(value: str) -> float:
     n, lower = len(value), value.lower()
     plain, brute = lower.translate(LEET), math.log2(_alphabet(value))
     best = [0.0] + [math.inf] * n
@@ -108,10 +122,13 @@ def find_spans(text: str | None, min_bits: float = 40.0) -> list[tuple[int, int,
     spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = sorted(spans)
+    starts, reach = [a for a, _, _ in base], list(accumulate((e for _, _, e in base), max))
     for m in CONTEXT.finditer(text):
         g = m.lastindex
         a, e = m.span(g)
-        if guess_cost(m[g]) >= min_bits and not any(s <= a and e <= t for s, _, t in base):
+        before = bisect_right(starts, a)
+        covered = before and reach[before - 1] >= e
+        if not covered and guess_cost(m[g]) >= min_bits:
             spans.append((a, 3, e))
     return sorted(spans)
 
