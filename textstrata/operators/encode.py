@@ -68,12 +68,20 @@ def _framed(ids: Column, max_length: int, start_id: int, end_id: int) -> Column:
     return F.concat(F.array(F.lit(start_id)), F.slice(ids, 1, max_length - 2), F.array(F.lit(end_id)))
 
 
-def encode_padded(df: DataFrame, text_col: str, key_cols: Sequence[str], vocabulary: str | None = None,
-                  max_length: int = MAX_LENGTH, start_id: int = 49406, end_id: int = 49407,
-                  pad_id: int = 0) -> DataFrame:
-    """``input_ids`` and ``attention_mask``, truncated and padded to ``max_length``."""
-    ids = token_ids(df, text_col, key_cols, vocabulary)
-    framed = _framed(F.col("ids"), max_length, start_id, end_id)
+def word_ids(df: DataFrame, text_col: str, key_cols: Sequence[str], vocab_size: int,
+             out_col: str = "ids") -> DataFrame:
+    """``token_ids`` without a vocabulary file: each word of the whole text gets the
+    number made of the first 32 bits of its md5, modulo ``vocab_size``.  JVM
+    expressions only; null text gives an empty array."""
+    words = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    return df.select(*key_cols, F.transform(
+        words, lambda w: (_md5_number(F.md5(w), 0) % vocab_size).cast("int")).alias(out_col))
+
+
+def pad_ids(ids: DataFrame, key_cols: Sequence[str], max_length: int = MAX_LENGTH, start_id: int = 49406,
+            end_id: int = 49407, pad_id: int = 0, ids_col: str = "ids") -> DataFrame:
+    """E1 on content ids: truncated, framed and padded to ``max_length``."""
+    framed = _framed(F.col(ids_col), max_length, start_id, end_id)
     return ids.select(*key_cols, let(framed, lambda f: F.struct(
         F.concat(f, F.array_repeat(F.lit(pad_id), F.lit(max_length) - F.size(f))).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(1), F.size(f)),
@@ -81,12 +89,10 @@ def encode_padded(df: DataFrame, text_col: str, key_cols: Sequence[str], vocabul
     ).alias("_e")).select(*key_cols, "_e.*")
 
 
-def encode_variable(df: DataFrame, text_col: str, key_cols: Sequence[str], vocabulary: str | None = None,
-                    max_length: int = MAX_LENGTH, start_id: int = 49406, end_id: int = 49407) -> DataFrame:
-    """``input_ids`` truncated to ``max_length`` (no padding), ``attention_mask``
-    and ``special_tokens_mask`` (1 on the start and end ids)."""
-    ids = token_ids(df, text_col, key_cols, vocabulary)
-    framed = _framed(F.col("ids"), max_length, start_id, end_id)
+def frame_ids(ids: DataFrame, key_cols: Sequence[str], max_length: int = MAX_LENGTH, start_id: int = 49406,
+              end_id: int = 49407, ids_col: str = "ids") -> DataFrame:
+    """E2 on content ids: truncated and framed, with both masks, no padding."""
+    framed = _framed(F.col(ids_col), max_length, start_id, end_id)
     return ids.select(*key_cols, let(framed, lambda f: F.struct(
         f.alias("input_ids"),
         F.array_repeat(F.lit(1), F.size(f)).alias("attention_mask"),
@@ -95,6 +101,25 @@ def encode_variable(df: DataFrame, text_col: str, key_cols: Sequence[str], vocab
     ).alias("_e")).select(*key_cols, "_e.*")
 
 
+def encode_padded(df: DataFrame, text_col: str, key_cols: Sequence[str], vocabulary: str | None = None,
+                  max_length: int = MAX_LENGTH, start_id: int = 49406, end_id: int = 49407,
+                  pad_id: int = 0) -> DataFrame:
+    """``input_ids`` and ``attention_mask``, truncated and padded to ``max_length``."""
+    return pad_ids(token_ids(df, text_col, key_cols, vocabulary), key_cols, max_length, start_id, end_id, pad_id)
+
+
+def encode_variable(df: DataFrame, text_col: str, key_cols: Sequence[str], vocabulary: str | None = None,
+                    max_length: int = MAX_LENGTH, start_id: int = 49406, end_id: int = 49407) -> DataFrame:
+    """``input_ids`` truncated to ``max_length`` (no padding), ``attention_mask``
+    and ``special_tokens_mask`` (1 on the start and end ids)."""
+    return frame_ids(token_ids(df, text_col, key_cols, vocabulary), key_cols, max_length, start_id, end_id)
+
+
+def _md5_number(digest: Column, word: int) -> Column:
+    """The ``word``-th 32 bits of an md5 in hex as a number."""
+    return F.conv(F.substring(digest, 8 * word + 1, 8), 16, 10).cast("long")
+
+
 def _uniform(seed: int, epoch: int, salt: int, key: Column, pos: Column) -> Column:
     """A uniform double in [0, 1) from a 64-bit hash of (seed, epoch, salt, key, position)."""
     h = F.xxhash64(F.lit(seed), F.lit(epoch), F.lit(salt), key, pos)
@@ -103,26 +128,34 @@ def _uniform(seed: int, epoch: int, salt: int, key: Column, pos: Column) -> Colu
 
 def mask_tokens(df: DataFrame, key_col: str, mask_id: int, vocab_size: int,
                 probability: float = MLM_PROBABILITY, seed: int = 2023, epoch: int = 0,
-                ids_col: str = "input_ids", special_col: str = "special_tokens_mask") -> DataFrame:
+                ids_col: str = "input_ids", special_col: str = "special_tokens_mask",
+                portable: bool = False) -> DataFrame:
     """Masked-word inputs and targets.
 
     Each non-special position is chosen with ``probability``; of the chosen,
     80 % become ``mask_id``, 10 % a random id below ``vocab_size``, 10 % stay.
     ``labels`` hold the original id at chosen positions and -100 elsewhere.
     Draws are hashes of (seed, epoch, row key, position): the same on retry,
-    different per epoch.  One ``transform`` per output with the special mask
+    different per epoch.  With ``portable`` the three draws of a position are the
+    32-bit pieces of one md5, which other engines can recompute.  One ``transform`` per output with the special mask
     bound once, so nothing is recomputed per element.
     """
     key = F.col(key_col)
 
+    def masked(m: Column, x: Column, i: Column, draws: tuple[Column, Column, Column]) -> Column:
+        chosen = (m[i] == 0) & (draws[0] < F.lit(probability))
+        rand_id = (draws[2] * F.lit(vocab_size)).cast("int")
+        new = F.when(draws[1] < 0.8, F.lit(mask_id)).when(draws[1] < 0.9, rand_id).otherwise(x)
+        return F.struct(F.when(chosen, new).otherwise(x).alias("i"),
+                        F.when(chosen, x).otherwise(F.lit(IGNORE_INDEX)).alias("l"))
+
     def choose(m: Column) -> Column:
         def per_position(x: Column, i: Column) -> Column:
-            chosen = (m[i] == 0) & (_uniform(seed, epoch, 1, key, i) < F.lit(probability))
-            u = _uniform(seed, epoch, 2, key, i)
-            rand_id = (_uniform(seed, epoch, 3, key, i) * F.lit(vocab_size)).cast("int")
-            new = F.when(u < 0.8, F.lit(mask_id)).when(u < 0.9, rand_id).otherwise(x)
-            return F.struct(F.when(chosen, new).otherwise(x).alias("i"),
-                            F.when(chosen, x).otherwise(F.lit(IGNORE_INDEX)).alias("l"))
+            if portable:
+                digest = F.md5(F.concat_ws(":", F.lit(f"{seed}:{epoch}"), key.cast("string"), i.cast("string")))
+                return let(digest, lambda d: masked(m, x, i, tuple(
+                    _md5_number(d, n) / F.lit(4294967296.0) for n in range(3))))
+            return masked(m, x, i, tuple(_uniform(seed, epoch, salt, key, i) for salt in (1, 2, 3)))
         return F.transform(F.col(ids_col), per_position)
 
     pairs = df.withColumn("_ts_pairs", let(F.col(special_col), choose))

@@ -30,7 +30,7 @@ from textstrata.plans import jobs
 from textstrata.plans.oracle import TURNS, oracle_sql
 from textstrata.session import shared_path
 from textstrata.sources import io
-from textstrata.streaming.predict import start_stream_predict
+from textstrata.streaming.predict import start_stream, start_stream_predict
 
 SEED = 2023
 TEST_SIZE = 0.15
@@ -153,6 +153,25 @@ def q_idem_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return expand_idem(idem_rows(spark, sf_dir), ["conv_id"], "turn", "text")
 
 
+def q_idem_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W1, W2 with three long sites of many chunks and blocks: all conversations, one after another."""
+    rows = idem_rows(spark, sf_dir).select(
+        (F.col("conv_id") % 3).alias("site"), (F.col("conv_id") * 1000 + F.col("turn")).alias("place"), "text")
+    return expand_idem(rows, ["site"], "place", "text", chunk_width=32)
+
+
+def q_text_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A caller's function on the text column of every document; digits become #."""
+    rows = prepare(read(spark, sf_dir, "documents"), ["doc_id", "text"], ["lang"], "text",
+                   process_text=lambda c: F.regexp_replace(c, "[0-9]", "#"), process_on_column=True)
+    return rows.select("doc_id", "lang", F.md5("text").alias("text_md5"))
+
+
+def q_drop_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without text and length."""
+    return clean.drop_columns(read(spark, sf_dir, "documents"), "text", "n_chars")
+
+
 def q_clean_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Idem, then French by word scores, then multi-interval rows dropped."""
     return clean.clean_chain(idem_rows(spark, sf_dir, with_intervals=True), ["conv_id"], "turn", "text")
@@ -200,6 +219,13 @@ def q_minority_select(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   num_samples=300, minor_ratio=0.3, seed=SEED)
 
 
+def q_minority_select_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 with more minority than random rows, so that the random pool leaves small groups out."""
+    p = read(spark, sf_dir, "part")
+    return sample.minority_select(p, ["p_brand", "p_type"], "p_name", "p_partkey",
+                                  num_samples=300, minor_ratio=0.75, seed=SEED)
+
+
 def q_replicate_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each (brand, type) group of ``part`` as many times as its size."""
     groups = sample.group_sizes(read(spark, sf_dir, "part"), ["p_brand", "p_type"], "n")
@@ -235,14 +261,18 @@ def q_association_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round_assoc(stats.association_pairs(read(spark, sf_dir, "lineitem"), ASSOCIATION_PAIRS))
 
 
-def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``embeddings`` with ten logits per target in ``l_0``, ``l_1``, ``l_2``: all 64
+def folded_logits(emb: DataFrame) -> DataFrame:
+    """Vectors with ten logits per target in ``l_0``, ``l_1``, ``l_2``: all 64
     elements, summed by ``(position + turn) % 10`` with another turn per target."""
     def folded(turn: int) -> Column:
         return F.array(*[reduce(add, [F.col("embedding")[j].cast("double") for j in range(64) if (j + turn) % 10 == c])
                          for c in range(10)])
-    return read(spark, sf_dir, "embeddings").select(
-        "vec_id", "label", *[folded(turn).alias(f"l_{t}") for t, turn in enumerate(TURNS)])
+    return emb.select("vec_id", "label", *[folded(turn).alias(f"l_{t}") for t, turn in enumerate(TURNS)])
+
+
+def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``folded_logits`` of ``embeddings``."""
+    return folded_logits(read(spark, sf_dir, "embeddings"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,19 +310,36 @@ def q_metric_trio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(*[F.round(c, 12).alias(c) for c in m.columns])
 
 
-def target_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(rows: DataFrame) -> DataFrame:
     """Three targets' scores: softmax of 20x their logits."""
-    return logits(spark, sf_dir).select("vec_id", "label", *[
+    return rows.select("vec_id", "label", *[
         softmax(f"l_{i}", SCALE).alias(f"s_{t}") for i, t in enumerate(TARGETS)])
 
 
-def q_pick_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct labels over HL, NL1, NL2 at cut-off 0.1."""
-    sc = target_scores(spark, sf_dir)
+def target_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scored`` logits of ``embeddings``."""
+    return scored(logits(spark, sf_dir))
+
+
+def _picked(sc: DataFrame) -> DataFrame:
     out = pick.pick_labels(sc, {t: f"s_{t}" for t in TARGETS}, TEN_CLASSES, CUTOFF, score_digits=9)
     return out.select("vec_id", *[c for t in TARGETS for c in (f"{t}_label", f"{t}_score")])
 
 
+def q_pick_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct labels over HL, NL1, NL2 at cut-off 0.1."""
+    return _picked(target_scores(spark, sf_dir))
+
+
+def q_stream_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C7 without a trained model: ``embeddings`` as a file stream, scored, picked, appended to Parquet."""
+    out, ckpt = shared_path(spark, "stream_pick_out"), shared_path(spark, "stream_pick_ckpt")
+    q = start_stream(spark, sf_dir, read(spark, sf_dir, "embeddings").schema,
+                     lambda emb: _picked(scored(folded_logits(emb))), out, ckpt, path_glob="embeddings.parquet")
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
 def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     sc = target_scores(spark, sf_dir)
     return pick.cutoff_sweep(sc, {t: f"s_{t}" for t in TARGETS}, {t: "label" for t in TARGETS},
@@ -388,8 +435,53 @@ def q_export_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
         .schema("row_id long, text string, label string, split string").csv(path)
 
 
+def q_read_delimited_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO1 without a schema: orders in several files, missing prices spelled NA, codes
+    that look like suffixed numbers; row ids in the order of the files."""
+    path, out = shared_path(spark, "inferred"), shared_path(spark, "inferred_rows")
+    key = F.col("o_orderkey")
+    price = F.when(key % 7 == 0, F.lit("NA")).otherwise(F.col("o_totalprice").cast("string"))
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", price.alias("price"), F.concat((key % 100).cast("string"), F.lit("D")).alias("code"))
+    io.write_delimited(rows.repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey"), path)
+    return io.ingest_delimited(spark, path, out)
+
+
+def q_dataset_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled-set job (P1, P7, S2, A1, IO3-IO5): its written sets with the written weight of each row's label."""
+    paths = jobs.dataset_job(labelled_documents(spark, sf_dir), "text", "quality", QUALITY, shared_path(spark, "labelled_set"),
+                             row_col="doc_id", test_size=TEST_SIZE, seed=SEED, tokenize=False)
+    weights = spark.read.parquet(f"{paths['weights']}/table").select("label_id", F.round("weight", 9).alias("weight"))
+    rows = io.load_split_sets(spark, paths["dataset"])
+    return rows.join(weights, rows["label"] == weights["label_id"], "left").select(
+        "doc_id", F.md5("text").alias("text_md5"), F.col("label").cast("int").alias("label"), "split", "weight")
+
+
 # ------------------------------------------------ encoding
 
+WORD_VOCABULARY = 49_406
+
+
+def _id_digest(c: str) -> Column:
+    return F.md5(F.array_join(c, ","))
+
+
+def q_encode_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 on hashed word ids: every document framed and padded to 512; digests of ids and mask."""
+    ids = encode.word_ids(read(spark, sf_dir, "documents"), "text", ["doc_id"], WORD_VOCABULARY)
+    rows = encode.pad_ids(ids, ["doc_id"])
+    return rows.select("doc_id", _id_digest("input_ids").alias("ids_md5"), _id_digest("attention_mask").alias("mask_md5"))
+
+
+def q_mask_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2, E3 on hashed word ids with portable draws; digests of masked ids and targets."""
+    ids = encode.word_ids(read(spark, sf_dir, "documents"), "text", ["doc_id"], WORD_VOCABULARY)
+    rows = encode.mask_tokens(encode.frame_ids(ids, ["doc_id"]), "doc_id", mask_id=49408, vocab_size=49408,
+                              seed=SEED, portable=True)
+    return rows.select("doc_id", F.size("input_ids").cast("long").alias("n_ids"),
+                       F.size(F.filter("labels", lambda x: x != encode.IGNORE_INDEX)).cast("long").alias("n_targets"),
+                       _id_digest("input_ids").alias("ids_md5"), _id_digest("labels").alias("labels_md5"))
+
+
 def q_encode_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document encoded, truncated and padded to 512."""
     return encode.encode_padded(read(spark, sf_dir, "documents"), "text", ["doc_id"])
@@ -505,6 +597,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "split_sets": q_split_sets,
     "weights_text": q_weights_text,
     "export_splits": q_export_splits,
+    "read_delimited_inferred": q_read_delimited_inferred,
+    "dataset_job": q_dataset_job,
+    "text_hook": q_text_hook,
+    "drop_columns": q_drop_columns,
+    "idem_chunks": q_idem_chunks,
+    "minority_select_wide": q_minority_select_wide,
+    "stream_pick": q_stream_pick,
+    "encode_words": q_encode_words,
+    "mask_words": q_mask_words,
     "encode_padded": q_encode_padded,
     "encode_variable": q_encode_variable,
     "mask_tokens": q_mask_tokens,

@@ -160,9 +160,9 @@ def _idem_rows_sql(with_intervals: bool) -> str:
     return f"SELECT conv_id, turn, {inner} AS t FROM conversations"
 
 
-def _idem_ctes(with_intervals: bool) -> str:
+def _idem_ctes(with_intervals: bool, rows: str | None = None) -> str:
     return f"""
-c AS ({_idem_rows_sql(with_intervals)}),
+c AS ({rows or _idem_rows_sql(with_intervals)}),
 f AS (SELECT *, coalesce(starts_with(lower(t), 'idem'), false) AS is_idem FROM c),
 b AS (SELECT *, last_value(CASE WHEN NOT is_idem THEN t END IGNORE NULLS) OVER (
         PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM f),
@@ -190,6 +190,14 @@ def _multi_interval(text: str) -> str:
     return f"coalesce(regexp_matches({text}, {_q('^(?:' + MULTI_INTERVAL_PATTERN + ')')}, 'i'), false)"
 
 
+# Words as hashed ids, truncated and framed for 512 positions.
+_WORD_IDS = r"""
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+      FROM documents),
+ids AS (SELECT doc_id, [49406] || list_transform(ws[1:510],
+               lambda x: CAST(CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) % 49406 AS INTEGER)) || [49407] AS ids FROM w)"""
+
+
 def oracle_sql(cutoffs) -> dict[str, str]:
     names_case = "CASE label " + " ".join(f"WHEN {i} THEN {_q(n)}" for i, n in enumerate(TEN)) + " END"
     picks_select = ", ".join(
@@ -270,6 +278,67 @@ SELECT o_orderkey, CAST(row_number() OVER (
     ORDER BY md5('{SEED}:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) - 1 AS BIGINT) AS position
 FROM orders""",
 
+        "minority_select_wide": f"""
+WITH d AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (
+             PARTITION BY p_brand, p_type, p_name ORDER BY p_partkey) AS rn FROM part) WHERE rn = 1),
+g AS (SELECT p_brand, p_type, count(*) AS c FROM d
+      WHERE p_brand IS NOT NULL AND p_type IS NOT NULL GROUP BY ALL),
+gc AS (SELECT *, sum(c) OVER (ORDER BY c, p_brand, p_type
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM g),
+minor AS (SELECT d.*, 'minor' AS pool FROM d SEMI JOIN (SELECT * FROM gc WHERE cum <= 225) k USING (p_brand, p_type)),
+rnd AS (SELECT d.*, 'random' AS pool FROM d SEMI JOIN (SELECT * FROM gc WHERE cum > 150) k USING (p_brand, p_type)
+        ORDER BY md5('{SEED}:' || CAST(p_partkey AS VARCHAR)), p_partkey LIMIT 75)
+SELECT * FROM minor UNION ALL SELECT * FROM rnd""",
+
+        "idem_chunks": "WITH " + _idem_ctes(False, "SELECT conv_id % 3 AS conv_id, conv_id * 1000 + turn AS turn, t FROM ("
+                                            + _idem_rows_sql(False) + ")").lstrip()
+        + " SELECT conv_id AS site, turn AS place, text, idem_unresolved FROM x",
+
+        "text_hook": """
+SELECT doc_id, coalesce(lang, 'none') AS lang,
+       md5(regexp_replace(coalesce(text, 'none'), '[0-9]', '#', 'g')) AS text_md5 FROM documents""",
+
+        "drop_columns": "SELECT doc_id, lang, source FROM documents",
+
+        "read_delimited_inferred": """
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS price,
+       CAST(o_orderkey % 100 AS VARCHAR) || 'D' AS code,
+       row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders""",
+
+        "dataset_job": f"""
+WITH {split_ctes(_LABELLED_DOCS_TEXT, 'doc_id', 'quality')},
+n AS (SELECT quality, count(*) AS n_c FROM split_rows WHERE split = 'train' AND quality <> 'none' GROUP BY quality),
+w AS (SELECT quality, round(CAST(sum(n_c) OVER () AS DOUBLE) / CAST(count(n_c) OVER () * n_c AS DOUBLE), 9) AS weight
+      FROM n)
+SELECT s.doc_id, md5(s.text) AS text_md5, CASE s.quality WHEN '0' THEN 0 WHEN '1' THEN 1 END AS label, s.split, w.weight
+FROM split_rows s LEFT JOIN w USING (quality)""",
+
+        "stream_pick": f"""
+WITH {_target_scores().lstrip()},
+{_picks()}
+SELECT e.vec_id, {picks_select} FROM {_LOGITS} e {picks_joins}""",
+
+        "encode_words": f"""
+WITH {_WORD_IDS.lstrip()}
+SELECT doc_id, md5(array_to_string(ids || list_transform(range(512 - len(ids)), lambda x: 0), ',')) AS ids_md5,
+       md5(array_to_string(list_transform(range(512), lambda x: CASE WHEN x < len(ids) THEN 1 ELSE 0 END), ',')) AS mask_md5
+FROM ids""",
+
+        "mask_words": f"""
+WITH {_WORD_IDS.lstrip()},
+p AS (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS pos, len(ids) AS n FROM ids),
+h AS (SELECT *, md5('{SEED}:0:' || CAST(doc_id AS VARCHAR) || ':' || CAST(pos AS VARCHAR)) AS h FROM p),
+u AS (SELECT *, CAST(CAST('0x' || substr(h, 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS u1,
+             CAST(CAST('0x' || substr(h, 9, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS u2,
+             CAST(CAST('0x' || substr(h, 17, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS u3 FROM h),
+m AS (SELECT doc_id, pos, id, pos > 0 AND pos < n - 1 AND u1 < CAST('0.15' AS DOUBLE) AS chosen,
+             CASE WHEN u2 < CAST('0.8' AS DOUBLE) THEN 49408
+                  WHEN u2 < CAST('0.9' AS DOUBLE) THEN CAST(floor(u3 * 49408) AS INTEGER) ELSE id END AS new FROM u)
+SELECT doc_id, count(*) AS n_ids, count(*) FILTER (chosen) AS n_targets,
+       md5(string_agg(CAST(CASE WHEN chosen THEN new ELSE id END AS VARCHAR), ',' ORDER BY pos)) AS ids_md5,
+       md5(string_agg(CAST(CASE WHEN chosen THEN id ELSE -100 END AS VARCHAR), ',' ORDER BY pos)) AS labels_md5
+FROM m GROUP BY doc_id""",
+
         "minority_select": f"""
 WITH d AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (
              PARTITION BY p_brand, p_type, p_name ORDER BY p_partkey) AS rn FROM part) WHERE rn = 1),

@@ -8,31 +8,41 @@ restartable: a restarted query continues with the files not yet committed.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from textstrata.plans.jobs import predict_table
 
 
-def start_stream_predict(spark: SparkSession, source_dir: str, schema: StructType | str, models: Mapping,
-                         targets: Sequence[str], label_ids: Mapping[str, int], out_dir: str,
-                         checkpoint: str, cutoff: float = 0.1, path_glob: str | None = None,
-                         available_now: bool = True, files_per_trigger: int | None = None,
-                         keep: Sequence[str] | None = None) -> StreamingQuery:
-    """Start the stream; ``available_now`` processes what is there and stops."""
+def start_stream(spark: SparkSession, source_dir: str, schema: StructType | str,
+                 label: Callable[[DataFrame], DataFrame], out_dir: str, checkpoint: str,
+                 path_glob: str | None = None, available_now: bool = True,
+                 files_per_trigger: int | None = None) -> StreamingQuery:
+    """Start a file stream through a row-local ``label`` function; ``available_now``
+    processes what is there and stops."""
     reader = spark.readStream.schema(schema)
     if path_glob:
         reader = reader.option("pathGlobFilter", path_glob)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    texts = reader.parquet(source_dir)
-    if keep is not None:
-        texts = texts.select(*keep)
-    out = predict_table(texts, models, targets, label_ids, cutoff)
-    writer = (out.writeStream.format("parquet").option("path", out_dir)
+    writer = (label(reader.parquet(source_dir)).writeStream.format("parquet").option("path", out_dir)
               .option("checkpointLocation", checkpoint).outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
+
+
+def start_stream_predict(spark: SparkSession, source_dir: str, schema: StructType | str, models: Mapping,
+                         targets: Sequence[str], label_ids: Mapping[str, int], out_dir: str,
+                         checkpoint: str, cutoff: float = 0.1, path_glob: str | None = None,
+                         available_now: bool = True, files_per_trigger: int | None = None,
+                         keep: Sequence[str] | None = None) -> StreamingQuery:
+    """``start_stream`` with fitted models: score every target, then pick."""
+    def label(texts: DataFrame) -> DataFrame:
+        rows = texts if keep is None else texts.select(*keep)
+        return predict_table(rows, models, targets, label_ids, cutoff)
+
+    return start_stream(spark, source_dir, schema, label, out_dir, checkpoint, path_glob, available_now,
+                        files_per_trigger)
