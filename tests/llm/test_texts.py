@@ -234,6 +234,33 @@ def test_viterbi_finds_the_cheapest_reading(decoder):
         assert every[decoder.decode(token)] == pytest.approx(min(every.values()))
 
 
+RUNS = {"you are a l o s e r today": "loser", "and i s t u p i d": "stupid", "1 l.0.s.e.r": "loser", '"s t u p i d"': "stupid", "(s t u p i d)": "stupid",
+        "[c l o w n]": "clown", "a s t u p i d c l o w n": "clown", "\u201cl o s e r\u201d": "loser"}
+
+
+@pytest.mark.parametrize("text,word", RUNS.items())
+def test_spaced_words_are_restored_in_any_company(decoder, text, word):
+    known = toxicity.Decoder({})
+    known.cost = decoder.cost
+    known.learn_words({w: 20 for w in [*DECODER_TEXT.split(), "i", "closer"]})
+    assert word in toxicity.tokens(text.encode(), known)[1]
+    assert toxicity.tokens(b"come c l o s e r", known)[1] == {"closer"}
+
+
+def test_boundaries_without_a_vocabulary(decoder):
+    assert "loser" in toxicity.tokens(b"you are a l o s e r today", decoder)[1]
+
+
+def test_spaced_toxic_words_get_a_vote_after_fitting(spark):
+    plain = "honest people write a plain text about ordinary things"
+    rows = [(i, plain + (f" w{i} stupid v{i} loser" if i % 2 else "")) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scorer = toxicity.fit(docs, docs.selectExpr("doc_id as id", "cast(doc_id % 2 as int) as label"))
+    for text in ("people write a s t u p i d things", 'people write "s t u p i d" things', "people write a l o s e r things"):
+        assert toxicity.evidence(text.encode(), scorer.decoder, scorer.lexicon)[0] > 0
+    assert toxicity.evidence(b"people write o r d i n a r y things", scorer.decoder, scorer.lexicon)[0] == 0
+
+
 def test_scores_of_odd_tables(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(i, i % 2) for i in range(25)] + [(3, None), (None, 1), (4, 7), (999, 1)], "id long, label int")
     scored = toxicity.score(odd_docs, toxicity.fit(odd_docs, labels)).collect()
