@@ -119,6 +119,27 @@ def test_one_document_of_each_group_stays(odd_docs, no_docs):
     assert simhash.keep_one_per_group(no_docs).count() == 0
 
 
+def test_every_group_keeps_one_row(spark):
+    """Ids that repeat with texts of different groups, and groups of null ids only."""
+    prose = lambda k: " ".join(f"{k}word{i}" for i in range(60))
+    a, b, c, d, e = map(prose, "abcde")
+    ids_and_texts = {
+        "text of 7 in the group of 3": [(3, a), (7, a), (7, b), (9, b)],
+        "7 names both groups": [(7, a), (7, b), (9, a), (8, b)],
+        "null ids beside an id": [(None, c), (None, c), (5, d), (None, d), (None, d)],
+        "near copies without an id": [(None, e), (None, e + " ")],
+        "a tie of texts": [(4, a + " "), (4, a), (None, None), (None, "")],
+    }
+    want = {"text of 7 in the group of 3": [(3, a), (7, b)], "7 names both groups": [(7, a), (7, b)], "null ids beside an id": [(5, d), (None, c)],
+            "near copies without an id": [(None, e)], "a tie of texts": [(4, a), (None, None)]}
+    assert len({fingerprint(t) for t in (a, b, c, d, e)}) == 5
+    for case, rows in ids_and_texts.items():
+        docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, _row int").repartition(3)
+        kept = simhash.keep_one_per_group(docs)
+        assert kept.columns == docs.columns
+        assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want[case], key=str), case
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100, 400)] + [(9, i) for i in range(1000, 1300)] + [(7, 7), (5, 6), (6, 5), (5, 6)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}

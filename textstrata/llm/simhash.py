@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textstrata.llm.components import components
@@ -147,6 +147,20 @@ def links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     return index.repartition("combo", "shared").sortWithinPartitions("combo", "shared", "fp").mapInArrow(_links(max_bits), "u long, v long")
 
 
+def _named_groups(fps: DataFrame, max_bits: int) -> DataFrame:
+    """``(fp, group, component_id)`` for each fingerprint of a written ``(id, fp)`` table.
+
+    ``group`` is a fingerprint of the group, ``component_id`` its smallest id.
+    """
+    first = materialise(fps.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
+    roots = materialise(components(materialise(links(first, max_bits), "links")), "roots")
+    # fingerprints without a link are their own group and skip the second aggregation
+    linked = first.join(roots, first.fp == roots.node).select("fp", "low", "root")
+    low = linked.groupBy("root").agg(F.min("low").alias("group_low"))
+    named = linked.join(low, "root").select("fp", "root", "group_low")
+    return first.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group"), F.coalesce("group_low", "low").alias("component_id"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """``(id, fp, component_id)`` per input row.
 
@@ -158,14 +172,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names a group: a group of null ids only has a null ``component_id``.
     """
     fps = materialise(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    first = materialise(fps.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
-    roots = materialise(components(materialise(links(first, max_bits), "links")), "roots")
-    # fingerprints without a link are their own group and skip the second aggregation
-    linked = first.join(roots, first.fp == roots.node).select("fp", "low", "root")
-    low = linked.groupBy("root").agg(F.min("low").alias("group_low"))
-    named = linked.join(low, "root").select("fp", "group_low")
-    group = first.join(named, "fp", "left").select("fp", F.coalesce("group_low", "low").alias("component_id"))
-    return fps.join(group, "fp").select("id", "fp", "component_id")
+    return fps.join(_named_groups(fps, max_bits), "fp").select("id", "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:
@@ -176,16 +183,29 @@ def hex16(fp: Column) -> Column:
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """The rows of ``docs`` that stand for their near-duplicate group, all columns.
 
-    The row whose id names the group stays; rows that repeat an id count as one
-    document, and the one with the smallest text stays.  Rows without an id
-    stay once per text if their group has no id.
+    Exactly one row of each group stays: the one with the smallest id, null
+    ids last, then the smallest text.  Rows that repeat an id are rows of their
+    own; with texts of different groups each can stay for its group.
     """
-    groups = near_groups(docs, id_col, text_col, shingle, max_bits)
-    keep = groups.where(F.col("component_id").eqNullSafe(F.col("id"))).select(F.col("id").alias("_kept_id")).distinct()
-    rows = docs.join(keep, docs[id_col].cast("long").eqNullSafe(keep["_kept_id"]), "left_semi")
-    text = F.col(f"`{text_col}`")
-    slot = F.when(F.col(f"`{id_col}`").isNull(), F.xxhash64(text))
-    name = "_row_in_group"
+    name = "_row"
     while name in docs.columns:
         name += "_"
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(f"`{id_col}`", slot).orderBy(text))).where(F.col(name) == 1).drop(name)
+    # the rows are numbered once, in a written table, so that the numbers hold for every later read
+    rows = materialise(docs.withColumn(name, F.monotonically_increasing_id()), "numbered-documents")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(t, shingle) for t in utf8(b.column(2))], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["row", "id", "fp"])
+
+    src = rows.select(F.col(name).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    fps = materialise(src.mapInArrow(run, "row long, id long, fp long"), "fingerprints")
+    # only rows that have the id of their group can stay; most groups have one such row
+    able = fps.join(_named_groups(fps, max_bits), "fp").where(F.col("id").eqNullSafe(F.col("component_id"))).select("row", "group")
+    able = materialise(able, "rows-of-smallest-id")
+    first = materialise(able.groupBy("group").agg(F.min("row").alias("row"), F.count("*").alias("n")), "first-rows")
+    tied = able.join(first.where("n > 1").select("group"), "group").select("row", "group")
+    texts = tied.join(src.select("row", "text"), "row")
+    least = texts.groupBy("group").agg(F.min(F.struct(F.col("text").isNotNull().alias("has"), "text", "row")).alias("m")).select("m.row")
+    keep = first.where("n = 1").select("row").union(least).select(F.col("row").alias("_kept_row"))
+    return rows.join(keep, rows[name] == keep["_kept_row"], "left_semi").drop(name)
