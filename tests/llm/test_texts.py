@@ -71,6 +71,26 @@ def test_guess_spans_and_redaction(odd_docs, no_docs):
     assert secrets.scan(no_docs).count() == secrets.redact(no_docs).count() == 0
 
 
+SECRET = "Zq8#vT2!mN5^"
+
+
+@pytest.mark.parametrize("text", [f"credentials: password: {SECRET}", f'token = auth_token = "{SECRET}"', f'token=auth_token="{SECRET}"', f"auth: 'token: {SECRET}'",
+                                  f"credentials: client-secret := pwd => {SECRET} end", f"""secret: "x password = '{SECRET}' y" """,
+                                  f'password=changeme_token: {SECRET}', f"token=my_secret_key_of_the_api_key = '{SECRET}'", f'passwd: "auth": "{SECRET}"', f"auth: xK9v#Q2m!W7pLr~token: {SECRET}"])
+def test_every_name_of_a_chain_has_its_value_costed(text):
+    assert SECRET not in secrets.redact_text(text)
+    assert any(k == 3 for _, k, _ in secrets.find_spans(text))
+
+
+def test_chains_take_linear_time():
+    import time
+    for chain in ("token=", "token: ", "token=token: ", 'token:"', "auth_"):
+        began = time.process_time()
+        text = chain * 20_000 + f"password: {SECRET}"
+        assert SECRET not in secrets.redact_text(text)
+        assert time.process_time() - began < 10
+
+
 def test_long_values_are_spans_as_a_whole():
     rng = random.Random(8)
     value = "".join(rng.choice("!#%^&ghjkmnpqrtvwxyz2345678") for _ in range(5000))

@@ -109,12 +109,37 @@ def _cheapest(value: str) -> float:
     return best[n]
 
 
+#: No credential name with its sign is longer.
+LONGEST_NAME = 16
+
+
+def _values(text: str, covered, min_bits: float) -> Iterator[tuple[int, int]]:
+    """Spans of values that are hard to guess; ``covered(a, e)`` says that a base span has them.
+
+    A value that isn't one is searched for names of its own, so that in
+    ``credentials: password: x`` the last name has its value costed too.
+    """
+    m, done = CONTEXT.search(text), 0
+    while m:
+        g = m.lastindex
+        a, e = m.span(g)
+        at = a
+        if e <= done or covered(a, e):
+            at = max(a, e - LONGEST_NAME)
+        elif guess_cost(m[g]) >= min_bits:
+            yield a, e
+            at, done = max(a, e - LONGEST_NAME), e
+        # bare values inside a span end where it ends at the latest; only a name at its very end can have a value beyond
+        m = CONTEXT.search(text, at)
+
+
 def find_spans(text: str | None, min_bits: float = 40.0) -> list[tuple[int, int, int]]:
     """``(start, kind, end)`` in code points, ordered; ``kind`` indexes ``KINDS``.
 
     An ``assign`` span is the whole match, name and value.  A ``guess`` span is
     the value alone; it is added where guessing takes at least ``2**min_bits``
-    tries and no base span covers the value.
+    tries and no base span covers the value.  Names inside a value that isn't
+    a span have their own values costed.
     """
     if not text:
         return []
@@ -123,13 +148,8 @@ def find_spans(text: str | None, min_bits: float = 40.0) -> list[tuple[int, int,
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = sorted(spans)
     starts, reach = [a for a, _, _ in base], list(accumulate((e for _, _, e in base), max))
-    for m in CONTEXT.finditer(text):
-        g = m.lastindex
-        a, e = m.span(g)
-        before = bisect_right(starts, a)
-        covered = before and reach[before - 1] >= e
-        if not covered and guess_cost(m[g]) >= min_bits:
-            spans.append((a, 3, e))
+    covered = lambda a, e: (before := bisect_right(starts, a)) > 0 and reach[before - 1] >= e
+    spans += [(a, 3, e) for a, e in _values(text, covered, min_bits)]
     return sorted(spans)
 
 
