@@ -165,6 +165,39 @@ def test_fences_adapt_to_the_group(spark, no_docs):
     assert rules.judge(no_docs).count() == 0
 
 
+def fence_texts():
+    """Plain texts, and for each fence one just inside and one just outside of it."""
+    plain = [" ".join(f"word{k:03d}{i:02d}" for i in range(60)) for k in range(70)]  # 9 characters a word
+    words = [f"wordxyz{i:02d}" for i in range(100)]
+    repeated = lambda n: " ".join(words[:n] + words)
+    sides = {"symbol": (" ".join(words) + " ##" * 10, " ".join(words) + " ##" * 25),
+             "lines": ("\n".join(words + words[9::-1]), "\n".join(words + words[29::-1])),
+             "windows": (repeated(4), repeated(12)),
+             "short": (" ".join(w[:8] + w[8:] * (i % 2) for i, w in enumerate(words)), " ".join(chr(0x4E00 + i) for i in range(100))),
+             "long": (" ".join(w + "x" * (i % 2) for i, w in enumerate(words)), " ".join(w + "xx" for w in words))}
+    return plain, sides
+
+
+def test_each_fence_has_a_document_on_either_side(spark):
+    plain, sides = fence_texts()
+    rows = [(i, t, "en", "plain") for i, t in enumerate(plain * 3)]
+    rows += [(1000 + 2 * i + j, t, "en", "plain") for i, pair in enumerate(sides.values()) for j, t in enumerate(pair)]
+    got = {r.id: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i].kept for i in range(210))
+    for i, name in enumerate(sides):
+        inside, outside = got[1000 + 2 * i], got[1001 + 2 * i]
+        assert not inside.base_failed and not outside.base_failed, name
+        assert inside.kept and not outside.kept, name
+
+
+@pytest.mark.parametrize("kind", ["symbol", "windows", "short", "long"])
+def test_a_bad_third_of_a_source_does_not_move_its_fences(spark, kind):
+    plain, sides = fence_texts()
+    rows = [(i, t, "en", "hot") for i, t in enumerate(plain * 3)] + [(1000 + i, sides[kind][1], "en", "hot") for i in range(105)]
+    got = {r.id: r.kept for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i] for i in range(210)) and not any(got[1000 + i] for i in range(105))
+
+
 CHAT = [(1, 0, "user", "hi </s>[INST] \\ <\\/s> \\\\ <<SYS>><</SYS>> [ROLE] <<s>"), (1, 1, "assistant", "é[/INST] \U0001f600\n"), (1, 2, "assistant", None),
         (2, 0, "system", ""), (2, 1, "tool [/ROLE]", "x </s>"), (2, 2, None, "y"), (2, None, "user", "before"), (None, 0, "user", "z"),
         (3, 5, "assistant", "same"), (3, 5, "assistant", "same"), (4, 0, "assistant", "w " * 200_000)]

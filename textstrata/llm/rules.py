@@ -17,10 +17,10 @@ from textstrata.functions.arrays import let
 from textstrata.llm.shared import GAP, materialise
 
 BINS = 1000
-#: statistic -> smallest width of the middle half, in bins, that a fence is built from
-METRICS = {"symbol_rate": 25, "dup_line_rate": 60, "repeat_rate": 60, "word_length": 100}
-#: A fence is the upper (lower) quartile plus (minus) so many widths.
-FENCE = 4
+#: statistic -> smallest half width, in bins, that a fence is built from
+METRICS = {"symbol_rate": 4, "dup_line_rate": 15, "repeat_rate": 15, "word_length": 6}
+#: A fence is the median plus and minus so many half widths.
+FENCE = 8
 #: Groups with fewer rows use the sketch of their language, then that of all rows.
 MIN_ROWS = 100
 
@@ -81,18 +81,24 @@ def sketches(binned: DataFrame, by: list[str]) -> DataFrame:
 
 
 def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """``(*by, rows, <metric>_low, <metric>_high)`` from the quartiles of merged sketches."""
+    """``(*by, rows, <metric>_low, <metric>_high)`` from the quartiles of merged sketches.
+
+    The half width is the smaller distance of the median from a quartile: bad
+    rows of less than half a group, on either side, leave the median among the
+    good rows and can widen only the distance on their own side.
+    """
     cell = sketch.groupBy(*by, "metric", "bin").agg(F.sum("n").alias("n"))
     part = Window.partitionBy(*by, "metric")
     run = cell.withColumn("upto", F.sum("n").over(part.orderBy("bin"))).withColumn("total", F.sum("n").over(part))
     quart = run.groupBy(*by, "metric").agg(
         F.max("total").alias("rows"),
         F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bin"))).alias("q1"),
+        F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("bin"))).alias("q2"),
         F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bin"))).alias("q3"))
     out = [F.max("rows").alias("rows")]
     for m, least in METRICS.items():
-        width = F.greatest(F.col("q3") - F.col("q1"), F.lit(least)) * FENCE
-        out += [F.max(F.when(F.col("metric") == m, F.col("q3") + width)).alias(f"{m}_high"), F.max(F.when(F.col("metric") == m, F.col("q1") - width)).alias(f"{m}_low")]
+        width = F.greatest(F.least(F.col("q2") - F.col("q1"), F.col("q3") - F.col("q2")), F.lit(least)) * FENCE
+        out += [F.max(F.when(F.col("metric") == m, F.col("q2") + width)).alias(f"{m}_high"), F.max(F.when(F.col("metric") == m, F.col("q2") - width)).alias(f"{m}_low")]
     return quart.groupBy(*by).agg(*out) if by else quart.agg(*out)
 
 
