@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textstrata.llm import chat, licenses, mixing, packing, quality, rules, secrets, simhash, topk, toxicity
+from textstrata.llm import chat, importance, licenses, mixing, packing, quality, repair, rules, secrets, simhash, topk, toxicity
 from textstrata.llm.shared import crc_bucket, materialise
 
 
@@ -82,6 +83,23 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every conversation after seeded damage."""
+    turns = _table(spark, sf_dir, "conversations")
+    every = turns.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    fixed = repair.repair(repair.damage(turns))
+    facts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", *repair.FIELDS)]
+    nothing = F.lit(hashlib.sha256(b"").hexdigest())
+    return every.join(fixed, every["conv_id"].eqNullSafe(fixed["conv"]), "left").select(
+        "conv_id", *facts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five per cent of the longer documents, drawn by likeness to the benchmark texts."""
+    drawn = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), per_cent=5, least_words=20, seed=42)
+    return drawn.withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over documents."""
     import corpus_pipeline
@@ -89,4 +107,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk, op2_toxicity, op3_secrets, op4_simhash, op5_packing, op6_chat, op7_licenses, op8_quality, op9_mixing, op10_rules, pipeline)}
+    f.__name__: f for f in (op1_topk, op2_toxicity, op3_secrets, op4_simhash, op5_packing, op6_chat, op7_licenses, op8_quality, op9_mixing, op10_rules, op11_repair, op13_importance, pipeline)}
