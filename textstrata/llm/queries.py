@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textstrata.llm import chat, importance, licenses, mixing, packing, quality, repair, rules, secrets, simhash, topk, toxicity
+from textstrata.llm import chat, importance, licenses, maxent, mixing, packing, quality, repair, rules, secrets, simhash, topk, toxicity
 from textstrata.llm.shared import crc_bucket, materialise
 
 
@@ -94,6 +94,13 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", *facts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
 
 
+def op12_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document; those with crc32 mod 5 = 1 are held out."""
+    docs = _table(spark, sf_dir, "documents")
+    scored = maxent.fit_and_score(docs, docs.where(crc_bucket(F.col("doc_id"), 5) != 1))
+    return scored.select(F.col("id").alias("doc_id"), (crc_bucket(F.col("id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five per cent of the longer documents, drawn by likeness to the benchmark texts."""
     drawn = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), per_cent=5, least_words=20, seed=42)
@@ -107,4 +114,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_topk, op2_toxicity, op3_secrets, op4_simhash, op5_packing, op6_chat, op7_licenses, op8_quality, op9_mixing, op10_rules, op11_repair, op13_importance, pipeline)}
+    f.__name__: f for f in (op1_topk, op2_toxicity, op3_secrets, op4_simhash, op5_packing, op6_chat, op7_licenses, op8_quality, op9_mixing, op10_rules, op11_repair, op12_lm, op13_importance, pipeline)}
