@@ -18,7 +18,7 @@ def test_query_matches_its_sql(spark, name):
 
 
 def test_all_are_registered():
-    assert set(QUERIES) <= set(E.queries()) and {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in QUERIES if n.startswith("op")}
+    assert set(QUERIES) <= set(E.queries()) and {f"op{i}" for i in range(1, 14)} == {n.split("_")[0] for n in QUERIES if n.startswith("op")}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash near-dedup", "secret scans", "mixing", "packing"]
 
 
