@@ -69,11 +69,14 @@ def _framed(ids: Column, max_length: int, start_id: int, end_id: int) -> Column:
 
 
 def word_ids(df: DataFrame, text_col: str, key_cols: Sequence[str], vocab_size: int,
-             out_col: str = "ids") -> DataFrame:
+             out_col: str = "ids", max_words: int | None = None) -> DataFrame:
     """``token_ids`` without a vocabulary file: each word of the whole text gets the
     number made of the first 32 bits of its md5, modulo ``vocab_size``.  JVM
-    expressions only; null text gives an empty array."""
+    expressions only; null text gives an empty array.  ``max_words`` hashes no more
+    words than a later truncation keeps (``max_length - 2``)."""
     words = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    if max_words is not None:
+        words = F.slice(words, 1, max_words)
     return df.select(*key_cols, F.transform(
         words, lambda w: (_md5_number(F.md5(w), 0) % vocab_size).cast("int")).alias(out_col))
 

@@ -216,3 +216,23 @@ def classification_metrics(df: DataFrame, true_col: str, pred_col: str) -> DataF
         F.when(cov_pp * cov_tt == 0, F.lit(0.0))
         .otherwise(cov_tp / F.sqrt(cov_tt * cov_pp)).alias("mcc"),
     )
+
+
+def metrics_from_counts(counts: DataFrame, by: Sequence[str], true_col: str, pred_col: str, count_col: str) -> DataFrame:
+    """A12 per group of a table of cell counts: accuracy, balanced accuracy and Matthews correlation.
+
+    Two small aggregations (per label, then per group); the same formulas as
+    ``classification_metrics``.
+    """
+    t, p, n = F.col(true_col), F.col(pred_col), F.col(count_col).cast("double")
+    sides = counts.select(*by, F.explode(F.array(
+        F.struct(t.alias("k"), n.alias("t"), F.lit(0.0).alias("p"), F.when(t == p, n).otherwise(0.0).alias("d")),
+        F.struct(p.alias("k"), F.lit(0.0).alias("t"), n.alias("p"), F.lit(0.0).alias("d")))).alias("_e")).select(*by, "_e.*")
+    per_label = sides.groupBy(*by, "k").agg(*[F.sum(c).alias(c) for c in "tpd"])
+    sums = per_label.groupBy(*by).agg(
+        F.sum("t").alias("s"), F.sum("d").alias("c"), F.sum(F.col("t") * F.col("p")).alias("tp"), F.sum(F.col("p") * F.col("p")).alias("pp"),
+        F.sum(F.col("t") * F.col("t")).alias("tt"), F.avg(F.when(F.col("t") > 0, F.col("d") / F.col("t"))).alias("balanced_accuracy"))
+    square = F.col("s") * F.col("s")
+    root = (square - F.col("pp")) * (square - F.col("tt"))
+    return sums.select(*by, (F.col("c") / F.col("s")).alias("accuracy"), "balanced_accuracy",
+                       F.when(root == 0, F.lit(0.0)).otherwise((F.col("c") * F.col("s") - F.col("tp")) / F.sqrt(root)).alias("mcc"))

@@ -10,15 +10,14 @@ same rows.  Column names are the same on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
-from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textstrata.functions.arrays import argmax, softmax
 from textstrata.functions.text import normalise
-from textstrata.operators import clean, encode, pick, sample, stats
+from textstrata.functions.hashing import hash_bucket, hash_order
+from textstrata.operators import bayes, clean, encode, epochs, language, pick, sample, stats
 from textstrata.operators import train as train_ops
 from textstrata.operators.clean import prepare
 from textstrata.operators.labels import (LITHOLOGY_LABELS, id_to_label, label2id,
@@ -28,7 +27,7 @@ from textstrata.operators.sample import stratified_split
 from textstrata.operators.stats import balanced_class_weights
 from textstrata.plans import jobs
 from textstrata.plans.oracle import TURNS, oracle_sql
-from textstrata.session import shared_path
+from textstrata.session import shared_path, written
 from textstrata.sources import io
 from textstrata.streaming.predict import start_stream, start_stream_predict
 
@@ -43,6 +42,9 @@ TARGETS = ("HL", "NL1", "NL2")
 CUTOFF = 0.1
 SCALE = 20.0
 CUTOFFS = pick.numpy_cutoffs()
+FINE_CUTOFFS = [i / 200 for i in range(200)]
+LANGUAGES = {"de": 0, "en": 1, "es": 2, "fr": 3}
+EPOCH_RATE = 4.0
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -265,8 +267,8 @@ def folded_logits(emb: DataFrame) -> DataFrame:
     """Vectors with ten logits per target in ``l_0``, ``l_1``, ``l_2``: all 64
     elements, summed by ``(position + turn) % 10`` with another turn per target."""
     def folded(turn: int) -> Column:
-        return F.array(*[reduce(add, [F.col("embedding")[j].cast("double") for j in range(64) if (j + turn) % 10 == c])
-                         for c in range(10)])
+        sums = [" + ".join(f"double(embedding[{j}])" for j in range(64) if (j + turn) % 10 == c) for c in range(10)]
+        return F.expr(f"array({', '.join(sums)})")
     return emb.select("vec_id", "label", *[folded(turn).alias(f"l_{t}") for t, turn in enumerate(TURNS)])
 
 
@@ -467,14 +469,14 @@ def _id_digest(c: str) -> Column:
 
 def q_encode_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1 on hashed word ids: every document framed and padded to 512; digests of ids and mask."""
-    ids = encode.word_ids(read(spark, sf_dir, "documents"), "text", ["doc_id"], WORD_VOCABULARY)
+    ids = encode.word_ids(read(spark, sf_dir, "documents"), "text", ["doc_id"], WORD_VOCABULARY, max_words=encode.MAX_LENGTH - 2)
     rows = encode.pad_ids(ids, ["doc_id"])
     return rows.select("doc_id", _id_digest("input_ids").alias("ids_md5"), _id_digest("attention_mask").alias("mask_md5"))
 
 
 def q_mask_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E2, E3 on hashed word ids with portable draws; digests of masked ids and targets."""
-    ids = encode.word_ids(read(spark, sf_dir, "documents"), "text", ["doc_id"], WORD_VOCABULARY)
+    ids = encode.word_ids(read(spark, sf_dir, "documents"), "text", ["doc_id"], WORD_VOCABULARY, max_words=encode.MAX_LENGTH - 2)
     rows = encode.mask_tokens(encode.frame_ids(ids, ["doc_id"]), "doc_id", mask_id=49408, vocab_size=49408,
                               seed=SEED, portable=True)
     return rows.select("doc_id", F.size("input_ids").cast("long").alias("n_ids"),
@@ -557,6 +559,81 @@ def q_stream_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     q.awaitTermination()
     return spark.read.parquet(out).drop("text")
 
+# ------------------------------------------------ models as tables (T1, T2, C1, C6, IO7), learned languages (P5b), tuning
+
+def _label_columns() -> dict[str, str]:
+    return {t: f"{t}_id" for t in MODEL_TARGETS}
+
+
+def q_train_and_score_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T1 + C1 as tables: class-weighted naive Bayes per target on the train split, every document scored."""
+    train_rows = _model_rows(spark, sf_dir).where("split = 'train'")
+    model = bayes.train(train_rows, "text", _label_columns(), len(QUALITY))
+    out = bayes.score(read(spark, sf_dir, "documents"), ["doc_id"], "text", model, MODEL_TARGETS, len(QUALITY))
+    return out.select("doc_id", *[F.round(F.col(f"s_{t}")[i], 9).alias(f"{t}_{i}") for t in MODEL_TARGETS for i in range(len(QUALITY))])
+
+
+def q_batch_predict_nb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO7 + C6 as tables: models saved with a manifest, loaded, checked, every document labelled and written."""
+    path = shared_path(spark, "table_bundle")
+    jobs.train_tables_job(_model_rows(spark, sf_dir), "text", _label_columns(), QUALITY, path)
+    out = jobs.batch_predict_tables_job(spark, read(spark, sf_dir, "documents"), ["doc_id"], "text", path, MODEL_TARGETS, QUALITY,
+                                        shared_path(spark, "table_predictions"), cutoff=CUTOFF)
+    return out.select("doc_id", *[c for t in MODEL_TARGETS for c in (f"{t}_label", F.round(f"{t}_score", 9).alias(f"{t}_score"))])
+
+
+def q_best_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten epochs of a class-weighted softmax regression on ``embeddings``; loss, test accuracy and the best."""
+    test = hash_bucket(hash_order(SEED, "vec_id"), 1) < "4"
+    rows = read(spark, sf_dir, "embeddings").withColumn("split", F.when(test, "test").otherwise("train"))
+    table, _ = epochs.train_epochs(rows, "embedding", "label", TEN_CLASSES, dimensions=64, epochs=10, rate=EPOCH_RATE)
+    return table.select("epoch", F.round("loss", 9).alias("loss"), F.round("accuracy", 12).alias("accuracy"), "n_test", "best")
+
+
+def q_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5(b) with learned profiles: half of the documents teach, all are detected, French ones go."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    teachers = docs.where(hash_bucket(hash_order(SEED, "doc_id"), 1) < "8")
+    detected = language.detect(docs, ["doc_id"], "text", language.learn_profiles(teachers, "text", "lang", LANGUAGES), LANGUAGES)
+    detected = written(detected, "detected")
+    kept = language.drop_detected(docs.select("doc_id", "lang"), ["doc_id"], detected, "fr")
+    return kept.join(detected, "doc_id")
+
+
+def _sweep_counts(spark: SparkSession, sf_dir: str, cutoffs) -> DataFrame:
+    sc = target_scores(spark, sf_dir)
+    return pick.sweep_counts(sc, {t: f"s_{t}" for t in TARGETS}, {t: "label" for t in TARGETS}, TEN_CLASSES, cutoffs)
+
+
+def _rounded(metrics: DataFrame) -> DataFrame:
+    return metrics.select("cutoff", "target", *[F.round(m, 9).alias(m) for m in ("accuracy", "balanced_accuracy", "mcc")])
+
+
+def q_cutoff_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12 per cut-off and target on the final picks."""
+    return _rounded(pick.cutoff_metrics(_sweep_counts(spark, sf_dir, CUTOFFS)))
+
+
+def q_best_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C10 by each of the three metrics."""
+    best = pick.best_cutoffs(pick.cutoff_metrics(_sweep_counts(spark, sf_dir, CUTOFFS)), digits=9)
+    return best
+
+
+def q_sweep_counts_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C8 at 200 cut-offs: rows per cut-off, target, truth and pick."""
+    return _sweep_counts(spark, sf_dir, FINE_CUTOFFS)
+
+
+def q_tune_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C8-C10 as a job, each target measured on its own test split (``vec_id`` modulo 3 names the target)."""
+    own = F.element_at(F.array(*[F.lit(t) for t in TARGETS]), (F.col("vec_id") % 3 + 1).cast("int"))
+    sc = target_scores(spark, sf_dir).withColumn("_target", own)
+    res = jobs.sweep_job(sc, {t: f"s_{t}" for t in TARGETS}, {t: "label" for t in TARGETS}, TEN_CLASSES, shared_path(spark, "tuning"), CUTOFFS,
+                         row_target_col="_target")
+    return _rounded(res["metrics"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "class_weights": q_class_weights,
     "fill_and_map_labels": q_fill_and_map_labels,
@@ -613,6 +690,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "best_run": q_best_run,
     "batch_predict": q_batch_predict,
     "stream_predict": q_stream_predict,
+    "train_and_score_nb": q_train_and_score_nb,
+    "batch_predict_nb": q_batch_predict_nb,
+    "best_epoch": q_best_epoch,
+    "language_profiles": q_language_profiles,
+    "cutoff_metrics": q_cutoff_metrics,
+    "best_cutoffs": q_best_cutoffs,
+    "sweep_counts_fine": q_sweep_counts_fine,
+    "tune_cutoffs": q_tune_cutoffs,
 }
 
-ORACLE_SQL: dict[str, str] = oracle_sql(CUTOFFS)
+ORACLE_SQL: dict[str, str] = oracle_sql(CUTOFFS, FINE_CUTOFFS, LANGUAGES, EPOCH_RATE)

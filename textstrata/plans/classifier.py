@@ -41,7 +41,7 @@ class BundleClassifier:
 
     def _scored(self, texts: DataFrame) -> DataFrame:
         src = texts if self.text_col in texts.columns else texts.withColumnRenamed(texts.columns[0], self.text_col)
-        return train.score(src, self.models, self.targets, len(self.label_ids))
+        return train.score(src, self.models, self.targets, max(self.label_ids.values()) + 1)
 
     def __call__(self, texts: DataFrame, cutoff: float = 0.0) -> DataFrame:
         """Each row gets ``<target>_label`` and ``<target>_score`` (fallback ``none``, -1)."""

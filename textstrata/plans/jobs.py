@@ -6,7 +6,8 @@
 * ``train_job``         per-target classifiers on the train split, saved as a bundle
 * ``predict_table``     C1 -> C3 on any table of texts (C6's core)
 * ``batch_predict_job`` C6: texts in, picks out, written to Parquet
-* ``sweep_job``         C8-C10: score once, write, sweep cut-offs, pick the best
+* ``train_tables_job``, ``batch_predict_tables_job``  the same with naive Bayes tables instead of fitted models
+* ``sweep_job``         A12, C8-C10: score once, write, sweep cut-offs, three metrics, the best of each
 * ``tune_cutoffs_job``  C8-C10 from a bundle and each target's own test split
 
 Each job writes its results; later steps read the written tables, so lineage
@@ -21,7 +22,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textstrata.operators import clean, encode, pick, sample, stats, train
+from textstrata.operators import bayes, clean, encode, pick, sample, stats, train
 from textstrata.operators.labels import map_labels
 from textstrata.sources import io
 
@@ -97,7 +98,7 @@ def train_job(split_rows: DataFrame, text_col: str, label_cols: Mapping[str, str
 def predict_table(df: DataFrame, models: Mapping, targets: Sequence[str], label_ids: Mapping[str, int],
                   cutoff: float = 0.1, score_digits: int | None = None) -> DataFrame:
     """C1 -> C3: score every target, then pick distinct labels with the cut-off."""
-    scored = train.score(df, models, targets, len(label_ids))
+    scored = train.score(df, models, targets, max(label_ids.values()) + 1)
     picked = pick.pick_labels(scored, {t: f"s_{t}" for t in targets}, label_ids, cutoff, score_digits)
     return picked.drop(*[f"s_{t}" for t in targets])
 
@@ -110,21 +111,51 @@ def batch_predict_job(spark: SparkSession, texts: DataFrame, bundle_path: str, t
     return spark.read.parquet(out_path)
 
 
+def train_tables_job(split_rows: DataFrame, text_col: str, label_cols: Mapping[str, str], label_ids: Mapping[str, int], bundle_path: str,
+                     split_col: str = "split", tokens: str = "words") -> None:
+    """T1 as tables: naive Bayes with A1's class weights on the train split, saved as a bundle (IO7)."""
+    model = bayes.train(split_rows.where(F.col(split_col) == "train"), text_col, label_cols, max(label_ids.values()) + 1, tokens)
+    io.save_table_bundle(model, bundle_path, list(label_cols), label_ids, tokens)
+
+
+def predict_with_tables(spark: SparkSession, texts: DataFrame, key_cols: Sequence[str], text_col: str, bundle_path: str, targets: Sequence[str],
+                        label_ids: Mapping[str, int], cutoff: float = 0.1, tokens: str = "words", score_digits: int | None = None) -> DataFrame:
+    """C1 -> C3 with a table bundle: the key columns and each target's label and score.
+
+    The bundle is checked against targets, labels and token rule before any text
+    is read; no part of the model is held by the driver.
+    """
+    model = io.load_table_bundle(spark, bundle_path, targets, label_ids, tokens)
+    scored = bayes.score(texts, key_cols, text_col, model, targets, max(label_ids.values()) + 1, tokens)
+    picked = pick.pick_labels(scored, {t: f"s_{t}" for t in targets}, label_ids, cutoff, score_digits)
+    return picked.drop(*[f"s_{t}" for t in targets])
+
+
+def batch_predict_tables_job(spark: SparkSession, texts: DataFrame, key_cols: Sequence[str], text_col: str, bundle_path: str, targets: Sequence[str],
+                             label_ids: Mapping[str, int], out_path: str, cutoff: float = 0.1, tokens: str = "words") -> DataFrame:
+    """C6 with a table bundle: predict, write, read back."""
+    predict_with_tables(spark, texts, key_cols, text_col, bundle_path, targets, label_ids, cutoff, tokens).write.mode("overwrite").parquet(out_path)
+    return spark.read.parquet(out_path)
+
+
 def sweep_job(scores: DataFrame, score_cols: Mapping[str, str], truth_cols: Mapping[str, str],
               label_ids: Mapping[str, int], out_dir: str,
               cutoffs: Sequence[float] | None = None,
               row_target_col: str | None = None) -> dict[str, DataFrame]:
-    """The scores are written once, then swept over all cut-offs."""
+    """The scores are written once and swept over all cut-offs; accuracy,
+    the three metrics and the best cut-off of each come from one table of counts."""
     spark = scores.sparkSession
     cols = sorted({*score_cols.values(), *truth_cols.values(), *([row_target_col] if row_target_col else [])})
     scores.select(*cols).write.mode("overwrite").parquet(os.path.join(out_dir, "scores"))
     stored = spark.read.parquet(os.path.join(out_dir, "scores"))
-    sweep = pick.cutoff_sweep(stored, score_cols, truth_cols, label_ids, cutoffs or pick.numpy_cutoffs(),
-                              row_target_col)
-    sweep.write.mode("overwrite").parquet(os.path.join(out_dir, "sweep"))
-    sweep = spark.read.parquet(os.path.join(out_dir, "sweep"))
-    return {"sweep": sweep, "wide": pick.cutoff_wide(sweep, list(score_cols)),
-            "best": pick.best_cutoff(sweep)}
+    counts = pick.sweep_counts(stored, score_cols, truth_cols, label_ids, cutoffs or pick.numpy_cutoffs(), row_target_col)
+    counts.write.mode("overwrite").parquet(os.path.join(out_dir, "sweep_counts"))
+    metrics = pick.cutoff_metrics(spark.read.parquet(os.path.join(out_dir, "sweep_counts")))
+    metrics.write.mode("overwrite").parquet(os.path.join(out_dir, "sweep"))
+    metrics = spark.read.parquet(os.path.join(out_dir, "sweep"))
+    sweep = metrics.select("cutoff", "target", "accuracy")
+    return {"sweep": sweep, "wide": pick.cutoff_wide(sweep, list(score_cols)), "best": pick.best_cutoff(sweep),
+            "metrics": metrics, "best_by_metric": pick.best_cutoffs(metrics)}
 
 
 def tune_cutoffs_job(spark: SparkSession, bundle_path: str, test_sets: Mapping[str, DataFrame],
@@ -140,6 +171,6 @@ def tune_cutoffs_job(spark: SparkSession, bundle_path: str, test_sets: Mapping[s
     for t, rows in test_sets.items():
         part = rows.select("text", F.col("label").cast("int").alias("label"), F.lit(t).alias("_target"))
         tagged = part if tagged is None else tagged.unionByName(part)
-    scored = train.score(tagged, models, targets, len(label_ids))
+    scored = train.score(tagged, models, targets, max(label_ids.values()) + 1)
     return sweep_job(scored, {t: f"s_{t}" for t in targets}, {t: "label" for t in targets}, label_ids,
                      out_dir, cutoffs, row_target_col="_target")

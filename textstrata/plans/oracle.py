@@ -198,7 +198,136 @@ ids AS (SELECT doc_id, [49406] || list_transform(ws[1:510],
                lambda x: CAST(CAST('0x' || substr(md5(x), 1, 8) AS BIGINT) % 49406 AS INTEGER)) || [49407] AS ids FROM w)"""
 
 
-def oracle_sql(cutoffs) -> dict[str, str]:
+def _nb_ctes(train_sql: str, rows_sql: str, key: str, targets: dict[str, list[int]], grams: str) -> str:
+    """CTEs ending in ``nb`` (key, target, label_id, score): balanced naive Bayes.
+
+    ``train_sql`` gives text and a ``<target>`` label id column, ``rows_sql`` the
+    key and text to score; ``grams`` is the list of tokens of a text.
+    """
+    stacked = " UNION ALL ".join(f"SELECT {_q(t)} AS target, {t} AS y, text FROM train_ WHERE {t} IS NOT NULL" for t in targets)
+    return f"""
+train_ AS ({train_sql}), rows_ AS ({rows_sql}),
+lab AS ({stacked}),
+cls_ AS (SELECT target, y, count(*) AS n_c FROM lab GROUP BY ALL),
+w_ AS (SELECT *, sum(n_c) OVER (PARTITION BY target)::DOUBLE / (count(*) OVER (PARTITION BY target) * n_c) AS w,
+              1.0::DOUBLE / count(*) OVER (PARTITION BY target) AS share FROM cls_),
+tc AS (SELECT target, y, token, count(*) AS n FROM (SELECT target, y, unnest({grams}) AS token FROM lab) GROUP BY ALL),
+tot_ AS (SELECT target, y, sum(n) AS t FROM tc GROUP BY ALL),
+voc AS (SELECT DISTINCT target, token FROM tc),
+size_ AS (SELECT target, count(*) AS v FROM voc GROUP BY ALL),
+model AS (SELECT v.target, v.token, w.y, round(ln((w.w * coalesce(tc.n, 0)::DOUBLE + 1.0) / (w.w * coalesce(t.t, 0)::DOUBLE + 1.0 * s.v)) * 1000000)::BIGINT AS lw
+          FROM voc v JOIN w_ w USING (target) JOIN size_ s USING (target)
+          LEFT JOIN tot_ t ON t.target = v.target AND t.y = w.y LEFT JOIN tc ON tc.target = v.target AND tc.token = v.token AND tc.y = w.y),
+hit AS (SELECT {key}, token, count(*) AS tf FROM (SELECT {key}, unnest({grams}) AS token FROM rows_) GROUP BY ALL),
+sums AS (SELECT h.{key}, m.target, m.y, sum(h.tf * m.lw)::BIGINT AS s FROM hit h JOIN model m USING (token) GROUP BY ALL),
+logs AS (SELECT r.{key}, w.target, w.y, (coalesce(s.s, 0) + round(ln(w.share) * 1000000)::BIGINT)::DOUBLE * 0.000001 AS x
+         FROM rows_ r CROSS JOIN w_ w LEFT JOIN sums s ON s.{key} = r.{key} AND s.target = w.target AND s.y = w.y),
+exps AS (SELECT *, exp(x - max(x) OVER (PARTITION BY {key}, target)) AS e FROM logs),
+nb AS (SELECT {key}, target, y AS label_id, e / sum(e) OVER (PARTITION BY {key}, target) AS score FROM exps)"""
+
+
+_NB_WORDS = r"regexp_extract_all(lower(text), '[\pL\pN]+')"
+_LETTERS = r"regexp_extract_all(lower(text), '\pL+')"
+_NB_EDGES = f"(list_transform({_LETTERS}, lambda w: '^' || left(w, 3)) || list_transform({_LETTERS}, lambda w: right(w, 3) || '$'))"
+
+
+def _nb_documents() -> str:
+    labelled = ("SELECT d.doc_id, coalesce(d.text, 'none') AS text, coalesce(CAST(l.quality AS VARCHAR), 'none') AS quality, "
+                "CAST(l.toxic AS VARCHAR) AS toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+    train = "SELECT text, TRY_CAST(quality AS INTEGER) AS quality, TRY_CAST(toxic AS INTEGER) AS toxic FROM split_rows WHERE split = 'train'"
+    return f"WITH {split_ctes(labelled, 'doc_id', 'quality')}, " + _nb_ctes(
+        train, "SELECT doc_id, text FROM documents", "doc_id", {"quality": [0, 1], "toxic": [0, 1]}, _NB_WORDS)
+
+
+def _epochs_sql(rate: float) -> str:
+    """Ten full-gradient epochs in a recursive query: one list of 10 x 65 weights per epoch."""
+    return f"""
+WITH RECURSIVE rows_ AS (
+    SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) || [1.0::DOUBLE] AS x, left(md5('{SEED}:' || vec_id), 1) < '4' AS test FROM embeddings
+), cls AS (SELECT label, count(*) AS n_c FROM rows_ WHERE NOT test GROUP BY ALL),
+wt AS (SELECT label, (SELECT sum(n_c) FROM cls)::DOUBLE / ((SELECT count(*) FROM cls) * n_c) AS w FROM cls),
+train_ AS (SELECT vec_id, label, x, w FROM rows_ JOIN wt USING (label) WHERE NOT test),
+total AS (SELECT sum(w) AS t FROM train_),
+weights(epoch, k, w) AS (
+    SELECT 0, k, list_transform(range(65), lambda i: 0.0::DOUBLE) FROM range(10) g(k)
+    UNION ALL
+    (WITH z AS (SELECT r.vec_id, r.label, r.x, r.w, m.epoch, m.k, m.w AS wk, list_inner_product(r.x, m.w) AS z FROM train_ r CROSS JOIN weights m WHERE m.epoch < 10),
+          e AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM z),
+          p AS (SELECT *, (e / sum(e) OVER (PARTITION BY vec_id) - CASE WHEN label = k THEN 1.0 ELSE 0.0 END) * w AS off FROM e),
+          g AS (SELECT epoch, k, i, any_value(wk)[i + 1] - {_dbl(rate)} / (SELECT t FROM total) * sum(off * x[i + 1]) AS v FROM p CROSS JOIN range(65) d(i) GROUP BY epoch, k, i)
+     SELECT epoch + 1, k, list(v ORDER BY i) FROM g GROUP BY epoch, k)
+), logits AS (
+    SELECT m.epoch, r.vec_id, r.label, r.test, m.k, list_inner_product(r.x, m.w) AS z FROM rows_ r CROSS JOIN weights m WHERE m.epoch > 0
+), choice AS (
+    SELECT epoch, vec_id, label, test, arg_max(k, {{'z': z, 'k': -k}}) AS k, max(z) + ln(sum(exp(z - top))) - 0.0 AS norm, max(CASE WHEN k = label THEN z END) AS own
+    FROM (SELECT *, max(z) OVER (PARTITION BY epoch, vec_id) AS top FROM logits) GROUP BY ALL
+), measured AS (
+    SELECT epoch, sum(w * (norm - own)) FILTER (NOT test) / (SELECT t FROM total) AS loss,
+           count(*) FILTER (test AND k = label)::DOUBLE / count(*) FILTER (test) AS accuracy, count(*) FILTER (test) AS n_test
+    FROM choice LEFT JOIN wt USING (label) GROUP BY epoch
+)
+SELECT epoch::INTEGER AS epoch, round(loss, 9) AS loss, round(accuracy, 12) AS accuracy, n_test,
+       row_number() OVER (ORDER BY accuracy DESC, epoch) = 1 AS best FROM measured
+"""
+
+
+def _sweep_counts_sql(cutoffs, own_split: bool = False) -> str:
+    """CTEs ending in ``cnt`` (cutoff, target, truth, pick, n) and ``met`` (cutoff, target and three metrics)."""
+    own = {t: f" WHERE b.vec_id % 3 = {i}" if own_split else "" for i, t in enumerate(TARGETS)}
+    hits = " UNION ALL ".join(
+        f"SELECT b.cutoff, {_q(t)} AS target, b.label AS truth, coalesce(p.label_id, 9)::INTEGER AS pick "
+        f"FROM base b LEFT JOIN pick_{t} p ON p.vec_id = b.vec_id AND p.cutoff = b.cutoff{own[t]}" for t in TARGETS)
+    return f"""WITH {_target_scores()},
+scc AS (SELECT sc.*, cv.cutoff FROM sc CROSS JOIN {_cutoffs_values(cutoffs)}),
+base AS (SELECT e.vec_id, e.label, cv.cutoff FROM {_LOGITS} e CROSS JOIN {_cutoffs_values(cutoffs)}),
+{_picks("cutoff", "s.cutoff", "scc")},
+cnt AS (SELECT cutoff, target, truth, pick, count(*) AS n FROM ({hits}) GROUP BY ALL),
+lab AS (SELECT cutoff, target, k, sum(t) AS t, sum(p) AS p, sum(d) AS d FROM (
+    SELECT cutoff, target, truth AS k, n AS t, 0 AS p, CASE WHEN truth = pick THEN n ELSE 0 END AS d FROM cnt
+    UNION ALL SELECT cutoff, target, pick, 0, n, 0 FROM cnt) GROUP BY ALL),
+met AS (SELECT cutoff, target, sum(d)::DOUBLE / sum(t) AS accuracy, avg(d::DOUBLE / t) FILTER (t > 0) AS balanced_accuracy,
+    CASE WHEN (sum(t)::DOUBLE * sum(t) - sum(p::DOUBLE * p)) * (sum(t)::DOUBLE * sum(t) - sum(t::DOUBLE * t)) = 0 THEN 0.0
+         ELSE (sum(d)::DOUBLE * sum(t) - sum(t::DOUBLE * p)) / (sqrt(sum(t)::DOUBLE * sum(t) - sum(p::DOUBLE * p)) * sqrt(sum(t)::DOUBLE * sum(t) - sum(t::DOUBLE * t))) END AS mcc
+    FROM lab GROUP BY ALL)"""
+
+
+_ROUNDED = "SELECT cutoff, target, round(accuracy, 9) AS accuracy, round(balanced_accuracy, 9) AS balanced_accuracy, round(mcc, 9) AS mcc FROM met"
+
+
+def _model_queries(cutoffs, fine_cutoffs, languages, rate) -> dict[str, str]:
+    picked = ", ".join(f"coalesce(CAST(p_{t}.label_id AS VARCHAR), 'none') AS {t}_label, coalesce(round(p_{t}.score, 9), -1.0) AS {t}_score" for t in ("quality", "toxic"))
+    lang = "CASE lang " + " ".join(f"WHEN {_q(n)} THEN {i}" for n, i in languages.items()) + " END"
+    name = "CASE label_id " + " ".join(f"WHEN {i} THEN {_q(n)}" for n, i in languages.items()) + " END"
+    best = " UNION ALL ".join(f"SELECT {_q(m)} AS metric, arg_max(cutoff, {{'v': {m}, 'c': -cutoff}}) AS cutoff, max({m}) AS value FROM mean_" for m in ("accuracy", "balanced_accuracy", "mcc"))
+    return {
+        "train_and_score_nb": f"""{_nb_documents()}
+SELECT doc_id, """ + ", ".join(f"round(max(score) FILTER (target = '{t}' AND label_id = {i}), 9) AS {t}_{i}" for t in ("quality", "toxic") for i in (0, 1)) + """
+FROM nb GROUP BY doc_id""",
+        "batch_predict_nb": f"""{_nb_documents()},
+p_quality AS (SELECT doc_id, arg_max(label_id, {{'s': score, 'l': -label_id}}) AS label_id, max(score) AS score FROM nb WHERE target = 'quality' AND score >= {_dbl(CUTOFF)} GROUP BY doc_id),
+p_toxic AS (SELECT n.doc_id, arg_max(n.label_id, {{'s': n.score, 'l': -n.label_id}}) AS label_id, max(n.score) AS score
+    FROM nb n LEFT JOIN p_quality q ON q.doc_id = n.doc_id WHERE n.target = 'toxic' AND n.score >= {_dbl(CUTOFF)} AND n.label_id IS DISTINCT FROM q.label_id GROUP BY n.doc_id)
+SELECT d.doc_id, {picked} FROM documents d LEFT JOIN p_quality ON p_quality.doc_id = d.doc_id LEFT JOIN p_toxic ON p_toxic.doc_id = d.doc_id""",
+        "best_epoch": _epochs_sql(rate),
+        "language_profiles": "WITH " + _nb_ctes(
+            f"SELECT text, {lang} AS lang FROM documents WHERE left(md5('{SEED}:' || doc_id), 1) < '8'", "SELECT doc_id, text FROM documents", "doc_id", {"lang": []}, _NB_EDGES) + f""",
+det AS (SELECT doc_id, arg_max({name}, {{'s': score, 'l': -label_id}}) AS detected FROM nb GROUP BY doc_id)
+SELECT d.doc_id, d.lang, CASE WHEN regexp_matches(lower(d.text), '\\pL') THEN det.detected END AS detected
+FROM documents d JOIN det ON det.doc_id = d.doc_id WHERE NOT (regexp_matches(lower(d.text), '\\pL') AND det.detected = 'fr')""",
+        "cutoff_metrics": f"{_sweep_counts_sql(cutoffs)} {_ROUNDED}",
+        "tune_cutoffs": f"{_sweep_counts_sql(cutoffs, own_split=True)} {_ROUNDED}",
+        "best_cutoffs": f"""{_sweep_counts_sql(cutoffs)},
+mean_ AS (SELECT cutoff, round(avg(accuracy), 9) AS accuracy, round(avg(balanced_accuracy), 9) AS balanced_accuracy, round(avg(mcc), 9) AS mcc FROM met GROUP BY cutoff)
+{best}""",
+        "sweep_counts_fine": f"{_sweep_counts_sql(fine_cutoffs)} SELECT cutoff, target, truth, pick, n FROM cnt",
+    }
+
+
+def oracle_sql(cutoffs, fine_cutoffs, languages, epoch_rate) -> dict[str, str]:
+    return _model_queries(cutoffs, fine_cutoffs, languages, epoch_rate) | _base_queries(cutoffs)
+
+
+def _base_queries(cutoffs) -> dict[str, str]:
     names_case = "CASE label " + " ".join(f"WHEN {i} THEN {_q(n)}" for i, n in enumerate(TEN)) + " END"
     picks_select = ", ".join(
         f"coalesce(n_{t}.label, 'none') AS {t}_label, coalesce(round(p_{t}.score, 9), -1.0) AS {t}_score"

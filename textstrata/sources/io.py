@@ -193,3 +193,42 @@ def load_bundle(path: str, targets: Sequence[str]):
             raise FileNotFoundError(f"no model folder at {folder}")
     return {t: PipelineModel.load(os.path.join(path, t)) for t in targets}
 
+
+
+#: Layout version of a table bundle.
+BUNDLE_VERSION = 1
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def save_table_bundle(model: DataFrame, path: str, targets: Sequence[str], label_ids: Mapping[str, int], tokens: str) -> None:
+    """IO7 as tables: ``<path>/weights`` (one folder per target) and a manifest of
+    layout version, token rule, targets and label ids, written last."""
+    model.write.mode("overwrite").partitionBy("target").parquet(os.path.join(path, "weights"))
+    rows = [(BUNDLE_VERSION, tokens, t, int(i), name) for t in targets for name, i in label_ids.items()]
+    spark = model.sparkSession
+    spark.createDataFrame(rows, "version int, tokens string, target string, label_id int, label string") \
+        .coalesce(1).write.mode("overwrite").parquet(os.path.join(path, "manifest"))
+
+
+def load_table_bundle(spark: SparkSession, path: str, targets: Sequence[str], label_ids: Mapping[str, int], tokens: str) -> DataFrame:
+    """IO7 as tables: the model of ``targets``, checked before any text is read.
+
+    A missing folder or target fails without a job; another layout version, token
+    rule or label table fails after reading the manifest (a row per label).
+    """
+    for folder in ("manifest", "weights", *(f"weights/target={t}" for t in targets)):
+        if not _exists(spark, os.path.join(path, folder)):
+            raise FileNotFoundError(f"no model folder at {os.path.join(path, folder)}")
+    rows = spark.read.parquet(os.path.join(path, "manifest")).collect()
+    for t in targets:
+        own = {r["label"]: r["label_id"] for r in rows if r["target"] == t}
+        if own != dict(label_ids):
+            raise ValueError(f"the bundle's labels of {t} are {own}, not {dict(label_ids)}")
+    if {(r["version"], r["tokens"]) for r in rows} != {(BUNDLE_VERSION, tokens)}:
+        raise ValueError(f"the bundle isn't of layout {BUNDLE_VERSION} with the token rule {tokens}")
+    schema = "token string, weights array<bigint>, target string"
+    return spark.read.schema(schema).parquet(os.path.join(path, "weights")).where(F.col("target").isin(list(targets)))
