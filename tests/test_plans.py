@@ -13,8 +13,8 @@ def plan(df):
 
 # Single-partition steps are allowed only over aggregated tables: one-row
 # global aggregates of per-task partial results, or windows over one row per
-# label / label combination.
-BOUNDED_SINGLE_PARTITION = {"argmax_accuracy", "association", "association_orders", "class_weights",
+# label / label combination, cut-off, epoch or range of a running total.
+BOUNDED_SINGLE_PARTITION = {"argmax_accuracy", "association", "association_orders", "best_cutoffs", "best_epoch", "class_weights", "op13_importance",
                             "group_sizes", "labels_by_first_seen", "metric_trio", "weighted_ce"}
 
 

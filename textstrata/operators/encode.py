@@ -9,6 +9,7 @@ and masking are array expressions in the JVM.
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Iterator, Sequence
 
@@ -22,6 +23,8 @@ from textstrata.functions.arrays import let
 DEFAULT_VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
 MAX_LENGTH = 512
+#: Hashed word ids lie below this, the start and end ids follow.
+WORD_IDS = 49_406
 MLM_PROBABILITY = 0.15
 IGNORE_INDEX = -100
 
@@ -74,7 +77,9 @@ def word_ids(df: DataFrame, text_col: str, key_cols: Sequence[str], vocab_size:
     number made of the first 32 bits of its md5, modulo ``vocab_size``.  JVM
     expressions only; null text gives an empty array.  ``max_words`` hashes no more
     words than a later truncation keeps (``max_length - 2``)."""
-    words = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    # an empty piece may stand first and the uncut rest last, beside the words that are kept
+    limit = -1 if max_words is None else max_words + 2
+    words = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", limit), "")
     if max_words is not None:
         words = F.slice(words, 1, max_words)
     return df.select(*key_cols, F.transform(
@@ -145,10 +150,10 @@ def mask_tokens(df: DataFrame, key_col: str, mask_id: int, vocab_size: int,
     """
     key = F.col(key_col)
 
-    def masked(m: Column, x: Column, i: Column, draws: tuple[Column, Column, Column]) -> Column:
-        chosen = (m[i] == 0) & (draws[0] < F.lit(probability))
-        rand_id = (draws[2] * F.lit(vocab_size)).cast("int")
-        new = F.when(draws[1] < 0.8, F.lit(mask_id)).when(draws[1] < 0.9, rand_id).otherwise(x)
+    def masked(m: Column, x: Column, i: Column, low: Column, how: Column, which: Column) -> Column:
+        chosen = (m[i] == 0) & low
+        rand_id = (which * F.lit(vocab_size)).cast("int")
+        new = F.when(how < 0.8, F.lit(mask_id)).when(how < 0.9, rand_id).otherwise(x)
         return F.struct(F.when(chosen, new).otherwise(x).alias("i"),
                         F.when(chosen, x).otherwise(F.lit(IGNORE_INDEX)).alias("l"))
 
@@ -156,9 +161,12 @@ def mask_tokens(df: DataFrame, key_col: str, mask_id: int, vocab_size: int,
         def per_position(x: Column, i: Column) -> Column:
             if portable:
                 digest = F.md5(F.concat_ws(":", F.lit(f"{seed}:{epoch}"), key.cast("string"), i.cast("string")))
-                return let(digest, lambda d: masked(m, x, i, tuple(
-                    _md5_number(d, n) / F.lit(4294967296.0) for n in range(3))))
-            return masked(m, x, i, tuple(_uniform(seed, epoch, salt, key, i) for salt in (1, 2, 3)))
+                # the first draw is compared as text: eight hex digits order as the number they stand for
+                below = F.lit(f"{math.ceil(probability * 2 ** 32):08x}") if probability < 1 else F.lit("g")
+                return let(digest, lambda d: masked(m, x, i, F.substring(d, 1, 8) < below, *(
+                    _md5_number(d, n) / F.lit(4294967296.0) for n in (1, 2))))
+            low, how, which = (_uniform(seed, epoch, salt, key, i) for salt in (1, 2, 3))
+            return masked(m, x, i, low < F.lit(probability), how, which)
         return F.transform(F.col(ids_col), per_position)
 
     pairs = df.withColumn("_ts_pairs", let(F.col(special_col), choose))

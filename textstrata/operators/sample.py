@@ -9,7 +9,7 @@ All random choices are "the first k rows of a stratum in seeded hash order"
 3. flag every row by comparing its order key with that threshold
 
 Steps 1 and 2 write tables with at most one row per (stratum, bucket) and one
-per stratum to the shared folder; joins against them are planned by their size
+per stratum (quotas and boundary buckets in the same plan) to the shared folder; joins against them are planned by their size
 in bytes.  A stratum holding a third of all rows costs no more than others: its
 work is spread over all scan tasks and only a ``1/16**digits`` slice of it is
 ever ranked in one task.
@@ -75,16 +75,16 @@ def mark_first_k(df: DataFrame, strata: Sequence[str], key_cols: Sequence[str],
     # stratum's quota-th row falls.
     bucket_counts = written(keyed.groupBy(*strata, _B).agg(F.count(F.lit(1)).alias(_CNT)), "bucket-counts")
     class_counts = bucket_counts.groupBy(*strata).agg(F.sum(_CNT).alias("n_c"))
-    quota_table = written(quotas(class_counts).select(*strata, "n_c", F.col("quota").cast("long")), "quotas")
+    quota_table = quotas(class_counts).select(*strata, "n_c", F.col("quota").cast("long"))
     w = Window.partitionBy(*strata).orderBy(_B)
-    boundary = written(
+    boundary = (
         _null_safe_join(bucket_counts, quota_table, strata, "inner")
         .withColumn("_before", F.coalesce(F.sum(_CNT).over(
             w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .where((F.col("quota") > F.col("_before"))
                & (F.col("quota") <= F.col("_before") + F.col(_CNT))
                & (F.col("quota") < F.col("n_c")))
-        .select(*strata, _B, (F.col("quota") - F.col("_before")).alias("_need")), "boundary")
+        .select(*strata, _B, (F.col("quota") - F.col("_before")).alias("_need")))
 
     # Only the boundary buckets' rows are ranked; the need-th is the threshold.
     wr = Window.partitionBy(*strata).orderBy(_H, _K)
@@ -136,7 +136,6 @@ def split_quotas(test_size: float, strict: bool = False) -> Callable[[DataFrame]
 
     def quotas(counts: DataFrame) -> DataFrame:
         strata = [c for c in counts.columns if c != "n_c"]
-        counts = written(counts, "strata")
         dec = "decimal(38,0)"
         whole = counts.agg(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k"), F.min("n_c").alias("least")).first()
         n = whole["n"] or 0

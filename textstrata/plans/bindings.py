@@ -342,6 +342,23 @@ def q_stream_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def q_stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C7 stopped and started again: half of ``embeddings``, then the rest with the first half sent again; each row once."""
+    src, out, ckpt = (shared_path(spark, f"stream_once_{x}") for x in ("in", "out", "ckpt"))
+    rows = read(spark, sf_dir, "embeddings").withColumn("sent", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("vec_id")))
+
+    def run() -> None:
+        start_stream(spark, src, rows.schema, lambda emb: _picked(scored(folded_logits(emb))), out, ckpt, files_per_trigger=2,
+                     once_by=["vec_id"], event_time="sent", delay="365 days").awaitTermination()
+
+    first = rows.where(F.col("vec_id") % 2 == 0).repartition(3)
+    first.write.mode("append").parquet(src)
+    run()
+    rows.where(F.col("vec_id") % 2 == 1).unionByName(first).repartition(3).write.mode("append").parquet(src)
+    run()
+    return spark.read.parquet(out)
+
+
 def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     sc = target_scores(spark, sf_dir)
     return pick.cutoff_sweep(sc, {t: f"s_{t}" for t in TARGETS}, {t: "label" for t in TARGETS},
@@ -449,18 +466,19 @@ def q_read_delimited_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_dataset_job(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The labelled-set job (P1, P7, S2, A1, IO3-IO5): its written sets with the written weight of each row's label."""
+    """The labelled-set job (P1, P7, S2, A1, IO3-IO5, E1): its written sets with the written weight of each row's label and the digest of its encoding."""
     paths = jobs.dataset_job(labelled_documents(spark, sf_dir), "text", "quality", QUALITY, shared_path(spark, "labelled_set"),
-                             row_col="doc_id", test_size=TEST_SIZE, seed=SEED, tokenize=False)
+                             row_col="doc_id", test_size=TEST_SIZE, seed=SEED)
     weights = spark.read.parquet(f"{paths['weights']}/table").select("label_id", F.round("weight", 9).alias("weight"))
     rows = io.load_split_sets(spark, paths["dataset"])
-    return rows.join(weights, rows["label"] == weights["label_id"], "left").select(
-        "doc_id", F.md5("text").alias("text_md5"), F.col("label").cast("int").alias("label"), "split", "weight")
+    encoded = spark.read.parquet(paths["tokenized"]).select("doc_id", _id_digest("input_ids").alias("ids_md5"))
+    return rows.join(weights, rows["label"] == weights["label_id"], "left").join(encoded, "doc_id").select(
+        "doc_id", F.md5("text").alias("text_md5"), F.col("label").cast("int").alias("label"), "split", "weight", "ids_md5")
 
 
 # ------------------------------------------------ encoding
 
-WORD_VOCABULARY = 49_406
+WORD_VOCABULARY = encode.WORD_IDS
 
 
 def _id_digest(c: str) -> Column:
@@ -484,6 +502,14 @@ def q_mask_words(spark: SparkSession, sf_dir: str) -> DataFrame:
                        _id_digest("input_ids").alias("ids_md5"), _id_digest("labels").alias("labels_md5"))
 
 
+def q_pretrain_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E2, P11, E3 as one job: documents split (S3), encoded, masked for two epochs; digests of the second epoch's sets."""
+    rows = sample.unstratified_split(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", TEST_SIZE, SEED)
+    paths = jobs.pretrain_dataset_job(rows, shared_path(spark, "pretrain"), key_col="doc_id", epochs=2, seed=SEED, portable=True)
+    second = spark.read.parquet(paths["epoch1"])
+    return second.select("doc_id", "split", _id_digest("input_ids").alias("ids_md5"), _id_digest("labels").alias("labels_md5"))
+
+
 def q_encode_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document encoded, truncated and padded to 512."""
     return encode.encode_padded(read(spark, sf_dir, "documents"), "text", ["doc_id"])
@@ -698,6 +724,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "best_cutoffs": q_best_cutoffs,
     "sweep_counts_fine": q_sweep_counts_fine,
     "tune_cutoffs": q_tune_cutoffs,
+    "pretrain_words": q_pretrain_words,
+    "stream_once": q_stream_once,
 }
 
 ORACLE_SQL: dict[str, str] = oracle_sql(CUTOFFS, FINE_CUTOFFS, LANGUAGES, EPOCH_RATE)

@@ -34,7 +34,10 @@ def dataset_job(df: DataFrame, text_col: str, target_col: str, mapping: Mapping[
                 save_preprocessed: bool = False, vocabulary: str | None = None,
                 tokenize: bool = True, max_length: int = encode.MAX_LENGTH) -> dict[str, str]:
     """The labelled-set job: sample, select and fill, map labels, split,
-    class weights, split sets and their encodings.  Returns the written paths."""
+    class weights, split sets and their encodings.  Returns the written paths.
+
+    Encodings are hashed word ids, in the JVM; with ``vocabulary`` they are that
+    tokenizer file's."""
     spark = df.sparkSession
     paths = {k: os.path.join(out_dir, k) for k in ("preprocessed", "weights", "dataset", "tokenized")}
     rows = sample.exact_sample(df, sample_n, row_col, seed) if sample_n > 0 else df
@@ -52,8 +55,11 @@ def dataset_job(df: DataFrame, text_col: str, target_col: str, mapping: Mapping[
                            target=target_col)
     io.write_split_sets(split_rows, paths["dataset"], text_col, "label_id", key_col=row_col)
     if tokenize:
-        enc = encode.encode_padded(split_rows, text_col, [row_col, "label_id", "split"], vocabulary,
-                                   max_length=max_length)
+        keys = [row_col, "label_id", "split"]
+        if vocabulary is None:
+            enc = encode.pad_ids(encode.word_ids(split_rows, text_col, keys, encode.WORD_IDS, max_words=max_length - 2), keys, max_length)
+        else:
+            enc = encode.encode_padded(split_rows, text_col, keys, vocabulary, max_length=max_length)
         enc.write.mode("overwrite").partitionBy("split").parquet(paths["tokenized"])
     return paths
 
@@ -61,18 +67,23 @@ def dataset_job(df: DataFrame, text_col: str, target_col: str, mapping: Mapping[
 def pretrain_dataset_job(split_sets: DataFrame, out_dir: str, key_col: str = "row_id",
                          vocabulary: str | None = None, mask_id: int = 49408, vocab_size: int = 49408,
                          epochs: int = 1, seed: int = 2023,
-                         max_length: int = encode.MAX_LENGTH) -> dict[str, str]:
+                         max_length: int = encode.MAX_LENGTH, portable: bool = False) -> dict[str, str]:
     """Masked-word training data: E2 (ids to ``max_length``, special-token
     mask), P11 (text and label dropped), E3 once per epoch with that epoch's
-    draws; one Parquet set per epoch, partitioned by split."""
-    enc = encode.encode_variable(split_sets, "text", [key_col, "split"], vocabulary, max_length=max_length)
+    draws; one Parquet set per epoch, partitioned by split.  Ids are hashed
+    words, in the JVM; with ``vocabulary`` they are that tokenizer file's."""
+    keys = [key_col, "split"]
+    if vocabulary is None:
+        enc = encode.frame_ids(encode.word_ids(split_sets, "text", keys, encode.WORD_IDS, max_words=max_length - 2), keys, max_length)
+    else:
+        enc = encode.encode_variable(split_sets, "text", keys, vocabulary, max_length=max_length)
     enc = clean.drop_columns(enc, "text", "label")
     enc.write.mode("overwrite").partitionBy("split").parquet(os.path.join(out_dir, "encoded"))
     stored = split_sets.sparkSession.read.parquet(os.path.join(out_dir, "encoded"))
     paths = {}
     for epoch in range(epochs):
         path = os.path.join(out_dir, f"masked_epoch{epoch}")
-        encode.mask_tokens(stored, key_col, mask_id, vocab_size, seed=seed, epoch=epoch) \
+        encode.mask_tokens(stored, key_col, mask_id, vocab_size, seed=seed, epoch=epoch, portable=portable) \
             .write.mode("overwrite").partitionBy("split").parquet(path)
         paths[f"epoch{epoch}"] = path
     return paths

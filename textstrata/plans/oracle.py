@@ -324,7 +324,10 @@ mean_ AS (SELECT cutoff, round(avg(accuracy), 9) AS accuracy, round(avg(balanced
 
 
 def oracle_sql(cutoffs, fine_cutoffs, languages, epoch_rate) -> dict[str, str]:
-    return _model_queries(cutoffs, fine_cutoffs, languages, epoch_rate) | _base_queries(cutoffs)
+    base = _base_queries(cutoffs)
+    masked = base["mask_words"].replace(f"'{SEED}:0:'", f"'{SEED}:1:'")
+    pretrain = f"""SELECT m.doc_id, s.split, m.ids_md5, m.labels_md5 FROM ({masked}) m JOIN ({base['unstratified_split']}) s USING (doc_id)"""
+    return _model_queries(cutoffs, fine_cutoffs, languages, epoch_rate) | base | {"pretrain_words": pretrain, "stream_once": base["pick_labels"]}
 
 
 def _base_queries(cutoffs) -> dict[str, str]:
@@ -435,12 +438,13 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS price,
        row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders""",
 
         "dataset_job": f"""
-WITH {split_ctes(_LABELLED_DOCS_TEXT, 'doc_id', 'quality')},
+WITH {_WORD_IDS.lstrip().replace("w AS", "words_ AS", 1).replace("FROM w)", "FROM words_)")}, {split_ctes(_LABELLED_DOCS_TEXT, 'doc_id', 'quality')},
 n AS (SELECT quality, count(*) AS n_c FROM split_rows WHERE split = 'train' AND quality <> 'none' GROUP BY quality),
 w AS (SELECT quality, round(CAST(sum(n_c) OVER () AS DOUBLE) / CAST(count(n_c) OVER () * n_c AS DOUBLE), 9) AS weight
       FROM n)
-SELECT s.doc_id, md5(s.text) AS text_md5, CASE s.quality WHEN '0' THEN 0 WHEN '1' THEN 1 END AS label, s.split, w.weight
-FROM split_rows s LEFT JOIN w USING (quality)""",
+SELECT s.doc_id, md5(s.text) AS text_md5, CASE s.quality WHEN '0' THEN 0 WHEN '1' THEN 1 END AS label, s.split, w.weight,
+       md5(array_to_string(ids.ids || list_transform(range(512 - len(ids.ids)), lambda x: 0), ',')) AS ids_md5
+FROM split_rows s LEFT JOIN w USING (quality) JOIN ids USING (doc_id)""",
 
         "stream_pick": f"""
 WITH {_target_scores().lstrip()},
