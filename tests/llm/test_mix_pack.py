@@ -100,11 +100,12 @@ def padding(lengths, bounds):
 @pytest.mark.parametrize("seed", range(8))
 def test_boundaries_equal_brute_force(seed):
     rng = random.Random(seed)
-    lengths = [rng.randrange(12) for _ in range(rng.randrange(1, 30))]
+    longest = rng.choice([12, 700, 40_000])  # no length is a bin of others
+    lengths = [rng.randrange(longest) for _ in range(rng.randrange(1, 30 if longest == 12 else 16))]
     have = Counter(lengths)
     keys = sorted(have)
     k = rng.randrange(1, 5)
-    got = packing.optimal_boundaries(keys, [have[x] for x in keys], [x * have[x] for x in keys], k)
+    got = packing.optimal_boundaries(keys, [have[x] for x in keys], k)
     best = min(padding(lengths, (*c, keys[-1])) for n in range(min(k, len(keys))) for c in itertools.combinations(keys[:-1], n))
     assert len(got) <= k and got[-1] == keys[-1] and padding(lengths, got) == best
 
@@ -132,3 +133,24 @@ def test_packing_of_odd_tables(odd_docs, no_docs):
     rows = packing.pack(odd_docs).collect()
     assert len(rows) == odd_docs.count() and max(r.n_tokens for r in rows) == 30_000
     assert packing.pack(no_docs).count() == 0
+
+
+def test_boundaries_of_many_lengths_equal_the_plain_program():
+    rng = random.Random(1)
+    keys = sorted(rng.sample(range(60_000), 900))
+    counts = [rng.randrange(1, 50) for _ in keys]
+    k = 9
+    best = [0.0] + [float("inf")] * len(keys)
+    for _ in range(k):
+        now = [float("inf")] * (len(keys) + 1)
+        for j in range(1, len(keys) + 1):
+            pad = 0
+            for i in range(j - 1, -1, -1):
+                pad += counts[i] * (keys[j - 1] - keys[i])
+                if pad >= now[j]:
+                    break
+                now[j] = min(now[j], best[i] + pad)
+        best = now
+    bounds = packing.optimal_boundaries(keys, counts, k)
+    got = sum(c * (min(b for b in bounds if b >= x) - x) for x, c in zip(keys, counts))
+    assert got == best[-1] and len(bounds) <= k

@@ -348,3 +348,26 @@ def test_discriminant_equals_the_densities():
         return math.log(len(x) / 500) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", diff, np.linalg.inv(cov), diff)
     want = 1 / (1 + np.exp(log_density(x0, at) - log_density(x1, at)))
     assert np.allclose(model.score(at), want)
+
+
+def test_disguised_tokens_are_found_in_linear_time():
+    import random
+    import re
+    import time
+
+    old = re.compile(r"(?=.*[a-z])[a-z0-9@$!|+(€*#]*[0-9@$!|+(€*#][a-z0-9@$!|+(€*#]*")
+    rng = random.Random(2)
+    for _ in range(3000):
+        token = "".join(rng.choice("ab1@#xé-(") for _ in range(rng.randrange(1, 7)))
+        form = token.strip(toxicity.TRIM)
+        assert (form in toxicity.disguised(token, {token})) >= (bool(form) and not form.isalpha() and bool(old.fullmatch(form)))
+    began = time.time()
+    assert toxicity.disguised("", {"a1" * 500_000 + "é"}) == set()
+    assert time.time() - began < 5
+
+
+def test_a_document_of_monstrous_words_fails(spark):
+    rows = [(i, " ".join(f"{'x' * 19}{i:03d}{j:03d}" for j in range(60)), "en", "s") for i in range(200)]
+    rows.append((999, " ".join("y" * 1997 + f"{j:03d}" for j in range(60)), "en", "s"))
+    kept = {r.id: r.kept for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not kept[999] and all(kept[i] for i in range(200))

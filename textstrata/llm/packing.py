@@ -1,8 +1,8 @@
 """Packing into length buckets of least padding.
 
-The lengths of all rows are counted in one histogram; a dynamic program over it
-chooses the bucket boundaries that minimise the padding of every row to its
-boundary.  Inside a bucket, batches hold as many rows as the token budget allows.
+The lengths of all rows are counted in one histogram with a bin per distinct
+length; a dynamic program over it chooses the bucket boundaries that minimise the
+padding of every row to its boundary.  Inside a bucket, batches hold as many rows as the token budget allows.
 """
 
 from __future__ import annotations
@@ -13,44 +13,50 @@ from pyspark.sql import functions as F
 
 from textstrata.llm.shared import materialise, word_count
 
-#: Lengths below this have a bin each; above, every doubling has half as many bins.
-EXACT = 512
 #: Rows numbered by one task; a bucket is dealt over as many shards as this takes.
 SHARD_ROWS = 20_000
 
 
-def length_bin(n: Column) -> Column:
-    """A bin per length below ``EXACT``, then ``EXACT / 2`` bins to each doubling.
+def _layer(best: np.ndarray, top: np.ndarray, rows: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One more bucket: the least padding of the first j lengths for every j, and where its last bucket begins.
 
-    The number of bins grows with the logarithm of the longest row only.
+    The best beginning never moves back as j grows, so the middle j is settled
+    first and bounds the search on either side.
     """
-    extra = F.greatest(F.length(F.bin(n)) - (EXACT.bit_length() - 1), F.lit(0))
-    return F.struct(extra.alias("e"), F.floor(n / F.pow(F.lit(2), extra)).alias("b"))
+    m = len(top)
+    now, back = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
+    open_ = [(1, m, 0, m - 1)]
+    while open_:
+        low, high, first, last = open_.pop()
+        if low > high:
+            continue
+        j = (low + high) // 2
+        i = np.arange(first, min(last, j - 1) + 1)
+        cost = best[i] + top[j - 1] * (rows[j] - rows[i]) - (tokens[j] - tokens[i])
+        at = int(cost.argmin())
+        now[j], back[j] = cost[at], i[at]
+        open_ += [(low, j - 1, first, i[at]), (j + 1, high, i[at], last)]
+    return now, back
 
 
-def optimal_boundaries(lengths: list[int], counts: list[int], totals: list[int], buckets: int) -> list[int]:
-    """At most ``buckets`` of the rising ``lengths`` as boundaries, with the least padding.
+def optimal_boundaries(lengths: list[int], counts: list[int], buckets: int) -> list[int]:
+    """At most ``buckets`` of the rising, distinct ``lengths`` as boundaries, with the least padding.
 
-    ``counts`` rows of ``totals`` tokens lie in each bin, none longer than its
-    length.  The last boundary is the longest length; ties go to fewer buckets,
-    then to smaller boundaries.
+    ``counts`` rows have each length.  The last boundary is the longest length;
+    ties go to fewer buckets.
     """
     m = len(lengths)
     if not m:
         return []
     top = np.array(lengths, dtype=np.float64)
-    rows, tokens = (np.concatenate([[0.0], np.cumsum(np.array(x, dtype=np.float64))]) for x in (counts, totals))
+    each = np.array(counts, dtype=np.float64)
+    rows, tokens = (np.concatenate([[0.0], np.cumsum(x)]) for x in (each, each * top))
     best = np.concatenate([[0.0], np.full(m, np.inf)])
     steps, ends = [], []
     for _ in range(min(buckets, m)):
-        now, back = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
-        for j in range(1, m + 1):
-            cost = best[:j] + top[j - 1] * (rows[j] - rows[:j]) - (tokens[j] - tokens[:j])
-            back[j] = int(cost.argmin())
-            now[j] = cost[back[j]]
+        best, back = _layer(best, top, rows, tokens)
         steps.append(back)
-        ends.append(now[m])
-        best = now
+        ends.append(best[m])
     layer = int(np.argmin(ends))
     out, j = [], m
     while j > 0:
@@ -72,13 +78,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     """
     n = word_count(F.col(text_col)) if length is None else F.coalesce(length, F.lit(0)).cast("long")
     rows = materialise(docs.select(F.col(id_col).alias("id"), n.alias("n_tokens"), F.monotonically_increasing_id().alias("row")), "lengths")
-    bins = rows.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("top"), F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).collect()
-    bins = sorted((r.top, r.n, r.tokens) for r in bins)  # a few thousand rows at most
-    bounds = optimal_boundaries([b[0] for b in bins], [b[1] for b in bins], [b[2] for b in bins], buckets)
+    # the histogram has a row per distinct length, two numbers each
+    seen = rows.groupBy("n_tokens").agg(F.count("*").alias("n")).toArrow().sort_by("n_tokens")
+    lengths, counts = seen.column("n_tokens").to_numpy(), seen.column("n").to_numpy()
+    bounds = optimal_boundaries(lengths, counts, buckets)
     if not bounds:
         empty = F.lit(None)
         return rows.select("id", "n_tokens", empty.cast("int").alias("bucket"), empty.cast("long").alias("pad_to"), empty.cast("long").alias("batch"), empty.cast("long").alias("slot"))
-    held = [sum(c for t, c, _ in bins if (bounds[i - 1] if i else -1) < t <= b) for i, b in enumerate(bounds)]
+    held = np.diff([0, *np.cumsum(counts)[np.searchsorted(lengths, bounds)]]).tolist()
     literal = lambda values: F.array(*[F.lit(int(v)).cast("long") for v in values])
     at = F.lit(len(bounds) - 1)
     for i in range(len(bounds) - 2, -1, -1):

@@ -19,7 +19,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each twentieth vector's 20 best others by integer inner product."""
     vectors = topk.clean_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    whole = vectors.select("id", F.transform("v", lambda x: F.floor(x * 64).cast("double")).alias("v"))
+    # beyond 2**53 a double is a whole number, and floor() to a long would saturate
+    whole = vectors.select("id", F.transform("v", lambda x: F.when(F.abs(x) < 2.0 ** 47, F.floor(x * 64).cast("double")).otherwise(x * 64)).alias("v"))
     best = topk.top_k(whole, F.col("id") % 20 == 0, k=20)
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), F.col("score").cast("long").alias("score"))
 

@@ -2,9 +2,10 @@
 
 Three fixed cut-offs of classic rule sets (symbols per word, repeated lines,
 repeated windows) and the mean word length are replaced by fences taken from
-mergeable quantile sketches.  A sketch is a histogram over ``BINS`` equal bins
-of a bounded statistic: adding two sketches is adding counts, its size doesn't
-grow with the input, and a quantile read from it is off by one bin at most.
+mergeable quantile sketches.  A sketch is a histogram of bins of equal width,
+``BINS`` for a share and ``BINS`` to 20 characters for the mean word length, which
+has no upper end: adding two sketches is adding counts, only bins that occur take
+room, and a quantile read from it is off by one bin at most.
 Everything is DataFrame expressions; a text never leaves its row.
 """
 
@@ -63,7 +64,7 @@ def statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
 
 
 def _bin(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, F.least(F.floor(F.lit(BINS) * part / whole), F.lit(BINS)).cast("int"))
+    return F.when(whole > 0, F.floor(F.lit(BINS) * part / whole).cast("long"))
 
 
 def with_bins(stats: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def with_bins(stats: DataFrame) -> DataFrame:
 
 
 def sketches(binned: DataFrame, by: list[str]) -> DataFrame:
-    """``(*by, metric, bin, n)``: the sketches, combined map-side; at most ``BINS + 1`` rows per group and metric."""
+    """``(*by, metric, bin, n)``: the sketches, combined map-side; a row per group, metric and bin that occurs."""
     cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("bin")) for m in METRICS]))
     return binned.where("n_words > 0").select(*by, cells.alias("c")).groupBy(*by, "c.metric", "c.bin").agg(F.count("*").alias("n"))
 
