@@ -92,7 +92,11 @@ def search_block(q_ids, q, q_table, x_ids, x, x_table, radius: float, k: int) ->
                     break  # no later candidate can reach the k-th score
             part = order[at:at + step]
             part = part[x_ids[part] != q_ids[qi]]
-            score, ids = np.concatenate([score, x[part] @ q[qi]]), np.concatenate([ids, x_ids[part]])
+            new = x[part] @ q[qi]
+            if len(score) >= k or len(new) > k:  # scores below the k-th best so far are out before the sort; ties stay
+                good = new >= (score[k - 1] if len(score) >= k else np.partition(new, -k)[-k])
+                new, part = new[good], part[good]
+            score, ids = np.concatenate([score, new]), np.concatenate([ids, x_ids[part]])
             best = np.lexsort((ids, -score))[:k]
             score, ids = score[best], ids[best]
             at, step = at + step, step * 2
@@ -129,7 +133,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, pivots: int = 16, c
                 pdf["q_far"] = list(_distances(_query_points(x, radius), chosen))
                 yield pdf[["id", "v", "is_query", "far", "q_far"]]
 
-    index = rows.mapInPandas(table, "id long, v array<double>, is_query boolean, far array<double>, q_far array<double>")
+    index = materialise(rows.mapInPandas(table, "id long, v array<double>, is_query boolean, far array<double>, q_far array<double>"), "pivot-table")
     n_blocks, n_query_blocks = -(-n // candidate_block), -(-nq // query_block)
     to_block = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks))
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
