@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from textstrata.operators.order import expand_idem
+from textstrata.operators.order import _scan_segments, expand_idem
 
 
 def brute(rows, ignore_case=False):
@@ -95,6 +95,26 @@ def test_null_site_carries_across_chunks(spark):
     assert got[(1, 2)] == ("idem", True)
 
 
+def test_one_exchange_and_one_sort_of_the_rows(spark):
+    from pyspark.sql import functions as F
+    df = spark.createDataFrame(FIXED, "site int, ord long, text string")
+    keyed = (df.withColumn("_ts_site", F.struct("site")).withColumn("_ts_chunk", F.lit(0))
+             .withColumn("_ts_idem", F.lower("text").startswith("idem")))
+    plan = _scan_segments(keyed, F.when(~F.col("_ts_idem"), F.col("text")), "ord")._jdf.queryExecution().sparkPlan().toString()
+    full = _scan_segments(keyed, F.when(~F.col("_ts_idem"), F.col("text")), "ord")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+    assert full.count("Exchange") == 1 and full.count("Sort [") == 1
+
+
+def test_extra_columns_stay_and_an_empty_table_stays_empty(spark):
+    rows = [(1, 1, "zand", "a"), (1, 40_000, "idem nat", None), (1, 80_000, "idem", "c")]
+    df = spark.createDataFrame(rows, "site int, ord long, text string, note string")
+    got = expand_idem(df, ["site"], "ord", "text", out_col="full").orderBy("ord").collect()
+    assert [(r["text"], r["note"], r["full"]) for r in got] == [
+        ("zand", "a", "zand"), ("idem nat", None, "zand nat"), ("idem", "c", "zand")]
+    assert expand_idem(df.where("false"), ["site"], "ord", "text").collect() == []
+
+
 from hypothesis import given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
 

@@ -80,3 +80,16 @@ def test_partition_invariance(spark):
 def test_minority_share_above_a_half(spark, disjoint):
     """The random pool's bound is above zero, so groups are shut out of it."""
     assert run(spark, ROWS, 12, 0.7, disjoint=disjoint) == brute(ROWS, 12, 0.7, disjoint=disjoint)
+
+
+def test_dedup_compares_digests_and_sorts_no_texts(spark):
+    rows = [(1, "a", "x" * 5000), (2, None, "x" * 5000), (3, "a", "x" * 5000), (4, None, "x" * 5000),
+            (5, "a", ""), (6, "a", None), (7, "a", ""), (8, "a", None), (9, "ax", "x" * 4999)]
+    df = spark.createDataFrame(rows, "row_id long, t string, text string")
+    from textstrata.operators import sample as S
+    out = S.drop_duplicates_first(df, ["t", "text"], "row_id")
+    assert sorted(r["row_id"] for r in out.collect()) == [1, 2, 5, 6, 9]
+    assert out.columns == df.columns
+    assert S.drop_duplicates_first(df.where("false"), ["t", "text"], "row_id").collect() == []
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan

@@ -20,8 +20,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 from textstrata.functions.hashing import hash_bucket, hash_order
 from textstrata.operators.prefix import running_sum
@@ -258,15 +259,37 @@ def concat_rows(*dfs: DataFrame) -> DataFrame:
     return out
 
 
+def _group_key(df: DataFrame, name: str) -> Column:
+    """The column itself, or the SHA-256 of a text or binary column (null stays null)."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, StringType):
+        return F.unhex(F.sha2(F.encode(F.col(name), "UTF-8"), 256))
+    return F.unhex(F.sha2(F.col(name), 256)) if isinstance(kind, BinaryType) else F.col(name)
+
+
+def first_of_duplicates(df: DataFrame, subset: Sequence[str], order_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``(*keep, order_col)`` of the first row of each duplicate group, without its texts.
+
+    ``keep`` names columns of ``subset`` that aren't digested away.  Texts are
+    compared by their SHA-256, so long ones are neither shuffled nor sorted and
+    the aggregation is a hash aggregation, combined map-side.
+    """
+    digests = [_group_key(df, c).alias(f"_ts_d{i}") for i, c in enumerate(subset) if c not in keep]
+    slim = df.select(*keep, order_col, *digests) if order_col not in keep else df.select(*keep, *digests)
+    names = [c for c in slim.columns if c.startswith("_ts_d")]
+    return slim.groupBy(*keep, *names).agg(F.min(order_col).alias(order_col)).drop(*names)
+
+
 def drop_duplicates_first(df: DataFrame, subset: Sequence[str], order_col: str) -> DataFrame:
     """A4: keep the first row (smallest ``order_col``) of each duplicate group.
 
-    ``min_by`` combines map-side, so a group of many copies is reduced in every
-    scan task before the shuffle; the kept row is deterministic.
+    ``order_col`` identifies a row, as the row position does.  The first row of
+    a group is found on digests (``first_of_duplicates``); the kept rows are
+    then fetched by it, by a join planned by its bytes.  Null keys are equal to
+    each other; an empty table stays empty.
     """
-    rest = [c for c in df.columns if c not in subset]
-    kept = df.groupBy(*subset).agg(F.min_by(F.struct(*rest), F.col(order_col)).alias("_ts_row"))
-    return kept.select(*subset, *[F.col(f"_ts_row.{c}").alias(c) for c in rest]).select(*df.columns)
+    kept = first_of_duplicates(df, subset, order_col).withColumnRenamed(order_col, "_ts_first")
+    return df.join(kept, F.col(order_col) == F.col("_ts_first"), "left_semi")
 
 
 def group_sizes(df: DataFrame, cols: Sequence[str], count_col: str = "count") -> DataFrame:
@@ -308,8 +331,7 @@ def minority_select(df: DataFrame, targets: Sequence[str], text_col: str, row_co
     n_minor = int(minor_ratio * num_samples)
     n_random = int((1 - minor_ratio) * num_samples)
     # Decided on targets and row key alone; the kept rows are fetched by key.
-    slim = drop_duplicates_first(df.select(*targets, text_col, row_col), [*targets, text_col], row_col)
-    kept = written(slim.select(*targets, row_col), "kept-rows")
+    kept = written(first_of_duplicates(df, [*targets, text_col], row_col, keep=targets), "kept-rows")
     groups = written(running_total(group_sizes(kept, targets), targets), "groups")
     bound = n_minor if disjoint else n_minor - n_random
     minor = semi_join(kept, groups.where(F.col("cum") <= n_minor), targets).select(row_col)
