@@ -371,3 +371,55 @@ def test_a_document_of_monstrous_words_fails(spark):
     rows.append((999, " ".join("y" * 1997 + f"{j:03d}" for j in range(60)), "en", "s"))
     kept = {r.id: r.kept for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert not kept[999] and all(kept[i] for i in range(200))
+
+
+def plain_verdicts(rows):
+    """Verdicts by the rule as stated: rows are (id, lang, source, base_failed, bins by metric)."""
+    def quantile(values, num, den):
+        return values[-(-len(values) * num // den) - 1]
+
+    def points(values):
+        values = sorted(values)
+        return [quantile(values, 2 * i + 1, 2 * rules.POINTS) for i in range(rules.POINTS)] * rules.POINT_ROWS
+
+    worded = [r for r in rows if r[4]["word_length"] is not None]
+    kept = {}
+    for i, lang, source, failed, bins in rows:
+        ok = not failed
+        for m, least in rules.METRICS.items():
+            if not ok:
+                break
+            whole = points([r[4][m] for r in worded])
+            of_lang = points([r[4][m] for r in worded if r[1] == lang] + whole)
+            values = sorted([r[4][m] for r in worded if (r[1], r[2]) == (lang, source)] + of_lang)
+            q1, q2, q3 = (quantile(values, n, 4) for n in (1, 2, 3))
+            width = max(min(q2 - q1, q3 - q2), least) * rules.FENCE
+            ok = q2 - width <= bins[m] <= q2 + width
+        kept[i] = ok
+    return kept
+
+
+def test_verdicts_against_plain_quantiles(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(900):
+        lang, source = rng.choice(["de", "en", None]), rng.choice(["hot"] * 6 + ["a", "b", None])
+        size, sign, again = rng.randrange(1, 12), rng.choice([0, 0, 1, 6]), rng.choice([0, 0, 0, 20])
+        words = [f"w{'x' * size}{rng.randrange(10 ** 6)}{'#' * sign}" for _ in range(rng.choice([0, 30, 60, 90]))]
+        rows.append((i, "\n".join([" ".join(words[k:k + 9]) for k in range(0, len(words), 9)] + [" ".join(words[:9])] * again), lang, source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    bins = {r.doc_id: r for r in rules.with_bins(rules.statistics(docs)).collect()}
+    got = {r.id: r for r in rules.judge(docs).collect()}
+    want = plain_verdicts([(i, lang, source, got[i].base_failed, {m: bins[i][m] for m in rules.METRICS}) for i, _, lang, source in rows])
+    assert {i: r.kept for i, r in got.items()} == want
+    assert 0 < sum(want.values()) < len(want)
+
+
+def test_a_group_of_any_size_is_judged_without_a_step(spark):
+    """Symbol-rich files of one source stay on either side of 100 rows, beside a larger plain source."""
+    coded = " ".join(f"word{i:02d}{'%' * (i % 3)}" for i in range(80))
+    prose = " ".join(f"word{i:02d}" for i in range(80))
+    for n in (99, 100, 101, 300):
+        rows = [(i, prose, "en", "plain") for i in range(300)] + [(1000 + i, coded, "en", "code") for i in range(n)]
+        got = {r.id: r.kept for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+        assert all(got.values()), n

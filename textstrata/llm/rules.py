@@ -22,8 +22,10 @@ BINS = 1000
 METRICS = {"symbol_rate": 4, "dup_line_rate": 15, "repeat_rate": 15, "word_length": 6}
 #: A fence is the median plus and minus so many half widths.
 FENCE = 8
-#: Groups with fewer rows use the sketch of their language, then that of all rows.
-MIN_ROWS = 100
+#: Every sketch of a language and source also holds so many points of its language's sketch,
+#: and that one of all rows' sketch, each counted ``POINT_ROWS`` times: 100 rows in all.
+POINTS = 20
+POINT_ROWS = 5
 
 
 def _repeat_words(words: Column) -> Column:
@@ -81,26 +83,53 @@ def sketches(binned: DataFrame, by: list[str]) -> DataFrame:
     return binned.where("n_words > 0").select(*by, cells.alias("c")).groupBy(*by, "c.metric", "c.bin").agg(F.count("*").alias("n"))
 
 
+def _cumulated(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """The cells of a sketch with ``upto``, the rows up to their bin, and ``total``."""
+    cell = sketch.groupBy(*by, "metric", "bin").agg(F.sum("n").alias("n"))
+    part = Window.partitionBy(*by, "metric")
+    return cell.withColumn("upto", F.sum("n").over(part.orderBy("bin"))).withColumn("total", F.sum("n").over(part))
+
+
+def prior_points(sketch: DataFrame, by: list[str]) -> DataFrame:
+    """A sketch of ``POINTS`` evenly spaced quantiles, ``POINT_ROWS`` rows each, per group of ``by`` and metric.
+
+    Point i is the bin that reaches (2 i + 1) / (2 ``POINTS``) of the rows; whole numbers throughout.
+    """
+    reached = lambda rows: F.expr(f"({2 * POINTS} * ({rows}) + total) div (2 * total)")
+    points = _cumulated(sketch, by).withColumn("n", (reached("upto") - reached("upto - n")) * POINT_ROWS)
+    return points.where("n > 0").select(*by, "metric", "bin", "n")
+
+
+def blended(own: DataFrame) -> DataFrame:
+    """The sketches of ``own`` by language and source, each with the points of its language's
+    sketch added, which in turn has those of all rows added.  A small group is judged mostly
+    by its language, a large one by itself, without a step in between."""
+    cells = ["metric", "bin", "n"]
+    whole = materialise(prior_points(own, []), "rule-prior")
+    of_lang = own.select("lang", *cells).unionByName(own.select("lang", "metric").distinct().join(whole, "metric"))
+    lang = materialise(prior_points(of_lang, ["lang"]).withColumnRenamed("lang", "_lang").withColumnRenamed("metric", "_metric"), "rule-language-prior")
+    groups = own.select("lang", "source", "metric").distinct()
+    added = groups.join(lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("metric") == F.col("_metric"))).select("lang", "source", *cells)
+    return own.select("lang", "source", *cells).unionByName(added)
+
+
 def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """``(*by, rows, <metric>_low, <metric>_high)`` from the quartiles of merged sketches.
+    """``(*by, <metric>_low, <metric>_high)`` from the quartiles of merged sketches.
 
     The half width is the smaller distance of the median from a quartile: bad
     rows of less than half a group, on either side, leave the median among the
     good rows and can widen only the distance on their own side.
     """
-    cell = sketch.groupBy(*by, "metric", "bin").agg(F.sum("n").alias("n"))
-    part = Window.partitionBy(*by, "metric")
-    run = cell.withColumn("upto", F.sum("n").over(part.orderBy("bin"))).withColumn("total", F.sum("n").over(part))
+    run = _cumulated(sketch, by)
     quart = run.groupBy(*by, "metric").agg(
-        F.max("total").alias("rows"),
         F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bin"))).alias("q1"),
         F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("bin"))).alias("q2"),
         F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bin"))).alias("q3"))
-    out = [F.max("rows").alias("rows")]
+    out = []
     for m, least in METRICS.items():
         width = F.greatest(F.least(F.col("q2") - F.col("q1"), F.col("q3") - F.col("q2")), F.lit(least)) * FENCE
         out += [F.max(F.when(F.col("metric") == m, F.col("q2") + width)).alias(f"{m}_high"), F.max(F.when(F.col("metric") == m, F.col("q2") - width)).alias(f"{m}_low")]
-    return quart.groupBy(*by).agg(*out) if by else quart.agg(*out)
+    return quart.groupBy(*by).agg(*out)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -108,19 +137,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     ``base_failed``: fewer than 50 words, or more than half of them inside
     repeated 3-word windows.  Else a row is kept if each statistic lies inside
-    the fences of its language and source; groups of fewer than ``MIN_ROWS``
-    rows with words use those of the language, then those of all rows.  A null
+    the fences of its language and source, read from the ``blended`` sketches.  A null
     language or source is a value of its own.  Repeated rows each get a row and
     count as often; an empty table gives an empty result.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
     rows = materialise(with_bins(statistics(src, "text", ("id", "lang", "source"))), "rule-statistics")
     own = materialise(sketches(rows, ["lang", "source"]), "rule-sketches")
-    limits = [f"{m}_{side}" for m in METRICS for side in ("low", "high")]
-    g, lang = (fences(own, by).select(*[F.col(c).alias(f"{p}_{c}") for c in (*by, "rows", *limits)]) for p, by in (("g", ["lang", "source"]), ("l", ["lang"])))
-    every = fences(own, []).first()  # one row of numbers
-    pick = lambda c: F.when(F.col("g_rows") >= MIN_ROWS, F.col(f"g_{c}")).when(F.col("l_rows") >= MIN_ROWS, F.col(f"l_{c}")).otherwise(F.lit(every[c]))
-    table = g.join(lang, g["g_lang"].eqNullSafe(lang["l_lang"])).select("g_lang", "g_source", *[pick(c).alias(c) for c in limits])
+    table = fences(blended(own), ["lang", "source"]).withColumnRenamed("lang", "g_lang").withColumnRenamed("source", "g_source")
     joined = rows.join(table, rows["lang"].eqNullSafe(table["g_lang"]) & rows["source"].eqNullSafe(table["g_source"]), "left")
     base_failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     inside = F.lit(True)
