@@ -22,8 +22,6 @@ from textstrata.llm.shared import materialise, word_count
 #: Hash ranges whose sizes are summed before any document is ranked.
 RANGES_BITS = 12
 MAX_REPEATS = 3
-#: Tables of one row per pattern are broadcast up to so many rows; the plan is the same join beyond.
-BROADCAST_PATTERNS = 50_000
 
 
 def source_targets(sizes: dict[str | None, int], weights: dict[str | None, float], total: float, cap: float = MAX_REPEATS) -> dict[str | None, float]:
@@ -107,7 +105,7 @@ def route(patterns: dict[str, tuple[tuple, int]], targets: dict[str | None, floa
     return taken
 
 
-def _select(units: DataFrame, patterns: int) -> DataFrame:
+def _select(units: DataFrame) -> DataFrame:
     """One round of ``chosen``: the unchosen units of each pattern that fit ``want``, in seeded order.
 
     Hash ranges that fit whole are taken whole; only the range in which the sum
@@ -119,7 +117,7 @@ def _select(units: DataFrame, patterns: int) -> DataFrame:
     sums = units.where(fits).groupBy("pattern", span.alias("span")).agg(F.sum("mass").alias("mass"), F.max("want").alias("want"))
     run = sums.withColumn("upto", F.sum("mass").over(Window.partitionBy("pattern").orderBy("span")))
     cut = run.where("upto > want").groupBy("pattern").agg(F.min(F.struct("span", (F.col("upto") - F.col("mass")).alias("before"))).alias("cut"))
-    at = units.join(_per_pattern(cut.withColumnRenamed("pattern", "cut_pattern"), patterns), F.col("pattern") == F.col("cut_pattern"), "left").withColumn("fits", fits).withColumn("span", span)
+    at = units.join(_per_pattern(cut.withColumnRenamed("pattern", "cut_pattern"), "mix-cuts"), F.col("pattern") == F.col("cut_pattern"), "left").withColumn("fits", fits).withColumn("span", span)
     edge = F.col("fits") & F.coalesce(F.col("span") == F.col("cut.span"), F.lit(False))
     whole = at.where(~edge).withColumn("chosen", F.col("chosen") | (F.col("fits") & F.coalesce(F.col("span") < F.col("cut.span"), F.lit(True))))
     order = Window.partitionBy("pattern").orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
@@ -133,9 +131,9 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return docs.select(F.col(id_col).cast("long").alias("id"), word_count(F.col(text_col)).alias("size"), F.to_json(member).alias("pattern"))
 
 
-def _per_pattern(table: DataFrame, patterns: int) -> DataFrame:
-    """A table of one short row per pattern, broadcast while there are few patterns."""
-    return F.broadcast(table) if patterns <= BROADCAST_PATTERNS else table
+def _per_pattern(table: DataFrame, name: str) -> DataFrame:
+    """A table of one short row per pattern, written, so that its join is planned by its bytes."""
+    return materialise(table, name)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None, **options) -> tuple[DataFrame, DataFrame]:
@@ -175,14 +173,13 @@ def mix_sized(rows: DataFrame, weights=None, repeats: int = MAX_REPEATS, rounds:
         whole, rest = divmod(flow[key], mass) if mass else (0, 0)
         plan.append((key, int(whole), int(rest)))
     schema = T.StructType([T.StructField("p", T.StringType()), T.StructField("whole", T.LongType()), T.StructField("rest", T.LongType())])
-    n = len(plan)
-    plan = spark.createDataFrame(plan, schema)
+    plan = _per_pattern(spark.createDataFrame(plan, schema), "mix-plan")
     now = units.withColumn("chosen", F.lit(False))
     for _ in range(rounds):
         used = now.where("chosen").groupBy("pattern").agg(F.sum("mass").alias("used"))
         left = plan.join(used, F.col("p") == F.col("pattern"), "left").select("p", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("want"))
-        now = materialise(_select(now.join(_per_pattern(left, n), F.col("pattern") == F.col("p")).drop("p"), n), "mix-round")
-    chosen = now.join(_per_pattern(plan, n), F.col("pattern") == F.col("p")).select("id", "size", "pattern", (F.col("whole") + F.col("chosen").cast("long")).alias("copies"))
+        now = materialise(_select(now.join(_per_pattern(left, "mix-wants"), F.col("pattern") == F.col("p")).drop("p")), "mix-round")
+    chosen = now.join(plan, F.col("pattern") == F.col("p")).select("id", "size", "pattern", (F.col("whole") + F.col("chosen").cast("long")).alias("copies"))
     return chosen.withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(0)), table
 
 
