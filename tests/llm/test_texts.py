@@ -36,25 +36,53 @@ def test_guess_cost_orders_values():
     assert secrets.guess_cost("ab") <= secrets.guess_cost("abx7") <= secrets.guess_cost("abx7Q!")
 
 
-def brute_cost(value):
-    """Smallest cost over all segmentations into dictionary words and brute force."""
-    brute_bits = math.log2(secrets._alphabet(value))
+def segment_cost(guesser, piece, brute_bits):
+    """Cheapest single segment that ``piece`` is, by the kinds as stated."""
+    n, low = len(piece), piece.lower()
+    cost = guesser.word_cost(piece) if n > 1 else math.inf
+    if n == 1:
+        cost = min(brute_bits, secrets.JOINT_BITS if piece in secrets.JOINTS else math.inf)
+    if n in (4, 8, 10) and secrets.DATE.fullmatch(piece):
+        cost = min(cost, secrets.date_cost(n))
+    for p in range(1, min(secrets.LONGEST_BLOCK, n // 2) + 1):
+        if n % p == 0 and low == low[:p] * (n // p):
+            cost = min(cost, p * brute_bits + secrets.LENGTH_BITS + 1)
+    if n > 1 and all(low[k:k + 2] in secrets.NEIGHBOUR for k in range(n - 1)):
+        cost = min(cost, secrets.WALK_BITS)
+    return cost
+
+
+def brute_cost(guesser, value):
+    """Smallest cost over all segmentations into segments of every kind."""
+    bits = math.log2(secrets._alphabet(value))
     best = [0.0] + [math.inf] * len(value)
     for i in range(1, len(value) + 1):
-        for a in range(i):
-            word = value[a:i]
-            cost = (i - a) * brute_bits
-            if word in secrets.RANK:
-                cost = min(cost, math.log2(secrets.RANK[word] + 1) + 1)
-            best[i] = min(best[i], best[a] + cost)
+        best[i] = min(best[a] + segment_cost(guesser, value[a:i], bits) for a in range(i))
     return best[-1]
 
 
 def test_guess_cost_is_the_least_over_segmentations():
     rng = random.Random(5)
-    for _ in range(300):
-        value = "".join(rng.choice([rng.choice(secrets.COMMON_WORDS), rng.choice("xzvjgw")]) for _ in range(rng.randrange(1, 6)))
-        assert secrets.guess_cost(value) <= brute_cost(value) + 1e-9
+    guesser = secrets.Guesser(["middleware", "documentation", "mama", "lion"])
+    parts = [lambda: rng.choice(secrets.COMMON_WORDS), lambda: rng.choice("xzvjgw#-_. "), lambda: rng.choice(["P4ssw0rd", "Middleware", "QWERTZ", "sdfgh", "efghi", "7654"]),
+             lambda: rng.choice(["2019", "1999-12-31", "31.12.1999", "20010203"]), lambda: rng.choice(["a", "xk2", "ma", "00", "qwe"]) * rng.randrange(2, 7)]
+    for _ in range(1500):
+        value = "".join(rng.choice(parts)() for _ in range(rng.randrange(1, 5)))
+        assert abs(guesser.cost(value) - brute_cost(guesser, value)) < 1e-9, value
+    assert guesser.cost("xk2" * 200_000) < 40
+
+
+def test_words_of_the_corpus_are_no_secrets(spark):
+    prose = "the middleware handles documentation and every identifier that the process env sees below your token here"
+    clean = ["auth: middleware", "credentials: documentation", 'auth: "identifier"', 'auth: "process.env.TOKEN"', 'auth: "<your-token-here>"',
+             'auth: "sees below"', "pwd: identifier-process"]
+    rows = [(i, prose) for i in range(8)] + [(100 + i, t) for i, t in enumerate(clean)] + [(200 + i, "pwd: brzkqwvtyxplmgd") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.spans for r in secrets.scan(docs).collect()}
+    assert "brzkqwvtyxplmgd" not in secrets.corpus_words(docs)
+    assert not any(got[100 + i] for i in range(len(clean))), got
+    assert all(got[200 + i] == "guess:5:20" for i in range(50))
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()}[100] == clean[0]
 
 
 def test_guess_spans_and_redaction(odd_docs, no_docs):
