@@ -79,7 +79,9 @@ def test_words_of_the_corpus_are_no_secrets(spark):
     rows = [(i, prose) for i in range(8)] + [(100 + i, t) for i, t in enumerate(clean)] + [(200 + i, "pwd: brzkqwvtyxplmgd") for i in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.id: r.spans for r in secrets.scan(docs).collect()}
-    assert "brzkqwvtyxplmgd" not in secrets.corpus_words(docs)
+    learned = secrets.corpus_words(docs)
+    assert "brzkqwvtyxplmgd" not in learned and learned == sorted(set(w for w in prose.split() if len(w) > 3))
+    assert secrets.corpus_words(docs, limit=3) == [] and secrets.corpus_words(docs, least=9) == []
     assert not any(got[100 + i] for i in range(len(clean))), got
     assert all(got[200 + i] == "guess:5:20" for i in range(50))
     assert {r.doc_id: r.text for r in secrets.redact(docs).collect()}[100] == clean[0]

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textstrata.llm.shared import materialise
+
 KINDS = ("assign", "access", "hex", "guess")
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -154,16 +156,28 @@ def guess_cost(value: str) -> float:
 
 
 def corpus_words(docs: DataFrame, text_col: str = "text", limit: int = 20_000, least: int = 5) -> list[str]:
-    """The ``limit`` words of 4 to 16 letters a-z in most documents (``least`` or more), most frequent first.
+    """The words of 4 to 16 letters a-z in most documents, most frequent first: at most ``limit``.
 
     Counted over all whole texts, combined map-side.  Values of credential contexts
-    are cut out first, so that a secret doesn't become a word by being copied.  The
-    list is bounded by ``limit`` times 16 bytes.
+    are cut out first, so that a secret doesn't become a word by being copied.
+    Words of ``least`` or more documents fall into levels of frequency, eight to a
+    doubling; the highest levels that hold at most ``limit`` words together are
+    taken whole, so no more than ``limit`` short rows reach the driver.
     """
     prose = F.regexp_replace(F.lower(F.col(text_col).cast("string")), CONTEXT.pattern, " ")
     words = F.array_distinct(F.filter(F.split(prose, "[^a-z]+"), lambda w: F.length(w).between(4, 16)))
     counts = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return [r.word for r in counts.orderBy(F.desc("n"), "word").limit(limit).collect()]
+    counts = materialise(counts.withColumn("level", F.floor(F.log2("n") * 8).cast("int")), "corpus-words")
+    room, lowest = limit, None
+    for r in sorted(counts.groupBy("level").agg(F.count("*").alias("words")).collect(), key=lambda r: -r.level):  # some hundred levels
+        room -= r.words
+        if room < 0:
+            break
+        lowest = r.level
+    if lowest is None:
+        return []
+    rows = counts.where(F.col("level") >= lowest).collect()
+    return [r.word for r in sorted(rows, key=lambda r: (-r.n, r.word))]
 
 
 #: No credential name with its sign is longer.
