@@ -1,10 +1,11 @@
 """Text encoding and token masking.
 
-Tokenisation needs a BPE vocabulary, so it is the one step that runs Python:
-``mapInPandas`` over Arrow batches, with the vocabulary shipped with
-``SparkContext.addFile`` and loaded once per task.  The UDF returns only the
-content ids of each (whole) text; truncation, special tokens, padding, masks
-and masking are array expressions in the JVM.
+Content ids come from one of three places: a table of word pieces
+(``piece_ids``: distinct words are cut once, by joins), a hash of each word
+(``word_ids``), or a tokenizer file (``token_ids``), the one form that runs
+Python: ``mapInPandas`` over Arrow batches, with the file shipped with
+``SparkContext.addFile`` and loaded once per task.  Truncation, special tokens,
+padding, masks and masking are array expressions in the JVM for all three.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textstrata.functions.arrays import let
+from textstrata.session import written
 
 #: Vocabulary file used when none is given; ``TEXTSTRATA_VOCABULARY`` names another.
 DEFAULT_VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
@@ -77,13 +79,74 @@ def word_ids(df: DataFrame, text_col: str, key_cols: Sequence[str], vocab_size:
     number made of the first 32 bits of its md5, modulo ``vocab_size``.  JVM
     expressions only; null text gives an empty array.  ``max_words`` hashes no more
     words than a later truncation keeps (``max_length - 2``)."""
+    return df.select(*key_cols, F.transform(
+        _words(text_col, max_words), lambda w: (_md5_number(F.md5(w), 0) % vocab_size).cast("int")).alias(out_col))
+
+
+def _words(text_col: str, max_words: int | None) -> Column:
+    """The words of a text between blanks, the first ``max_words`` if given; null text has none."""
     # an empty piece may stand first and the uncut rest last, beside the words that are kept
     limit = -1 if max_words is None else max_words + 2
     words = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", limit), "")
-    if max_words is not None:
-        words = F.slice(words, 1, max_words)
-    return df.select(*key_cols, F.transform(
-        words, lambda w: (_md5_number(F.md5(w), 0) % vocab_size).cast("int")).alias(out_col))
+    return words if max_words is None else F.slice(words, 1, max_words)
+
+
+def cut_words(words: DataFrame, vocabulary: DataFrame, unknown_id: int, continuation: str = "##",
+              longest_word: int = 100) -> DataFrame:
+    """``(word, ids)``: each distinct ``word`` cut into the longest known pieces, from its start on.
+
+    ``vocabulary`` is ``(piece string, id int)``; a piece inside a word stands in it
+    behind ``continuation``, and a repeated piece counts with its smallest id.  A
+    word that can't be cut to its end, or has more than ``longest_word``
+    characters, is ``unknown_id`` as a whole (the rule of greedy word-piece
+    tokenizers).  Every (start, size) of a word no longer than the longest piece
+    is looked up by one join, planned by the vocabulary's bytes.
+    """
+    pieces = written(vocabulary.where("piece is not null and id is not null").groupBy("piece").agg(F.min("id").alias("id")), "pieces")
+    longest = pieces.agg(F.max(F.length("piece"))).first()[0] or 0  # one number
+    size = F.length("word")
+    starts = F.when(size <= longest_word, F.sequence(F.lit(1), size))
+    asked = (words.where("word <> ''").select("word", F.explode(starts).alias("at"))
+             .select("word", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), size - F.col("at") + 1))).alias("size"))
+             .withColumn("piece", F.concat(F.when(F.col("at") > 1, F.lit(continuation)).otherwise(F.lit("")),
+                                           F.expr("substring(word, at, size)"))))
+    best = (asked.join(pieces, "piece")
+            .groupBy("word", "at").agg(F.max(F.struct("size", "id")).alias("p"))
+            .groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("at", "p"))).alias("longest")))
+    none = F.array().cast("array<int>")
+    walk = F.aggregate(
+        F.sequence(F.lit(1), size), F.struct(F.lit(1).alias("next"), none.alias("ids")),
+        lambda s, at: F.when((at == s["next"]) & F.col("longest")[at].isNotNull(),
+                             F.struct((at + F.col("longest")[at]["size"]).alias("next"),
+                                      F.concat(s["ids"], F.array(F.col("longest")[at]["id"])).alias("ids"))).otherwise(s),
+        lambda s: F.when(s["next"] > size, s["ids"]))
+    unknown = F.array(F.lit(unknown_id))
+    cut = best.select(F.col("word").alias("_w"), F.coalesce(walk, unknown).alias("_ids"))
+    return (words.where("word <> ''").join(cut, F.col("word") == F.col("_w"), "left")
+            .select("word", F.coalesce("_ids", unknown).alias("ids")))
+
+
+def piece_ids(df: DataFrame, text_col: str, key_cols: Sequence[str], vocabulary: DataFrame, unknown_id: int,
+              out_col: str = "ids", max_words: int | None = None, continuation: str = "##",
+              longest_word: int = 100) -> DataFrame:
+    """``token_ids`` by a dictionary of words: each distinct word is cut once (``cut_words``).
+
+    The words of all rows are told apart map-side, cut and written with their
+    ids; each row's words then take theirs by a join that is planned by the
+    dictionary's bytes (frequent words are broadcast with it, or split by AQE) and
+    come together again under the row's number, so rows with equal keys stay
+    apart.  Texts never leave the JVM.  Null and empty texts give an empty array.
+    ``max_words`` as in ``word_ids``: every word has one id at least.
+    """
+    keys = list(key_cols)
+    rows = written(df.select(*keys, _words(text_col, max_words).alias("_words"))
+                   .withColumn("_row", F.monotonically_increasing_id()), "row-words")
+    distinct = rows.select(F.explode(F.array_distinct("_words")).alias("word")).distinct()
+    dictionary = written(cut_words(distinct, vocabulary, unknown_id, continuation, longest_word), "word-pieces")
+    placed = rows.select("_row", F.posexplode("_words").alias("_at", "word")).join(dictionary, "word")
+    found = placed.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "ids"))).alias("_cut"))
+    ids = F.flatten(F.transform("_cut", lambda c: c["ids"]))
+    return rows.join(found, "_row", "left").select(*keys, F.coalesce(ids, F.array().cast("array<int>")).alias(out_col))
 
 
 def pad_ids(ids: DataFrame, key_cols: Sequence[str], max_length: int = MAX_LENGTH, start_id: int = 49406,

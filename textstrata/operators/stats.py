@@ -189,9 +189,11 @@ def classification_metrics(df: DataFrame, true_col: str, pred_col: str) -> DataF
     ``p_k``, correct ``d_k``), which one aggregation produces without a join:
     balanced accuracy is the mean of ``d_k/t_k`` over labels that occur in the
     truth; ``MCC = (c*s - sum p_k t_k) / sqrt((s^2 - sum p_k^2)(s^2 - sum t_k^2))``,
-    0 when the root is 0.
+    0 when the root is 0.  A row without a true or predicted label fails the job,
+    as in ``confusion_counts``.
     """
-    t, p = F.col(true_col).cast("string"), F.col(pred_col).cast("string")
+    missing = F.raise_error(F.lit("a row has no true or no predicted label"))
+    t, p = (F.coalesce(F.col(c).cast("string"), missing.cast("string")) for c in (true_col, pred_col))
     per_row = df.select(F.explode(F.array(
         F.struct(t.alias("k"), F.lit(1).alias("t"), F.lit(0).alias("p"),
                  (t == p).cast("int").alias("d")),

@@ -492,6 +492,25 @@ def q_encode_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", _id_digest("input_ids").alias("ids_md5"), _id_digest("attention_mask").alias("mask_md5"))
 
 
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in vocabulary ``(piece, id)``: beginnings of up to four characters of the benchmark
+    words and the words themselves, each also as an inner piece; ids are the first 28 bits of the piece's md5."""
+    word = F.explode(F.split(F.col("text"), r"[\x20\x09-\x0D]+"))
+    words = read(spark, sf_dir, "benchmark").select(word.alias("w")).where("w <> ''").distinct()
+    some = words.select(F.explode(F.concat(F.array("w"), *[F.array(F.substring("w", 1, n)) for n in range(1, 5)])).alias("w"))
+    both = some.select(F.explode(F.array(F.col("w"), F.concat(F.lit("##"), "w"))).alias("piece")).distinct()
+    return both.withColumn("id", F.conv(F.substring(F.md5("piece"), 1, 7), 16, 10).cast("int"))
+
+
+def q_encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 by a table of word pieces: every document framed and padded to 512; known ids and digests of ids and mask."""
+    ids = encode.piece_ids(read(spark, sf_dir, "documents"), "text", ["doc_id"], _pieces(spark, sf_dir), unknown_id=-1,
+                           max_words=encode.MAX_LENGTH - 2)
+    rows = encode.pad_ids(ids, ["doc_id"])
+    return rows.select("doc_id", F.size(F.filter("input_ids", lambda x: x == -1)).cast("long").alias("n_unknown"),
+                       _id_digest("input_ids").alias("ids_md5"), _id_digest("attention_mask").alias("mask_md5"))
+
+
 def q_mask_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E2, E3 on hashed word ids with portable draws; digests of masked ids and targets."""
     ids = encode.word_ids(read(spark, sf_dir, "documents"), "text", ["doc_id"], WORD_VOCABULARY, max_words=encode.MAX_LENGTH - 2)
@@ -708,6 +727,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "minority_select_wide": q_minority_select_wide,
     "stream_pick": q_stream_pick,
     "encode_words": q_encode_words,
+    "encode_pieces": q_encode_pieces,
     "mask_words": q_mask_words,
     "encode_padded": q_encode_padded,
     "encode_variable": q_encode_variable,

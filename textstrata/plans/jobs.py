@@ -32,12 +32,13 @@ def dataset_job(df: DataFrame, text_col: str, target_col: str, mapping: Mapping[
                 output_cols: Sequence[str] | None = None, row_col: str = "row_id",
                 test_size: float = 0.15, seed: int = 2023, sample_n: int = -1,
                 save_preprocessed: bool = False, vocabulary: str | None = None,
-                tokenize: bool = True, max_length: int = encode.MAX_LENGTH) -> dict[str, str]:
+                tokenize: bool = True, max_length: int = encode.MAX_LENGTH,
+                pieces: DataFrame | None = None, unknown_id: int = 0) -> dict[str, str]:
     """The labelled-set job: sample, select and fill, map labels, split,
     class weights, split sets and their encodings.  Returns the written paths.
 
-    Encodings are hashed word ids, in the JVM; with ``vocabulary`` they are that
-    tokenizer file's."""
+    Encodings are hashed word ids; with ``pieces``, a table ``(piece, id)``, they are
+    that vocabulary's; with ``vocabulary`` they are that tokenizer file's."""
     spark = df.sparkSession
     paths = {k: os.path.join(out_dir, k) for k in ("preprocessed", "weights", "dataset", "tokenized")}
     rows = sample.exact_sample(df, sample_n, row_col, seed) if sample_n > 0 else df
@@ -56,27 +57,31 @@ def dataset_job(df: DataFrame, text_col: str, target_col: str, mapping: Mapping[
     io.write_split_sets(split_rows, paths["dataset"], text_col, "label_id", key_col=row_col)
     if tokenize:
         keys = [row_col, "label_id", "split"]
-        if vocabulary is None:
-            enc = encode.pad_ids(encode.word_ids(split_rows, text_col, keys, encode.WORD_IDS, max_words=max_length - 2), keys, max_length)
-        else:
-            enc = encode.encode_padded(split_rows, text_col, keys, vocabulary, max_length=max_length)
+        enc = encode.pad_ids(_content_ids(split_rows, text_col, keys, vocabulary, pieces, unknown_id, max_length), keys, max_length)
         enc.write.mode("overwrite").partitionBy("split").parquet(paths["tokenized"])
     return paths
 
 
+def _content_ids(rows: DataFrame, text_col: str, keys: Sequence[str], vocabulary: str | None,
+                 pieces: DataFrame | None, unknown_id: int, max_length: int) -> DataFrame:
+    """Content ids from a tokenizer file, a table of pieces, or word hashes; no more than truncation keeps."""
+    if vocabulary is not None:
+        return encode.token_ids(rows, text_col, keys, vocabulary)
+    if pieces is not None:
+        return encode.piece_ids(rows, text_col, keys, pieces, unknown_id, max_words=max_length - 2)
+    return encode.word_ids(rows, text_col, keys, encode.WORD_IDS, max_words=max_length - 2)
+
+
 def pretrain_dataset_job(split_sets: DataFrame, out_dir: str, key_col: str = "row_id",
                          vocabulary: str | None = None, mask_id: int = 49408, vocab_size: int = 49408,
                          epochs: int = 1, seed: int = 2023,
-                         max_length: int = encode.MAX_LENGTH, portable: bool = False) -> dict[str, str]:
+                         max_length: int = encode.MAX_LENGTH, portable: bool = False,
+                         pieces: DataFrame | None = None, unknown_id: int = 0) -> dict[str, str]:
     """Masked-word training data: E2 (ids to ``max_length``, special-token
     mask), P11 (text and label dropped), E3 once per epoch with that epoch's
-    draws; one Parquet set per epoch, partitioned by split.  Ids are hashed
-    words, in the JVM; with ``vocabulary`` they are that tokenizer file's."""
+    draws; one Parquet set per epoch, partitioned by split.  Ids as in ``dataset_job``."""
     keys = [key_col, "split"]
-    if vocabulary is None:
-        enc = encode.frame_ids(encode.word_ids(split_sets, "text", keys, encode.WORD_IDS, max_words=max_length - 2), keys, max_length)
-    else:
-        enc = encode.encode_variable(split_sets, "text", keys, vocabulary, max_length=max_length)
+    enc = encode.frame_ids(_content_ids(split_sets, "text", keys, vocabulary, pieces, unknown_id, max_length), keys, max_length)
     enc = clean.drop_columns(enc, "text", "label")
     enc.write.mode("overwrite").partitionBy("split").parquet(os.path.join(out_dir, "encoded"))
     stored = split_sets.sparkSession.read.parquet(os.path.join(out_dir, "encoded"))

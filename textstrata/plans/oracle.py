@@ -457,6 +457,30 @@ SELECT doc_id, md5(array_to_string(ids || list_transform(range(512 - len(ids)),
        md5(array_to_string(list_transform(range(512), lambda x: CASE WHEN x < len(ids) THEN 1 ELSE 0 END), ',')) AS mask_md5
 FROM ids""",
 
+        "encode_pieces": r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')[1:510] AS ws
+      FROM documents),
+b AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[\x20\x09-\x0D]+')) AS w FROM benchmark),
+parts AS (SELECT w FROM b WHERE w <> '' UNION SELECT substr(w, 1, n) FROM b, range(1, 5) t(n) WHERE w <> ''),
+vocab AS (SELECT piece, CAST('0x' || substr(md5(piece), 1, 7) AS INTEGER) AS id
+          FROM (SELECT w AS piece FROM parts UNION SELECT '##' || w FROM parts)),
+dict AS (SELECT DISTINCT unnest(ws) AS word FROM w),
+starts AS (SELECT word, unnest(range(1, length(word) + 1)) AS s FROM dict WHERE length(word) <= 100),
+tried AS (SELECT word, s, unnest(range(1, least(length(word) - s + 1, (SELECT max(length(piece)) FROM vocab)) + 1)) AS n FROM starts),
+m AS (SELECT t.word, t.s, max(t.n) AS n, arg_max(v.id, t.n) AS id
+      FROM tried t JOIN vocab v ON v.piece = CASE WHEN t.s > 1 THEN '##' ELSE '' END || substr(t.word, t.s, t.n) GROUP BY t.word, t.s),
+seg AS (SELECT word, 1 AS s, CAST([] AS INTEGER[]) AS ids FROM dict
+        UNION ALL SELECT g.word, g.s + m.n, list_append(g.ids, m.id) FROM seg g JOIN m ON m.word = g.word AND m.s = g.s),
+cut AS (SELECT d.word, coalesce(any_value(g.ids), [-1]) AS ids
+        FROM dict d LEFT JOIN seg g ON g.word = d.word AND g.s = length(d.word) + 1 GROUP BY d.word),
+p AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+j AS (SELECT p.doc_id, flatten(list(c.ids ORDER BY p.pos)) AS ids FROM p JOIN cut c USING (word) GROUP BY p.doc_id),
+ids AS (SELECT w.doc_id, [49406] || coalesce(j.ids, [])[1:510] || [49407] AS ids FROM w LEFT JOIN j USING (doc_id))
+SELECT doc_id, CAST(len(list_filter(ids, lambda x: x = -1)) AS BIGINT) AS n_unknown,
+       md5(array_to_string(ids || list_transform(range(512 - len(ids)), lambda x: 0), ',')) AS ids_md5,
+       md5(array_to_string(list_transform(range(512), lambda x: CASE WHEN x < len(ids) THEN 1 ELSE 0 END), ',')) AS mask_md5
+FROM ids""",
+
         "mask_words": f"""
 WITH {_WORD_IDS.lstrip()},
 p AS (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS pos, len(ids) AS n FROM ids),
