@@ -9,11 +9,34 @@ from odd_tables import no_docs, odd_docs, sf001_docs  # noqa: F401  fixtures
 from textstrata.llm import mixing, packing
 
 
-def test_targets_are_capped_and_reshared():
-    t = mixing.source_targets({"a": 10, "b": 100, "c": 100}, {"a": 1, "b": 1, "c": 2}, 210)
-    assert t == {"a": 30, "b": 60, "c": 120}
-    assert mixing.source_targets({"a": 0, "b": 5}, {"a": 1, "b": 1}, 5) == {"a": 0, "b": 5}
-    assert mixing.source_targets({}, {}, 0) == {}
+def targets(spark, sizes, weights=None):
+    rows = [(str(s), [s], n) for s, n in sizes.items()]
+    table = mixing.source_table(spark.createDataFrame(rows, "pattern string, members array<string>, mass long"), weights)
+    return {r.source: r.target for r in table.collect()}
+
+
+def brute_targets(sizes, weights):
+    """One source after another is capped, until no share is above three times its source."""
+    capped = {}
+    while True:
+        rest = sum(sizes.values()) - sum(capped.values())
+        whole = sum(w for s, w in weights.items() if s not in capped)
+        over = [s for s in sizes if s not in capped and rest * weights[s] / whole > 3 * sizes[s]]
+        if not over:
+            return {s: capped.get(s, rest * weights[s] / (whole or 1)) for s in sizes}
+        capped[over[0]] = 3 * sizes[over[0]]
+
+
+def test_targets_are_capped_and_reshared(spark):
+    assert targets(spark, {"a": 10, "b": 100, "c": 100}, {"a": 1, "b": 1, "c": 2}) == {"a": 30, "b": 60, "c": 120}
+    assert targets(spark, {"a": 0, "b": 5}, {"a": 1, "b": 1}) == {"a": 0, "b": 5}
+    assert targets(spark, {}) == {} and targets(spark, {"a": 0, None: 0}) == {"a": 0, None: 0}
+    rng = random.Random(7)
+    for _ in range(3):
+        sizes = {s: rng.choice([0, 1, 5, 50, 1000, 10_000]) for s in ["a", "b", "B", "é", "\U0001f600", "\uffff", "z1", "z2"]} | {None: 40}
+        order = sorted(s for s in sizes if s is not None) + [None]
+        want = brute_targets(sizes, {s: i % 3 + 1 for i, s in enumerate(order)})
+        assert targets(spark, sizes) == pytest.approx(want)
 
 
 def brute_flow(patterns, quota):
@@ -75,13 +98,36 @@ def test_mix_meets_its_targets(request, table):
 
 
 def test_selection_equals_a_plain_first_fit(spark):
-    """Rounds of seeded prefixes leave less than the smallest unit that is left out of the first round."""
+    """Rounds go on until no document that is left out fits what is left of its source."""
     rng = random.Random(4)
-    docs = spark.createDataFrame([(i, "w " * rng.choice([1, 3, 10, 400]), "s0" if i % 3 else "s1") for i in range(600)], "doc_id long, text string, source string")
+    docs = spark.createDataFrame([(i, "w " * rng.choice([2, 3, 10, 400, 401 + i]), "s0" if i % 3 else "s1") for i in range(600)], "doc_id long, text string, source string")
     rows, sources = mixed(docs)
     for s, r in sources.items():
-        taken = sum(x.words * x.taken_copies for x in rows if x.source == s)
-        assert r.target - 400 <= taken <= r.target + 1
+        whole, rest = divmod(min(round(r.target), 3 * r.source_size), r.source_size)
+        mine = [x for x in rows if x.source == s]
+        left = rest - sum(x.words * (x.taken_copies - whole) for x in mine)
+        out = [x.words for x in mine if x.taken_copies == whole]
+        assert {x.taken_copies - whole for x in mine} <= {0, 1} and 0 <= left and all(n > left for n in out)
+
+
+def test_single_sources_equal_the_flow(spark):
+    """Sources without overlap by formula, overlapping ones by the network: the same as one network of all."""
+    rng = random.Random(9)
+    for _ in range(3):
+        sets = [("a",), ("b",), ("c",), ("d",), ("c", "d"), (None,)]
+        masses = {str(m): (m, rng.randrange(1, 200)) for m in sets}
+        table = spark.createDataFrame([(k, list(m), n) for k, (m, n) in masses.items()], "pattern string, members array<string>, mass long")
+        sources = mixing.source_table(table)
+        quota = {r.source: r.target for r in sources.collect()}
+        got = {r.pattern: r.flow for r in mixing._flows(table, sources, 3).collect()}
+        assert got == mixing.route(masses, {s: quota[s] for s in sorted((s for s in quota if s), key=str) + [None]})
+
+
+def test_documents_of_no_source_are_not_taken(spark):
+    docs = spark.createDataFrame([(1, "a b", None), (2, "a b", []), (3, "a b", ["x"])], "doc_id long, text string, member array<string>")
+    units, _ = mixing.mix(docs, sources=F.col("member"))
+    got = mixing.with_copies(docs, units, "doc_id", "text", F.col("member")).collect()
+    assert sorted((r.doc_id, r.copies) for r in got) == [(1, 0), (2, 0), (3, 3)]
 
 
 def test_overlapping_sources(spark, no_docs):

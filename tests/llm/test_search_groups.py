@@ -54,12 +54,20 @@ def test_vectors_with_holes_take_no_part(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (None, [1.0, 1.0]), (5, [3.0, 4.0, 5.0]), (5, [3.0, 4.0, 5.0]), (6, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("clash"))
     clean = topk.clean_vectors(df, "vec_id", "embedding")
-    assert sorted(r.id for r in clean.collect()) == [0, 5, 6]
+    assert sorted(r.id for r in clean.collect()) == [0, 5, 5, 6]
     got = topk.top_k(clean, F.col("id") % 20 == 0, k=20).collect()
-    assert sorted((r.query_id, r["rank"], r.id, r.score) for r in got) == [(0, 1, 5, 11.0), (0, 2, 6, 0.0)]
+    assert sorted((r.query_id, r["rank"], r.id, r.score) for r in got) == [(0, 1, 5, 11.0), (0, 2, 5, 11.0), (0, 3, 6, 0.0)]
     assert topk.top_k(clean.where("false"), F.col("id") == 0).count() == 0
 
 
+def test_rows_with_one_id_are_candidates_and_queries_of_their_own(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [5.0, 0.0]), (1, [2.0, 9.0]), (2, [3.0, 0.0])]
+    for blocks in ((4096, 1024), (2, 1)):
+        got = topk.top_k(spark.createDataFrame(rows, "id long, v array<double>"), F.col("id") % 20 == 0, k=3, candidate_block=blocks[0], query_block=blocks[1]).collect()
+        # the query row (1, 0) first meets (5, 0); (0, 2) first meets (2, 9)
+        assert sorted((r["rank"], r.id, r.score) for r in got) == sorted([(1, 1, 5.0), (2, 2, 3.0), (3, 1, 2.0), (1, 1, 18.0), (2, 1, 0.0), (3, 2, 0.0)])
+
+
 def test_fingerprints_equal_the_contract(odd_docs):
     rows = {(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()}
     got = {(r.id, r.fp & (1 << 64) - 1) for r in simhash.fingerprints(odd_docs).collect()}

@@ -5,12 +5,15 @@ to).  A flow routes the token capacity of each pattern to the quotas of its
 sources; a pattern's capacity comes in tiers, one per repetition, at rising
 cost, so nothing is repeated while fresh text is left.  The flow of a pattern
 then becomes whole repetitions of all its documents plus a seeded selection.
+
+A source whose documents belong to no other source is a network of one path,
+and its flow a formula of the source table; only patterns of sources that
+overlap with others meet in the flow.
 """
 
 from __future__ import annotations
 
 import heapq
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,30 +21,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textstrata.llm.shared import materialise, word_count
+from textstrata.operators.prefix import running_sum
 
 #: Hash ranges whose sizes are summed before any document is ranked.
 RANGES_BITS = 12
 MAX_REPEATS = 3
 
 
-def source_targets(sizes: dict[str | None, int], weights: dict[str | None, float], total: float, cap: float = MAX_REPEATS) -> dict[str | None, float]:
-    """Shares of ``total`` by weight, none above ``cap`` times the size of its source.
+def source_table(patterns: DataFrame, weights=None, cap: float = MAX_REPEATS) -> DataFrame:
+    """``(source, source_size, target)`` from ``(pattern, members, mass)``.
 
-    What a capped source can't take is shared again by weight among the others.
+    Shares of all tokens by weight, none above ``cap`` times the size of its source.
+    What a capped source can't take is shared again by weight among the others:
+    every round is one aggregation that gives the tokens left over and the weight of
+    the sources that are still open, so the driver only ever holds those numbers.
     """
-    out: dict[str | None, float] = {}
-    open_, rest = set(sizes), float(total)
-    while open_:
-        whole = sum(weights[s] for s in open_)
-        share = {s: rest * weights[s] / whole for s in open_}
-        over = {s for s in open_ if share[s] > cap * sizes[s]}
-        if not over:
-            return out | share
-        for s in over:
-            out[s] = float(cap * sizes[s])
-        open_ -= over
-        rest = float(total) - sum(out.values())
-    return out
+    spark = patterns.sparkSession
+    sizes = patterns.select(F.explode("members").alias("source"), "mass").groupBy("source").agg(F.sum("mass").alias("source_size"))
+    if weights is None:
+        place = running_sum(sizes, [F.asc_nulls_last("source")], F.lit(1), "place")
+        table = place.select("source", "source_size", ((F.col("place") - 1) % 3 + 1).cast("double").alias("weight"))
+    else:
+        given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "w_source string, weight double")
+        table = sizes.join(given, F.col("source").eqNullSafe(F.col("w_source"))).drop("w_source")
+    table = materialise(table, "mix-sources")
+    total = float(patterns.agg(F.sum("mass")).first()[0] or 0)
+    limit = F.lit(cap) * F.col("source_size")
+    rest, whole, n_open = total, table.agg(F.sum("weight")).first()[0] or 1.0, table.count()
+    while True:
+        share = F.lit(rest) * F.col("weight") / F.lit(whole)
+        over = share > limit  # a round's share is never below the one before, so capped sources stay capped
+        r = table.agg(F.count_if(~over).alias("open"), F.sum(F.when(over, limit)).alias("capped"), F.sum(F.when(~over, F.col("weight"))).alias("whole")).first()
+        if r.open == n_open or not r.open:
+            return table.select("source", "source_size", F.least(share, limit.cast("double")).alias("target"))
+        rest, whole, n_open = total - float(r.capped), r.whole, r.open
 
 
 def min_cost_flow(n: int, arcs: Sequence[tuple[int, int, int, int]], source: int, sink: int) -> list[int]:
@@ -105,6 +118,10 @@ def route(patterns: dict[str, tuple[tuple, int]], targets: dict[str | None, floa
     return taken
 
 
+def _fits() -> Column:
+    return (~F.col("chosen")) & (F.col("mass") > 0) & (F.col("mass") <= F.col("want"))
+
+
 def _select(units: DataFrame) -> DataFrame:
     """One round of ``chosen``: the unchosen units of each pattern that fit ``want``, in seeded order.
 
@@ -112,7 +129,7 @@ def _select(units: DataFrame) -> DataFrame:
     passes ``want`` is ranked, 1 / 2**RANGES_BITS of a pattern.  Units with one
     hash are peers and share the decision.
     """
-    fits = (~F.col("chosen")) & (F.col("mass") <= F.col("want")) & (F.col("want") > 0)
+    fits = _fits()
     span = F.shiftrightunsigned("h", 64 - RANGES_BITS)
     sums = units.where(fits).groupBy("pattern", span.alias("span")).agg(F.sum("mass").alias("mass"), F.max("want").alias("want"))
     run = sums.withColumn("upto", F.sum("mass").over(Window.partitionBy("pattern").orderBy("span")))
@@ -127,8 +144,13 @@ def _select(units: DataFrame) -> DataFrame:
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: Column | None = None) -> DataFrame:
     """``(id, size, pattern)`` per row: words of the text and the key of its set of sources."""
-    member = F.array(F.col("source").cast("string")) if sources is None else F.array_sort(F.array_distinct(sources))
-    return docs.select(F.col(id_col).cast("long").alias("id"), word_count(F.col(text_col)).alias("size"), F.to_json(member).alias("pattern"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), word_count(F.col(text_col)).alias("size"), _pattern(sources).alias("pattern"))
+
+
+def _pattern(sources: Column | None) -> Column:
+    """Key of a set of sources; no list of sources is the empty set."""
+    member = F.array(F.col("source").cast("string")) if sources is None else F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>"))))
+    return F.to_json(member)
 
 
 def _per_pattern(table: DataFrame, name: str) -> DataFrame:
@@ -141,7 +163,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources
     return mix_sized(sized(docs, id_col, text_col, sources), **options)
 
 
-def mix_sized(rows: DataFrame, weights=None, repeats: int = MAX_REPEATS, rounds: int = 4, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+def _flows(patterns: DataFrame, sources: DataFrame, repeats: int) -> DataFrame:
+    """``(pattern, mass, flow)``: tokens to take from each pattern.
+
+    A pattern of one source that no other pattern has takes that source's target,
+    at most ``repeats`` times its own size.  Sources that some pattern joins, and all
+    patterns that touch them, form the network of ``route``.
+    """
+    member = F.explode("members").alias("source")
+    joint = materialise(patterns.where(F.size("members") > 1).select(member).distinct(), "mix-joint")
+    pairs = patterns.select("pattern", "mass", "members", member)
+    same = lambda a, b: a["source"].eqNullSafe(b["source"])
+    alone = pairs.join(joint, same(pairs, joint), "left_anti")
+    alone = alone.join(sources, same(alone, sources)).select("pattern", "mass", F.least(F.bround("target").cast("long"), F.lit(repeats) * F.col("mass")).alias("flow"))
+    nodes = [r for r in pairs.join(joint, same(pairs, joint), "left_semi").select("pattern", "mass", "members").distinct().collect()]
+    targets = {r.source: r.target for r in sources.join(joint, same(sources, joint), "left_semi").collect()}
+    flow = route({r.pattern: (tuple(r.members), int(r.mass)) for r in nodes}, targets, repeats)
+    schema = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("mass", T.LongType()), T.StructField("flow", T.LongType())])
+    return alone.unionByName(patterns.sparkSession.createDataFrame([(r.pattern, int(r.mass), flow[r.pattern]) for r in nodes], schema))
+
+
+def mix_sized(rows: DataFrame, weights=None, repeats: int = MAX_REPEATS, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """``(units, sources)``: how often each document is taken, and each source's size and target.
 
     ``units`` is ``(id, size, pattern, copies)``, one row per distinct id, size
@@ -150,48 +192,42 @@ def mix_sized(rows: DataFrame, weights=None, repeats: int = MAX_REPEATS, rounds:
     its own, last in order.  Weights default to 1,
     2, 3, repeating over the sources in code point order.  Each source gets its
     weight's share of all tokens, at most ``repeats`` times its size.  A null
-    text has size 0; documents of size 0 are never taken.
+    text has size 0; documents of size 0 are never taken, and those of no source at
+    all are not among the units.
 
-    Only one row per pattern reaches the driver.  Each of ``rounds`` rounds
-    fills what the one before left with documents that fit, in seeded order.
+    Only the patterns of overlapping sources reach the driver.  Rounds go on, each filling
+    what the one before left with documents that fit, in seeded order, until
+    none fits any more.
     """
-    spark = rows.sparkSession
     units = materialise(rows.groupBy("id", "size", "pattern").agg(F.count("*").alias("n")).withColumn("mass", F.col("size") * F.col("n"))
                         .withColumn("h", F.xxhash64("id", "size", F.lit(seed))), "mix-units")
-    patterns = {r.pattern: (tuple(json.loads(r.pattern)), int(r.mass)) for r in units.groupBy("pattern").agg(F.sum("mass").alias("mass")).collect()}
-    sizes: dict[str | None, int] = {}
-    for names, mass in patterns.values():
-        for s in names:
-            sizes[s] = sizes.get(s, 0) + mass
-    ordered = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: float(i % 3 + 1) for i, s in enumerate(ordered)} if weights is None else {s: float(weights[s]) for s in ordered}
-    targets = source_targets({s: sizes[s] for s in ordered}, weight, sum(mass for _, mass in patterns.values()), repeats)
-    flow = route(patterns, {s: targets[s] for s in ordered}, repeats)
-    table = spark.createDataFrame([(s, sizes[s], targets[s]) for s in ordered], "source string, source_size long, target double")
-    plan = []
-    for key, (_, mass) in patterns.items():
-        whole, rest = divmod(flow[key], mass) if mass else (0, 0)
-        plan.append((key, int(whole), int(rest)))
-    schema = T.StructType([T.StructField("p", T.StringType()), T.StructField("whole", T.LongType()), T.StructField("rest", T.LongType())])
-    plan = _per_pattern(spark.createDataFrame(plan, schema), "mix-plan")
-    now = units.withColumn("chosen", F.lit(False))
-    for _ in range(rounds):
-        used = now.where("chosen").groupBy("pattern").agg(F.sum("mass").alias("used"))
-        left = plan.join(used, F.col("p") == F.col("pattern"), "left").select("p", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("want"))
-        now = materialise(_select(now.join(_per_pattern(left, "mix-wants"), F.col("pattern") == F.col("p")).drop("p")), "mix-round")
+    patterns = materialise(units.groupBy("pattern").agg(F.sum("mass").alias("mass")).withColumn("members", F.from_json("pattern", "array<string>")), "mix-patterns")
+    sources = materialise(source_table(patterns, weights, repeats), "mix-targets")
+    rest = F.when(F.col("mass") > 0, F.col("flow") % F.col("mass")).otherwise(0)
+    whole = F.when(F.col("mass") > 0, F.expr("flow div mass")).otherwise(0)
+    plan = _per_pattern(_flows(patterns, sources, repeats).select(F.col("pattern").alias("p"), whole.alias("whole"), rest.alias("rest")), "mix-plan")
+    now, used = units.withColumn("chosen", F.lit(False)), -1
+    while True:
+        taken = now.where("chosen").groupBy("pattern").agg(F.sum("mass").alias("used"))
+        left = _per_pattern(plan.join(taken, F.col("p") == F.col("pattern"), "left").select("p", (F.col("rest") - F.coalesce("used", F.lit(0))).alias("want")), "mix-wants")
+        wanted = now.join(left, F.col("pattern") == F.col("p")).drop("p")
+        state = wanted.agg(F.count_if(_fits()).alias("open"), F.count_if("chosen").alias("used")).first()
+        if not state.open or state.used == used:  # nothing fits, or only rows of one hash that don't fit together
+            break
+        now, used = materialise(_select(wanted), "mix-round"), state.used
     chosen = now.join(plan, F.col("pattern") == F.col("p")).select("id", "size", "pattern", (F.col("whole") + F.col("chosen").cast("long")).alias("copies"))
-    return chosen.withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(0)), table
+    return chosen.withColumn("copies", F.when(F.col("size") > 0, F.col("copies")).otherwise(0)), sources
 
 
 def with_copies(docs: DataFrame, units: DataFrame, id_col: str, text_col: str, sources: Column | None = None, name: str = "copies") -> DataFrame:
     """``docs`` with the ``copies`` of its unit as a last column ``name``; every row stays."""
-    member = F.array(F.col("source").cast("string")) if sources is None else F.array_sort(F.array_distinct(sources))
     free = "_u"
     while any(c.startswith(free) for c in docs.columns):
         free += "_"
     u = units.select(F.col("id").alias(f"{free}_id"), F.col("size").alias(f"{free}_size"), F.col("pattern").alias(f"{free}_pattern"), F.col("copies").alias(name))
-    match = docs[id_col].cast("long").eqNullSafe(u[f"{free}_id"]) & (word_count(docs[text_col]) == u[f"{free}_size"]) & (F.to_json(member) == u[f"{free}_pattern"])
-    return docs.join(u, match, "left").drop(f"{free}_id", f"{free}_size", f"{free}_pattern")
+    match = docs[id_col].cast("long").eqNullSafe(u[f"{free}_id"]) & (word_count(docs[text_col]) == u[f"{free}_size"]) & (_pattern(sources) == u[f"{free}_pattern"])
+    joined = docs.join(u, match, "left").drop(f"{free}_id", f"{free}_size", f"{free}_pattern")
+    return joined.withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
 
 
 def repeat_rows(docs: DataFrame, units: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
