@@ -91,39 +91,38 @@ def _words(text_col: str, max_words: int | None) -> Column:
     return words if max_words is None else F.slice(words, 1, max_words)
 
 
-def cut_words(words: DataFrame, vocabulary: DataFrame, unknown_id: int, continuation: str = "##",
-              longest_word: int = 100) -> DataFrame:
-    """``(word, ids)``: each distinct ``word`` cut into the longest known pieces, from its start on.
+def cut_words(words: DataFrame, vocabulary: DataFrame, continuation: str = "##", longest_word: int = 100) -> DataFrame:
+    """``(word, ids)``: the distinct ``word`` rows that can be cut into known pieces, the longest first from their start on.
 
     ``vocabulary`` is ``(piece string, id int)``; a piece inside a word stands in it
     behind ``continuation``, and a repeated piece counts with its smallest id.  A
     word that can't be cut to its end, or has more than ``longest_word``
-    characters, is ``unknown_id`` as a whole (the rule of greedy word-piece
-    tokenizers).  Every (start, size) of a word no longer than the longest piece
-    is looked up by one join, planned by the vocabulary's bytes.
+    characters, has no row (the rule of greedy word-piece tokenizers, which give
+    it one unknown id).  Every (start, size) of a word no longer than the longest
+    piece is looked up by one join, planned by the vocabulary's bytes; the matches
+    stay in the partitions of the distinct words.
     """
     pieces = written(vocabulary.where("piece is not null and id is not null").groupBy("piece").agg(F.min("id").alias("id")), "pieces")
     longest = pieces.agg(F.max(F.length("piece"))).first()[0] or 0  # one number
     size = F.length("word")
-    starts = F.when(size <= longest_word, F.sequence(F.lit(1), size))
-    asked = (words.where("word <> ''").select("word", F.explode(starts).alias("at"))
-             .select("word", "at", F.explode(F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), size - F.col("at") + 1))).alias("size"))
-             .withColumn("piece", F.concat(F.when(F.col("at") > 1, F.lit(continuation)).otherwise(F.lit("")),
-                                           F.expr("substring(word, at, size)"))))
-    best = (asked.join(pieces, "piece")
-            .groupBy("word", "at").agg(F.max(F.struct("size", "id")).alias("p"))
-            .groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("at", "p"))).alias("longest")))
-    none = F.array().cast("array<int>")
+    tried = F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), size - F.col("at") + 1))
+    mark = F.when(F.col("at") > 1, F.lit(continuation)).otherwise(F.lit(""))
+    asked = (words.where((F.col("word") != "") & (size <= longest_word)).select("word", F.explode(F.sequence(F.lit(1), size)).alias("at"))
+             .select("word", "at", F.explode(tried).alias("size"))
+             .select("word", "at", "size", F.concat(mark, F.expr("substring(word, at, size)")).alias("piece")))
+    # size and id as one number: a numeric maximum is hashed, not sorted
+    coded = F.shiftleft(F.col("size").cast("long"), 32) + F.col("id").cast("long") + F.lit(1 << 31)
+    best = (asked.join(pieces, "piece").select("word", "at", coded.alias("m"))
+            .groupBy("word", "at").agg(F.max("m").alias("m"))
+            .groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("at", "m"))).alias("longest")))
+    here = F.col("longest")
     walk = F.aggregate(
-        F.sequence(F.lit(1), size), F.struct(F.lit(1).alias("next"), none.alias("ids")),
-        lambda s, at: F.when((at == s["next"]) & F.col("longest")[at].isNotNull(),
-                             F.struct((at + F.col("longest")[at]["size"]).alias("next"),
-                                      F.concat(s["ids"], F.array(F.col("longest")[at]["id"])).alias("ids"))).otherwise(s),
+        F.sequence(F.lit(1), size), F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("ids")),
+        lambda s, at: F.when((at == s["next"]) & here[at].isNotNull(),
+                             F.struct((at + F.shiftright(here[at], 32)).cast("int").alias("next"),
+                                      F.concat(s["ids"], F.array((here[at] % (1 << 32) - (1 << 31)).cast("int"))).alias("ids"))).otherwise(s),
         lambda s: F.when(s["next"] > size, s["ids"]))
-    unknown = F.array(F.lit(unknown_id))
-    cut = best.select(F.col("word").alias("_w"), F.coalesce(walk, unknown).alias("_ids"))
-    return (words.where("word <> ''").join(cut, F.col("word") == F.col("_w"), "left")
-            .select("word", F.coalesce("_ids", unknown).alias("ids")))
+    return best.select("word", walk.alias("ids")).where("ids is not null")
 
 
 def piece_ids(df: DataFrame, text_col: str, key_cols: Sequence[str], vocabulary: DataFrame, unknown_id: int,
@@ -133,18 +132,21 @@ def piece_ids(df: DataFrame, text_col: str, key_cols: Sequence[str], vocabulary:
 
     The words of all rows are told apart map-side, cut and written with their
     ids; each row's words then take theirs by a join that is planned by the
-    dictionary's bytes (frequent words are broadcast with it, or split by AQE) and
-    come together again under the row's number, so rows with equal keys stay
-    apart.  Texts never leave the JVM.  Null and empty texts give an empty array.
-    ``max_words`` as in ``word_ids``: every word has one id at least.
+    dictionary's bytes (broadcast, or a shuffle that AQE splits at frequent words)
+    and come together again under the row's number, so rows with equal keys stay
+    apart.  Texts never leave the JVM.  A word without a cut is ``unknown_id``.
+    Null and empty texts give an empty array.  ``max_words`` as in ``word_ids``:
+    every word has one id at least.
     """
     keys = list(key_cols)
     rows = written(df.select(*keys, _words(text_col, max_words).alias("_words"))
                    .withColumn("_row", F.monotonically_increasing_id()), "row-words")
     distinct = rows.select(F.explode(F.array_distinct("_words")).alias("word")).distinct()
-    dictionary = written(cut_words(distinct, vocabulary, unknown_id, continuation, longest_word), "word-pieces")
-    placed = rows.select("_row", F.posexplode("_words").alias("_at", "word")).join(dictionary, "word")
-    found = placed.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "ids"))).alias("_cut"))
+    dictionary = written(cut_words(distinct, vocabulary, continuation, longest_word), "word-pieces")
+    placed = (rows.select("_row", F.posexplode("_words").alias("_at", "word")).join(dictionary, "word", "left")
+              .select("_row", "_at", F.coalesce("ids", F.array(F.lit(unknown_id))).alias("ids")))
+    # partial lists of one row would only make the shuffled records larger
+    found = placed.repartition("_row").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_at", "ids"))).alias("_cut"))
     ids = F.flatten(F.transform("_cut", lambda c: c["ids"]))
     return rows.join(found, "_row", "left").select(*keys, F.coalesce(ids, F.array().cast("array<int>")).alias(out_col))
 
