@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textstrata.llm.shared import materialise
+from textstrata.llm.shared import materialise, parts
 
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -239,7 +239,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cost = Guesser(words).cost
-        for b in batches:
+        for b in parts(batches):
             found = [find_spans(t, min_bits, cost) for t in b.column(1).to_pylist()]
             count = lambda kind: pa.array([sum(k == kind for _, k, _ in s) for s in found], pa.int64())
             digest = [hashlib.sha256(_joined(x for x in s if x[1] < 3).encode()).hexdigest() for s in found]
@@ -271,7 +271,7 @@ def redact(docs: DataFrame, text_col: str = "text", min_bits: float = 40.0) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cost = Guesser(words).cost
-        for b in batches:
+        for b in parts(batches):
             cols = list(b.columns)
             cols[at] = pa.array([redact_text(t, min_bits, cost=cost) for t in cols[at].to_pylist()], b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(cols, schema=b.schema)

@@ -4,6 +4,7 @@ UTF-8 word access on Arrow batches."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,6 +45,14 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def parts(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows, without copies: what Python makes of
+    a slice is freed before the next one, so long texts take no more memory than a slice of them."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def crc_bucket(doc_id: Column, buckets: int) -> Column:
     """crc32 of the id's decimal text modulo ``buckets``; -1 for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % buckets, F.lit(-1))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textstrata.llm.components import components
-from textstrata.llm.shared import materialise, utf8
+from textstrata.llm.shared import materialise, parts, utf8
 
 SEED = 42
 #: Shingles hashed at once; bounds the memory of a very long text.
@@ -59,7 +59,7 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``(id, fp)`` for each row, ``fp`` as a signed long; row-local."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             fps = np.array([fingerprint(t, shingle) for t in utf8(b.column(1))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
 
@@ -194,7 +194,7 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = materialise(docs.withColumn(name, F.monotonically_increasing_id()), "numbered-documents")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             fps = np.array([fingerprint(t, shingle) for t in utf8(b.column(2))], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["row", "id", "fp"])
 
