@@ -336,8 +336,8 @@ def q_pick_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_stream_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C7 without a trained model: ``embeddings`` as a file stream, scored, picked, appended to Parquet."""
     out, ckpt = shared_path(spark, "stream_pick_out"), shared_path(spark, "stream_pick_ckpt")
-    q = start_stream(spark, sf_dir, read(spark, sf_dir, "embeddings").schema,
-                     lambda emb: _picked(scored(folded_logits(emb))), out, ckpt, path_glob="embeddings.parquet")
+    q = start_stream(spark, f"{sf_dir.rstrip('/')}/embeddings.parquet", read(spark, sf_dir, "embeddings").schema,
+                     lambda emb: _picked(scored(folded_logits(emb))), out, ckpt)
     q.awaitTermination()
     return spark.read.parquet(out)
 

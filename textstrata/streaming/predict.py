@@ -23,7 +23,8 @@ def start_stream(spark: SparkSession, source_dir: str, schema: StructType | str,
                  files_per_trigger: int | None = None, once_by: Sequence[str] = (), event_time: str | None = None,
                  delay: str = "1 day") -> StreamingQuery:
     """Start a file stream through a row-local ``label`` function; ``available_now``
-    processes what is there and stops.
+    processes what is there and stops.  ``source_dir`` may hold the files in folders
+    of its own or be one file.
 
     With ``once_by`` a row whose key came before is dropped, also after a restart
     and when a file is sent again under another name.  The keys are kept as state
@@ -39,6 +40,9 @@ def start_stream(spark: SparkSession, source_dir: str, schema: StructType | str,
         reader = reader.option("pathGlobFilter", path_glob)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    at = spark._jvm.org.apache.hadoop.fs.Path(source_dir)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(at):
+        source_dir = f"{source_dir[:-1]}[{source_dir[-1]}]"  # a stream's base must be a folder; a pattern has none
     rows = reader.parquet(source_dir)
     if once_by:
         rows = rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(once_by))
