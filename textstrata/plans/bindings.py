@@ -598,9 +598,8 @@ def q_stream_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table read as a file stream, labelled, appended to Parquet."""
     _, models = _bundle(spark, sf_dir, save=False)
     out, ckpt = shared_path(spark, "stream_out"), shared_path(spark, "stream_ckpt")
-    q = start_stream_predict(spark, sf_dir, read(spark, sf_dir, "documents").schema, models, MODEL_TARGETS,
-                             TOXIC, out, ckpt, cutoff=0.1, path_glob="documents.parquet",
-                             keep=["doc_id", "text"])
+    q = start_stream_predict(spark, f"{sf_dir.rstrip('/')}/documents.parquet", read(spark, sf_dir, "documents").schema,
+                             models, MODEL_TARGETS, TOXIC, out, ckpt, cutoff=0.1, keep=["doc_id", "text"])
     q.awaitTermination()
     return spark.read.parquet(out).drop("text")
 
