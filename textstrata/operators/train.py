@@ -58,7 +58,9 @@ def _with_weights(df: DataFrame, label_col: str, weights: DataFrame | None) -> D
     if weights is None:
         return df.withColumn("_ts_w", F.lit(1.0))
     w = weights.select(F.col("label_id").alias(label_col), F.col("weight").alias("_ts_w"))
-    return df.join(w, label_col, "left").withColumn("_ts_w", F.coalesce("_ts_w", F.lit(1.0)))
+    # one row per class: by a shuffle all rows of a class would meet in one task, and AQE keeps that shuffle
+    # where most of its partitions are empty
+    return df.join(F.broadcast(w), label_col, "left").withColumn("_ts_w", F.coalesce("_ts_w", F.lit(1.0)))
 
 
 def fit_target(featured: DataFrame, label_col: str, weights: DataFrame | None = None,
