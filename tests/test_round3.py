@@ -3,8 +3,11 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SF001
+from textstrata.operators import encode
+from textstrata.operators import train as train_ops
 from textstrata.plans.bindings import QUERIES
 
 
@@ -17,3 +20,32 @@ def test_streams_read_tables_that_are_folders(spark, tmp_path, name, table, key)
     one_file = QUERIES[name](spark, SF001).select(key)
     assert folder.count() == spark.read.parquet(f"{SF001}/{table}.parquet").count()
     assert sorted(folder.collect()) == sorted(one_file.collect())
+
+
+def test_class_weights_move_no_features(spark):
+    rows = spark.range(2000).selectExpr("id", "cast(id % 2 as int) as y")
+    weights = rows.groupBy(rows["y"].alias("label_id")).agg(F.avg("id").alias("weight"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")  # features and weights of unknown size
+    try:
+        out = train_ops._with_weights(rows, "y", weights)
+        assert {r["_ts_w"] for r in out.collect()} == {999.0, 1000.0}
+        assert out.rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_whole_texts_are_encoded_from_the_ids_of_their_words(spark):
+    from tokenizers import Tokenizer
+
+    odd = ["", " \t\n", "a<|endoftext|>b <|startoftext|> x\x1cy\x85z w ́e é", "ΣΑΣ it's <|end oftext|> ﬁ İI",
+           "漢字 ‍\U0001f469‍ ﻿ \x00 a\xa0b 　c", "grey sand " * 700]
+    rows = spark.createDataFrame([(0, None), *enumerate(odd, 1)], "id int, text string").coalesce(1)
+    tok = Tokenizer.from_file(encode.default_vocabulary())
+    want = [[], *(tok.encode(t, add_special_tokens=False).ids for t in odd)]
+    assert [r["ids"] for r in encode.token_ids(rows, "text", ["id"]).orderBy("id").collect()] == want
+    # no more ids leave the task than truncation keeps, and its results stay
+    kept = encode.token_ids(rows, "text", ["id"], max_ids=510)
+    assert [r["ids"] for r in kept.orderBy("id").collect()] == [w[:510] for w in want]
+    padded = encode.encode_padded(rows, "text", ["id"]).orderBy("id").collect()
+    assert [r["input_ids"] for r in padded] == [([49406] + w[:510] + [49407] + [0] * 510)[:512] for w in want]
+    assert "MapInArrow" in encode.encode_variable(rows, "text", ["id"])._jdf.queryExecution().toString()

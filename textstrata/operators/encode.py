@@ -3,7 +3,7 @@
 Content ids come from one of three places: a table of word pieces
 (``piece_ids``: distinct words are cut once, by joins), a hash of each word
 (``word_ids``), or a tokenizer file (``token_ids``), the one form that runs
-Python: ``mapInPandas`` over Arrow batches, with the file shipped with
+Python: ``mapInArrow`` over batches, with the file shipped with
 ``SparkContext.addFile`` and loaded once per task.  Truncation, special tokens,
 padding, masks and masking are array expressions in the JVM for all three.
 """
@@ -14,7 +14,7 @@ import math
 import os
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +28,10 @@ MAX_LENGTH = 512
 #: Hashed word ids lie below this, the start and end ids follow.
 WORD_IDS = 49_406
 MLM_PROBABILITY = 0.15
+#: Rules by which a tokenizer cuts a text into pieces without blanks, none of which depends on what stands beyond a blank.
+BLANK_SPLITS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
+#: About so many bytes of words and ids a task remembers.
+HELD_BYTES = 64 << 20
 IGNORE_INDEX = -100
 
 
@@ -37,35 +41,89 @@ def default_vocabulary() -> str:
 
 
 def token_ids(df: DataFrame, text_col: str, key_cols: Sequence[str], vocabulary: str | None = None,
-              out_col: str = "ids", slice_rows: int = 256) -> DataFrame:
-    """Content token ids of each whole text (no special tokens, no truncation).
+              out_col: str = "ids", slice_rows: int = 256, max_ids: int | None = None) -> DataFrame:
+    """Content token ids of each whole text (no special tokens).
 
     Returns ``key_cols + [out_col: array<int>]``; null text gives an empty array.
+    Whole texts are encoded; ``max_ids`` passes on no more of a text's ids than a
+    later truncation keeps.  Where the tokenizer's own rules say that no piece
+    reaches over a blank (``BLANK_SPLITS``), a task encodes each distinct word
+    once and puts texts together from the words' ids, with a bounded memory.
+    Tasks are the parallel units: the tokenizer starts no threads of its own.
     """
     vocab = vocabulary or default_vocabulary()
     df.sparkSession.sparkContext.addFile(vocab)
-    name = os.path.basename(vocab)
+    name, blank_splits, held_bytes = os.path.basename(vocab), BLANK_SPLITS, HELD_BYTES
     keys = list(key_cols)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema.fields]
                        + [f"`{out_col}` array<int>"])
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Self-contained (imports inside): executors need no copy of this package.
+        import json
+
+        import numpy as np
+        import pyarrow as pa
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import SparkFiles as _files
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(_files.get(name))  # once per task, then reused for all its batches
-        for pdf in batches:
-            # Slices bound the tokenizer's working set when texts are long.
-            for start in range(0, len(pdf), slice_rows):
-                part = pdf.iloc[start:start + slice_rows]
-                texts = part[text_col].fillna("").astype(str).tolist()
-                enc = tok.encode_batch(texts, add_special_tokens=False)
-                out = part[keys].copy()
-                out[out_col] = [e.ids for e in enc]
-                yield out
-
-    return df.select(*keys, text_col).mapInPandas(encode, schema)
+        with open(_files.get(name), encoding="utf-8") as f:
+            rules = json.load(f)
+        steps = (rules.get("normalizer") or {}).get("normalizers", [])
+        cuts = (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        by_word = (all(n in ({"type": "NFC"}, {"type": "Lowercase"}) or (n["type"], n.get("pattern"), n.get("content")) == ("Replace", {"Regex": r"\s+"}, " ") for n in steps)
+                   and len(cuts) == 2 and cuts[0]["type"] == "Split" and cuts[0]["pattern"].get("Regex") in blank_splits
+                   and (cuts[0]["behavior"], cuts[0]["invert"]) == ("Removed", True)
+                   and cuts[1]["type"] == "ByteLevel" and not cuts[1]["add_prefix_space"] and not cuts[1]["use_regex"]
+                   and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["content"].split() != [t["content"]] for t in rules["added_tokens"])
+                   and not rules.get("truncation") and not rules.get("padding") and not rules["model"].get("dropout"))
+        known: dict[bytes, bytes] = {}  # the ids of a word as 32-bit numbers
+        held = 0
+
+        def whole(texts: list[bytes]) -> Iterator[bytes]:
+            for text in texts:
+                yield np.array(tok.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32).tobytes()
+
+        def learn(new: list[bytes]) -> None:
+            nonlocal held
+            plain = [w.decode("utf-8", "replace") for w in new]
+            begins = np.cumsum([0, *(len(w) + 1 for w in plain)])
+            e = tok.encode(" ".join(plain), add_special_tokens=False)
+            ids = np.array(e.ids, np.int32).tobytes()
+            of = np.searchsorted(begins, np.array([o[0] for o in e.offsets], np.int64), "right") - 1
+            ends = 4 * np.cumsum(np.bincount(of, minlength=len(new)))
+            start = 0
+            for w, end in zip(new, ends.tolist()):
+                known[w] = ids[start:end]
+                held += len(w) + end - start + 160  # what the two objects and their entry take besides
+                start = end
+
+        def from_words(texts: list[bytes]) -> Iterator[bytes]:
+            nonlocal held
+            for at in range(0, len(texts), 16):
+                some = [text.split() for text in texts[at:at + 16]]  # at ASCII blanks, which are blanks to the tokenizer as well
+                if held > held_bytes:
+                    known.clear()
+                    held = 0
+                new = list(set().union(*some).difference(known))
+                for k in range(0, len(new), 512):
+                    learn(new[k:k + 512])
+                for words in some:
+                    yield b"".join([known[w] for w in words])
+
+        for b in batches:
+            for at in range(0, b.num_rows, slice_rows):
+                part = b.slice(at, slice_rows)
+                texts = [t or b"" for t in part.column(len(keys)).cast(pa.large_binary()).to_pylist()]
+                rows = [ids if max_ids is None else ids[:4 * max_ids] for ids in (from_words if by_word else whole)(texts)]
+                offsets = np.cumsum([0, *(len(ids) // 4 for ids in rows)]).astype(np.int32)
+                out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keys))), out], names=[*keys, out_col])
+
+    return df.select(*keys, F.col(text_col).cast("string").alias("_text")).mapInArrow(encode, schema)
 
 
 def _framed(ids: Column, max_length: int, start_id: int, end_id: int) -> Column:
@@ -178,14 +236,14 @@ def encode_padded(df: DataFrame, text_col: str, key_cols: Sequence[str], vocabul
                   max_length: int = MAX_LENGTH, start_id: int = 49406, end_id: int = 49407,
                   pad_id: int = 0) -> DataFrame:
     """``input_ids`` and ``attention_mask``, truncated and padded to ``max_length``."""
-    return pad_ids(token_ids(df, text_col, key_cols, vocabulary), key_cols, max_length, start_id, end_id, pad_id)
+    return pad_ids(token_ids(df, text_col, key_cols, vocabulary, max_ids=max_length - 2), key_cols, max_length, start_id, end_id, pad_id)
 
 
 def encode_variable(df: DataFrame, text_col: str, key_cols: Sequence[str], vocabulary: str | None = None,
                     max_length: int = MAX_LENGTH, start_id: int = 49406, end_id: int = 49407) -> DataFrame:
     """``input_ids`` truncated to ``max_length`` (no padding), ``attention_mask``
     and ``special_tokens_mask`` (1 on the start and end ids)."""
-    return frame_ids(token_ids(df, text_col, key_cols, vocabulary), key_cols, max_length, start_id, end_id)
+    return frame_ids(token_ids(df, text_col, key_cols, vocabulary, max_ids=max_length - 2), key_cols, max_length, start_id, end_id)
 
 
 def _md5_number(digest: Column, word: int) -> Column:

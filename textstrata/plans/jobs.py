@@ -66,7 +66,7 @@ def _content_ids(rows: DataFrame, text_col: str, keys: Sequence[str], vocabulary
                  pieces: DataFrame | None, unknown_id: int, max_length: int) -> DataFrame:
     """Content ids from a tokenizer file, a table of pieces, or word hashes; no more than truncation keeps."""
     if vocabulary is not None:
-        return encode.token_ids(rows, text_col, keys, vocabulary)
+        return encode.token_ids(rows, text_col, keys, vocabulary, max_ids=max_length - 2)
     if pieces is not None:
         return encode.piece_ids(rows, text_col, keys, pieces, unknown_id, max_words=max_length - 2)
     return encode.word_ids(rows, text_col, keys, encode.WORD_IDS, max_words=max_length - 2)
