@@ -40,6 +40,8 @@ LONGEST_WORD = 40
 RUN_BYTES = 1 << 20
 #: Decoded tokens that a task remembers.
 CACHED = 50_000
+#: Distinct strings a task counts before it passes them on; one in so many rows is rare (``at_least``).
+HELD, RARE = 1 << 18, 100_000
 
 TRIM = ".,;:!?\"'()[]{}<>|&%#$*`~-_+="
 #: A token of letters and signs that stand for letters, with one of each; three passes, so linear in its length.
@@ -213,18 +215,35 @@ def tokens(text: bytes | None, decoder: Decoder) -> tuple[list[str], set[str]]:
     return words, {p.strip(TRIM) for r in restored for p in r.split()} - {""}
 
 
+def at_least(least: int, rows: int) -> int:
+    """``least`` rows, or one in ``RARE`` of many: what is rarer teaches nothing, so a model's size doesn't grow with the rows."""
+    return max(least, -(-rows // RARE))
+
+
+def _counted(names: list[str], seen: Iterator[set[str]]) -> Iterator[pa.RecordBatch]:
+    """Number of sets each string is in, passed on whenever ``HELD`` strings are held."""
+    total: Counter = Counter()
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=names)
+        total.clear()
+        return out
+
+    for strings in seen:
+        total.update(strings)
+        if len(total) >= HELD:
+            yield flush()
+    yield flush()
+
+
 def vocabulary_of(train: DataFrame, least_texts: int = 2) -> dict[str, int]:
-    """Number of texts of each plain word in ``least_texts`` or more of them; bounded by the training sample."""
+    """Number of texts of each plain word in ``least_texts`` or more of them (``at_least``); all texts are counted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for b in parts(batches):
-            for t in utf8(b.column(0)):
-                words = {w.strip(TRIM) for w in (t or b"").decode("utf-8", "replace").lower().split()}
-                total.update(w for w in words if w.isalpha() and len(w) <= LONGEST_WORD)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["w", "n"])
+        every = ({w.strip(TRIM) for w in (t or b"").decode("utf-8", "replace").lower().split()} for b in parts(batches) for t in utf8(b.column(0)))
+        yield from _counted(["w", "n"], ({w for w in words if w.isalpha() and len(w) <= LONGEST_WORD} for words in every))
 
     counts = train.select("text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return {r.w: r.n for r in counts.where(F.col("n") >= least_texts).collect()}
+    return {r.w: r.n for r in counts.where(F.col("n") >= at_least(least_texts, train.count())).collect()}
 
 
 def features_of(word: str) -> list[str]:
@@ -259,16 +278,32 @@ def evidence(text: bytes | None, decoder: Decoder, lexicon: Lexicon) -> list[flo
     return [votes[0] if votes else 0.0, votes[1] if len(votes) > 1 else 0.0, math.log1p(len(votes)), math.log1p(len(words)) / 10]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights and intercept (last) by Newton steps; one class only gives that class."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(z.shape[1])
+def fit_logistic(rows: DataFrame, ridge: float = 1.0) -> np.ndarray:
+    """Weights and intercept (last) from all ``(x, label)`` rows by Newton steps.
+
+    Each step is one pass whose slope and curvature are summed in the tasks, a
+    row of sums per task; the sums don't depend on the tasks' order.
+    """
+    w = None
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        penalty = np.full(len(w), ridge)
+        def sums(batches: Iterator[pa.RecordBatch], w=w) -> Iterator[pa.RecordBatch]:
+            found = 0.0
+            for b in batches:
+                if b.num_rows:
+                    z = np.array(b.column(0).to_pylist())
+                    z, y = np.hstack([z, np.ones((len(z), 1))]), b.column(1).to_numpy()
+                    p = 1 / (1 + np.exp(-np.clip(z @ (np.zeros(z.shape[1]) if w is None else w), -30, 30)))
+                    found = found + np.concatenate([z.T @ (y - p), ((z * (p * (1 - p))[:, None]).T @ z).ravel()])
+            if np.ndim(found):
+                yield pa.RecordBatch.from_arrays([pa.array([found], pa.list_(pa.float64()))], names=["s"])
+
+        flat = np.array([math.fsum(v) for v in zip(*(r.s for r in rows.select("x", "label").mapInArrow(sums, "s array<double>").collect()))])
+        n = int((math.isqrt(4 * len(flat) + 1) - 1) // 2)
+        w = np.zeros(n) if w is None else w
+        penalty = np.full(n, ridge)
         penalty[-1] = 1e-3
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
-        w += step
+        step = np.linalg.solve(flat[n:].reshape(n, n) + np.diag(penalty), flat[:n] - penalty * w)
+        w = w + step
         if np.abs(step).max() < 1e-8:
             break
     return w
@@ -291,22 +326,19 @@ def learn_lexicon(train: DataFrame, decoder: Decoder, least_contexts: int = 3, l
                 pairs |= {(f, w) for w in restored for f in features_of(w)}
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in pairs], pa.string()), pa.array([p for _, p in pairs], pa.string())], names=["f", "prev"])
 
-    toxic = train.where("label = 1").select("text").mapInArrow(seen, "f string, prev string").distinct().groupBy("f").agg(F.count("*").alias("n"))
-    n1 = {r.f: r.n for r in toxic.where(F.col("n") >= least_contexts).collect()}  # bounded by the training sample
+    share = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
+    toxic = train.where("label = 1").select("text").mapInArrow(seen, "f string, prev string").distinct().groupBy("f").agg(F.count("*").alias("n1"))
+    toxic = toxic.where(F.col("n1") >= at_least(least_contexts, share.get(1, 0)))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for b in parts(batches):
-            for t in utf8(b.column(0)):
-                words, restored = tokens(t, decoder)
-                total.update({f for w in {w.strip(TRIM) for w in set(words)} | restored for f in features_of(w) if f in n1})
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["f", "n"])
+        every = (tokens(t, decoder) for b in parts(batches) for t in utf8(b.column(0)))
+        yield from _counted(["f", "n"], ({f for w in {w.strip(TRIM) for w in set(words)} | restored for f in features_of(w)} for words, restored in every))
 
-    n0 = {r.f: r.n for r in train.where("label = 0").select("text").mapInArrow(clean, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()}
-    share = {r.label: r["count"] for r in train.groupBy("label").count().collect()}
+    plain = train.where("label = 0").select("text").mapInArrow(clean, "f string, n long").groupBy("f").agg(F.sum("n").alias("n0"))
     base = (share.get(1, 0) + 1) / (sum(share.values()) + 2)
-    odds = lambda f: math.log((n1[f] + base) / (n0.get(f, 0) + 1 - base)) - math.log(base / (1 - base))
-    return Lexicon({f: w for f in n1 if (w := odds(f)) >= least_weight})
+    odds = F.log((F.col("n1") + base) / (F.coalesce("n0", F.lit(0)) + 1 - base)) - math.log(base / (1 - base))
+    # what has a weight is all that reaches the driver
+    return Lexicon({r.f: r.w for r in toxic.join(plain, "f", "left").select("f", odds.alias("w")).where(F.col("w") >= least_weight).collect()})
 
 
 class Scorer:
@@ -322,22 +354,20 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(x @ self.curve, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 12_000) -> Scorer:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """A scorer from ``docs`` and ``labels`` (``id, label``), the labels to learn from.
 
-    The language model counts all texts.  The classifier is fitted on at most
-    ``sample`` labelled rows, the first in hash order of their id; two thirds
-    teach the lexicon, a third the curve.  Labels that are null or neither 0
+    The language model counts all texts.  The classifier is fitted on all
+    labelled rows; two thirds teach the lexicon, a third the curve.  Labels that are null or neither 0
     nor 1, and ids without a document, are left out.  Without labels of both
     kinds every score is the share of label 1 among them (0.5 without any).
     """
     decoder = Decoder({r.key: r.n for r in character_counts(docs, text_col).collect()})
     known = labels.where("label in (0, 1) and id is not null").select(F.col("id").cast("long").alias("label_id"), F.col("label").cast("int").alias("label")).distinct()
-    first = known.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(sample)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # the broadcast side has at most ``sample`` rows of two numbers; rows that repeat an id count once, with the smallest text
-    train = materialise(src.join(F.broadcast(first), F.col("id") == F.col("label_id")).groupBy("id", "label").agg(F.min("text").alias("text"))
-                        .select("text", "label", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)).alias("fold")), "toxicity-sample")
+    # rows that repeat an id count once, with the smallest text
+    train = materialise(src.join(known, F.col("id") == F.col("label_id")).groupBy("id", "label").agg(F.min("text").alias("text"))
+                        .select("text", "label", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)).alias("fold")), "toxicity-training")
     decoder.learn_words(vocabulary_of(train))
     lexicon = learn_lexicon(train.where("fold < 2"), decoder)
 
@@ -346,10 +376,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             x = [evidence(t, decoder, lexicon) for t in utf8(b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "label"])
 
-    held = train.where("fold = 2").select("text", "label").mapInArrow(evidences, "x array<double>, label int").collect()  # at most ``sample`` rows of four numbers
-    y = np.array([r.label for r in held], dtype=float)
-    if len(set(y)) == 2:
-        return Scorer(decoder, lexicon, fit_logistic(np.array([r.x for r in held]), y))
+    held = materialise(train.where("fold = 2").select("text", "label").mapInArrow(evidences, "x array<double>, label int"), "toxicity-evidence")
+    if held.agg(F.count_distinct("label")).first()[0] == 2:
+        return Scorer(decoder, lexicon, fit_logistic(held))
     share = train.agg(F.avg("label")).first()[0]
     return Scorer(decoder, lexicon, None, 0.5 if share is None else share)
 
