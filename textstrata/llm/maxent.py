@@ -6,9 +6,10 @@ A token's probability is P(class | context) P(output | class, context)
 P(word | output): two softmax layers over hashed n-gram and skip features of
 the three tokens before it, and smoothed counts inside an output.
 
-The softmax layers see a token only through the bucket of each context word, so
-the corpus is first counted into (context, output) cells, exactly; every update
-is one distributed pass over those cells that returns the summed gradient.
+The features are made of the words themselves: a word of the bounded table by its
+rank, any other by a hash of all its bytes.  Training is one pass in numpy batches:
+every update is a distributed sum of the gradient over its own part of the
+texts, and each text belongs to one update.
 Word counts cover the whole corpus and stay distributed: a bounded table of the
 most frequent words is looked up in place, all other words are joined.
 """
@@ -25,20 +26,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textstrata.llm.shared import materialise, utf8
+from textstrata.llm.shared import materialise, parts, utf8
 
 END = b""  # the end of a text; no word is empty
 HEAD, TAILS, WIDTH = 512, 512, 32  # outputs of one word, of hashed endings; members of a class
 OUTPUTS = HEAD + TAILS
 CLASSES = OUTPUTS // WIDTH
-#: Buckets of the word one, two and three places back: words of their own, then hashed endings.
-NEAR, MIDDLE, FAR = (96, 32), (24, 8), (12, 4)
-ROWS = 1 << 14  # weight rows that features are hashed to
+ROWS = 1 << 14  # weight rows that features are hashed to, a power of two
 #: Words looked up in place: at most so many, each of at most so many bytes.
 LOOKUP, LOOKUP_BYTES = 131_072, 64
+#: Codes of all other words: the hashed ending, and so many hashes of the whole word for each.
+SPREAD = 128
+HASHED = TAILS * SPREAD
+#: The word one, two and three places back, as features see it: words of their own, then hashed ones.
+NEAR = MIDDLE = FAR = (LOOKUP, HASHED)
+#: Tokens whose weights are looked up at a time, and tokens whose slopes are summed in single precision.
+SLICE, SUMMED = 1 << 12, 1 << 15
 #: Distinct words a task counts before it passes them on, and words whose output a task remembers.
 HELD = 1 << 18
 UPDATES, RATE, PRIOR = 30, 0.3, 1.0
+#: At most so many tasks send the driver a gradient at once.
+PARTS = 16
 
 
 def ending(word: bytes) -> int:
@@ -89,11 +97,10 @@ class Vocabulary:
         self.tail_counts, self.tail_kinds = tail_counts, tail_kinds
         tail = np.array([ending(w) % TAILS for w, _ in common], np.int64)
         rank = np.arange(len(common))
-        #: by code (rank, or lookup + hashed ending): the output and the three context buckets
-        self.output = np.concatenate([np.where(rank < HEAD, rank, HEAD + tail), np.zeros(lookup - len(common), np.int64), HEAD + np.arange(TAILS)])
-        hashed = np.concatenate([tail, np.zeros(lookup - len(common), np.int64), np.arange(TAILS)])
-        code = np.arange(lookup + TAILS)
-        self.context = [np.where((code < own) & (code < len(common)), code, own + hashed % other) for own, other in (NEAR, MIDDLE, FAR)]
+        #: by code (rank, or lookup + hashes): the output, and the word as the three contexts see it
+        self.output = np.concatenate([np.where(rank < HEAD, rank, HEAD + tail), np.zeros(lookup - len(common), np.int64), HEAD + np.arange(HASHED) % TAILS])
+        code = np.arange(lookup + HASHED)
+        self.context = [np.where(code < lookup, code, LOOKUP + code - lookup)] * 3
         totals = np.bincount(self.output[:len(common)], self.counts, OUTPUTS)[:HEAD]
         self.output_counts = np.concatenate([totals, tail_counts])
         order = np.argsort(-self.output_counts, kind="stable")
@@ -106,14 +113,14 @@ class Vocabulary:
 
 
 class Codes(dict):
-    """word -> rank, or ``lookup`` + hashed ending; remembers short words up to a bound."""
+    """word -> rank, or ``lookup`` + hashes of its ending and of the whole word; remembers short words up to a bound."""
 
     def __init__(self, ranks: dict[bytes, int], lookup: int):
         super().__init__(ranks)
         self.ranks, self.lookup = ranks, lookup
 
     def __missing__(self, word: bytes) -> int:
-        code = self.lookup + ending(word) % TAILS
+        code = self.lookup + ending(word) % TAILS + TAILS * ((zlib.crc32(word) >> 16) % SPREAD)
         if len(word) <= LOOKUP_BYTES:
             if len(self) > len(self.ranks) + HELD:
                 self.clear()
@@ -147,28 +154,24 @@ def vocabulary(counts: DataFrame, lookup: int = LOOKUP) -> Vocabulary:
 
 # ------------------------------------------------ contexts and features
 
-def contexts(vocab: Vocabulary, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def contexts(words: np.ndarray, places: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per token of concatenated texts: the class layer's context, the member layer's, class and member.
 
-    ``starts`` are the places where texts begin; before them stands the end.
+    ``words`` are the tokens as contexts see them, ``places`` their class and member
+    as one number; ``starts`` are the places where texts begin, before them stands the end, word 0.
     """
     before = []
     for back in (1, 2, 3):
-        c = np.zeros(len(codes), np.int64)
-        c[back:] = codes[:-back]
+        w = np.zeros(len(words), np.int64)
+        w[back:] = words[:-back]
         for k in range(back):
             at = starts + k
-            c[at[at < len(codes)]] = 0
+            w[at[at < len(words)]] = 0
             # a text shorter than k rows lets this touch the next one's first rows, which are its start as well
-        before.append(c)
-    near, middle, far = (m[c] for m, c in zip(vocab.context, before))
-    second = vocab.context[2][before[1]]
-    out = vocab.output[codes]
-    cls = vocab.cls[out]
-    return ((near * sum(MIDDLE) + middle) * sum(FAR) + far, (cls * sum(NEAR) + near) * sum(FAR) + second, cls, vocab.member[out])
-
-
-CONTEXTS = (sum(NEAR) * sum(MIDDLE) * sum(FAR), CLASSES * sum(NEAR) * sum(FAR))
+        before.append(w)
+    near, middle, far = before
+    cls, member = np.divmod(places.astype(np.int64), WIDTH)
+    return (near * sum(MIDDLE) + middle) * sum(FAR) + far, (cls * sum(NEAR) + near) * sum(FAR) + middle, cls, member
 
 
 def feature_rows(layer: int, context: np.ndarray) -> np.ndarray:
@@ -184,22 +187,27 @@ def feature_rows(layer: int, context: np.ndarray) -> np.ndarray:
         cls, rest = np.divmod(context, sum(NEAR) * sum(FAR))
         near, second = np.divmod(rest, sum(FAR))
         parts = [(8, cls), (9, cls, near), (10, cls, second), (11, cls, near, second)]
-    out = np.empty((len(context), len(parts)), np.int64)
+    out = np.empty((len(context), len(parts)), np.int64, order="F")
     for k, (template, *values) in enumerate(parts):
         h = np.full(len(context), template, np.uint64)
         for v in values:
             h = (h * np.uint64(0x9E3779B97F4A7C15) + v.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-        out[:, k] = (h ^ (h >> np.uint64(29))) % np.uint64(ROWS)
+        out[:, k] = (h ^ (h >> np.uint64(29))) & np.uint64(ROWS - 1)
     return out
 
 
 def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Log probabilities of the ``WIDTH`` choices in each context, from its weight rows."""
-    logits = weights[rows[:, 0]].astype(np.float64)
+    logits = np.take(weights, rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
-        logits += weights[rows[:, k]]
-    logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        logits += np.take(weights, rows[:, k], axis=0)
+    top, width = logits, WIDTH
+    while width > 1:  # by halves, far faster than a maximum along the short axis
+        width //= 2
+        top = np.maximum(top[:, :width], top[:, width:])
+    logits -= top
+    logits -= np.log(np.exp(logits) @ np.ones((WIDTH, 1), logits.dtype))
+    return logits
 
 
 # ------------------------------------------------ training
@@ -221,89 +229,82 @@ def _token_batches(batches: Iterator[pa.RecordBatch], column: int, codes: Codes,
 
 
 def context_cells(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """``(layer, context, counts)``: how often each choice followed each context seen.
+    """``(share, words, places)``: every text as its features see it, a row per text.
 
-    ``counts`` holds ``WIDTH`` doubles.  The table is bounded by the numbers of
-    contexts, whatever the corpus; each task adds up its own texts first.
+    ``words`` holds the context word of each token (int), ``places`` its class and
+    member as one number (short); ``share`` is a hash of the text.
     """
     shared = texts.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value
-        cells = [np.zeros(n * WIDTH, np.int32) for n in CONTEXTS]
-        for _, _, _, codes, starts in _token_batches(batches, 0, vocab.codes()):
-            one, two, cls, member = contexts(vocab, codes, starts)
-            for layer, at in enumerate((one * WIDTH + cls, two * WIDTH + member)):
-                some, n = np.unique(at, return_counts=True)
-                cells[layer][some] += n.astype(np.int32)
-        for layer, cell in enumerate(cells):
-            some = np.flatnonzero(cell)
-            for at in range(0, len(some), 1 << 16):
-                part = some[at:at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), layer, np.int32)), pa.array(part // WIDTH, pa.int32()), pa.array(part % WIDTH, pa.int32()),
-                                                  pa.array(cell[part], pa.int64())], names=["layer", "context", "choice", "n"])
-
-    cells = texts.mapInArrow(run, "layer int, context int, choice int, n long").groupBy("layer", "context", "choice").agg(F.sum("n").alias("n"))
-    whole = cells.groupBy("layer", "context").agg(F.collect_list(F.struct("choice", "n")).alias("seen"))  # at most WIDTH entries
-
-    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen = b.column(2)
-            counts = np.zeros((b.num_rows, WIDTH))
-            row = np.repeat(np.arange(b.num_rows), np.diff(seen.offsets.to_numpy()))
-            entries = seen.flatten()
-            counts[row, entries.field("choice").to_numpy()] = entries.field("n").to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in counts], pa.binary())], names=["layer", "context", "counts"])
+        seen, place = vocab.context[0].astype("<i4"), (vocab.cls * WIDTH + vocab.member)[vocab.output].astype("<i2")
 
-    return whole.mapInArrow(dense, "layer int, context int, counts binary")
+        def lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+            offsets = np.append(starts, len(values)).astype(np.int32) * np.int32(values.itemsize)
+            return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+        for b, first, words, codes, starts in _token_batches(batches, 0, vocab.codes()):
+            share = [zlib.crc32(b" ".join(own)) for own in words]
+            yield pa.RecordBatch.from_arrays([pa.array(share, pa.int64()), lists(seen[codes], starts), lists(place[codes], starts)], names=["share", "words", "places"])
+
+    return texts.mapInArrow(run, "share long, words binary, places binary")
 
 
 def gradient(cells: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, float]:
-    """Observed minus expected counts of every weight, and the log likelihood, summed over all cells."""
+    """Observed minus expected counts of every weight, and the log likelihood, summed over all tokens."""
     shared = cells.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slope, fit, any_ = np.zeros((ROWS, WIDTH), np.float32), 0.0, False
-        for b in batches:
-            any_ = any_ or b.num_rows > 0
-            layers, context = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
-            counts = np.frombuffer(b"".join(b.column(2).to_pylist())).reshape(-1, WIDTH)
-            for layer in (0, 1):
-                at = np.flatnonzero(layers == layer)
-                if not len(at):
-                    continue
-                rows, own = feature_rows(layer, context[at]), counts[at]
-                log_p = log_softmax(shared.value, rows)
-                off = own - own.sum(axis=1, keepdims=True) * np.exp(log_p)
-                fit += float((own * log_p).sum())
-                for k in range(rows.shape[1]):
-                    np.add.at(slope, rows[:, k], off)
-        if any_:
-            some = np.flatnonzero(slope.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array([some.astype("<i4").tobytes()]), pa.array([slope[some].astype("<f4").tobytes()]), pa.array([fit])], names=["at", "slope", "fit"])
+        weights = shared.value
+        slope, some, summed, fit = np.zeros(ROWS * WIDTH), np.zeros(ROWS * WIDTH, np.float32), 0, 0.0
+        column = np.arange(WIDTH)
+        for b in parts(batches):
+            words, places = (np.frombuffer(b"".join(b.column(k).to_pylist()), t) for k, t in ((1, "<i4"), (2, "<i2")))
+            lengths = np.array([len(x) // 2 for x in b.column(2).to_pylist()], np.int64)
+            one, two, cls, member = contexts(words, places, np.cumsum(lengths) - lengths)
+            for at in range(0, len(words), SLICE):
+                for layer, (context, choice) in enumerate(((one, cls), (two, member))):
+                    rows, own = feature_rows(layer, context[at:at + SLICE]), choice[at:at + SLICE]
+                    log_p, every = log_softmax(weights, rows), np.arange(len(own))
+                    fit += float(log_p[every, own].sum(dtype=np.float64))
+                    off = -np.exp(log_p)
+                    off[every, own] += 1
+                    for k in range(rows.shape[1]):
+                        np.add.at(some, (rows[:, k, None] * WIDTH + column).ravel(), off.ravel())
+                summed += SLICE
+                if summed >= SUMMED:
+                    slope += some
+                    some[:], summed = 0, 0
+        slope = (slope + some).reshape(ROWS, WIDTH)
+        at = np.flatnonzero(slope.any(axis=1))
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()]), pa.array([slope[at].astype("<f4").tobytes()]), pa.array([fit])], names=["at", "slope", "fit"])
 
     slope, fit = np.zeros((ROWS, WIDTH)), 0.0
-    for r in cells.mapInArrow(run, "at binary, slope binary, fit double").collect():  # a row per task that has cells, its weights with a slope
+    for r in cells.mapInArrow(run, "at binary, slope binary, fit double").collect():  # a row per task that has tokens, its weights with a slope
         slope[np.frombuffer(r["at"], "<i4")] += np.frombuffer(r["slope"], "<f4").reshape(-1, WIDTH)
         fit += r["fit"]
     shared.destroy()
     return slope, fit
 
 
-def train(cells: DataFrame, updates: int = UPDATES, parts: int = 4) -> np.ndarray:
-    """Weights after ``updates`` gradient updates over all cells.
+def train(cells: DataFrame, updates: int = UPDATES) -> np.ndarray:
+    """Weights after ``updates`` gradient updates, which share all texts among them.
 
-    Each update is one job over ``parts`` tasks (the cells' number is bounded),
-    with a Gaussian prior and a step per weight that shrinks with its past
-    slopes.  No cells: zeros.
+    Each update is one job over its own texts, as many tasks as there are cores
+    (``PARTS`` at most), with a Gaussian prior and a step per weight that shrinks
+    with its past slopes.  No texts: zeros.
     """
-    spread = materialise(cells.repartition(parts), "cells")
+    tasks = min(cells.sparkSession.sparkContext.defaultParallelism, PARTS)
+    dealt = cells.select("share", "words", "places", F.pmod("share", F.lit(updates)).cast("int").alias("turn"))
+    spread = materialise(dealt.repartition(updates * tasks, "turn", F.floor(F.col("share") / updates) % tasks), "cells", "turn")
     weights, past = np.zeros((ROWS, WIDTH)), np.zeros((ROWS, WIDTH))
-    for _ in range(updates):
-        slope, _ = gradient(spread, weights.astype(np.float32))
-        slope -= PRIOR * weights
+    for turn in range(updates):
+        slope, _ = gradient(spread.where(F.col("turn") == turn).coalesce(tasks), weights.astype(np.float32))
+        slope -= PRIOR / updates * weights
         past += slope * slope
-        weights += RATE * slope / (np.sqrt(past) + 1e-9)
+        weights += RATE * slope / np.sqrt(past + 1.0)
     return weights.astype(np.float32)
 
 
@@ -323,15 +324,16 @@ def _in_place(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, weights = shared.value
         codes_of = vocab.codes()
-        tables = [np.full((n, WIDTH), np.nan, np.float32) for n in CONTEXTS]  # log probabilities of the contexts met so far
+        place = vocab.cls * WIDTH + vocab.member
 
         def layer(k: int, context: np.ndarray, choice: np.ndarray) -> np.ndarray:
-            new = np.unique(context[np.isnan(tables[k][context, 0])])
-            if len(new):
-                tables[k][new] = log_softmax(weights, feature_rows(k, new))
-            return tables[k][context, choice]
+            out = np.empty(len(context))
+            for at in range(0, len(context), SLICE):
+                own = choice[at:at + SLICE]
+                out[at:at + SLICE] = log_softmax(weights, feature_rows(k, context[at:at + SLICE]))[np.arange(len(own)), own]
+            return out
 
-        counts = np.concatenate([vocab.counts, np.zeros(vocab.lookup + TAILS - len(vocab.counts))])
+        counts = np.concatenate([vocab.counts, np.zeros(vocab.lookup + HASHED - len(vocab.counts))])
         all_log = math.log10(vocab.tokens + 0.5 * (vocab.kinds + 1))
         base_of = np.log10(counts + 0.5) - all_log  # of a word outside the table: its share without its count
         base_of[vocab.lookup:] = -all_log
@@ -342,7 +344,7 @@ def _in_place(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray) -> DataFr
         inside -= np.log10(vocab.tail_counts + 0.5 * (vocab.tail_kinds + 1))[tail]
         inside[output < HEAD] = 0.0
         for b, first, words, codes, starts in _token_batches(batches, 2, codes_of):
-            one, two, cls, member = contexts(vocab, codes, starts)
+            one, two, cls, member = contexts(vocab.context[0][codes], place[output[codes]], starts)
             model = (layer(0, one, cls) + layer(1, two, member)) / math.log(10.0) + inside[codes]
             outside = codes >= vocab.lookup
             rare = []

@@ -18,15 +18,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it back.
+def materialise(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write ``df`` below ``spark.checkpoint.dir``, in folders of the columns ``by``, and read it back.
 
     Later steps then start from files every executor can read, so a lost
     executor costs its own tasks and not the work before.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
