@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from textstrata.llm import maxent
+from textstrata.llm import maxent, toxicity
 
 
 def test_language_model_tells_words_with_one_ending_apart(spark):
@@ -45,3 +45,28 @@ def test_language_model_gradient_equals_a_plain_loop(spark):
             before = [vocab.context[0][codes[w]], *before[:2]]
     slope, total = maxent.gradient(maxent.context_cells(docs, vocab), weights)
     assert total == pytest.approx(fit, rel=1e-5) and np.allclose(slope, want, atol=1e-4)
+
+
+def test_toxicity_model_reaches_the_driver_without_row_objects(spark, monkeypatch):
+    """The vocabulary is the one table that grows with the corpus: it must not become a row object per word."""
+    rows = spark.range(60).selectExpr("'plain wordy text' as text", "cast(id % 2 as int) as label")
+    monkeypatch.setattr(type(rows), "collect", lambda self: pytest.fail("rows are collected"))
+    assert toxicity.vocabulary_of(rows) == {"plain": 60, "wordy": 60, "text": 60}
+
+
+def test_votes_are_the_same_from_memory(monkeypatch):
+    monkeypatch.setattr(toxicity, "CACHED", 2)
+    words = {"stupid", "stupidity", "loser", "plain", "x" * 60}
+    weights = {"stupid": 2.0, "stup*": 1.5, "stupid*": 3.0, "loser": 1.0, "xxxx*": 4.0}
+    lexicon = toxicity.Lexicon(weights)
+    assert lexicon.votes(words) == lexicon.votes(words) == [4.0, 3.0, 2.0, 1.0] and len(lexicon.known) <= 2
+
+
+def test_toxicity_shuffles_texts_alike_at_every_size(spark):
+    """Small labels aren't broadcast: the texts are grouped by id anyway, and the plan doesn't change as they grow."""
+    docs = spark.range(40).selectExpr("id as doc_id", "concat('some text ', id) as text")
+    plans, write = [], toxicity.materialise
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+        toxicity.fit(docs, docs.selectExpr("doc_id as id", "cast(doc_id % 2 as int) as label"))
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]

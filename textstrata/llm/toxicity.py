@@ -194,13 +194,14 @@ class Decoder:
 def disguised(text: str, words: set[str]) -> set[str]:
     """Tokens of a lower-case text that look disguised."""
     found = {m.group(0) for m in SPACED.finditer(text)}
+    triple = TRIPLE.search(text)  # the words stand in the text
     for w in words:
         if not w.isalpha():
             w = w.strip(".,;:?\"'()[]{}<>&%`~-_=")
             for form in {w, w.strip(TRIM)}:
                 if not form.isalpha() and DISGUISE.fullmatch(form) and LETTER.search(form) and SIGN.search(form):
                     found.add(form)
-        if TRIPLE.search(w):
+        if triple and TRIPLE.search(w):
             found.add(w.strip(TRIM))
     return found
 
@@ -243,7 +244,8 @@ def vocabulary_of(train: DataFrame, least_texts: int = 2) -> dict[str, int]:
         yield from _counted(["w", "n"], ({w for w in words if w.isalpha() and len(w) <= LONGEST_WORD} for words in every))
 
     counts = train.select("text").mapInArrow(run, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    return {r.w: r.n for r in counts.where(F.col("n") >= at_least(least_texts, train.count())).collect()}
+    kept = counts.where(F.col("n") >= at_least(least_texts, train.count())).toArrow()  # a row object per word would take many times its bytes
+    return dict(zip(kept.column("w").to_pylist(), kept.column("n").to_pylist()))
 
 
 def features_of(word: str) -> list[str]:
@@ -257,15 +259,22 @@ class Lexicon:
         self.words = {k: v for k, v in weights.items() if not k.endswith("*")}
         self.starts = [(n, {k[:-1]: v for k, v in weights.items() if k.endswith("*") and len(k) == n + 1}) for n in PREFIXES]
         self.starts = [(n, d) for n, d in self.starts if d]
+        self.known: dict[str, float] = {}
 
     def votes(self, words: set[str]) -> list[float]:
         """The weight of each word that has one, largest first; a word has one vote."""
         out = []
         for w in words:
-            best = self.words.get(w, 0.0)
-            for n, starts in self.starts:
-                if (v := starts.get(w[:n], 0.0)) > best and len(w) > n:
-                    best = v
+            best = self.known.get(w)
+            if best is None:
+                best = self.words.get(w, 0.0)
+                for n, starts in self.starts:
+                    if (v := starts.get(w[:n], 0.0)) > best and len(w) > n:
+                        best = v
+                if len(w) <= LONGEST_WORD:
+                    if len(self.known) >= CACHED:
+                        self.known.clear()
+                    self.known[w] = best
             if best > 0:
                 out.append(best)
         return sorted(out, reverse=True)
@@ -316,7 +325,10 @@ def learn_lexicon(train: DataFrame, decoder: Decoder, least_contexts: int = 3, l
     one document don't make its words look toxic; in label 0 it counts once
     per document.
     """
+    shared = train.sparkSession.sparkContext.broadcast(decoder)
+
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = shared.value
         for b in parts(batches):
             pairs = set()
             for t in utf8(b.column(0)):
@@ -331,14 +343,15 @@ def learn_lexicon(train: DataFrame, decoder: Decoder, least_contexts: int = 3, l
     toxic = toxic.where(F.col("n1") >= at_least(least_contexts, share.get(1, 0)))
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every = (tokens(t, decoder) for b in parts(batches) for t in utf8(b.column(0)))
+        every = (tokens(t, shared.value) for b in parts(batches) for t in utf8(b.column(0)))
         yield from _counted(["f", "n"], ({f for w in {w.strip(TRIM) for w in set(words)} | restored for f in features_of(w)} for words, restored in every))
 
     plain = train.where("label = 0").select("text").mapInArrow(clean, "f string, n long").groupBy("f").agg(F.sum("n").alias("n0"))
     base = (share.get(1, 0) + 1) / (sum(share.values()) + 2)
     odds = F.log((F.col("n1") + base) / (F.coalesce("n0", F.lit(0)) + 1 - base)) - math.log(base / (1 - base))
     # what has a weight is all that reaches the driver
-    return Lexicon({r.f: r.w for r in toxic.join(plain, "f", "left").select("f", odds.alias("w")).where(F.col("w") >= least_weight).collect()})
+    kept = toxic.join(plain, "f", "left").select("f", odds.alias("w")).where(F.col("w") >= least_weight).toArrow()
+    return Lexicon(dict(zip(kept.column("f").to_pylist(), kept.column("w").to_pylist())))
 
 
 class Scorer:
@@ -366,14 +379,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = labels.where("label in (0, 1) and id is not null").select(F.col("id").cast("long").alias("label_id"), F.col("label").cast("int").alias("label")).distinct()
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # rows that repeat an id count once, with the smallest text
-    train = materialise(src.join(known, F.col("id") == F.col("label_id")).groupBy("id", "label").agg(F.min("text").alias("text"))
+    # texts are shuffled by id once for join and grouping, at every size
+    train = materialise(src.join(known.hint("merge"), F.col("id") == F.col("label_id")).groupBy("id", "label").agg(F.min("text").alias("text"))
                         .select("text", "label", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)).alias("fold")), "toxicity-training")
     decoder.learn_words(vocabulary_of(train))
     lexicon = learn_lexicon(train.where("fold < 2"), decoder)
 
+    shared = docs.sparkSession.sparkContext.broadcast((decoder, lexicon))
+
     def evidences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
-            x = [evidence(t, decoder, lexicon) for t in utf8(b.column(0))]
+            x = [evidence(t, *shared.value) for t in utf8(b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], names=["x", "label"])
 
     held = materialise(train.where("fold = 2").select("text", "label").mapInArrow(evidences, "x array<double>, label int"), "toxicity-evidence")
@@ -389,7 +405,10 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
     Null and empty texts are scored like any other (they have no votes);
     repeated rows each get a row; an empty table gives an empty result.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = shared.value
         for b in parts(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer(utf8(b.column(1))), pa.float64())], names=["id", "score"])
 
@@ -399,8 +418,10 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str
 def drop_toxic(docs: DataFrame, scorer: Scorer, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, all columns; row-local."""
     at = docs.columns.index(text_col)
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = shared.value
         for b in parts(batches):
             yield b.filter(pa.array(scorer(utf8(b.column(at))) < threshold, pa.bool_()))
 
