@@ -40,8 +40,8 @@ SPREAD = 128
 HASHED = TAILS * SPREAD
 #: The word one, two and three places back, as features see it: words of their own, then hashed ones.
 NEAR = MIDDLE = FAR = (LOOKUP, HASHED)
-#: Tokens whose weights are looked up at a time, and tokens whose slopes are summed in single precision.
-SLICE, SUMMED = 1 << 12, 1 << 15
+#: Tokens whose weights are looked up at a time, and tokens whose slopes are summed at a time.
+SLICE, SUMMED = 4_000, 32_000
 #: Distinct words a task counts before it passes them on, and words whose output a task remembers.
 HELD = 1 << 18
 UPDATES, RATE, PRIOR = 30, 0.3, 1.0
@@ -196,18 +196,21 @@ def feature_rows(layer: int, context: np.ndarray) -> np.ndarray:
     return out
 
 
+def logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """A row per choice, a column per context: the sums of its weight rows, less the largest of the column."""
+    total = np.take(weights, rows[:, 0], axis=0)
+    for k in range(1, rows.shape[1]):
+        total += np.take(weights, rows[:, k], axis=0)
+    out = np.ascontiguousarray(total.T)  # maxima and sums along long rows are far faster
+    out -= out.max(axis=0)
+    return out
+
+
 def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Log probabilities of the ``WIDTH`` choices in each context, from its weight rows."""
-    logits = np.take(weights, rows[:, 0], axis=0)
-    for k in range(1, rows.shape[1]):
-        logits += np.take(weights, rows[:, k], axis=0)
-    top, width = logits, WIDTH
-    while width > 1:  # by halves, far faster than a maximum along the short axis
-        width //= 2
-        top = np.maximum(top[:, :width], top[:, width:])
-    logits -= top
-    logits -= np.log(np.exp(logits) @ np.ones((WIDTH, 1), logits.dtype))
-    return logits
+    out = logits(weights, rows)
+    out -= np.log(np.exp(out).sum(axis=0))
+    return out.T
 
 
 # ------------------------------------------------ training
@@ -251,32 +254,49 @@ def context_cells(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
     return texts.mapInArrow(run, "share long, words binary, places binary")
 
 
+def _token_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The rows of ``context_cells`` as (words, places, starts), short texts joined to ``SUMMED`` tokens or more at a time."""
+    words, places, size = [], [], 0
+
+    def block():
+        lengths = np.array([len(x) // 2 for x in places], np.int64)
+        return np.frombuffer(b"".join(words), "<i4"), np.frombuffer(b"".join(places), "<i2"), np.cumsum(lengths) - lengths
+
+    for b in parts(batches):
+        words += b.column(1).to_pylist()
+        places += b.column(2).to_pylist()
+        size += sum(len(x) // 2 for x in places[len(places) - b.num_rows:])
+        if size >= SUMMED:
+            yield block()
+            words, places, size = [], [], 0
+    if size:
+        yield block()
+
+
 def gradient(cells: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, float]:
     """Observed minus expected counts of every weight, and the log likelihood, summed over all tokens."""
     shared = cells.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
-        slope, some, summed, fit = np.zeros(ROWS * WIDTH), np.zeros(ROWS * WIDTH, np.float32), 0, 0.0
-        column = np.arange(WIDTH)
-        for b in parts(batches):
-            words, places = (np.frombuffer(b"".join(b.column(k).to_pylist()), t) for k, t in ((1, "<i4"), (2, "<i2")))
-            lengths = np.array([len(x) // 2 for x in b.column(2).to_pylist()], np.int64)
-            one, two, cls, member = contexts(words, places, np.cumsum(lengths) - lengths)
-            for at in range(0, len(words), SLICE):
+        slope, fit = np.zeros((WIDTH, ROWS)), 0.0
+        for words, places, starts in _token_blocks(batches):
+            one, two, cls, member = contexts(words, places, starts)
+            for at in range(0, len(words), SUMMED):
                 for layer, (context, choice) in enumerate(((one, cls), (two, member))):
-                    rows, own = feature_rows(layer, context[at:at + SLICE]), choice[at:at + SLICE]
-                    log_p, every = log_softmax(weights, rows), np.arange(len(own))
-                    fit += float(log_p[every, own].sum(dtype=np.float64))
-                    off = -np.exp(log_p)
-                    off[every, own] += 1
-                    for k in range(rows.shape[1]):
-                        np.add.at(some, (rows[:, k, None] * WIDTH + column).ravel(), off.ravel())
-                summed += SLICE
-                if summed >= SUMMED:
-                    slope += some
-                    some[:], summed = 0, 0
-        slope = (slope + some).reshape(ROWS, WIDTH)
+                    rows, own = feature_rows(layer, context[at:at + SUMMED]), choice[at:at + SUMMED]
+                    off, every = np.empty((WIDTH, len(own))), np.arange(len(own))
+                    for k in range(0, len(own), SLICE):
+                        z, some = logits(weights, rows[k:k + SLICE]), own[k:k + SLICE]
+                        p = np.exp(z)
+                        total = p.sum(axis=0)
+                        fit += float((z[some, every[:len(some)]] - np.log(total)).sum(dtype=np.float64))
+                        np.divide(p, -total, out=off[:, k:k + SLICE])
+                    off[own, every] += 1
+                    for j in range(WIDTH):  # np.add.at is many times slower where an array's type was unpickled, as in tasks
+                        for k in range(rows.shape[1]):
+                            slope[j] += np.bincount(rows[:, k], off[j], ROWS)
+        slope = slope.T
         at = np.flatnonzero(slope.any(axis=1))
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()]), pa.array([slope[at].astype("<f4").tobytes()]), pa.array([fit])], names=["at", "slope", "fit"])
