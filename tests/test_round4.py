@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from textstrata.llm import maxent, toxicity
+from textstrata.operators import bayes
 
 
 def test_language_model_tells_words_with_one_ending_apart(spark):
@@ -85,3 +86,21 @@ def test_toxicity_shuffles_texts_alike_at_every_size(spark):
         m.setattr(toxicity, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
         toxicity.fit(docs, docs.selectExpr("doc_id as id", "cast(doc_id % 2 as int) as label"))
     assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+
+
+def test_bayes_shuffles_no_frequent_word(spark, monkeypatch):
+    """Places of frequent words are summed where the texts are; only rare words meet the model in a shuffled join, and no score changes."""
+    texts = ["the the the sand", "the clay the w1", None, "", "the w2 w3 clay clay", "unknown the"] + [f"the v{i} sand" for i in range(40)]
+    df = spark.createDataFrame([(i // 2 if i < 4 else i, t, i % 2) for i, t in enumerate(texts)], "k long, text string, y int")
+    df = df.withColumn("z", 1 - df["y"]).repartition(3)
+    model = bayes.train(df, "text", {"X": "y", "Y": "z"}, 3)
+    every = sorted(bayes.score(df, ["k"], "text", model, ["X", "Y"], 3).collect())
+    monkeypatch.setattr(bayes, "HEAD_TOKENS", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        some = bayes.score(df, ["k"], "text", model, ["X", "Y"], 3)
+        plan = some._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(some.collect()) == every and len(every) == len(texts) - 2
+        assert "LeftAnti" in plan and "strategy=broadcast" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -21,6 +21,8 @@ from textstrata.session import written
 
 #: Units of a log probability in the model's tables.
 SCALE = 1_000_000
+#: At most so many tokens of a model, those with the largest weights, are looked up where the texts are.
+HEAD_TOKENS = 20_000
 #: The token of the row that holds the classes' own log probabilities; no token is empty.
 PRIOR = ""
 
@@ -104,16 +106,29 @@ def score(df: DataFrame, key_cols: Sequence[str], text_col: str, model: DataFram
 
     ``key_cols`` identify a row.  Tokens the model doesn't know are left out; a
     text without known tokens gets the classes' own shares; a class without
-    training rows scores 0.  The join is planned by the bytes of the two sides;
-    where the model is small, texts are exploded and summed inside one task and
-    one row per text is shuffled.
+    training rows scores 0.  The ``HEAD_TOKENS`` tokens with the largest weights,
+    which are the most frequent ones in training, are broadcast and summed in the
+    texts' own tasks; only words beyond them meet the rest of the model, in a join
+    that is planned by the bytes of the two sides.  So no task sorts all places
+    of a frequent word, and the words that are shuffled are the rare ones.
     """
     keys, wanted = list(key_cols), list(targets)
-    wide = model.where(F.col("target").isin(wanted)).groupBy("token").agg(
-        *[F.first(F.when(F.col("target") == t, F.col("weights")), ignorenulls=True).alias(f"_w{i}") for i, t in enumerate(wanted)])
-    words = df.select(*keys, F.explode(F.concat(TOKENS[tokens](text_col), F.array(F.lit(PRIOR)))).alias("token"))
+    wide = written(model.where(F.col("target").isin(wanted)).groupBy("token").agg(
+        *[F.first(F.when(F.col("target") == t, F.col("weights")), ignorenulls=True).alias(f"_w{i}") for i, t in enumerate(wanted)]), "model-by-token")
+    words = df.select(*keys, F.concat(TOKENS[tokens](text_col), F.array(F.lit(PRIOR))).alias("_tokens"))
+    places = F.explode("_tokens").alias("token")
+    names = [f"_s{i}_{j}" for i in range(len(wanted)) for j in range(num_labels)]
     sums = [F.sum(F.col(f"_w{i}")[j]).alias(f"_s{i}_{j}") for i in range(len(wanted)) for j in range(num_labels)]
-    found = words.join(wide, "token", "left").groupBy(*keys).agg(*sums)
+    if wide.count() <= HEAD_TOKENS:  # one number
+        found = words.select(*keys, places).join(F.broadcast(wide), "token", "left").groupBy(*keys).agg(*sums)
+    else:
+        largest = F.greatest(*[F.array_max(f"_w{i}") for i in range(len(wanted))], F.lit(None).cast("long"))
+        head = written(wide.orderBy(F.col("token") != PRIOR, F.desc_nulls_last(largest), "token").limit(HEAD_TOKENS), "model-head")
+        words = written(words, "text-tokens").select(*keys, places)
+        outside = F.broadcast(head.select("token")), "token", "left_anti"
+        common = words.join(F.broadcast(head), "token", "left").groupBy(*keys).agg(*sums)
+        rare = words.join(*outside).join(wide.join(*outside), "token").groupBy(*keys).agg(*sums)
+        found = common.unionByName(rare).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names])
 
     def shares(i: int) -> Column:
         logs = F.array(*[F.col(f"_s{i}_{j}").cast("double") for j in range(num_labels)])
