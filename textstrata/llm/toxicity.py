@@ -33,6 +33,7 @@ CLASS_OF = np.zeros(256, np.int64)
 CLASS_OF[ord("a"):ord("z") + 1] = CLASS_OF[ord("A"):ord("Z") + 1] = np.arange(1, 27)
 CLASS_OF[128:] = 27
 CLASS_OF[ord("0"):ord("9") + 1] = 28
+ASCII_CLASS = {chr(i): int(CLASS_OF[i]) for i in range(128)}
 #: A word that isn't in the vocabulary costs this much, and this much more for each letter.
 STRANGE_COST, LETTER_COST = 9.0, 3.3
 #: Longer words don't enter the vocabulary; no spaced-out word is expected to be one.
@@ -47,6 +48,8 @@ TRIM = ".,;:!?\"'()[]{}<>|&%#$*`~-_+="
 #: A token of letters and signs that stand for letters, with one of each; three passes, so linear in its length.
 DISGUISE, LETTER, SIGN = re.compile(r"[a-z0-9@$!|+(€*#]+"), re.compile(r"[a-z]"), re.compile(r"[0-9@$!|+(€*#]")
 SPACED = re.compile(r"(?<![^\s\"'`(\[{<“”‘’«»„‚])(?:[a-z0-9@$!|+][ .\-_*~]{1,2}){3,}[a-z0-9@$!|+](?![^\s.,;:!?\"'`)\]}>“”‘’«»])")
+#: Stands in every spaced-out run, and is looked for faster.
+SINGLES = re.compile(r"[ .\-_*~][a-z0-9@$!|+][ .\-_*~]{1,2}[a-z0-9@$!|+][ .\-_*~]")
 TRIPLE = re.compile(r"([a-z])\1\1")
 PREFIXES = (4, 5, 6)
 
@@ -80,7 +83,7 @@ class CharacterModel:
 
 
 def _class(c: str) -> int:
-    return int(CLASS_OF[ord(c)]) if ord(c) < 128 else 27
+    return ASCII_CLASS.get(c, 27)
 
 
 class Decoder:
@@ -121,18 +124,21 @@ class Decoder:
         be the boundary of two words, a blank.
         """
         states = {("\n", "\n"): (0.0, None)}
+        table, of = self.cost, ASCII_CLASS.get
         for c in token:
             emit = [(c, 0.0)] if c not in SEPARATORS else [(" ", CUT_COST)] if cut else []
             swaps = STANDS_FOR.get(c, "")
             emit += [(s, WILD_COST if len(swaps) > 2 else SWAP_COST) for s in swaps]
+            emit = [(e, price, _class(e)) for e, price in emit]
+            letters, gap = {e for e, _, _ in emit}, c in SEPARATORS
             now: dict[tuple[str, str], tuple[float, tuple | None]] = {}
             for (a, b), (cost, path) in states.items():
-                row = self.cost[_class(a)][_class(b)]
-                for e, price in emit:
-                    k, v = (b, e), cost + price + row[_class(e)]
+                row = table[of(a, 27)][of(b, 27)]
+                for e, price, cls in emit:
+                    k, v = (b, e), cost + price + row[cls]
                     if k not in now or v < now[k][0]:
                         now[k] = (v, (e, path))
-                drop = GAP_COST if c in SEPARATORS else REPEAT_COST if any(e == b for e, _ in emit) else None
+                drop = GAP_COST if gap else REPEAT_COST if b in letters else None
                 if drop is not None:
                     k, v = (a, b), cost + drop
                     if k not in now or v < now[k][0]:
@@ -191,29 +197,36 @@ class Decoder:
         return out[::-1]
 
 
+def has_triple(text: str) -> bool:
+    """Whether ``TRIPLE`` is found; neighbouring bytes are compared all at once."""
+    c = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    same = c[1:] == c[:-1]
+    at = np.flatnonzero(same[1:] & same[:-1])
+    return bool(((c[at] >= ord("a")) & (c[at] <= ord("z"))).any())
+
+
 def disguised(text: str, words: set[str]) -> set[str]:
     """Tokens of a lower-case text that look disguised."""
-    found = {m.group(0) for m in SPACED.finditer(text)}
-    triple = TRIPLE.search(text)  # the words stand in the text
+    found = {m.group(0) for m in SPACED.finditer(text)} if SINGLES.search(text) else set()
     for w in words:
-        if not w.isalpha():
-            w = w.strip(".,;:?\"'()[]{}<>&%`~-_=")
+        if not w.isalpha() and not (w := w.strip(".,;:?\"'()[]{}<>&%`~-_=")).isalpha() and SIGN.search(w):
             for form in {w, w.strip(TRIM)}:
                 if not form.isalpha() and DISGUISE.fullmatch(form) and LETTER.search(form) and SIGN.search(form):
                     found.add(form)
-        if triple and TRIPLE.search(w):
-            found.add(w.strip(TRIM))
+    if has_triple(text):  # the words stand in the text
+        found |= {w.strip(TRIM) for w in words if TRIPLE.search(w)}
     return found
 
 
-def tokens(text: bytes | None, decoder: Decoder) -> tuple[list[str], set[str]]:
-    """The trimmed lower-case words of a whole text in order, and the restored ones."""
+def tokens(text: bytes | None, decoder: Decoder) -> tuple[list[str], set[str], set[str]]:
+    """The lower-case words of a whole text in order, the restored ones, and the distinct words."""
     lower = (text or b"").decode("utf-8", "replace").lower()
     words = lower.split()
-    found = disguised(lower, set(words))
+    distinct = set(words)
+    found = disguised(lower, distinct)
     # a spaced-out run is read both as one word and as words
     restored = {decoder.decode(t) for t in found} | {decoder.words_of(t) for t in found if SPACED.fullmatch(t)}
-    return words, {p.strip(TRIM) for r in restored for p in r.split()} - {""}
+    return words, {p.strip(TRIM) for r in restored for p in r.split()} - {""}, distinct
 
 
 def at_least(least: int, rows: int) -> int:
@@ -262,9 +275,13 @@ class Lexicon:
         self.known: dict[str, float] = {}
 
     def votes(self, words: set[str]) -> list[float]:
-        """The weight of each word that has one, largest first; a word has one vote."""
+        """The weight of each trimmed word that has one, largest first; a trimmed word has one vote."""
+        trimmed = {w.strip(TRIM) for w in words}
+        voting = trimmed & self.words.keys()
+        for n, starts in self.starts:  # most words have no weight and go no further
+            voting |= {w for w in trimmed if w[:n] in starts}
         out = []
-        for w in words:
+        for w in voting:
             best = self.known.get(w)
             if best is None:
                 best = self.words.get(w, 0.0)
@@ -282,8 +299,8 @@ class Lexicon:
 
 def evidence(text: bytes | None, decoder: Decoder, lexicon: Lexicon) -> list[float]:
     """Largest vote, second largest, log of the number of votes, log of the number of words."""
-    words, restored = tokens(text, decoder)
-    votes = lexicon.votes({w.strip(TRIM) for w in set(words)} | restored)
+    words, restored, distinct = tokens(text, decoder)
+    votes = lexicon.votes(distinct | restored)
     return [votes[0] if votes else 0.0, votes[1] if len(votes) > 1 else 0.0, math.log1p(len(votes)), math.log1p(len(words)) / 10]
 
 
@@ -332,7 +349,7 @@ def learn_lexicon(train: DataFrame, decoder: Decoder, least_contexts: int = 3, l
         for b in parts(batches):
             pairs = set()
             for t in utf8(b.column(0)):
-                words, restored = tokens(t, decoder)
+                words, restored, _ = tokens(t, decoder)
                 words = [w.strip(TRIM) for w in words]
                 pairs |= {(f, prev) for prev, w in zip([""] + words, words) if w for f in features_of(w)}
                 pairs |= {(f, w) for w in restored for f in features_of(w)}
@@ -344,7 +361,7 @@ def learn_lexicon(train: DataFrame, decoder: Decoder, least_contexts: int = 3, l
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = (tokens(t, shared.value) for b in parts(batches) for t in utf8(b.column(0)))
-        yield from _counted(["f", "n"], ({f for w in {w.strip(TRIM) for w in set(words)} | restored for f in features_of(w)} for words, restored in every))
+        yield from _counted(["f", "n"], ({f for w in {w.strip(TRIM) for w in distinct} | restored for f in features_of(w)} for _, restored, distinct in every))
 
     plain = train.where("label = 0").select("text").mapInArrow(clean, "f string, n long").groupBy("f").agg(F.sum("n").alias("n0"))
     base = (share.get(1, 0) + 1) / (sum(share.values()) + 2)
