@@ -18,15 +18,15 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textstrata.llm.shared import materialise, parts, utf8
+from textstrata.llm.shared import materialise, parts
 
 END = b""  # the end of a text; no word is empty
 HEAD, TAILS, WIDTH = 512, 512, 32  # outputs of one word, of hashed endings; members of a class
@@ -41,7 +41,7 @@ HASHED = TAILS * SPREAD
 #: The word one, two and three places back, as features see it: words of their own, then hashed ones.
 NEAR = MIDDLE = FAR = (LOOKUP, HASHED)
 #: Tokens whose weights are looked up at a time, and tokens whose slopes are summed at a time.
-SLICE, SUMMED = 4_000, 32_000
+SLICE, SUMMED = 2_000, 32_000
 #: Distinct words a task counts before it passes them on, and words whose output a task remembers.
 HELD = 1 << 18
 UPDATES, RATE, PRIOR = 30, 0.3, 1.0
@@ -53,8 +53,58 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word[-3:])
 
 
-def text_words(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+def lowered(texts: pa.Array) -> pa.Array:
+    """The texts with A-Z in lower case; null: empty.  Arrow's own function mixes up the bytes of an array that is a slice of another."""
+    whole = texts.cast(pa.large_binary()).fill_null(b"")
+    _, places, data = whole.buffers()
+    at = np.frombuffer(places, np.int64, len(whole) + 1, whole.offset * 8) if len(whole) else np.zeros(1, np.int64)
+    data = data.slice(at[0], at[-1] - at[0]).to_pybytes().lower() if data is not None else b""
+    return pa.LargeStringArray.from_buffers(len(whole), pa.py_buffer(at - at[0]), pa.py_buffer(data))
+
+
+def byte_strings(array: pa.Array) -> list[bytes]:
+    """The values of a large binary array without nulls; many times faster than one Arrow scalar a value."""
+    _, places, data = array.buffers()
+    at = np.frombuffer(places, np.int64, len(array) + 1, array.offset * 8).tolist() if len(array) else []
+    data = data.to_pybytes() if data is not None else b""
+    return [data[a:b] for a, b in zip(at, at[1:])]
+
+
+class Tokens:
+    """The tokens of texts, each text's words with A-Z in lower case and one end; null: no words.
+
+    ``kinds`` are the distinct tokens as bytes, the end first, ``at`` the place of each token in
+    them; ``starts`` are the places where texts begin, ``plain`` the texts' words with one blank between.
+    """
+
+    def __init__(self, texts: pa.Array):
+        lower = pc.ascii_trim_whitespace(lowered(texts))
+        # Arrow's blanks are space, tab, line feed, VT, FF and CR; of a text without words it makes one empty string
+        words = pc.ascii_split_whitespace(lower)
+        self.plain = pc.binary_join(words, pa.scalar(" ", pa.large_string()))
+        flat = words.flatten().cast(pa.large_binary())
+        coded = flat.dictionary_encode()
+        self.kinds = pa.concat_arrays([pa.array([END], pa.large_binary()), coded.dictionary])
+        count, some = len(texts), pc.binary_length(lower).to_numpy(zero_copy_only=False) > 0
+        lengths = np.where(some, pc.list_value_length(words).to_numpy(zero_copy_only=False), 0) + 1
+        ends = np.cumsum(lengths)
+        self.starts, self.lengths = ends - lengths, lengths
+        self.at = np.zeros(int(ends[-1]) if count else 0, np.int64)
+        word = np.ones(len(self.at), bool)
+        word[ends - 1] = False
+        self.at[word] = coded.indices.to_numpy(zero_copy_only=False)[pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0] + 1
+
+
+def token_batches(batches: Iterator[pa.RecordBatch], column: int, limit: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, Tokens]]:
+    """Texts of at most about ``limit`` bytes at a time: (their rows, their tokens)."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        first = 0
+        while first < b.num_rows:
+            last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + limit, "right")))
+            part = b.slice(first, last - first)
+            yield part, Tokens(part.column(column))
+            first = last
 
 
 # ------------------------------------------------ counts
@@ -62,21 +112,19 @@ def text_words(text: bytes | None) -> list[bytes]:
 def count_words(texts: DataFrame) -> DataFrame:
     """``(word, c)``: how often each token occurs in the one text column of ``texts``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
 
-        def flush():
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], names=["word", "c"])
-            seen.clear()
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns({"c_sum": "c"}).select(["word", "c"])
 
-        for b in batches:
-            for text in utf8(b.column(0)):
-                words = text_words(text)
-                for at in range(0, len(words), HELD):
-                    seen.update(words[at:at + HELD])
-                    if len(seen) >= HELD:
-                        yield from flush()
-                seen[END] += 1
-        yield from flush()
+        for _, some in token_batches(batches, 0):
+            held.append(pa.table({"word": some.kinds.cast(pa.binary()), "c": pa.array(np.bincount(some.at, minlength=len(some.kinds)), pa.int64())}))
+            if sum(map(len, held)) >= 2 * HELD:
+                held = [summed()]
+                if len(held[0]) >= HELD:
+                    yield from held.pop().to_batches()
+        if held:
+            yield from summed().to_batches()
 
     return texts.mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -117,10 +165,13 @@ class Codes(dict):
 
     def __init__(self, ranks: dict[bytes, int], lookup: int):
         super().__init__(ranks)
-        self.ranks, self.lookup = ranks, lookup
+        self.ranks, self.lookup, self.words = ranks, lookup, None
+
+    def hashed(self, word: bytes) -> int:
+        return self.lookup + zlib.crc32(word[-3:]) % TAILS + TAILS * ((zlib.crc32(word) >> 16) % SPREAD)
 
     def __missing__(self, word: bytes) -> int:
-        code = self.lookup + ending(word) % TAILS + TAILS * ((zlib.crc32(word) >> 16) % SPREAD)
+        code = self.hashed(word)
         if len(word) <= LOOKUP_BYTES:
             if len(self) > len(self.ranks) + HELD:
                 self.clear()
@@ -128,6 +179,15 @@ class Codes(dict):
             self[word] = code
         return code
 
+    def of(self, tokens: Tokens) -> np.ndarray:
+        """The code of each token; every distinct one is looked up once."""
+        if self.words is None:
+            self.words = pa.array(self.ranks, pa.large_binary())
+        codes = pc.index_in(tokens.kinds, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        other = np.flatnonzero(codes < 0)
+        codes[other] = [self.hashed(w) for w in byte_strings(tokens.kinds.take(pa.array(other)))]
+        return codes[tokens.at]
+
 
 def vocabulary(counts: DataFrame, lookup: int = LOOKUP) -> Vocabulary:
     """The bounded table of a whole ``(word, c)`` table: ``lookup`` words of at most
@@ -199,8 +259,9 @@ def feature_rows(layer: int, context: np.ndarray) -> np.ndarray:
 def logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """A row per choice, a column per context: the sums of its weight rows, less the largest of the column."""
     total = np.take(weights, rows[:, 0], axis=0)
+    one = np.empty_like(total)
     for k in range(1, rows.shape[1]):
-        total += np.take(weights, rows[:, k], axis=0)
+        total += np.take(weights, rows[:, k], axis=0, out=one, mode="clip")  # all rows exist; other modes copy once more
     out = np.ascontiguousarray(total.T)  # maxima and sums along long rows are far faster
     out -= out.max(axis=0)
     return out
@@ -215,22 +276,6 @@ def log_softmax(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 # ------------------------------------------------ training
 
-def _token_batches(batches: Iterator[pa.RecordBatch], column: int, codes: Codes, limit: int = 1 << 17):
-    """Texts of at most about ``limit`` tokens at a time: (batch, first row, words per text, codes, starts)."""
-    for b in batches:
-        first, words, size = 0, [], 0
-        for i in range(b.num_rows):
-            own = text_words(utf8(b.column(column).slice(i, 1))[0])
-            own.append(END)
-            words.append(own)
-            size += len(own)
-            if size >= limit or i + 1 == b.num_rows:
-                flat = np.array([codes[w] for own in words for w in own], np.int64)
-                lengths = np.array([len(own) for own in words], np.int64)
-                yield b, first, words, flat, np.cumsum(lengths) - lengths
-                first, words, size = i + 1, [], 0
-
-
 def context_cells(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
     """``(share, words, places)``: every text as its features see it, a row per text.
 
@@ -247,9 +292,11 @@ def context_cells(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
             offsets = np.append(starts, len(values)).astype(np.int32) * np.int32(values.itemsize)
             return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
 
-        for b, first, words, codes, starts in _token_batches(batches, 0, vocab.codes()):
-            share = [zlib.crc32(b" ".join(own)) for own in words]
-            yield pa.RecordBatch.from_arrays([pa.array(share, pa.int64()), lists(seen[codes], starts), lists(place[codes], starts)], names=["share", "words", "places"])
+        codes_of = vocab.codes()
+        for _, some in token_batches(batches, 0):
+            codes = codes_of.of(some)
+            share = [zlib.crc32(b" ", zlib.crc32(text)) if text else 0 for text in byte_strings(some.plain.cast(pa.large_binary()))]
+            yield pa.RecordBatch.from_arrays([pa.array(share, pa.int64()), lists(seen[codes], some.starts), lists(place[codes], some.starts)], names=["share", "words", "places"])
 
     return texts.mapInArrow(run, "share long, words binary, places binary")
 
@@ -293,8 +340,9 @@ def gradient(cells: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, float]:
                         fit += float((z[some, every[:len(some)]] - np.log(total)).sum(dtype=np.float64))
                         np.divide(p, -total, out=off[:, k:k + SLICE])
                     off[own, every] += 1
+                    slope[:, rows[0, 0]] += off.sum(axis=1) if layer == 0 else 0.0  # the first feature of the class layer is one row, its intercept
                     for j in range(WIDTH):  # np.add.at is many times slower where an array's type was unpickled, as in tasks
-                        for k in range(rows.shape[1]):
+                        for k in range(1 - layer, rows.shape[1]):
                             slope[j] += np.bincount(rows[:, k], off[j], ROWS)
         slope = slope.T
         at = np.flatnonzero(slope.any(axis=1))
@@ -341,6 +389,15 @@ def _in_place(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray) -> DataFr
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())]))
     names = ["id", "row", "n_tokens", "known", "base", "model", "rare"]
 
+    def outside(some: Tokens, codes: np.ndarray, lookup: int) -> pa.Array:
+        """(word, times) of the words outside the bounded table, a list per text."""
+        at = np.flatnonzero(codes >= lookup)
+        pairs, times = np.unique((np.searchsorted(some.starts, at, "right") - 1) * len(some.kinds) + some.at[at], return_counts=True)
+        text, kind = np.divmod(pairs, len(some.kinds))
+        words = some.kinds.take(pa.array(kind)).cast(pa.binary())
+        offsets = np.searchsorted(text, np.arange(len(some.starts) + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([words, pa.array(times.astype(np.int64))], names=["word", "times"])).cast(rare_type)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, weights = shared.value
         codes_of = vocab.codes()
@@ -350,7 +407,9 @@ def _in_place(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray) -> DataFr
             out = np.empty(len(context))
             for at in range(0, len(context), SLICE):
                 own = choice[at:at + SLICE]
-                out[at:at + SLICE] = log_softmax(weights, feature_rows(k, context[at:at + SLICE]))[np.arange(len(own)), own]
+                z = logits(weights, feature_rows(k, context[at:at + SLICE]))
+                chosen = z[own, np.arange(len(own))]
+                out[at:at + SLICE] = chosen - np.log(np.exp(z, out=z).sum(axis=0))
             return out
 
         counts = np.concatenate([vocab.counts, np.zeros(vocab.lookup + HASHED - len(vocab.counts))])
@@ -363,19 +422,13 @@ def _in_place(docs: DataFrame, vocab: Vocabulary, weights: np.ndarray) -> DataFr
         tail = np.maximum(output - HEAD, 0)
         inside -= np.log10(vocab.tail_counts + 0.5 * (vocab.tail_kinds + 1))[tail]
         inside[output < HEAD] = 0.0
-        for b, first, words, codes, starts in _token_batches(batches, 2, codes_of):
+        for part, some in token_batches(batches, 2):
+            codes, starts = codes_of.of(some), some.starts
             one, two, cls, member = contexts(vocab.context[0][codes], place[output[codes]], starts)
             model = (layer(0, one, cls) + layer(1, two, member)) / math.log(10.0) + inside[codes]
-            outside = codes >= vocab.lookup
-            rare = []
-            for own, at in zip(words, starts):
-                times = Counter(own[i] for i in np.flatnonzero(outside[at:at + len(own)]))
-                rare.append([{"word": w, "times": n} for w, n in times.items()])
-            part = b.slice(first, len(words))
-            lengths = np.array([len(own) for own in words], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(lengths), pa.array(np.add.reduceat((counts[codes] > 0).astype(np.int64), starts)),
-                 pa.array(np.add.reduceat(base_of[codes], starts)), pa.array(np.add.reduceat(model.astype(np.float64), starts)), pa.array(rare, rare_type)], names=names)
+                [part.column(0), part.column(1), pa.array(some.lengths.astype(np.int64)), pa.array(np.add.reduceat((counts[codes] > 0).astype(np.int64), starts)),
+                 pa.array(np.add.reduceat(base_of[codes], starts)), pa.array(np.add.reduceat(model.astype(np.float64), starts)), outside(some, codes, vocab.lookup)], names=names)
 
     return docs.mapInArrow(run, schema)
 
