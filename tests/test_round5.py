@@ -4,6 +4,7 @@ import random
 import pyarrow as pa
 
 from textstrata.llm import maxent, toxicity
+from textstrata.operators import encode
 
 
 def test_words_without_a_weight_go_no_further():
@@ -61,3 +62,34 @@ def test_codes_are_the_same_at_once_and_one_by_one():
     codes = maxent.Codes({b"": 0, b"a": 1, "é".encode(): 2}, 100)
     some = maxent.Tokens(pa.array(["a é b", None, "bb a " + "z" * 200]))
     assert codes.of(some).tolist() == [codes[some.kinds[i].as_py()] for i in some.at]
+
+
+def test_words_are_cut_without_a_row_per_substring(spark, monkeypatch):
+    """A word stays one row while its pieces are cut; results don't depend on the first characters looked up or the pieces cut one by one."""
+    rng = random.Random(7)
+    pieces = sorted({"".join(rng.choices("abé#", k=rng.randrange(0, 6))) for _ in range(60)} | {"##a", "##b", "##é", "##abab", "a", "aaaaaa"})
+    ids = {p: i for i, p in enumerate(pieces)}
+    vocabulary = spark.createDataFrame([(p, i) for p, i in ids.items()] + [("a", 999), (None, 3), ("b#", None)], "piece string, id int")
+    every = sorted({"".join(rng.choices("abé#", k=rng.randrange(0, 14))) for _ in range(600)} | {"a" * 100, "a" * 101, "abx"})
+    words = spark.createDataFrame([(w,) for w in every], "word string")
+    want = {}
+    for w in every:
+        at, cut = 0, []
+        while at < len(w) <= 100:
+            n = max((n for n in range(1, len(w) - at + 1) if ("##" if at else "") + w[at:at + n] in ids), default=0)
+            if not n:
+                break
+            cut.append(ids[("##" if at else "") + w[at:at + n]])
+            at += n
+        if cut and at == len(w):
+            want[w] = cut
+    plans, write = [], encode.written
+    monkeypatch.setattr(encode, "written", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df, name))
+    for head, cuts in ((3, 2), (2, 4)):
+        monkeypatch.setattr(encode, "HEAD", head)
+        monkeypatch.setattr(encode, "CUTS", cuts)
+        got = [(r.word, list(r.ids)) for r in encode.cut_words(words, vocabulary).collect()]
+        assert dict(got) == want and len(got) == len(want) > 100
+        assert len(want["a" * 100]) > 10
+    assert plans and not any("Generate" in p for p in plans)
+    assert encode.cut_words(words, vocabulary.where("false")).count() == 0 == encode.cut_words(words.where("false"), vocabulary).count()

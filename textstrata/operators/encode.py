@@ -33,6 +33,10 @@ BLANK_SPLITS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
 #: About so many bytes of words and ids a task remembers.
 HELD_BYTES = 64 << 20
 IGNORE_INDEX = -100
+#: Pieces are looked up by so many first characters.
+HEAD = 3
+#: Pieces cut from each word one after the other.
+CUTS = 6
 
 
 def default_vocabulary() -> str:
@@ -156,31 +160,53 @@ def cut_words(words: DataFrame, vocabulary: DataFrame, continuation: str = "##",
     behind ``continuation``, and a repeated piece counts with its smallest id.  A
     word that can't be cut to its end, or has more than ``longest_word``
     characters, has no row (the rule of greedy word-piece tokenizers, which give
-    it one unknown id).  Every (start, size) of a word no longer than the longest
-    piece is looked up by one join, planned by the vocabulary's bytes; the matches
-    stay in the partitions of the distinct words.
+    it one unknown id).  A word's next piece is looked up by ``HEAD`` characters,
+    which bring all pieces that begin so, longest first, and by each smaller
+    number; these joins are planned by the vocabulary's bytes.  ``CUTS`` pieces of
+    every word are cut so, a row per word; words of more pieces, which are few,
+    have all their other places looked up at once.
     """
     pieces = written(vocabulary.where("piece is not null and id is not null").groupBy("piece").agg(F.min("id").alias("id")), "pieces")
-    longest = pieces.agg(F.max(F.length("piece"))).first()[0] or 0  # one number
-    size = F.length("word")
-    tried = F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), size - F.col("at") + 1))
-    mark = F.when(F.col("at") > 1, F.lit(continuation)).otherwise(F.lit(""))
-    asked = (words.where((F.col("word") != "") & (size <= longest_word)).select("word", F.explode(F.sequence(F.lit(1), size)).alias("at"))
-             .select("word", "at", F.explode(tried).alias("size"))
-             .select("word", "at", "size", F.concat(mark, F.expr("substring(word, at, size)")).alias("piece")))
-    # size and id as one number: a numeric maximum is hashed, not sorted
-    coded = F.shiftleft(F.col("size").cast("long"), 32) + F.col("id").cast("long") + F.lit(1 << 31)
-    best = (asked.join(pieces, "piece").select("word", "at", coded.alias("m"))
-            .groupBy("word", "at").agg(F.max("m").alias("m"))
-            .groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("at", "m"))).alias("longest")))
+    inside = pieces.where(F.startswith("piece", F.lit(continuation))).select(F.expr(f"substring(piece, {len(continuation) + 1})").alias("body"), "id")
+    stems = pieces.select(F.lit(False).alias("inner"), F.col("piece").alias("body"), "id").union(inside.select(F.lit(True), "body", "id"))
+    # size and id as one number, the longest the largest
+    size = F.length("body")
+    stems = stems.select("inner", "body", (F.shiftleft(size.cast("long"), 32) + F.col("id").cast("long") + F.lit(1 << 31)).alias("m"))
+    long = stems.where(size >= HEAD).groupBy("inner", F.substring("body", 1, HEAD).alias("head")).agg(
+        F.sort_array(F.collect_list(F.struct("m", "body")), asc=False).alias("found"))
+    shorter = [stems.where(size == n).select("inner", F.col("body").alias("head"), F.col("m").alias(f"m{n}")) for n in range(1, HEAD)]
+
+    def next_piece(df: DataFrame, at: str) -> DataFrame:
+        """``m`` beside each row: size and id of the longest piece of ``word`` at the place ``at``, or null."""
+        keys = df.columns
+        for n, table in [(HEAD, long), *enumerate(shorter, 1)]:
+            df = (df.withColumn("inner", F.col(at) > 1).withColumn("head", F.expr(f"substring(word, {at}, {n})"))
+                  .join(table, ["inner", "head"], "left").drop("inner", "head"))
+        longest = F.get(F.filter("found", lambda p: F.startswith(F.expr(f"substring(word, {at})"), p["body"])), F.lit(0))["m"]
+        return df.select(*keys, F.coalesce(longest, *(f"m{n}" for n in range(HEAD - 1, 0, -1))).alias("m"))
+
+    def after(at: Column, m: Column) -> Column:
+        return (at + F.shiftright(m, 32)).cast("int")
+
+    def with_id(ids: Column, m: Column) -> Column:
+        return F.concat(ids, F.array((m % (1 << 32) - (1 << 31)).cast("int")))
+
+    length, m = F.length("word"), F.col("m")
+    state = words.where((F.col("word") != "") & (length <= longest_word)).select("word", F.lit(1).alias("next"), F.array().cast("array<int>").alias("ids"))
+    for _ in range(CUTS):
+        state = next_piece(state, "next").where(m.isNotNull() | (F.col("next") > length)).select(
+            "word", F.when(m.isNull(), F.col("next")).otherwise(after(F.col("next"), m)).alias("next"),
+            F.when(m.isNull(), F.col("ids")).otherwise(with_id(F.col("ids"), m)).alias("ids"))
+    state = written(state, "cut-words")
+    done, rest = state.where(F.col("next") > length), state.where(F.col("next") <= length)
+    places = next_piece(rest.select("word", F.explode(F.sequence("next", length)).alias("at")), "at").where(m.isNotNull())
+    found = places.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("at", "m"))).alias("longest"))
     here = F.col("longest")
     walk = F.aggregate(
-        F.sequence(F.lit(1), size), F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("ids")),
-        lambda s, at: F.when((at == s["next"]) & here[at].isNotNull(),
-                             F.struct((at + F.shiftright(here[at], 32)).cast("int").alias("next"),
-                                      F.concat(s["ids"], F.array((here[at] % (1 << 32) - (1 << 31)).cast("int"))).alias("ids"))).otherwise(s),
-        lambda s: F.when(s["next"] > size, s["ids"]))
-    return best.select("word", walk.alias("ids")).where("ids is not null")
+        F.sequence("next", length), F.struct("next", "ids"),
+        lambda s, at: F.when((at == s["next"]) & here[at].isNotNull(), F.struct(after(at, here[at]).alias("next"), with_id(s["ids"], here[at]).alias("ids"))).otherwise(s),
+        lambda s: F.when(s["next"] > length, s["ids"]))
+    return done.select("word", "ids").union(rest.join(found, "word").select("word", walk.alias("ids")).where("ids is not null"))
 
 
 def piece_ids(df: DataFrame, text_col: str, key_cols: Sequence[str], vocabulary: DataFrame, unknown_id: int,
